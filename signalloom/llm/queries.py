@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import bpe, quality
+from signalloom.llm import bpe, near_dedup, quality
 from signalloom.session import read, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, labels).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(ship(spark), sf_dir, "documents"))
+
+
 def tokenizer_spec(path: str | None = None) -> str:
     """Text of a tokenizer file; the driver reads it, tasks get it broadcast (about 3 MB)."""
     with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
@@ -32,6 +36,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_near_dedup": op2_near_dedup,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_near_dedup": near_dedup.ORACLE}
