@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import bpe, near_dedup, quality
+from signalloom.llm import bpe, fingerprints, media, near_dedup, pii, quality
 from signalloom.session import read, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,18 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(ship(spark), sf_dir, "documents"))
 
 
+def op4_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_next(read(ship(spark), sf_dir, "documents"))
+
+
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(read(ship(spark), sf_dir, "documents")).withColumn("feature", media.as_text()).drop("pairs")
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(ship(spark), sf_dir, "documents"), pii.train(pii.labelled_table(spark)))
+
+
 def tokenizer_spec(path: str | None = None) -> str:
     """Text of a tokenizer file; the driver reads it, tasks get it broadcast (about 3 MB)."""
     with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
@@ -37,6 +49,9 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_near_dedup": op2_near_dedup,
+    "op4_syncmer_fingerprints": op4_syncmer_fingerprints,
+    "op6_media_columns": op6_media_columns,
+    "op8_personal_data": op8_personal_data,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
 ORACLES: dict[str, str] = {"op2_near_dedup": near_dedup.ORACLE}
