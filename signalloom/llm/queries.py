@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import bpe, fingerprints, media, near_dedup, pii, quality
+from signalloom.llm import bpe, fingerprints, long_matches, media, near_dedup, pii, quality
 from signalloom.session import read, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op4_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_next(read(ship(spark), sf_dir, "documents"))
 
 
+def op5_long_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return long_matches.remove_repeats(read(ship(spark), sf_dir, "documents"))
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(read(ship(spark), sf_dir, "documents")).withColumn("feature", media.as_text()).drop("pairs")
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_near_dedup": op2_near_dedup,
     "op4_syncmer_fingerprints": op4_syncmer_fingerprints,
+    "op5_long_matches": op5_long_matches,
     "op6_media_columns": op6_media_columns,
     "op8_personal_data": op8_personal_data,
     "op10_bpe_round_trip": op10_bpe_round_trip,
