@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import bpe, fingerprints, long_matches, media, near_dedup, pii, quality
+from signalloom.llm import bpe, context_tree, fingerprints, long_matches, media, near_dedup, pii, quality
 from signalloom.session import read, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(ship(spark), sf_dir, "documents"), pii.train(pii.labelled_table(spark)))
 
 
+def op9_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score(read(ship(spark), sf_dir, "documents"))
+
+
 def tokenizer_spec(path: str | None = None) -> str:
     """Text of a tokenizer file; the driver reads it, tasks get it broadcast (about 3 MB)."""
     with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
@@ -57,6 +61,7 @@ QUERIES: dict[str, Query] = {
     "op5_long_matches": op5_long_matches,
     "op6_media_columns": op6_media_columns,
     "op8_personal_data": op8_personal_data,
+    "op9_context_tree": op9_context_tree,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
 ORACLES: dict[str, str] = {"op2_near_dedup": near_dedup.ORACLE}
