@@ -22,6 +22,7 @@ import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 #: Entries of the tables of rendered runs and pieces; beyond that a table starts anew.
 MOST_RUNS, MOST_PIECES = 200_000, 300_000
@@ -232,7 +233,7 @@ def digests(docs: DataFrame, spec: str) -> DataFrame:
 def encode(docs: DataFrame, spec: str, keep: list[str]) -> DataFrame:
     """``keep`` columns with the token ids of each text as an array."""
     shared = docs.sparkSession.sparkContext.broadcast(spec)
-    schema = docs.select(*keep).schema.add("ids", "array<int>")
+    schema = docs.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render = Renderer(PrefixEncoder(shared.value)).text

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import bpe, context_tree, fingerprints, long_matches, media, near_dedup, pii, quality
+from signalloom.llm import bpe, context_tree, fingerprints, long_matches, media, mixing, near_dedup, pii, quality, sharding
 from signalloom.session import read, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(ship(spark), sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(ship(spark), sf_dir, "documents"))
+
+
 def op4_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_next(read(ship(spark), sf_dir, "documents"))
 
@@ -36,6 +40,17 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(read(ship(spark), sf_dir, "documents")).withColumn("feature", media.as_text()).drop("pairs")
 
 
+def op7_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents appended as small shards, compacted, and read back from the committed version."""
+    docs = read(ship(spark), sf_dir, "documents")
+    root = sharding.new_root(spark)
+    sharding.append(docs, root)
+    sharding.compact(spark, root)
+    sharding.forget(spark, root)
+    back = sharding.read_version(spark, root, docs.columns)
+    return back.select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(ship(spark), sf_dir, "documents"), pii.train(pii.labelled_table(spark)))
 
@@ -57,11 +72,13 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_near_dedup": op2_near_dedup,
+    "op3_mixing": op3_mixing,
     "op4_syncmer_fingerprints": op4_syncmer_fingerprints,
     "op5_long_matches": op5_long_matches,
     "op6_media_columns": op6_media_columns,
+    "op7_compaction": op7_compaction,
     "op8_personal_data": op8_personal_data,
     "op9_context_tree": op9_context_tree,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
-ORACLES: dict[str, str] = {"op2_near_dedup": near_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op2_near_dedup": near_dedup.ORACLE, "op3_mixing": mixing.oracle(), "op7_compaction": sharding.ORACLE}
