@@ -23,8 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
     no rows. Each round takes the least label around each vertex, then the label of that label, so chains
     shorten geometrically. A vertex with very many edges is aggregated before the shuffle.
     """
-    pairs = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select("a", "b")
-    both = cut(pairs.union(pairs.select("b", "a")).distinct())
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = cut(edges.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select(F.inline(ways)).distinct())
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("root")))
     while True:
         seen = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("root").alias("near"))
