@@ -4,7 +4,7 @@
    have equal anchors. Anchor hashes travel packed by hash range; those that occur twice or more set a bit in a
    filter of at most ``FILTER_BITS`` bits. The filter's size is fixed; a full filter only lets more through.
 2. Segments. The bytes around each anchor that passes the filter go to the bucket of its hash, packed.
-3. Each bucket builds a run-length index of its distinct segments: a full suffix order, the Burrows-Wheeler
+3. Each bucket builds run-length indexes of its distinct segments: a full suffix order, the Burrows-Wheeler
    transform as runs with the LF value of each run head, and the least document at the sampled ends of the ranges
    that share ``LENGTH`` bytes. All segments then stream backwards through the index at once; where a position's
    range has an earlier document, its match reaches ``LENGTH`` and the window is marked.
@@ -35,11 +35,17 @@ from signalloom.session import cut
 LENGTH = 50
 K = 20
 WINDOW = LENGTH - K + 1
-SLICE = 1 << 19
+SLICE = 1 << 18
 #: 32 MB: the most that the driver and each task hold of the filter.
 FILTER_BITS = 28
 LAST = (1 << 63) - 1
-_packs = "bucket int, ids binary, starts binary, sizes binary, texts binary"
+_packs = "bucket int, subs binary, ids binary, starts binary, sizes binary, texts binary"
+#: Bytes of text whose anchors or segments a task packs at a time.
+CHUNK = 1 << 21
+#: A bucket is indexed in so many parts, by further bits of the anchor hash.
+SUB_BITS = 5
+#: Bytes of distinct segments that one index takes; those of a hotter anchor are matched in passes over window hashes.
+MOST_INDEXED = 1 << 19
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,27 +80,45 @@ def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _grouped(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(value, positions) for each distinct value."""
+    if len(key) == 0:
+        return
     order = np.argsort(key, kind="stable")
-    cuts = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]]) if len(key) else []
+    cuts = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
     for a, b in zip(cuts, [*cuts[1:], len(key)], strict=True):
         yield int(key[order[a]]), order[a:b]
 
 
+def _chunks(column: pa.Array) -> Iterator[list[tuple[int, int, np.ndarray, np.ndarray]]]:
+    """Slices of a column, some CHUNK bytes at a time."""
+    held, size = [], 0
+    for part in ta.slices(column, SLICE):
+        held.append(part)
+        size += len(part[2])
+        if size >= CHUNK:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _post(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for _, _, raw, offsets in ta.slices(batch.column(0), SLICE):
-                code, _, row = anchors(raw, offsets)
-                order = np.lexsort((code, row))
-                code, row = code[order], row[order]
-                if len(code):
-                    found.append(code[np.r_[True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])]])
-            if found:
+            for chunk in _chunks(batch.column(0)):
+                found = []
+                for _, _, raw, offsets in chunk:
+                    code, _, row = anchors(raw, offsets)
+                    order = np.lexsort((code, row))
+                    code, row = code[order], row[order]
+                    if len(code):
+                        found.append(code[np.r_[True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])]])
+                if not found:
+                    continue
                 # 40 bits beyond the bucket's own: enough to tell apart what a filter of 28 bits can.
                 code = np.concatenate(found)
                 parts = [(b, ((code[own] << ta.U(bits)) >> ta.U(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()) for b, own in _grouped((code >> ta.U(64 - bits)).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["bucket", "hashes"])
+        ta.release()
 
     return run
 
@@ -103,12 +127,12 @@ def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list
     """(bucket, its rows' other columns) from batches sorted by bucket."""
     key, rows = None, []
     for batch in batches:
-        for b, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for i, b in enumerate(batch.column(0).to_pylist()):
             if b != key and rows:
                 yield key, rows
                 rows = []
             key = b
-            rows.append(rest)
+            rows.append([c[i].as_py() for c in batch.columns[1:]])
     if rows:
         yield key, rows
 
@@ -131,38 +155,44 @@ def _repeated(bits: int):
 
 
 def _segments(shared, bits: int):
-    """Packed segments around the anchors that pass the filter: (ids, starts, sizes, texts) by bucket."""
+    """Packed segments around the anchors that pass the filter, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            found: list[tuple[np.ndarray, ...]] = []
-            for first, _, raw, offsets in ta.slices(batch.column(1), SLICE):
-                code, at, row = anchors(raw, offsets)
-                slot = (code >> ta.U(64 - FILTER_BITS)).astype(np.int64)
-                hit = (table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
-                code, at, row = code[hit], at[hit], row[hit]
-                start = np.maximum(at - (LENGTH - K), offsets[row])
-                size = np.minimum(at + LENGTH, offsets[row + 1]) - start
-                text = raw[np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())] if len(size) else raw[:0]
-                found.append((code, ids[first + row], (start - offsets[row]).astype(np.int32), size.astype(np.uint8), text))
-            if not found:
-                continue
-            code, own, start, size, text = (np.concatenate(x) for x in zip(*found, strict=True))
-            end = np.cumsum(size.astype(np.int64))
-            out = []
-            for b, at in _grouped((code >> ta.U(64 - bits)).astype(np.int32)):
-                s = size[at].astype(np.int64)
-                where = np.repeat(end[at] - s - np.r_[0, np.cumsum(s)[:-1]], s) + np.arange(s.sum())
-                out.append((b, own[at].tobytes(), start[at].tobytes(), size[at].tobytes(), text[where].tobytes()))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "ids", "starts", "sizes", "texts"])
+            for chunk in _chunks(batch.column(1)):
+                found: list[tuple[np.ndarray, ...]] = []
+                for first, _, raw, offsets in chunk:
+                    code, at, row = anchors(raw, offsets)
+                    slot = (code >> ta.U(64 - FILTER_BITS)).astype(np.int64)
+                    hit = (table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+                    code, at, row = code[hit], at[hit], row[hit]
+                    start = np.maximum(at - (LENGTH - K), offsets[row])
+                    size = np.minimum(at + LENGTH, offsets[row + 1]) - start
+                    found.append((code, ids[first + row], (start - offsets[row]).astype(np.int32), size.astype(np.uint8), cut_out(raw, start, size)))
+                code, own, start, size, text = (np.concatenate(x) for x in zip(*found, strict=True))
+                begin = np.cumsum(size.astype(np.int64)) - size
+                sub = ((code >> ta.U(64 - bits - SUB_BITS)) & ta.U((1 << SUB_BITS) - 1)).astype(np.uint8)
+                out = []
+                for b, at in _grouped((code >> ta.U(64 - bits)).astype(np.int32)):
+                    blobs = (sub[at], own[at], start[at], size[at], cut_out(text, begin[at], size[at].astype(np.int64)))
+                    out.append((b, *(x.tobytes() for x in blobs)))
+                columns = list(zip(*out, strict=True)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "subs", "ids", "starts", "sizes", "texts"])
+        ta.release()
 
     return run
 
 
-class RunLengthIndex:
+def cut_out(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of the spans, one after another."""
+    if len(size) == 0:
+        return text[:0]
+    return text[np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())]
+
+
+class IndexStream:
     """Run-compressed Burrows-Wheeler transform of distinct byte strings, each with an owner."""
 
     def __init__(self, text: np.ndarray, size: np.ndarray, owner: np.ndarray, length: int = LENGTH):
@@ -186,7 +216,9 @@ class RunLengthIndex:
         lf = np.empty(n, np.int64)
         lf[before] = np.arange(n)
         self.run_lf = lf[self.run_start]
-        self.terminator_rank = rank[end]
+        self.run_of = (np.cumsum(new) - 1).astype(np.int32)
+        # Where each walk begins: the sampled rank of the last position with a whole window.
+        self.first_rank = rank[np.maximum(end - length, 0)]
         # Ends of the ranges of ranks that share ``length`` bytes, and the least owner of each range.
         code = ta.prefix_code(ta.mix(body.astype(np.uint64) + ta.U(1)))
         full = left >= length
@@ -196,6 +228,7 @@ class RunLengthIndex:
         in_order = windows[order]
         head = np.r_[True, (in_order[1:] != in_order[:-1]) | (in_order[1:] == 0)]
         self.range_start = np.flatnonzero(head)
+        self.range_of = (np.cumsum(head) - 1).astype(np.int32)
         self.range_owner = np.minimum.reduceat(np.repeat(owner, size + 1)[order], self.range_start)
         self.size, self.owner = size, owner
 
@@ -232,29 +265,66 @@ class RunLengthIndex:
 
     def stream(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Walks all strings backwards at once: (bytes to the end, strings, least owner of the range of each)."""
-        live = np.arange(len(self.size))
-        at = self.terminator_rank.copy()
-        for step in range(1, int(self.size.max(initial=0)) + 1):
-            go = self.size[live] >= step
-            live, at = live[go], at[go]
-            run = np.searchsorted(self.run_start, at, "right") - 1
-            at = self.run_lf[run] + at - self.run_start[run]
-            if step >= LENGTH:
-                yield step, live, self.range_owner[np.searchsorted(self.range_start, at, "right") - 1]
+        live = np.flatnonzero(self.size >= LENGTH)
+        at = self.first_rank[live]
+        for step in range(LENGTH, int(self.size.max(initial=0)) + 1):
+            if step > LENGTH:
+                go = self.size[live] >= step
+                live, at = live[go], at[go]
+                run = self.run_of[at]
+                at = self.run_lf[run] + at - self.run_start[run]
+            yield step, live, self.range_owner[self.range_of[at]]
+
+
+class PassStream:
+    """The same answers for a hot anchor's many segments: windows are grouped by hash, a bounded share of them at a time."""
+
+    def __init__(self, text: np.ndarray, size: np.ndarray, owner: np.ndarray, length: int = LENGTH):
+        self.text, self.size, self.owner, self.length = text, size, owner, length
+
+    def stream(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        end = np.cumsum(self.size)
+        places = [(step, np.flatnonzero(self.size >= step)) for step in range(self.length, int(self.size.max(initial=0)) + 1)]
+        codes = [self._windows(end[live] - step) for step, live in places]
+        passes = 1 + sum(map(len, codes)) // MOST_INDEXED
+        for p in range(passes):
+            own = [np.flatnonzero(c % ta.U(passes) == p) for c in codes]
+            code = np.concatenate([c[o] for c, o in zip(codes, own, strict=True)])
+            owner = np.concatenate([self.owner[live[o]] for (_, live), o in zip(places, own, strict=True)])
+            order = np.argsort(code)
+            head = np.flatnonzero(np.r_[True, code[order][1:] != code[order][:-1]]) if len(code) else order
+            least = np.empty(len(code), owner.dtype)
+            if len(code):
+                least[order] = np.repeat(np.minimum.reduceat(owner[order], head), np.diff(np.r_[head, len(code)]))
+            at = 0
+            for (step, live), o in zip(places, own, strict=True):
+                yield step, live[o], least[at : at + len(o)]
+                at += len(o)
+
+    def _windows(self, start: np.ndarray) -> np.ndarray:
+        out = np.empty(len(start), np.uint64)
+        for a in range(0, len(start), 4096):
+            own = np.minimum(start[a : a + 4096, None] + np.arange(self.length)[None, :], len(self.text) - 1)
+            flat = ta.prefix_code(ta.BYTE_CODE[self.text[own].ravel()])
+            at = np.arange(len(own)) * self.length
+            out[a : a + 4096] = ta.span_hash(flat, at, at + self.length)
+        return out
 
 
 def matches(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, from, to) of the bytes of each segment that windows of earlier documents cover."""
     offsets = np.r_[0, np.cumsum(sizes)]
-    total = ta.prefix_code(ta.BYTE_CODE[text])
-    code = ta.span_hash(total, offsets[:-1], offsets[1:])
+    code = np.empty(len(ids), np.uint64)
+    for a in range(0, len(ids), 4096):
+        own = offsets[a : a + 4097]
+        code[a : a + 4096] = ta.span_hash(ta.prefix_code(ta.BYTE_CODE[text[own[0] : own[-1]]]), own[:-1] - own[0], own[1:] - own[0])
     order = np.lexsort((ids, code))
     head = np.r_[True, code[order][1:] != code[order][:-1]]
     group = np.empty(len(ids), np.int64)
     group[order] = np.cumsum(head) - 1
     one = order[head]  # the least document of each distinct segment
-    where = np.repeat(offsets[one] - np.r_[0, np.cumsum(sizes[one])[:-1]], sizes[one]) + np.arange(sizes[one].sum())
-    index = RunLengthIndex(text[where], sizes[one], ids[one])
+    source = IndexStream if sizes[one].sum() <= MOST_INDEXED else PassStream
+    index = source(cut_out(text, offsets[one], sizes[one]), sizes[one], ids[one])
     # A window covers the anchor, so all windows of a segment overlap: their union is one span.
     low, high = np.full(len(one), 1 << 20), np.full(len(one), -1)
     for step, live, least in index.stream():
@@ -271,16 +341,30 @@ def matches(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, text: np.nda
 
 
 def _resolve(parts: int):
-    """Marks of each bucket, packed by document: rows (part, marks)."""
+    """Marks of all buckets of a task, packed by document: rows (part, marks)."""
+    kind = [("id", "<i8"), ("a", "<i4"), ("b", "<i4")]
+
+    def done(held: list[np.ndarray]) -> pa.RecordBatch:
+        marks = np.concatenate([np.zeros(0, kind), *held])
+        out = [(p, marks[own].tobytes()) for p, own in _grouped(part_of(marks["id"], parts))]
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([m for _, m in out], pa.binary())], names=["part", "marks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for _, rows in _runs_of(batches):
             get = lambda k, kind: np.frombuffer(b"".join(r[k] for r in rows), kind)  # noqa: E731, B023
-            ids, a, b = matches(get(0, np.int64), get(1, np.int32).astype(np.int64), get(2, np.uint8).astype(np.int64), get(3, np.uint8))
-            marks = np.zeros(len(ids), [("id", "<i8"), ("a", "<i4"), ("b", "<i4")])
-            marks["id"], marks["a"], marks["b"] = ids, a, b
-            out = [(p, marks[own].tobytes()) for p, own in _grouped(part_of(ids, parts))]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([m for _, m in out], pa.binary())], names=["part", "marks"])
+            sub, ids, starts, sizes, text = get(0, np.uint8), get(1, np.int64), get(2, np.int32).astype(np.int64), get(3, np.uint8).astype(np.int64), get(4, np.uint8)
+            begin = np.cumsum(sizes) - sizes
+            for _, own in _grouped(sub):
+                found, a, b = matches(ids[own], starts[own], sizes[own], cut_out(text, begin[own], sizes[own]))
+                marks = np.zeros(len(found), kind)
+                marks["id"], marks["a"], marks["b"] = found, a, b
+                held.append(marks)
+            if sum(map(len, held)) >= 1 << 20:
+                yield done(held)
+                held = []
+        yield done(held)
+        ta.release()
 
     return run
 
@@ -342,7 +426,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         table[r.bucket * width : (r.bucket + 1) * width] = r.part
     shared = spark.sparkContext.broadcast(bytes(table))
     packed = heads.mapInArrow(_segments(shared, bits), _packs).repartition("bucket").sortWithinPartitions("bucket")
-    parts = 4 * partitions
+    parts = 2 * partitions
     marks = packed.mapInArrow(_resolve(parts), "part int, marks binary")
     dealt = rows.mapInArrow(_deal(parts), "part int, marks binary, doc_id long, id long, text string, copy boolean")
     both = dealt.unionByName(marks, allowMissingColumns=True)

@@ -5,6 +5,7 @@ Everything works on bounded slices (see ``slices``), so a worker's memory follow
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -117,3 +118,11 @@ def ngrams(codes: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.n
         out += codes[k : k + m]
     keep = row[:m] == row[n - 1 :]
     return mix(out[keep] + U(n)), row[:m][keep]
+
+
+def release() -> None:
+    """Gives memory that a finished task has freed back to the system, for the workers that stay for other tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
