@@ -1,10 +1,8 @@
-"""Registered queries on the driver's tables and the SQL that gives the same rows."""
+"""All registered queries outside the optional subpackage."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from signalloom.plans import epoch_queries, fusion_queries, record_queries  # noqa: F401
+from signalloom.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
