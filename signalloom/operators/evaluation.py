@@ -32,11 +32,11 @@ def f1_by_class(pred: DataFrame) -> DataFrame:
 
 def auc(scored: DataFrame, keys: list[str]) -> DataFrame:
     """Rank-sum AUC of (keys, pos, s) with mid-ranks for ties; 0.5 where a class is empty. Ties are summed before ranking."""
-    ties = scored.groupBy(*keys, "s").agg(F.count("*").alias("k"), F.sum(F.col("pos").cast("long")).alias("p"))
-    before = F.coalesce(F.sum("k").over(W.partitionBy(*keys).orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = ties.withColumn("mid", before + (F.col("k") + 1) / 2)
-    sums = ranked.groupBy(*keys).agg(F.sum(F.col("p") * F.col("mid")).alias("r"), F.sum("p").alias("np"), (F.sum("k") - F.sum("p")).alias("nn"))
-    area = F.try_divide(F.col("r") - F.col("np") * (F.col("np") + 1) / 2, F.col("np") * F.col("nn"))
+    ties = scored.groupBy(*keys, "s").agg(F.count("*").alias("_n"), F.sum(F.col("pos").cast("long")).alias("_p"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = ties.withColumn("_mid", before + (F.col("_n") + 1) / 2)
+    sums = ranked.groupBy(*keys).agg(F.sum(F.col("_p") * F.col("_mid")).alias("_r"), F.sum("_p").alias("_np"), (F.sum("_n") - F.sum("_p")).alias("_nn"))
+    area = F.try_divide(F.col("_r") - F.col("_np") * (F.col("_np") + 1) / 2, F.col("_np") * F.col("_nn"))
     return sums.select(*keys, F.coalesce(area, F.lit(0.5)).alias("auc"))
 
 
