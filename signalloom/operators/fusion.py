@@ -81,3 +81,24 @@ def credibility(probs: DataFrame) -> DataFrame:
     dot = F.sum(F.col("p") * F.col("m")) / F.sqrt(F.sum(F.col("p") * F.col("p")) * F.sum(F.col("m") * F.col("m")))
     fit = lookup({0: 0.9, 1: 0.85, 2: 0.8, 3: 0.8}, F.col("agent"), 0.9)
     return m.groupBy("id", "agent").agg(dot.alias("cos")).withColumn("cred", 0.4 * F.col("cos") + 0.35 * 0.5 + 0.25 * fit)
+
+
+def quality_boost(level: Column, agent: Column) -> Column:
+    """Factor of a base weight by quality: networks gain 10 % on high, the feature model 15 % on low (fixed values)."""
+    return F.when((level == "high") & agent.isin(1, 3), 1.10).when((level == "low") & (agent == 0), 1.15).otherwise(1.0)
+
+
+def diagnose(probs: DataFrame, **limits: float) -> DataFrame:
+    """(id, label, confidence, arbitrated): base weights, or credibility weights where the agents disagree.
+
+    Only the epochs that disagree are weighed anew; the others keep their first vote.
+    """
+    flags = disagreement(probs, **limits).select("id", "disagree")
+    marked = probs.join(flags, "id")
+    base = lookup(BASE, F.col("agent"), 0.25)
+    calm = marked.where(~F.col("disagree")).withColumn("w", base)
+    hot = marked.where("disagree").drop("disagree")
+    weights = clamped(credibility(hot).withColumn("w", base * F.col("cred")), "w", ["id"]).select("id", "agent", "w")
+    both = calm.unionByName(hot.join(weights, ["id", "agent"]).withColumn("disagree", F.lit(True)))
+    votes = both.groupBy("id", "c", "disagree").agg(F.round(F.sum(F.col("w") * F.col("p")) / F.sum("w") + 1e-9, 5).alias("p"))
+    return best(votes, ["id", "disagree"], "p").withColumnRenamed("disagree", "arbitrated")
