@@ -92,15 +92,22 @@ def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Minima of large sets are small numbers: the byte comes from a product that spreads all of their bits.
         short = [r.tobytes() for r in ((sign * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)]
         order = np.arange(n).repeat(PREFIX)
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), batch.column(0).take(pa.array(order)), pa.array(short, pa.binary()).take(pa.array(order))], names=["key", "cid", "short"])
+        own = pa.array(order)
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), batch.column(0).take(own), batch.column(2).take(own), pa.array(short, pa.binary()).take(own)], names=["key", "cid", "size", "short"])
 
 
-def _forest(ids: np.ndarray, short: np.ndarray) -> tuple[list[int], list[int]]:
-    """Edges that connect all pairs of one list with enough agreements; pairs in one tree already are skipped."""
+def _forest(ids: np.ndarray, size: np.ndarray, short: np.ndarray) -> tuple[list[int], list[int]]:
+    """Edges that connect all pairs of one list with enough agreements; pairs in one tree already are skipped.
+
+    By size: a set meets only those up to size * 100 / PERCENT, as no larger one can reach the similarity.
+    """
+    order = np.argsort(size, kind="stable")
+    ids, size, short = ids[order], size[order], short[order]
+    ends = np.searchsorted(size, size * 100 // PERCENT, "right")
     tree = np.arange(len(ids))
     left, right = [], []
     for i in range(len(ids) - 1):
-        others = i + 1 + np.flatnonzero(tree[i + 1 :] != tree[i])
+        others = i + 1 + np.flatnonzero(tree[i + 1 : ends[i]] != tree[i])
         if len(others) == 0:
             continue
         hits = others[(short[others] == short[i]).sum(1) >= MATCHES]
@@ -114,17 +121,17 @@ def _forest(ids: np.ndarray, short: np.ndarray) -> tuple[list[int], list[int]]:
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate edges of each posting list; rows come sorted by key."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, ...]] = []
 
-    def done(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        key, cid, short = (np.concatenate(x) for x in zip(*parts, strict=True))
+    def done(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        key, cid, size, short = (np.concatenate(x) for x in zip(*parts, strict=True))
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         length = np.diff(np.r_[first, len(key)])
         two = first[length == 2]
         two = two[(short[two] == short[two + 1]).sum(1) >= MATCHES]
         left, right = cid[two].tolist(), cid[two + 1].tolist()
         for f, n in zip(first[length > 2], length[length > 2], strict=True):
-            a, b = _forest(cid[f : f + n], short[f : f + n])
+            a, b = _forest(cid[f : f + n], size[f : f + n], short[f : f + n])
             left += a
             right += b
         return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
@@ -132,14 +139,14 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        key, cid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        short = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(key), COORDINATES)
+        key, cid, size = (batch.column(i).to_numpy() for i in range(3))
+        short = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(len(key), COORDINATES)
         last = int(np.searchsorted(key, key[-1]))  # where the last key begins: it may go on in the next batch
         if last == 0 and (not held or held[0][0][-1] == key[-1]):
-            held.append((key, cid, short))
+            held.append((key, cid, size, short))
             continue
-        yield done([*held, (key[:last], cid[:last], short[:last])])
-        held = [(key[last:], cid[last:], short[last:])]
+        yield done([*held, (key[:last], cid[:last], size[:last], short[:last])])
+        held = [(key[last:], cid[last:], size[last:], short[last:])]
     if held:
         yield done(held)
 
@@ -210,9 +217,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketch = cut(rows.mapInArrow(_sketches, "doc_id long, n_shingles long, digest binary, sign binary"))
     classes = cut(
         sketch.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-        .groupBy("digest").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies"), F.first("sign").alias("sign"))
+        .groupBy("digest").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies"), F.first("sign").alias("sign"), F.first("n_shingles").alias("size"))
     )
-    posted = classes.select("cid", "sign").mapInArrow(_post, "key long, cid long, short binary")
+    posted = classes.select("cid", "sign", "size").mapInArrow(_post, "key long, cid long, size long, short binary")
     lists = posted.repartition("key").sortWithinPartitions("key", "cid")
     found = components(lists.mapInArrow(_lists, "a long, b long"))
     sized = found.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
