@@ -283,31 +283,31 @@ class PassStream:
         self.text, self.size, self.owner, self.length = text, size, owner, length
 
     def stream(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        end = np.cumsum(self.size)
-        places = [(step, np.flatnonzero(self.size >= step)) for step in range(self.length, int(self.size.max(initial=0)) + 1)]
-        codes = [self._windows(end[live] - step) for step, live in places]
-        passes = 1 + sum(map(len, codes)) // MOST_INDEXED
+        count = np.maximum(self.size - self.length + 1, 0)
+        string = np.repeat(np.arange(len(count), dtype=np.int32), count)
+        into = np.arange(len(string)) - np.repeat(np.cumsum(count) - count, count)
+        step = (self.size[string] - into).astype(np.int16)
+        code = self._windows(count, into)
+        passes = 1 + len(code) // MOST_INDEXED
         for p in range(passes):
-            own = [np.flatnonzero(c % ta.U(passes) == p) for c in codes]
-            code = np.concatenate([c[o] for c, o in zip(codes, own, strict=True)])
-            owner = np.concatenate([self.owner[live[o]] for (_, live), o in zip(places, own, strict=True)])
-            order = np.argsort(code)
-            head = np.flatnonzero(np.r_[True, code[order][1:] != code[order][:-1]]) if len(code) else order
-            least = np.empty(len(code), owner.dtype)
-            if len(code):
-                least[order] = np.repeat(np.minimum.reduceat(owner[order], head), np.diff(np.r_[head, len(code)]))
-            at = 0
-            for (step, live), o in zip(places, own, strict=True):
-                yield step, live[o], least[at : at + len(o)]
-                at += len(o)
-
-    def _windows(self, start: np.ndarray) -> np.ndarray:
-        out = np.empty(len(start), np.uint64)
-        for a in range(0, len(start), 4096):
-            own = np.minimum(start[a : a + 4096, None] + np.arange(self.length)[None, :], len(self.text) - 1)
-            flat = ta.prefix_code(ta.BYTE_CODE[self.text[own].ravel()])
-            at = np.arange(len(own)) * self.length
-            out[a : a + 4096] = ta.span_hash(flat, at, at + self.length)
+            own = np.flatnonzero(code % ta.U(passes) == p)
+            if len(own) == 0:
+                continue
+            own = own[np.argsort(code[own])]
+            head = np.flatnonzero(np.r_[True, code[own[1:]] != code[own[:-1]]])
+            least = np.repeat(np.minimum.reduceat(self.owner[string[own]], head), np.diff(np.r_[head, len(own)]))
+            for s, at in _grouped(step[own]):
+                yield s, string[own[at]], least[at]
+
+    def _windows(self, count: np.ndarray, into: np.ndarray) -> np.ndarray:
+        """Hashes of all windows, some thousand strings at a time."""
+        out = np.empty(len(into), np.uint64)
+        ends, first = np.r_[0, np.cumsum(self.size)], np.r_[0, np.cumsum(count)]
+        for a in range(0, len(count), 4096):
+            b = min(a + 4096, len(count))
+            total = ta.prefix_code(ta.BYTE_CODE[self.text[ends[a] : ends[b]]])
+            at = np.repeat(ends[a:b] - ends[a], count[a:b]) + into[first[a] : first[b]]
+            out[first[a] : first[b]] = ta.span_hash(total, at, at + self.length)
         return out
 
 
