@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from signalloom.operators import linkage as li
 from signalloom.operators import spectral as sp
+from signalloom.operators.explain import importances
 from signalloom.plans.registry import query, rounded
 from signalloom.session import read
 from signalloom.sources.tables import VECTORS, vectors
@@ -119,3 +120,10 @@ def channel_corr_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.when((F.stddev_pop("a.x") > 0) & (F.stddev_pop("b.x") > 0), F.abs(F.corr("a.x", "b.x")))
     own = pairs.groupBy(F.col("a.id").alias("id"), "a.ch", "b.ch").agg(r.alias("r"))
     return own.groupBy("id").agg(rounded(F.max("r")).alias("max_corr"), rounded(F.avg("r")).alias("mean_corr"))
+
+
+@query(f"""WITH {VECTORS}, s AS (SELECT id, pos::INT AS pos, round(abs(x) / sum(abs(x)) OVER (PARTITION BY id), 6) AS share, row_number() OVER (PARTITION BY id ORDER BY abs(x) DESC, pos) AS place FROM e)
+SELECT id, pos, share FROM s WHERE place <= 10""")
+def top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+    return e.select("id", F.inline(importances(F.col("x")))).withColumn("share", F.round("share", 6))
