@@ -13,13 +13,13 @@ from signalloom.sources.tables import PROBS, VECTORS, probabilities, vectors
 R = lambda sql, k=4: f"round({sql} + 1e-9, {k})"
 P = "WITH " + PROBS
 BASE = "CASE agent WHEN 0 THEN 0.2::DOUBLE WHEN 1 THEN 0.3::DOUBLE ELSE 0.25::DOUBLE END"
-VOTE = f", s AS (SELECT id, subject, y, c, round(sum({BASE} * p) / sum({BASE}), 6) AS p FROM p GROUP BY ALL), v AS (SELECT id, subject, y, arg_min(c, (-p, c)) AS label, max(p) AS confidence FROM s GROUP BY ALL)"
+VOTE = f", s AS (SELECT id, subject, y, c, round(sum({BASE} * p) / sum({BASE}) + 1e-9, 6) AS p FROM p GROUP BY ALL), v AS (SELECT id, subject, y, arg_min(c, (-p, c)) AS label, max(p) AS confidence FROM s GROUP BY ALL)"
 LABELS = ", a AS (SELECT id, subject, y, agent, arg_min(c, (-p, c)) AS label FROM p GROUP BY ALL)"
 
 
 def _soft(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = probabilities(spark, sf_dir)
-    return fu.soft_vote(p, fu.lookup(fu.BASE, F.col("agent"), 0.25)).withColumn("p", F.round("p", 6))
+    return fu.soft_vote(p, fu.lookup(fu.BASE, F.col("agent"), 0.25)).withColumn("p", rounded("p", 6))
 
 
 def _voted(spark: SparkSession, sf_dir: str) -> DataFrame:

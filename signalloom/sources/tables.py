@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 
 from signalloom.session import read
 
-AGENTS = ("lightgbm", "eegnet", "tcn", "transformer")
-
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(rec, ch, t, v, n): one supplier is a record, a return flag a channel, prices in shipping order its samples."""
