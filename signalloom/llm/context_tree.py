@@ -1,15 +1,17 @@
 """Operator 9: context-tree weighting over bytes, next to a word-count baseline.
 
-A text, lower-cased, is read as units: a word (possibly empty) with the separator byte after it, or with an end
-mark after the last. Bytes are split into eight binary decisions. The contexts of a byte are the last 0, 1, ...
-``DEPTH`` bytes of its own unit, and one that says the unit began there; contexts end at the unit's start, so a
-unit has one probability wherever it stands. Each context and decision has a Krichevsky-Trofimov estimate of its
+A text, lower-cased, is read as bytes with an end mark after the last. Bytes are split into eight binary
+decisions. The contexts of a byte are the last 0, 1, ... ``DEPTH`` bytes of its text, over word borders; end marks
+stand before its first byte. Each context and decision has a Krichevsky-Trofimov estimate of its
 training counts; context-tree weighting mixes the estimates of all depths, weighted by how well each depth coded
 the training text. A context never seen leaves the choice to the shorter ones.
 
-Counts live in 2**``SLOT_BITS`` slots addressed by hash, so the model's size does not depend on the corpus: unit
-counts are summed first, by shuffle, then at most ``COUNTERS`` tasks fill slot counts that are added up by slot
-range. All of the training documents are counted.
+Nothing is hashed together: a byte with its six earlier ones is one number of 56 bits (a gram), and the grams of a
+chunk of text with their training counts go, by the last two bytes of context, to pieces, as many as the bytes of
+text ask for. A piece holds all nodes under its contexts and weighs them bottom-up, one decision at a time; what
+depths 0 and 1 need of it (a row for each context of two bytes and next byte) is summed on the driver and sent back.
+A second pass over the pieces gives each chunk the log probabilities of its grams. All of the training documents
+are counted.
 
 The baseline needs the count of every word. A vocabulary of at most ``MOST_WORDS`` entries (16 bytes each, by a
 count) is broadcast; a larger one is joined by shuffle, with the same result.
@@ -25,7 +27,9 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,108 +39,80 @@ from signalloom.session import cut
 DEPTH = 6
 #: Bytes at a time; with an end mark a row they stay under what text_arrays keeps powers for.
 SLICE = 3 << 18
-SLOT_BITS = 21
-COUNTERS = 6
-RANGE_BITS = 4
+#: Bytes of text that share one table of grams, and that there is a piece for.
+CHUNK, PIECE = 16 << 20, 4 << 20
+#: Bytes of context that send a gram to its piece.
+ROUTE = 2
 MOST_WORDS = 8_000_000
-#: Bytes in context whose probability a task keeps; beyond that its table starts anew.
-MOST_KEPT = 200_000
 HELD_OUT_MOD, HELD_OUT = 7, 2
 END = 255
-_START = ta.U(0xA5A5A5A55A5A5A5A)
 
 
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % HELD_OUT_MOD == HELD_OUT, F.lit(False))
 
 
-def units(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes with an end mark after each row; start, end and row of every unit in them."""
-    body = np.insert(ta.LOWER[raw], offsets[1:], END)
-    ends = np.flatnonzero(ta.SEPARATOR[body] | (body == END)) + 1
-    row = np.searchsorted(offsets[1:] + np.arange(1, len(offsets)), ends, "left")
-    return body, np.r_[0, ends[:-1]], ends, row
+def _small(numbers: np.ndarray) -> bytes:
+    """Numbers as compressed planes of their bytes, after how many they are."""
+    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T)
+    return len(numbers).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, _, raw, offsets in ta.slices(batch.column(0), SLICE):
-            body, start, end, _ = units(raw, offsets)
-            code = ta.span_hash(ta.prefix_code(ta.BYTE_CODE[body]), start, end)
-            _, first, n = np.unique(code, return_index=True, return_counts=True)
-            found = [body[a:b].tobytes() for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(n)], names=["unit", "n"])
+def _wide(blob: bytes, kind: str) -> np.ndarray:
+    m, item = int.from_bytes(blob[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(blob[8:], m * item, "zstd", asbytes=True), np.uint8).reshape(item, m)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-def grams(body: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Each byte of the units with its context in one number: the byte, up to DEPTH bytes before it, and how many those are."""
-    size = end - start
-    at = np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-    into = at - np.repeat(start, size)
-    gram = np.minimum(into, DEPTH).astype(np.uint64) << ta.U(56)
-    for k in range(DEPTH + 1):
-        gram |= np.where(into >= k, body[np.maximum(at - k, 0)], 0).astype(np.uint64) << ta.U(8 * k)
-    return gram
-
-
-def steps(gram: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
-    """For each of the eight decisions of each byte: its bit, and by depth the slots and which bytes have that depth."""
-    byte, before, has = gram & ta.U(255), (gram & ta.U((1 << 56) - 1)) >> ta.U(8), gram >> ta.U(56)
-    contexts, valid = [], []
-    for d in range(DEPTH + 1):
-        code = before & ta.U((1 << (8 * d)) - 1)
-        # One byte deeper than the unit has: the context that says it began here.
-        begun = has + ta.U(1) == d
-        contexts.append(ta.mix(np.where(begun, ta.mix(code ^ _START), code) + ta.U(0x9E3779B97F4A7C15 * (d + 1) % (1 << 64))))
-        valid.append((has >= d) | begun)
-    for i in range(8):
-        node = (ta.U(1) << ta.U(i)) | (byte >> ta.U(8 - i))
-        spread = ta.mix(node * ta.U(0xD6E8FEB86659FD93))
-        yield ((byte >> ta.U(7 - i)) & ta.U(1)).astype(bool), [(ta.mix(c ^ spread) >> ta.U(64 - SLOT_BITS)).astype(np.int64) for c in contexts], valid
+def _keys_of(blob: bytes) -> np.ndarray:
+    return np.cumsum(_wide(blob, "<u8"), dtype=np.uint64)
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the grams of units (unit, n)."""
-    for batch in batches:
-        for first, last, raw, offsets in ta.slices(batch.column(0), SLICE):
-            weight = np.repeat(batch.column(1).to_numpy()[first:last].astype(np.float64), np.diff(offsets))
-            gram, back = np.unique(grams(raw, offsets[:-1], offsets[1:]), return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(np.bincount(back, weight).astype(np.int64))], names=["gram", "n"])
-
-
-def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slot counts of all grams of one task: rows (range, slots, zeros, ones, parents, depths), packed."""
-    size = 1 << SLOT_BITS
-    counts = np.zeros((2, size))
-    parent, depth = np.full(size, size, np.int32), np.full(size, DEPTH + 1, np.uint8)
-    for batch in batches:
-        weight = batch.column(1).to_numpy().astype(np.float64)
-        for bit, slots, valid in steps(batch.column(0).to_numpy().view(np.uint64)):
-            for d, (slot, ok) in enumerate(zip(slots, valid, strict=True)):
-                np.add.at(counts, (bit[ok].astype(np.int64), slot[ok]), weight[ok])
-                np.minimum.at(depth, slot[ok], np.uint8(d))
-                if d:
-                    np.minimum.at(parent, slot[ok], slots[d - 1][ok].astype(np.int32))
-    used = np.flatnonzero(depth <= DEPTH)
-    for r in range(1 << RANGE_BITS):
-        own = used[used >> (SLOT_BITS - RANGE_BITS) == r]
-        blobs = [own.astype("<i4"), counts[0, own], counts[1, own], parent[own].astype("<i4"), depth[own]]
-        yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), *(pa.array([b.tobytes()], pa.binary()) for b in blobs)], names=["range", "slots", "zeros", "ones", "parents", "depths"])
-
-
-_FILLED = "range int, slots binary, zeros binary, ones binary, parents binary, depths binary"
-
-
-def _add(table: pa.Table) -> pa.Table:
-    """Sums the slots of one range, of at most COUNTERS rows."""
-    get = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
-    slots = get("slots", "<i4")
-    used, at = np.unique(slots, return_inverse=True)
-    parent, depth = np.full(len(used), 1 << SLOT_BITS, "<i4"), np.full(len(used), DEPTH + 1, "u1")
-    np.minimum.at(parent, at, get("parents", "<i4"))
-    np.minimum.at(depth, at, get("depths", "u1"))
-    blobs = [used.astype("<i4"), np.bincount(at, get("zeros", "<f8"), len(used)), np.bincount(at, get("ones", "<f8"), len(used)), parent, depth]
-    return pa.table({"range": table["range"][:1], **{n: pa.array([b.tobytes()], pa.binary()) for n, b in zip(["slots", "zeros", "ones", "parents", "depths"], blobs, strict=True)}})
+def grams(body: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Each byte of adjoining rows with its context in one number: the DEPTH bytes before it, the nearest first, then the byte."""
+    body, size = body[start[0] : end[-1]] if len(start) else body[:0], end - start
+    into = np.minimum(np.arange(len(body)) - np.repeat(np.cumsum(size) - size, size), DEPTH).astype(np.uint8)
+    gram = np.zeros((len(body), 8), np.uint8)
+    gram[:, 0] = body
+    for k in range(1, DEPTH + 1):
+        before = np.full(len(body), END, np.uint8)
+        before[k:] = np.where(into[k:] >= k, body[:-k], END)
+        gram[:, DEPTH + 1 - k] = before
+    return gram.view("<u8").ravel()
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of n."""
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _row_runs(start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, last) of runs of rows of about SLICE bytes."""
+    a = 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(end, start[a] + SLICE, "right")))
+        yield a, b
+        a = b
+
+
+def chunk_grams(body: np.ndarray, start: np.ndarray, end: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of a chunk in order, and how often each stands in rows that aren't held out."""
+    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for a, b in _row_runs(start, end):
+        every, held_byte = grams(body, start[a:b], end[a:b]), np.repeat(out[a:b], end[a:b] - start[a:b])
+        for held in (False, True):
+            gram = np.sort(every[held_byte == held])
+            first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, np.int64)
+            keys.append(gram[first])
+            counts.append(np.zeros(len(first), np.int64) if held else np.diff(np.r_[first, len(gram)]))
+    return _summed(np.concatenate(keys), np.concatenate(counts))
+
+
+def piece_of(keys: np.ndarray, pieces: int) -> np.ndarray:
+    return (ta.mix((keys >> ta.U(8 * (DEPTH + 1 - ROUTE))) + ta.U(1)) % ta.U(pieces)).astype(np.int64)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -150,107 +126,237 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return shift + (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
 
 
+_HALVES, _WHOLES = (log_gamma(np.arange(1 << 12) + x) for x in (0.5, 1.0))
+
+
+def _log_gamma_of(count: np.ndarray, table: np.ndarray, plus: float) -> np.ndarray:
+    value = table[np.minimum(count, len(table) - 1)]
+    large = np.flatnonzero(count >= len(table))
+    value[large] = log_gamma(count[large] + plus)
+    return value
+
+
 def estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Log of the Krichevsky-Trofimov probability of counts, in bounded pieces."""
-    out = np.empty(len(zeros))
-    for a in range(0, len(zeros), 1 << 18):
-        z, o = zeros[a : a + (1 << 18)], ones[a : a + (1 << 18)]
-        out[a : a + (1 << 18)] = log_gamma(z + 0.5) + log_gamma(o + 0.5) - log_gamma(z + o + 1) - math.log(math.pi)
-    return out
-
-
-def weigh(zeros: np.ndarray, ones: np.ndarray, parent: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each slot's estimate of a one, and the share that its own estimate has against the deeper ones (-1: never seen)."""
-    size = len(zeros)
-    own = estimate(zeros, ones)
-    whole, below, kids = own.copy(), np.zeros(size + 1), np.zeros(size + 1, bool)
-    share = np.where(depth <= DEPTH, 1.0, -1.0).astype(np.float32)
-    for d in range(DEPTH, -1, -1):
-        at = np.flatnonzero(depth == d)
-        mixed = at[kids[at]]
-        whole[mixed] = np.logaddexp(own[mixed], below[mixed]) - math.log(2)
-        share[mixed] = np.exp(own[mixed] - math.log(2) - whole[mixed])
-        np.add.at(below, parent[at], whole[at])
-        kids[parent[at]] = True
-    return ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32), share
+    """Log of the Krichevsky-Trofimov probability of counts."""
+    return _log_gamma_of(zeros, _HALVES, 0.5) + _log_gamma_of(ones, _HALVES, 0.5) - _log_gamma_of(zeros + ones, _WHOLES, 1.0) - math.log(math.pi)
+
+
+class Tree:
+    """All nodes of sorted distinct grams with counts, from depth ``deep`` of the keys' contexts up to ``top``.
+
+    A depth's table has one entry for each context and byte in use; the nodes of decision i are the runs of entries
+    with one context and the same first i bits. Entries without counts are looked up only.
+    """
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, deep: int, top: int):
+        self.deep, self.top = deep, top
+        self.keys, self.n, self.up = {deep: keys}, {deep: n}, {}
+        for d in range(deep - 1, top - 1, -1):
+            below = self.keys[d + 1]
+            self.keys[d], self.up[d + 1] = np.unique((below >> ta.U(16)) << ta.U(8) | (below & ta.U(255)), return_inverse=True)
+            self.n[d] = np.bincount(self.up[d + 1], self.n[d + 1], len(self.keys[d])).astype(np.int64)
+
+    def decide(self, i: int, leaf: np.ndarray | None = None) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+        """By depth and entry the estimate of a one and its share (-1: never seen); first entry and log probability of the top's nodes.
+
+        ``leaf`` holds the log probabilities of the deepest nodes where these have deeper ones of their own.
+        """
+        found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        first = whole = np.zeros(0)
+        for d in range(self.deep, self.top - 1, -1):
+            node = self.keys[d] >> ta.U(8 - i)
+            new = np.r_[True, node[1:] != node[:-1]]
+            run = np.cumsum(new) - 1
+            m = int(run[-1]) + 1
+            seen = np.bincount(run, self.n[d], m).astype(np.int64)
+            ones = np.bincount(run, self.n[d] * ((self.keys[d] >> ta.U(7 - i)) & ta.U(1)).astype(np.int64), m).astype(np.int64)
+            own = estimate(seen - ones, ones)
+            if d == self.deep:
+                total, share = own if leaf is None else leaf, np.ones(m)
+            else:
+                below = np.bincount(run[self.up[d + 1][first]], whole, m)
+                total = np.logaddexp(own, below) - math.log(2)
+                share = np.exp(own - math.log(2) - total)
+            share = np.where(seen > 0, share, -1.0)
+            found[d] = ((ones + 0.5) / (seen + 1))[run], share[run]
+            first, whole = np.flatnonzero(new), total
+        return found, first, whole
+
+    def logs(self, shallow: tuple | None = None) -> np.ndarray:
+        """log10 probability of each gram; ``shallow`` has the entries and values of the depths above the top."""
+        at = {self.deep: np.arange(len(self.keys[self.deep]))}
+        for d in range(self.deep - 1, self.top - 1, -1):
+            at[d] = self.up[d + 1][at[d + 1]]
+        byte = self.keys[self.deep] & ta.U(255)
+        if shallow is not None:
+            keys, values = shallow
+            above = (self.keys[self.deep] >> ta.U(8 * (self.deep + 2 - self.top))) << ta.U(8) | byte
+            spot = np.searchsorted(keys, above)
+        total = np.zeros(len(byte))
+        for i in range(8):
+            found, _, _ = self.decide(i)
+            steps = [(q[at[d]], w[at[d]]) for d, (q, w) in sorted(found.items(), reverse=True)]
+            if shallow is not None:
+                steps += [(q[spot], w[spot]) for q, w in values[i]]
+            p, have = np.full(len(byte), 0.5), np.zeros(len(byte), bool)
+            for q, w in steps:
+                ok = w >= 0
+                p = np.where(ok, np.where(have, w * q + (1 - w) * p, q), p)
+                have |= ok
+            total += np.log10(np.where((byte >> ta.U(7 - i)) & ta.U(1) == 1, p, 1 - p))
+        return total
 
 
 def train(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The weighted model of a table of units (unit, n): two arrays of 2**SLOT_BITS floats."""
-    summed = counted.select("unit", "n").mapInArrow(_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    filled = summed.coalesce(COUNTERS).mapInArrow(_fill, _FILLED)
-    size = 1 << SLOT_BITS
-    zeros, ones = np.zeros(size), np.zeros(size)
-    parent, depth = np.full(size, size, np.int32), np.full(size, DEPTH + 1, np.uint8)
-    for r in filled.groupBy("range").applyInArrow(_add, _FILLED).toLocalIterator():
-        slot = np.frombuffer(r.slots, "<i4")
-        zeros[slot], ones[slot] = np.frombuffer(r.zeros), np.frombuffer(r.ones)
-        parent[slot], depth[slot] = np.frombuffer(r.parents, "<i4"), np.frombuffer(r.depths, "u1")
-    return weigh(zeros, ones, parent, depth)
-
-
-def gram_logs(gram: np.ndarray, guess: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """log10 probability of each byte in its context."""
-    total = np.zeros(len(gram))
-    for bit, slots, valid in steps(gram):
-        p, have = np.full(len(bit), 0.5), np.zeros(len(bit), bool)
-        for slot, ok in zip(reversed(slots), reversed(valid), strict=True):
-            q, w = guess[slot].astype(np.float64), share[slot].astype(np.float64)
-            ok = ok & (w >= 0)
-            p = np.where(ok, np.where(have, w * q + (1 - w) * p, q), p)
-            have |= ok
-        total += np.log10(np.where(bit, p, 1 - p))
-    return total
-
-
-class UnitLogs:
-    """log10 probabilities of units; those of bytes in context are kept in a bounded table."""
-
-    def __init__(self, guess: np.ndarray, share: np.ndarray):
-        self.guess, self.share = guess, share
-        self.keep: dict[int, float] = {}
-
-    def of(self, body: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        if len(start) == 0:
-            return np.zeros(0)
-        gram, back = np.unique(grams(body, start, end), return_inverse=True)
-        get = self.keep.get
-        value = np.array([get(c, 1.0) for c in gram.tolist()])
-        new = np.flatnonzero(value > 0)
-        for a in range(0, len(new), 50_000):
-            own = new[a : a + 50_000]
-            value[own] = gram_logs(gram[own], self.guess, self.share)
-        if len(self.keep) > MOST_KEPT:
-            self.keep.clear()
-        self.keep.update(zip(gram[new].tolist(), value[new].tolist(), strict=True))
-        return np.add.reduceat(value[back], np.r_[0, np.cumsum(end - start)[:-1]])
-
-
-def vocabulary(counted: DataFrame) -> DataFrame:
-    """(word, c): training count of each word; a unit's last byte isn't part of its word."""
-    word = F.expr("substring(unit, 1, octet_length(unit) - 1)")
-    return counted.where(F.octet_length("unit") > 1).groupBy(word.alias("word")).agg(F.sum("n").alias("c"))
-
-
-def _hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Grams and counts of a small table of texts (unit, n), which are collected."""
+    table = counted.select("unit", "n").toArrow().combine_chunks()
+    raw, offsets = ta.flat(table.column(0).chunk(0))
+    weight = np.repeat(table.column(1).to_numpy(), np.diff(offsets))
+    return _summed(grams(raw, offsets[:-1], offsets[1:]), weight)
+
+
+def gram_logs(gram: np.ndarray, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """log10 probability of each byte in its context, after counted grams; all in one piece."""
+    keys, n = _summed(np.r_[keys, gram], np.r_[n, np.zeros(len(gram), np.int64)])
+    return Tree(keys, n, DEPTH, 0).logs()[np.searchsorted(keys, gram)]
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, held_out) as chunks of lower-cased bytes with an end mark after each row."""
+    part, k = TaskContext.get().partitionId() << 32, 0
+    ids, outs, bodies, ends, size = [], [], [], [], 0
+
+    def done() -> pa.RecordBatch:
+        columns = [pa.array([part + k]), pa.array([ids], pa.list_(pa.int64())), pa.array([outs], pa.list_(pa.bool_())), pa.array([np.concatenate(ends)], pa.list_(pa.int64())), pa.array([pa.compress(b"".join(bodies), "zstd", asbytes=True)], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["chunk", "ids", "outs", "ends", "body"])
+
+    for batch in batches:
+        for a, b, raw, offsets in ta.slices(batch.column(1), SLICE):
+            if size and size + len(raw) > CHUNK:
+                yield done()
+                k += 1
+                ids, outs, bodies, ends, size = [], [], [], [], 0
+            ids += batch.column(0).slice(a, b - a).to_pylist()
+            outs += batch.column(2).slice(a, b - a).to_pylist()
+            bodies.append(np.insert(ta.LOWER[raw], offsets[1:], END).tobytes())
+            ends.append(offsets[1:] + np.arange(1, b - a + 1) + size)
+            size += len(bodies[-1])
+    if size:
+        yield done()
+
+
+_PACKED = "chunk long, ids array<long>, outs array<boolean>, ends array<long>, body binary"
+
+
+def _chunk(ends: pa.Scalar, body: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, and start and end of each row."""
+    end = ends.values.to_numpy()
+    return np.frombuffer(pa.decompress(body.as_buffer(), int(end[-1]), "zstd"), np.uint8), np.r_[0, end[:-1]], end
+
+
+def _requests(pieces: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                body, start, end = _chunk(batch.column(3)[r], batch.column(4)[r])
+                keys, n = chunk_grams(body, start, end, batch.column(2)[r].values.to_numpy(zero_copy_only=False))
+                piece = piece_of(keys, pieces)
+                order = np.argsort(piece, kind="stable")
+                keys, n = keys[order], n[order].astype("<u4")
+                own, first = np.unique(piece[order], return_index=True)
+                cut_at = list(zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True))
+                steps = [np.diff(keys[a:b], prepend=ta.U(0)) for a, b in cut_at]
+                blobs = [pa.array([_small(x) for x in steps], pa.binary()), pa.array([_small(n[a:b]) for a, b in cut_at], pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), batch.column(0)[r].as_py())), *blobs], names=["piece", "chunk", "grams", "n"])
+
+    return run
+
+
+def _tree_of(table: pa.Table) -> tuple[Tree, list[np.ndarray]]:
+    """The nodes of one piece, and the grams of each of its rows."""
+    each = [_keys_of(x) for x in table["grams"].to_pylist()]
+    n = np.concatenate([_wide(x, "<u4") for x in table["n"].to_pylist()]).astype(np.int64)
+    return Tree(*_summed(np.concatenate(each), n), DEPTH, ROUTE), each
+
+
+def _tops(table: pa.Table) -> pa.Table:
+    """A piece's entries at depth ROUTE with their counts, and by decision the log probabilities of their nodes."""
+    tree, _ = _tree_of(table)
+    wholes = [tree.decide(i)[2] for i in range(8)]
+    firsts = [np.flatnonzero(np.r_[True, np.diff(tree.keys[ROUTE] >> ta.U(8 - i)) != 0]) for i in range(8)]
+    filled = np.zeros((8, len(tree.keys[ROUTE])))
+    for i in range(8):
+        filled[i, firsts[i]] = wholes[i]
+    return pa.table({"keys": [tree.keys[ROUTE].tobytes()], "n": [tree.n[ROUTE].tobytes()], "wholes": [np.ascontiguousarray(filled.T).tobytes()]})
+
+
+def _shallow(tops: DataFrame) -> tuple[np.ndarray, list[list[tuple[np.ndarray, np.ndarray]]]]:
+    """Entries of the greatest depth above ROUTE, and for each decision their values there and above."""
+    found = tops.collect()
+    keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["keys"], np.uint64) for r in found)])
+    if len(keys) == 0:
+        return keys, []
+    order = np.argsort(keys)
+    n = np.concatenate([np.frombuffer(r["n"], np.int64) for r in found])[order]
+    filled = np.concatenate([np.frombuffer(r["wholes"]).reshape(-1, 8) for r in found])[order]
+    tree, values = Tree(keys[order], n, ROUTE, 0), []
+    for i in range(8):
+        node = tree.keys[ROUTE] >> ta.U(8 - i)
+        by_depth, _, _ = tree.decide(i, filled[np.r_[True, node[1:] != node[:-1]], i])
+        at, own = np.arange(len(tree.keys[ROUTE - 1])), []
+        for d in range(ROUTE - 1, -1, -1):
+            own.append(tuple(x[at].astype(np.float32) for x in by_depth[d]))
+            at = tree.up[d][at] if d else at
+        values.append(own)
+    return tree.keys[ROUTE - 1], values
+
+
+def _row_words(body: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of each word of adjoining rows."""
+    own, row_end = body[begin[0] : stop[-1]], stop - begin[0]
+    end = np.flatnonzero(ta.SEPARATOR[own] | (own == END)) + 1
+    start = np.r_[0, end[:-1]]
+    is_word = end - start > 1
+    start, end = start[is_word], end[is_word]
+    return ta.span_hash(ta.prefix_code(ta.BYTE_CODE[own]), start, end - 1).view(np.int64), np.searchsorted(row_end, end, "left")
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(code, c): training count of each word of each chunk (outs, ends, body)."""
     for batch in batches:
-        for first, last, raw, offsets in ta.slices(batch.column(0)):
-            code = ta.span_hash(ta.prefix_code(ta.BYTE_CODE[raw]), offsets[:-1], offsets[1:])
-            yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), batch.column(1).slice(first, last - first)], names=["code", "c"])
+        for r in range(batch.num_rows):
+            body, begin, stop = _chunk(batch.column(1)[r], batch.column(2)[r])
+            learnt, codes = ~batch.column(0)[r].values.to_numpy(zero_copy_only=False), [np.zeros(0, np.int64)]
+            for a, b in _row_runs(begin, stop):
+                code, row = _row_words(body, begin[a:b], stop[a:b])
+                codes.append(code[learnt[a + row]])
+            code, c = np.unique(np.concatenate(codes), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(c.astype(np.int64))], names=["code", "c"])
 
 
 def score(docs: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    learnt = rows.where(~held_out())
-    counted = cut(learnt.select("text").mapInArrow(_count, "unit binary, n long").groupBy("unit").agg(F.sum("n").alias("n")))
-    words = cut(vocabulary(counted).mapInArrow(_hash_words, "code long, c long"))
+    packed = cut(rows.withColumn("held_out", held_out()).mapInArrow(_pack, _PACKED))
+    words = cut(packed.select("outs", "ends", "body").mapInArrow(_count_words, "code long, c long").groupBy("code").agg(F.sum("c").alias("c")))
     seen = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
-    ends = counted.where(F.expr("substring(unit, octet_length(unit), 1) = X'FF'")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    n_all, v_all = int(seen["n"]) + int(ends), int(seen["v"]) + (ends > 0)
+    learnt = F.size(F.filter("outs", lambda x: ~x))
+    sizes = packed.agg(F.coalesce(F.sum(F.element_at("ends", -1)), F.lit(0)).alias("bytes"), F.coalesce(F.sum(learnt), F.lit(0)).alias("ends")).first()
+    size, ends = int(sizes["bytes"]), int(sizes["ends"])
+    n_all, v_all = int(seen["n"]) + ends, int(seen["v"]) + (ends > 0)
     least = math.log10(n_all + v_all + 1)
-    model = spark.sparkContext.broadcast(train(counted))
+    pieces = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PIECE))
+    asked = packed.mapInArrow(_requests(pieces), "piece long, chunk long, grams binary, n binary")
+    shallow = spark.sparkContext.broadcast(_shallow(asked.groupBy("piece").applyInArrow(_tops, "keys binary, n binary, wholes binary")))
+
+    def answer(table: pa.Table) -> pa.Table:
+        tree, each = _tree_of(table)
+        logs = tree.logs(shallow.value).astype(np.float32)
+        own = [_small(logs[np.searchsorted(tree.keys[DEPTH], g)]) for g in each]
+        return pa.table({"chunk": table["chunk"], "piece": table["piece"], "logs": pa.array(own, pa.binary())})
+
+    answers = asked.groupBy("piece").applyInArrow(answer, "chunk long, piece long, logs binary")
     table = None
     if seen["v"] <= most_words:
         found = words.toArrow()
@@ -258,56 +364,55 @@ def score(docs: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
         table = spark.sparkContext.broadcast((found["code"].to_numpy()[order], found["c"].to_numpy()[order]))
     end_log = math.log10(ends + 1) - least
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        guess, share = model.value
+    def run(chunk: pa.Table, replies: pa.Table) -> pa.Table:
         codes, counts = table.value if table is not None else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        logs_of = UnitLogs(guess, share).of
-        for batch in batches:
-            for first, last, raw, offsets in ta.slices(batch.column(1), SLICE):
-                m = last - first
-                body, start, end, row = units(raw, offsets)
-                total = ta.prefix_code(ta.BYTE_CODE[body])
-                _, at, back = np.unique(ta.span_hash(total, start, end), return_index=True, return_inverse=True)
-                value = logs_of(body, start[at], end[at])
-                model_score = np.bincount(row, value[back], m)
-                is_word = end - start > 1
-                word = ta.span_hash(total, start[is_word], end[is_word] - 1).view(np.int64)
-                word_row = row[is_word]
-                spot = np.minimum(np.searchsorted(codes, word), max(len(codes) - 1, 0))
-                hit = codes[spot] == word if len(codes) else np.zeros(len(word), bool)
-                base = np.bincount(word_row, np.where(hit, np.log10(counts[spot] + 1.0) if len(counts) else 0.0, 0.0), m)
-                n_words = np.bincount(word_row, minlength=m)
-                base = base - n_words * least + end_log
-                n_known = np.bincount(word_row[hit], minlength=m) + (ends > 0)
-                own = [batch.column(0).slice(first, m), pa.array(n_words + 1, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(model_score)]
-                yield pa.RecordBatch.from_arrays(own, names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-    out = rows.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+        body, begin, stop = _chunk(chunk["ends"][0], chunk["body"][0])
+        keys, _ = chunk_grams(body, begin, stop, np.zeros(len(stop), bool))
+        logs = np.empty(len(keys))
+        order = np.argsort(replies["piece"].to_numpy())
+        logs[np.argsort(piece_of(keys, pieces), kind="stable")] = np.concatenate([_wide(x, "<f4") for x in replies["logs"].take(pa.array(order)).to_pylist()])
+        lookup, parts = pd.Index(keys.view(np.int64)), []
+        for a, b in _row_runs(begin, stop):
+            m = b - a
+            value = logs[lookup.get_indexer(grams(body, begin[a:b], stop[a:b]).view(np.int64))]
+            model_score = np.add.reduceat(value, begin[a:b] - begin[a])
+            word, word_row = _row_words(body, begin[a:b], stop[a:b])
+            spot = np.minimum(np.searchsorted(codes, word), max(len(codes) - 1, 0))
+            hit = codes[spot] == word if len(codes) else np.zeros(len(word), bool)
+            base = np.bincount(word_row, np.where(hit, np.log10(counts[spot] + 1.0) if len(counts) else 0.0, 0.0), m)
+            n_words = np.bincount(word_row, minlength=m)
+            n_known = np.bincount(word_row[hit], minlength=m) + (ends > 0)
+            parts.append((n_words + 1, n_known, base - n_words * least + end_log, model_score))
+        n_tokens, n_known, base, model_score = (np.concatenate(x) for x in zip(*parts, strict=True))
+        ids = chunk["ids"][0].values
+        place = chunk["chunk"][0].as_py()
+        return pa.table({"chunk": np.full(len(ids), place), "place": np.arange(len(ids)), "doc_id": ids, "n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": model_score})
+
+    out = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, "chunk long, place long, doc_id long, n_tokens long, n_known long, base_score double, score double")
     if table is None:
-        out = _joined(rows, out, words, int(ends > 0))
+        out = _joined(packed, out, words, int(ends > 0))
     return out.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, code, n) of the distinct words of each row."""
+    """(chunk, place, code, n) of the distinct words of each row of chunks."""
     for batch in batches:
-        for first, _, raw, offsets in ta.slices(batch.column(1)):
-            start, end, row = ta.words(raw, offsets)
-            code = ta.word_hashes(raw, start, end)
-            order = np.lexsort((code, row))
-            code, row = code[order], row[order]
-            head = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])]) if len(code) else np.zeros(0, np.int64)
-            n = np.diff(np.r_[head, len(code)])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + row[head])), pa.array(code[head].view(np.int64)), pa.array(n.astype(np.int64))], names=["row", "code", "n"])
-
-
-def _joined(rows: DataFrame, out: DataFrame, words: DataFrame, end_known: int) -> DataFrame:
-    """The baseline by a shuffle join, for vocabularies too large to broadcast; rows are told apart by id and text."""
-    row = F.xxhash64("doc_id", "text")
-    pairs = rows.select(row.alias("row"), "text").dropDuplicates(["row"]).mapInArrow(_words_of, "row long, code long, n long")
-    sums = pairs.join(words, "code").groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("logs"), F.sum("n").alias("hits"))
-    per_row = rows.select(row.alias("row"), "doc_id").join(sums, "row", "left").select("doc_id", "logs", "hits").dropDuplicates(["doc_id"])
-    same = F.col("o.doc_id").eqNullSafe(F.col("p.doc_id"))
-    return out.alias("o").join(per_row.alias("p"), same, "left").select(
-        "o.doc_id", "n_tokens", (F.coalesce("hits", F.lit(0)) + end_known).alias("n_known"), (F.col("base_score") + F.coalesce("logs", F.lit(0.0))).alias("base_score"), "score"
+        for r in range(batch.num_rows):
+            body, begin, stop = _chunk(batch.column(1)[r], batch.column(2)[r])
+            for a, b in _row_runs(begin, stop):
+                code, row = _row_words(body, begin[a:b], stop[a:b])
+                order = np.lexsort((code, row))
+                code, row = code[order], row[order]
+                head = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])]) if len(code) else np.zeros(0, np.int64)
+                n = np.diff(np.r_[head, len(code)])
+                columns = [np.full(len(head), batch.column(0)[r].as_py()), a + row[head], code[head], n]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["chunk", "place", "code", "n"])
+
+
+def _joined(packed: DataFrame, out: DataFrame, words: DataFrame, end_known: int) -> DataFrame:
+    """The baseline by a shuffle join, for vocabularies too large to broadcast; rows are told apart by chunk and place."""
+    pairs = packed.select("chunk", "ends", "body").mapInArrow(_words_of, "chunk long, place long, code long, n long")
+    sums = pairs.join(words, "code").groupBy("chunk", "place").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("logs"), F.sum("n").alias("hits"))
+    return out.join(sums, ["chunk", "place"], "left").select(
+        "doc_id", "n_tokens", (F.coalesce("hits", F.lit(0)) + end_known).alias("n_known"), (F.col("base_score") + F.coalesce("logs", F.lit(0.0))).alias("base_score"), "score"
     )

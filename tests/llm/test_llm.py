@@ -223,6 +223,51 @@ def test_context_tree_is_a_distribution(spark):
     assert np.allclose(context_tree.log_gamma(few + 0.5), [math.lgamma(x + 0.5) for x in few])
 
 
+def brute_context_tree(texts, out):
+    """Context-tree weighting of bytes by dictionaries: log10 probability of each text after those not held out."""
+    body = {i: b"\xff" * 6 + t.lower().encode() + b"\xff" for i, t in texts.items()}
+    counts, kids = {}, {}
+    nodes = lambda b, at: [[(b[at - d : at], b[at] >> (8 - k) | 1 << k) for d in range(7)] for k in range(8)]
+    for i, b in body.items():
+        for at in range(6, len(b)) if not out[i] else []:
+            for k, chain in enumerate(nodes(b, at)):
+                for d, node in enumerate(chain):
+                    counts.setdefault(node, [0, 0])[b[at] >> (7 - k) & 1] += 1
+                    if d:
+                        kids.setdefault(chain[d - 1], set()).add(node)
+    whole, share = {}, {}
+    for node in sorted(counts, key=lambda x: -len(x[0])):
+        z, o = counts[node]
+        own = math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1) - math.log(math.pi)
+        deeper = kids.get(node)
+        whole[node] = np.logaddexp(own, sum(whole[c] for c in deeper)) - math.log(2) if deeper else own
+        share[node] = math.exp(own - math.log(2) - whole[node]) if deeper else 1.0
+    logs = {}
+    for i, b in body.items():
+        logs[i] = 0.0
+        for at in range(6, len(b)):
+            for k, chain in enumerate(nodes(b, at)):
+                p = None
+                for node in [c for c in reversed(chain) if c in counts]:
+                    q = (counts[node][1] + 0.5) / (sum(counts[node]) + 1)
+                    p = q if p is None else share[node] * q + (1 - share[node]) * p
+                p = 0.5 if p is None else p
+                logs[i] += math.log10(p if b[at] >> (7 - k) & 1 else 1 - p)
+    return logs
+
+
+def test_context_tree_equals_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = {i: " ".join("".join(chr(97 + c) for c in rng.integers(0, 12, rng.integers(1, 7))) for _ in range(40)) for i in range(40)}
+    texts |= {40: "", 41: "ü ☃ x", 42: "  \n"}
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, 0.0) for i, t in texts.items()], SCHEMA).repartition(3)
+    out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    want, got = brute_context_tree(texts, out), by_id(context_tree.score(docs))
+    assert any(out.values()) and all(math.isclose(got[i].score, want[i], rel_tol=1e-5) for i in texts)
+    monkeypatch.setattr(context_tree, "PIECE", 1 << 7)
+    assert all(math.isclose(r.score, want[i], rel_tol=1e-5) for i, r in by_id(context_tree.score(docs)).items())
+
+
 def test_bpe_equals_library(docs, texts):
     from tokenizers import Tokenizer
 
