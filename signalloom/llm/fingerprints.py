@@ -2,9 +2,9 @@
 
 A window of ``K`` bytes is a closed syncmer when its least inner ``S``-byte hash stands at either edge. Whether a
 window is chosen depends on the window alone, so the same passage gives the same anchors wherever it stands. A
-fingerprint keeps the ``ANCHORS`` anchors with the least hashes, each with its position, written in text order as
-``hash.position`` joined by blanks. Likeness is the share of the least hashes of both fingerprints together that
-stand in both and in the same order (the longest increasing chain of positions).
+fingerprint keeps all anchors, repeated ones too, each with its position, written in text order as
+``hash.position`` joined by blanks. Likeness is the share of the anchors of both fingerprints together (the k-th of
+one hash meets the k-th) that stand in both and in the same order (the longest increasing chain of positions).
 
 For the query, each text also meets the next document by ascending doc_id: documents are dealt into ranges of
 doc_id, the first of each range is sent to the range before it as well, and each range streams in order.
@@ -30,7 +30,6 @@ from signalloom.llm import text_arrays as ta
 
 K, S = 24, 12
 INNER = K - S + 1
-ANCHORS = 48
 SLICE = 1 << 18
 LEAST = -(1 << 63)
 
@@ -56,51 +55,53 @@ def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return ta.span_hash(total, at, at + K), at - offsets[row], row
 
 
-def fingerprints(texts: pa.Array, most: int = ANCHORS) -> list[list[tuple[int, int]]]:
-    """For each text its (position, 32-bit hash) anchors by position."""
-    out: list[list[tuple[int, int]]] = []
+#: (positions, 32-bit hashes, hashes with how many of the same stand before) of a text's anchors by position.
+Print = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def fingerprints(texts: pa.Array) -> list[Print]:
+    """All anchors of each text."""
+    out: list[Print] = []
     for a, b, raw, offsets in ta.slices(texts, SLICE):
         code, at, row = anchors(raw, offsets)
         code = code >> ta.U(32)
         order = np.lexsort((at, code, row))
-        code, at, row = code[order], at[order], row[order]
-        new = np.r_[True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])] if len(code) else np.zeros(0, bool)
-        code, at, row = code[new], at[new], row[new]
-        first = np.searchsorted(row, np.arange(b - a + 1))
-        keep = np.arange(len(row)) - first[row] < most
-        code, at, row = code[keep], at[keep], row[keep]
-        order = np.lexsort((at, row))
-        pairs = list(zip(at[order].tolist(), code[order].tolist(), strict=True))
+        new = np.r_[True, (code[order][1:] != code[order][:-1]) | (row[order][1:] != row[order][:-1])] if len(code) else np.zeros(0, bool)
+        place = np.arange(len(order))
+        nth = np.empty(len(order), np.uint64)
+        nth[order] = (place - np.maximum.accumulate(np.where(new, place, 0))).astype(np.uint64)
+        key, short = code << ta.U(32) | nth, code.astype(np.uint32)
         cut = np.searchsorted(row, np.arange(b - a + 1)).tolist()
         whole = ta.span_hash(ta.prefix_code(ta.BYTE_CODE[raw]), offsets[:-1], offsets[1:]) >> ta.U(32)
         for i in range(b - a):
-            own = pairs[cut[i] : cut[i + 1]]
-            out.append(own if own or offsets[i] == offsets[i + 1] else [(0, int(whole[i]))])
+            own = slice(cut[i], cut[i + 1])
+            if cut[i] == cut[i + 1] and offsets[i] < offsets[i + 1]:
+                out.append((np.zeros(1, np.int64), whole[i : i + 1].astype(np.uint32), whole[i : i + 1] << ta.U(32)))
+            else:
+                out.append((at[own], short[own], key[own]))
     return out
 
 
-def likeness(x: list[tuple[int, int]], y: list[tuple[int, int]], most: int = ANCHORS) -> float:
-    if x == y:
+def likeness(x: Print, y: Print) -> float:
+    if np.array_equal(x[0], y[0]) and np.array_equal(x[2], y[2]):
         return 1.0
-    if not x or not y:
-        return 0.0
-    there = {h: p for p, h in y}
-    mine = {h for _, h in x}
-    least = sorted(mine | there.keys())[:most]
-    if len(mine & there.keys()) == 0:
+    _, i, j = np.intersect1d(x[2], y[2], assume_unique=True, return_indices=True)
+    if len(i) == 0:
         return 0.0
-    among = set(least)
-    chain: list[int] = []
-    for _, h in x:
-        if h in among and h in there:
-            p = there[h]
+    there = y[0][j[np.argsort(i)]]
+    long = len(there)
+    if (there[1:] < there[:-1]).any():
+        chain: list[int] = []
+        for p in there.tolist():
             k = bisect_left(chain, p)
             chain[k : k + 1] = [p]
-    return len(chain) / len(least)
+        long = len(chain)
+    return long / (len(x[2]) + len(y[2]) - len(i))
 
 
-def written(own: list[tuple[int, int]]) -> str:
-    return " ".join([f"{h:08x}.{p}" for p, h in own])
+def written(own: Print) -> str:
+    h = own[1].astype(">u4").tobytes().hex()
+    return " ".join([f"{h[8 * k : 8 * k + 8]}.{p}" for k, p in enumerate(own[0].tolist())])
 
 
 def sketch(docs: DataFrame, keep: list[str]) -> DataFrame:

@@ -124,6 +124,19 @@ def test_syncmers_do_not_depend_on_context():
     assert there(PASSAGE * 2) <= there("zzz zz" + PASSAGE * 2 + "yy y")
 
 
+def test_fingerprints_keep_every_anchor(spark):
+    rng = np.random.default_rng(5)
+    words = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(n))
+    shared = words(50)
+    texts = [words(2000) + " " + shared + " " + words(2000), words(1500) + " " + shared + " " + words(2500), (shared + " ") * 3]
+    got = by_id(fingerprints.with_next(spark.createDataFrame([(i, t, "en", "s", 0, 0.0) for i, t in enumerate(texts)], SCHEMA)))
+    assert 0 < got[0].near_next < 0.1
+    for i, t in enumerate(texts):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        code, at, _ = fingerprints.anchors(raw, np.array([0, len(raw)]))
+        assert got[i].fingerprint == " ".join(f"{h >> 32:08x}.{p}" for h, p in zip(code.tolist(), at.tolist(), strict=True))
+
+
 def test_long_matches_equal_brute_force(docs, texts):
     got, seen = by_id(long_matches.remove_repeats(docs)), set()
     for i in sorted(texts):
