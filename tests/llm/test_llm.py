@@ -281,6 +281,14 @@ def test_context_tree_equals_brute_force(spark, monkeypatch):
     assert all(math.isclose(r.score, want[i], rel_tol=1e-5) for i, r in by_id(context_tree.score(docs)).items())
 
 
+def test_context_tree_tells_rows_of_one_id_apart(spark):
+    rows = [(None, "alpha beta"), (None, "gamma gamma new"), (1, "alpha alpha"), (1, "beta"), (1, "beta"), (9, "delta alpha"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    plain = lambda df: sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 9), round(r.score, 4)) for r in df.collect())
+    sent, joined = plain(context_tree.score(docs)), plain(context_tree.score(docs, most_words=0))
+    assert sent == joined and len({r[3] for r in sent if r[0] == -1}) == 3 and len({r[3] for r in sent if r[0] == 1}) == 2
+
+
 def test_bpe_equals_library(docs, texts):
     from tokenizers import Tokenizer
 
