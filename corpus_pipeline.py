@@ -12,6 +12,10 @@ from signalloom.llm.queries import tokenizer_spec
 from signalloom.session import checkpoint_dir, read, ship
 
 
+#: Jaccard of near duplicates here, and agreements that a pair at it misses about as seldom as op2's pairs miss theirs.
+NEAR_PERCENT, NEAR_MATCHES = 80, 36
+
+
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     labels = read(ship(spark), sf_dir, "labels")
@@ -20,7 +24,7 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each near-duplicate component."""
-    gone = near_dedup.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
+    gone = near_dedup.near_duplicates(docs, NEAR_PERCENT, NEAR_MATCHES).where(~F.col("kept")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -1,9 +1,11 @@
 """Operator 2: near-duplicates by an inverted index over MinHash signature coordinates.
 
+The figures are those of the default threshold; another one needs its own agreements, ``near_duplicates(docs, 80, 36)``.
+
 1. Every text gives its set of word shingles, a digest of that set, and a signature of ``COORDINATES`` minima.
    Texts with equal sets are one class, grouped by the digest before anything else happens.
 2. Two sets with Jaccard 0.85 agree in fewer than ``MATCHES`` of the 64 coordinates with probability about
-   2e-5. A pair that agrees in ``MATCHES`` of them must agree in one of any ``PREFIX`` = 64 - 42 + 1, so each
+   2e-5. A pair that agrees in ``MATCHES`` of them must agree in one of any 64 - 42 + 1, so each
    class is posted under that prefix of coordinate-value pairs only. Each posting list counts agreements over
    the whole signature, skips pairs that are already connected, and keeps a spanning forest of those above the
    threshold: a list of n classes gives less than n rows.
@@ -35,7 +37,6 @@ from signalloom.session import cut
 WORDS = 5
 PERCENT = 85
 COORDINATES, MATCHES = 64, 42
-PREFIX = COORDINATES - MATCHES + 1
 BLOCK = 256
 #: Columns of an incidence matrix at a time.
 WIDTH = 4096
@@ -80,37 +81,41 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(count.astype(np.int64)), fixed(digest), fixed(sign)], names=["doc_id", "n_shingles", "digest", "sign"])
 
 
-def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _post(prefix: int):
     """A row for each class and prefix coordinate: the pair's hash, the class, a byte of every coordinate."""
-    salt = ta.mix(np.arange(1, PREFIX + 1, dtype=np.uint64))
-    for batch in batches:
-        n = batch.num_rows
-        if n == 0:
-            continue
-        sign = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(n, COORDINATES)
-        key = ta.mix(sign[:, :PREFIX].astype(np.uint64) ^ salt).view(np.int64)
-        # Minima of large sets are small numbers: the byte comes from a product that spreads all of their bits.
-        short = [r.tobytes() for r in ((sign * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)]
-        order = np.arange(n).repeat(PREFIX)
-        own = pa.array(order)
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), batch.column(0).take(own), batch.column(2).take(own), pa.array(short, pa.binary()).take(own)], names=["key", "cid", "size", "short"])
+    salt = ta.mix(np.arange(1, prefix + 1, dtype=np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            sign = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(n, COORDINATES)
+            key = ta.mix(sign[:, :prefix].astype(np.uint64) ^ salt).view(np.int64)
+            # Minima of large sets are small numbers: the byte comes from a product that spreads all of their bits.
+            short = [r.tobytes() for r in ((sign * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)]
+            order = np.arange(n).repeat(prefix)
+            own = pa.array(order)
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), batch.column(0).take(own), batch.column(2).take(own), pa.array(short, pa.binary()).take(own)], names=["key", "cid", "size", "short"])
 
+    return run
 
-def _forest(ids: np.ndarray, size: np.ndarray, short: np.ndarray) -> tuple[list[int], list[int]]:
+
+def _forest(ids: np.ndarray, size: np.ndarray, short: np.ndarray, percent: int = PERCENT, matches: int = MATCHES) -> tuple[list[int], list[int]]:
     """Edges that connect all pairs of one list with enough agreements; pairs in one tree already are skipped.
 
-    By size: a set meets only those up to size * 100 / PERCENT, as no larger one can reach the similarity.
+    By size: a set meets only those up to size * 100 / percent, as no larger one can reach the similarity.
     """
     order = np.argsort(size, kind="stable")
     ids, size, short = ids[order], size[order], short[order]
-    ends = np.searchsorted(size, size * 100 // PERCENT, "right")
+    ends = np.searchsorted(size, size * 100 // percent, "right")
     tree = np.arange(len(ids))
     left, right = [], []
     for i in range(len(ids) - 1):
         others = i + 1 + np.flatnonzero(tree[i + 1 : ends[i]] != tree[i])
         if len(others) == 0:
             continue
-        hits = others[(short[others] == short[i]).sum(1) >= MATCHES]
+        hits = others[(short[others] == short[i]).sum(1) >= matches]
         for t in np.unique(tree[hits]):
             j = hits[np.argmax(tree[hits] == t)]
             left.append(int(ids[i]))
@@ -119,36 +124,40 @@ def _forest(ids: np.ndarray, size: np.ndarray, short: np.ndarray) -> tuple[list[
     return left, right
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lists(percent: int, matches: int):
     """Candidate edges of each posting list; rows come sorted by key."""
-    held: list[tuple[np.ndarray, ...]] = []
-
-    def done(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        key, cid, size, short = (np.concatenate(x) for x in zip(*parts, strict=True))
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        length = np.diff(np.r_[first, len(key)])
-        two = first[length == 2]
-        two = two[(short[two] == short[two + 1]).sum(1) >= MATCHES]
-        left, right = cid[two].tolist(), cid[two + 1].tolist()
-        for f, n in zip(first[length > 2], length[length > 2], strict=True):
-            a, b = _forest(cid[f : f + n], size[f : f + n], short[f : f + n])
-            left += a
-            right += b
-        return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        key, cid, size = (batch.column(i).to_numpy() for i in range(3))
-        short = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(len(key), COORDINATES)
-        last = int(np.searchsorted(key, key[-1]))  # where the last key begins: it may go on in the next batch
-        if last == 0 and (not held or held[0][0][-1] == key[-1]):
-            held.append((key, cid, size, short))
-            continue
-        yield done([*held, (key[:last], cid[:last], size[:last], short[:last])])
-        held = [(key[last:], cid[last:], size[last:], short[last:])]
-    if held:
-        yield done(held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def done(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            key, cid, size, short = (np.concatenate(x) for x in zip(*parts, strict=True))
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            length = np.diff(np.r_[first, len(key)])
+            two = first[length == 2]
+            two = two[(short[two] == short[two + 1]).sum(1) >= matches]
+            left, right = cid[two].tolist(), cid[two + 1].tolist()
+            for f, n in zip(first[length > 2], length[length > 2], strict=True):
+                a, b = _forest(cid[f : f + n], size[f : f + n], short[f : f + n], percent, matches)
+                left += a
+                right += b
+            return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            key, cid, size = (batch.column(i).to_numpy() for i in range(3))
+            short = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(len(key), COORDINATES)
+            last = int(np.searchsorted(key, key[-1]))  # where the last key begins: it may go on in the next batch
+            if last == 0 and (not held or held[0][0][-1] == key[-1]):
+                held.append((key, cid, size, short))
+                continue
+            yield done([*held, (key[:last], cid[:last], size[:last], short[:last])])
+            held = [(key[last:], cid[last:], size[last:], short[last:])]
+        if held:
+            yield done(held)
+
+    return run
 
 
 def links(codes: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
@@ -182,46 +191,53 @@ def links(codes: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
         root = new_root
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(percent: int):
     """Confirmed edges of each group (comp, i, j); rows come sorted by group."""
-    key, ids, codes = None, [], []
-
-    def done() -> tuple[list[int], list[int]]:
-        if len(ids) < 2:
-            return [], []
-        root = links(codes)
-        return [ids[k] for k in np.flatnonzero(root != np.arange(len(ids)))], [ids[r] for k, r in enumerate(root) if r != k]
 
-    for batch in batches:
-        left, right = [], []
-        keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
-        for a, b, raw, offsets in ta.slices(batch.column(4)):
-            code, row = shingles(raw, offsets)
-            at = np.searchsorted(row, np.arange(b - a + 1))
-            for r in range(a, b):
-                if keys[r] != key:
-                    x, y = done()
-                    left += x
-                    right += y
-                    key, ids, codes = keys[r], [], []
-                ids.append(batch.column(3)[r].as_py())
-                codes.append(code[at[r - a] : at[r - a + 1]])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, codes = None, [], []
+
+        def done() -> tuple[list[int], list[int]]:
+            if len(ids) < 2:
+                return [], []
+            root = links(codes, percent)
+            return [ids[k] for k in np.flatnonzero(root != np.arange(len(ids)))], [ids[r] for k, r in enumerate(root) if r != k]
+
+        for batch in batches:
+            left, right = [], []
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            for a, b, raw, offsets in ta.slices(batch.column(4)):
+                code, row = shingles(raw, offsets)
+                at = np.searchsorted(row, np.arange(b - a + 1))
+                for r in range(a, b):
+                    if keys[r] != key:
+                        x, y = done()
+                        left += x
+                        right += y
+                        key, ids, codes = keys[r], [], []
+                    ids.append(batch.column(3)[r].as_py())
+                    codes.append(code[at[r - a] : at[r - a + 1]])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+        left, right = done()
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-    left, right = done()
-    yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
+    return run
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, matches: int = MATCHES) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
+
+    Pairs at ``percent`` of Jaccard link, candidates where they agree in ``matches`` coordinates.
+    """
     rows = docs.select("doc_id", "text")
     sketch = cut(rows.mapInArrow(_sketches, "doc_id long, n_shingles long, digest binary, sign binary"))
     classes = cut(
         sketch.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
         .groupBy("digest").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies"), F.first("sign").alias("sign"), F.first("n_shingles").alias("size"))
     )
-    posted = classes.select("cid", "sign", "size").mapInArrow(_post, "key long, cid long, size long, short binary")
+    posted = classes.select("cid", "sign", "size").mapInArrow(_post(COORDINATES - matches + 1), "key long, cid long, size long, short binary")
     lists = posted.repartition("key").sortWithinPartitions("key", "cid")
-    found = components(lists.mapInArrow(_lists, "a long, b long"))
+    found = components(lists.mapInArrow(_lists(percent, matches), "a long, b long"))
     sized = found.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     members = cut(found.join(sized, "root").select(F.col("id").alias("doc_id"), F.col("root").alias("comp"), "blocks"))
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
@@ -231,7 +247,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "text")
         .repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "doc_id")
     )
-    final = components(grouped.mapInArrow(_confirm, "a long, b long"))
+    final = components(grouped.mapInArrow(_confirm(percent), "a long, b long"))
     moved = cut(
         classes.join(final, classes["cid"] == final["id"], "left").where((F.col("copies") > 1) | F.col("root").isNotNull())
         .select("digest", F.coalesce("root", "cid").alias("component_id"))

@@ -106,6 +106,16 @@ def test_mixing_reaches_marginals(spark):
     assert mixing.sample(docs).columns == docs.columns
 
 
+def test_pipeline_drops_pairs_at_its_own_threshold(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(104)]
+    other = words[:60] + ["x"] + words[61:70] + ["y"] + words[71:]  # 90 of 110 shingles: 0.818
+    docs = spark.createDataFrame([(1, " ".join(words), "en", "s", 0, 0.0), (2, " ".join(other), "en", "s", 0, 0.0)], SCHEMA)
+    assert near_dedup.near_duplicates(docs).where("kept").count() == 2
+    assert [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()] == [1]
+
+
 def test_fingerprints(docs, texts):
     got, order = by_id(fingerprints.with_next(docs)), sorted(texts)
     for i, k in zip(order, [*order[1:], order[0]], strict=True):
