@@ -1,34 +1,42 @@
 """Operator 7: size-tiered compaction of append-only shards under a versioned manifest, in DataFrame functions only.
 
 ``append`` writes each arrival as small immutable Parquet shards (one file a task and ``most_rows`` rows) and adds
-them to a new version of the manifest. ``compact`` sorts live shards into tiers by the power of ``fanout`` that
-their bytes reach, merges runs of ``fanout`` shards of one tier, level after level, until none is left or the
-target size is reached, and writes each merged shard once, as one file, however many levels it rose. Shards that
-reach the target, and runs too short to merge, stay as they are. A version is a table of (path, rows, bytes, level)
-in a folder of its own; it becomes visible by one rename, which fails if another writer took the number first.
-Readers see whole versions only; old ones stay readable until ``forget`` deletes files that no kept version names.
-
-A lost executor's unfinished files lie in folders that no manifest names. Planning windows run over shards, not rows.
-
-Edge cases: an empty arrival adds no shard; a version without shards reads as no rows of the given columns. Nulls,
-very long texts, repeated rows and extra columns are stored as they are; names that begin with ``_shard`` are kept
-for this operator.
+them to a new version of the manifest. ``compact`` sorts the live shards under the target size into tiers by the
+power of ``fanout`` that their bytes reach. A tier with ``fanout`` shards or more is merged: its scan partitions are
+coalesced into as many tasks as the target goes into its bytes, and each task writes one file. That is one map stage,
+without a shuffle: as the shards of a tier are of like size, a task reads and writes a few times the target at most,
+whatever the table holds, and the disk holds the old and the new shards only. Each merge leaves fewer shards than it
+read, in higher tiers, so the merges come to an end. Shards that reach the target, and tiers too short to merge, stay
+as they are. A tier of very many shards is merged ``WAVE`` of them at a time, each wave with its
+own commit, so the driver holds that many file names.
+
+A version is a table of (path, level, n_rows, n_bytes) in a folder of its own, named by a small file ``v<number>``
+with the schema of the rows. That file is created without overwriting, which only one of several writers can do
+where the file system makes that atomic (HDFS; stores with conditional writes; a local disk looks first); the others
+get ``Conflict`` and have changed nothing. Readers see whole versions only; old ones stay readable until ``forget``
+deletes the files that no kept version names. A lost executor's unfinished files lie in folders that no manifest names.
+
+Edge cases: an empty arrival adds no shard but its columns; a version without shards reads as no rows of its schema.
+Nulls, very long texts and repeated rows are stored as they are. Extra columns of any name are too, and no name is
+reserved; a column that an arrival lacks reads as null there. A column that changes its type is refused with ValueError.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from signalloom.session import checkpoint_dir, cut
+from signalloom.session import checkpoint_dir
 
 MOST_ROWS = 2048
 TARGET = 64 << 20
 FANOUT = 4
-LEVELS = 8
+#: Shards that one merge reads, the most file names that the driver holds for it.
+WAVE = 50_000
 _manifest = "path string, level int, n_rows long, n_bytes long"
 
 
@@ -43,7 +51,12 @@ class Conflict(RuntimeError):
 
 def versions(spark: SparkSession, root: str) -> list[int]:
     fs, at = _fs(spark, f"{root}/manifests")
-    return sorted(int(f.getPath().getName()[1:]) for f in fs.listStatus(at) if f.getPath().getName().startswith("v")) if fs.exists(at) else []
+    named = (f for f in fs.listStatus(at) if f.isFile() and f.getLen() > 0) if fs.exists(at) else ()
+    return sorted(int(n[1:]) for n in (f.getPath().getName() for f in named) if n[0] == "v" and n[1:].isdigit())
+
+
+def _version(spark: SparkSession, root: str, version: int) -> dict:
+    return json.loads(spark.read.text(f"{root}/manifests/v{version}", wholetext=True).first()[0])
 
 
 def manifest(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
@@ -51,104 +64,110 @@ def manifest(spark: SparkSession, root: str, version: int | None = None) -> Data
     found = versions(spark, root)
     if not found:
         return spark.createDataFrame([], _manifest)
-    return spark.read.schema(_manifest).parquet(f"{root}/manifests/v{version or found[-1]}")
+    return spark.read.schema(_manifest).parquet(f"{root}/manifests/{_version(spark, root, version or found[-1])['shards']}")
+
+
+def schema(spark: SparkSession, root: str, version: int | None = None) -> T.StructType:
+    """Columns of a version's rows; none before the first."""
+    found = versions(spark, root)
+    return T.StructType.fromJson(_version(spark, root, version or found[-1])["schema"]) if found else T.StructType()
 
 
-def commit(table: DataFrame, root: str, version: int) -> int:
-    """Writes a version aside and renames it into place."""
+def commit(table: DataFrame, root: str, version: int, columns: T.StructType) -> int:
+    """Writes a version's shards aside and then its name, which must not be there yet."""
     spark = table.sparkSession
-    aside = f"{root}/manifests/_aside-{uuid.uuid4().hex}"
-    table.coalesce(1).write.parquet(aside)
-    fs, source = _fs(spark, aside)
-    _, target = _fs(spark, f"{root}/manifests/v{version}")
-    if fs.exists(target) or not fs.rename(source, target):
-        fs.delete(source, True)
-        raise Conflict(f"version {version} exists")
+    folder = f"shards-{uuid.uuid4().hex}"
+    table.coalesce(1).write.parquet(f"{root}/manifests/{folder}")
+    fs, at = _fs(spark, f"{root}/manifests/v{version}")
+    try:
+        out = fs.create(at, False)
+    except Exception as e:
+        fs.delete(_fs(spark, f"{root}/manifests/{folder}")[1], True)
+        if "AlreadyExists" in str(e):
+            raise Conflict(f"version {version} exists") from e
+        raise
+    out.write(bytearray(json.dumps({"shards": folder, "schema": columns.jsonValue()}).encode()))
+    out.close()
     return version
 
 
-def _sized(spark: SparkSession, folder: str, level) -> DataFrame:
+def _sized(spark: SparkSession, folder: str, columns: T.StructType, level: int) -> DataFrame:
     """(path, level, n_rows, n_bytes) of the shards that a write left in a folder; bytes are those of the file."""
-    rows = spark.read.parquet(folder).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("n_bytes"))
-    return rows.groupBy("path", "n_bytes").agg(F.count("*").alias("n_rows")).select("path", F.lit(level).cast("int").alias("level"), "n_rows", "n_bytes")
+    rows = spark.read.schema(columns).parquet(folder).select("_metadata.file_path", "_metadata.file_size")
+    return rows.groupBy(F.col("file_path").alias("path"), F.lit(level).alias("level"), F.col("file_size").alias("n_bytes")).agg(F.count("*").alias("n_rows")).select("path", "level", "n_rows", "n_bytes")
+
+
+def _with(old: T.StructType, new: T.StructType) -> T.StructType:
+    """The columns of both, as nullable ones."""
+    kinds = {f.name: f.dataType for f in old}
+    for f in new:
+        if kinds.setdefault(f.name, f.dataType) != f.dataType:
+            raise ValueError(f"column {f.name}: {kinds[f.name].simpleString()} here, {f.dataType.simpleString()} in the arrival")
+    return T.StructType([T.StructField(n, t) for n, t in kinds.items()])
 
 
 def append(arrival: DataFrame, root: str, most_rows: int = MOST_ROWS) -> int:
     """Adds an arrival as small shards; gives the new version."""
     spark = arrival.sparkSession
     now = versions(spark, root)
+    columns = _with(schema(spark, root), arrival.schema)
     folder = f"{root}/shards/{uuid.uuid4().hex}"
     arrival.write.option("maxRecordsPerFile", most_rows).parquet(folder)
-    new = _sized(spark, folder, 0)
-    return commit(manifest(spark, root).unionByName(new), root, (now[-1] if now else 0) + 1)
+    live = manifest(spark, root).unionByName(_sized(spark, folder, columns, 0))
+    return commit(live, root, (now[-1] if now else 0) + 1, columns)
 
 
-def plan(shards: DataFrame, target: int = TARGET, fanout: int = FANOUT) -> DataFrame:
-    """(path, shard, level): where each shard goes; a shard that stays keeps its own path as ``shard``.
+def tiers(shards: DataFrame, target: int = TARGET, fanout: int = FANOUT) -> DataFrame:
+    """(path, level, n_bytes, tier) of the shards under the target; a tier holds sizes within a factor of ``fanout``."""
+    tier = F.floor(F.log(F.greatest(F.col("n_bytes"), F.lit(1)).cast("double")) / F.log(F.lit(float(fanout))) + 1e-9)
+    return shards.where(F.col("n_bytes") < target).select("path", "level", "n_bytes", tier.cast("int").alias("tier"))
 
-    Runs of ``fanout`` shards of one tier merge, in order of their names; a tier holds sizes within a factor of
-    ``fanout``. Each level plans on the sums of the one before.
-    """
-    state = shards.select("path", F.col("path").alias("shard"), "level", "n_bytes")
-    for _ in range(LEVELS):
-        units = state.groupBy("shard").agg(F.sum("n_bytes").alias("size"))
-        tier = F.floor(F.log(F.greatest("size", F.lit(1))) / F.log(F.lit(float(fanout))))
-        place = F.row_number().over(W.partitionBy("tier").orderBy("shard")) - 1
-        runs = units.where(F.col("size") < target).withColumn("tier", tier).withColumn("run", F.floor(place / fanout))
-        run = W.partitionBy("tier", "run")
-        named = runs.withColumn("k", F.count("*").over(run)).withColumn("head", F.min("shard").over(run))
-        moves = named.where(F.col("k") == fanout).select("shard", "head")
-        state = cut(
-            state.join(moves, "shard", "left")
-            .select("path", F.coalesce("head", "shard").alias("shard"), (F.col("level") + F.col("head").isNotNull().cast("int")).alias("level"), "n_bytes")
-        )
-        if moves.isEmpty():
-            break
-    return state
-
-
-def compact(spark: SparkSession, root: str, target: int = TARGET, fanout: int = FANOUT) -> int:
-    """Merges similarly sized shards and commits the result; gives the version (the same where nothing merges)."""
-    now = versions(spark, root)
-    if not now:
-        return 0
-    shards = cut(manifest(spark, root, now[-1]))
-    moves = plan(shards, target, fanout)
-    merged = cut(moves.withColumn("n", F.count("*").over(W.partitionBy("shard"))).where("n > 1").drop("n"))
-    paths = [r.path for r in merged.select("path").toLocalIterator()]  # names of files to read, as any reader lists them
-    if not paths:
-        return now[-1]
-    folder = f"{root}/shards/{uuid.uuid4().hex}"
-    rows = spark.read.parquet(*paths).withColumn("_shard_path", F.col("_metadata.file_path"))
-    target_of = merged.select(F.col("path").alias("_shard_path"), "shard", "level")
-    number = F.xxhash64("shard")
-    dealt = rows.join(F.broadcast(target_of) if len(paths) <= 100_000 else target_of, "_shard_path").withColumn("_shard", F.format_string("%d-%016x", "level", number))
-    dealt.drop("_shard_path", "shard", "level").repartition("_shard").sortWithinPartitions("_shard").write.partitionBy("_shard").parquet(folder)
-    new = _sized(spark, folder, 0).withColumn("level", F.regexp_extract("path", r"_shard=(\d+)-", 1).cast("int"))
-    stays = shards.join(merged.select("path"), "path", "left_anti")
-    return commit(stays.select("path", "level", "n_rows", "n_bytes").unionByName(new), root, now[-1] + 1)
 
+def compact(spark: SparkSession, root: str, target: int = TARGET, fanout: int = FANOUT, wave: int = WAVE) -> int:
+    """Merges tiers of similarly sized shards until none has ``fanout`` of them; gives the newest version.
 
-def read_version(spark: SparkSession, root: str, columns: list[str], version: int | None = None) -> DataFrame:
+    A merge is committed on its own; where another writer was faster, its files are left unnamed and Conflict is raised.
+    """
+    while now := versions(spark, root):
+        shards, columns = manifest(spark, root, now[-1]), schema(spark, root, now[-1])
+        sized = tiers(shards, target, fanout)
+        full = sized.groupBy("tier").agg(F.count("*").alias("n")).where(F.col("n") >= fanout).orderBy("tier").first()
+        if full is None:
+            return now[-1]
+        run = sized.where(F.col("tier") == full["tier"]).orderBy("path").limit(wave).collect()
+        folder = f"{root}/shards/{uuid.uuid4().hex}"
+        size = sum(r["n_bytes"] for r in run)
+        spark.read.schema(columns).parquet(*(r["path"] for r in run)).coalesce(max(1, size // target)).write.parquet(folder)
+        merged = _sized(spark, folder, columns, 1 + max(r["level"] for r in run))
+        gone = spark.createDataFrame([(r["path"],) for r in run], "path string")
+        commit(shards.join(gone, "path", "left_anti").unionByName(merged), root, now[-1] + 1, columns)
+    return 0
+
+
+def read_version(spark: SparkSession, root: str, columns: list[str] | None = None, version: int | None = None) -> DataFrame:
     """Rows of a version."""
-    paths = [r.path for r in manifest(spark, root, version).select("path").toLocalIterator()]
-    if not paths:
-        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns))
-    return spark.read.parquet(*paths).select(*columns)
+    kinds = schema(spark, root, version)
+    paths = [r["path"] for r in manifest(spark, root, version).select("path").toLocalIterator()]
+    rows = spark.read.schema(kinds).parquet(*paths) if paths else spark.createDataFrame([], kinds)
+    return rows if columns is None else rows.select(*(f"`{c}`" for c in columns))
 
 
 def forget(spark: SparkSession, root: str, keep: int = 1) -> int:
     """Deletes files that none of the newest ``keep`` versions name, and the older versions; gives how many files went."""
     found = versions(spark, root)
-    kept = {r.path for v in found[-keep:] for r in manifest(spark, root, v).select("path").toLocalIterator()}
-    gone = {r.path for v in found[:-keep] for r in manifest(spark, root, v).select("path").toLocalIterator()} - kept
-    for path in gone:
-        fs, at = _fs(spark, path)
-        fs.delete(at, False)
+    named = lambda vs: [manifest(spark, root, v).select("path") for v in vs]
+    gone = 0
+    for table in named(found[:-keep]):
+        for live in named(found[-keep:]):
+            table = table.join(live, "path", "left_anti")
+        for r in table.toLocalIterator():
+            fs, at = _fs(spark, r["path"])
+            gone += fs.delete(at, False)
     for v in found[:-keep]:
-        fs, at = _fs(spark, f"{root}/manifests/v{v}")
+        fs, at = _fs(spark, f"{root}/manifests/{_version(spark, root, v)['shards']}")
+        fs.delete(_fs(spark, f"{root}/manifests/v{v}")[1], False)
         fs.delete(at, True)
-    return len(gone)
+    return gone
 
 
 def new_root(spark: SparkSession) -> str:

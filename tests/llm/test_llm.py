@@ -319,16 +319,60 @@ def test_compaction(spark, docs):
     before = sharding.manifest(spark, root)
     assert before.count() == 9
     v = sharding.compact(spark, root)
-    assert v == 10 and sharding.manifest(spark, root).count() < 9
+    after = sharding.manifest(spark, root).collect()
+    assert v >= 10 and len(after) < 4 and sum(r.n_rows for r in after) == docs.count() and max(r.level for r in after) >= 1
+    assert sharding.compact(spark, root) == v  # nothing is left to merge
     assert sharding.read_version(spark, root, docs.columns, 9).exceptAll(docs).count() == 0
-    back = sharding.read_version(spark, root, docs.columns)
-    assert back.count() == docs.count() and back.exceptAll(docs).count() == 0
-    with pytest.raises(sharding.Conflict):
-        sharding.commit(sharding.manifest(spark, root), root, v)
+    back = sharding.read_version(spark, root)
+    assert back.columns == docs.columns and back.count() == docs.count() and back.exceptAll(docs).count() == 0
     assert sharding.forget(spark, root) > 0 and sharding.versions(spark, root) == [v]
     assert sharding.read_version(spark, root, docs.columns).count() == docs.count()
 
 
+def test_compaction_by_tiers_and_waves(spark):
+    sizes = [(f"p{i}", 0, 1, n) for i, n in enumerate([1, 3, 4, 15, 16, 64, 1000, 0])]
+    shards = spark.createDataFrame(sizes, "path string, level int, n_rows long, n_bytes long")
+    assert {r.path: r.tier for r in sharding.tiers(shards, 1000).collect()} == {"p0": 0, "p1": 0, "p2": 1, "p3": 1, "p4": 2, "p5": 3, "p7": 0}
+    rows = spark.range(96).select(F.col("id").alias("doc_id"), F.repeat(F.md5(F.col("id").cast("string")), 40).alias("text"))
+    whole, waves = sharding.new_root(spark), sharding.new_root(spark)
+    for root, wave, target in ((whole, 50_000, 1 << 20), (waves, 4, 9_000)):
+        for _ in range(2):
+            sharding.append(rows.repartition(4), root, 12)
+        v = sharding.compact(spark, root, target, 4, wave)
+        found = sharding.manifest(spark, root).collect()
+        assert v > 2 and len(found) < 8
+        assert sharding.tiers(sharding.manifest(spark, root), target).groupBy("tier").count().where("count >= 4").count() == 0
+        assert sharding.read_version(spark, root).groupBy("doc_id", "text").count().where("count = 2").count() == 96
+    assert len(sharding.manifest(spark, waves).collect()) > len(sharding.manifest(spark, whole).collect())
+
+
+def test_one_writer_wins_a_version(spark, docs):
+    root = sharding.new_root(spark)
+    v = sharding.append(docs, root)
+    there = sharding.manifest(spark, root)
+    with pytest.raises(sharding.Conflict):
+        sharding.commit(there.limit(0), root, v, docs.schema)
+    assert sharding.manifest(spark, root).count() == there.count() > 0
+
+
+def test_compaction_of_odd_tables(spark):
+    root = sharding.new_root(spark)
+    assert sharding.compact(spark, root) == 0 and sharding.versions(spark, root) == []
+    kind = "doc_id long, level string, shard int, path string, _shard double, text string"
+    sharding.append(spark.createDataFrame([], kind), root)
+    none = sharding.read_version(spark, root)
+    assert none.count() == 0 and none.dtypes == [("doc_id", "bigint"), ("level", "string"), ("shard", "int"), ("path", "string"), ("_shard", "double"), ("text", "string")]
+    rows = [(1, "a", 1, None, 0.5, "x"), (1, "a", 1, None, 0.5, "x"), (None, None, None, None, None, None), (2, "", 2, "p", 1.0, "y" * 300_000)]
+    for _ in range(4):
+        sharding.append(spark.createDataFrame(rows, kind).coalesce(1), root)
+    sharding.append(spark.createDataFrame([(9, 1)], "doc_id long, more int"), root)
+    sharding.compact(spark, root, 8 << 20, 2)
+    got = sharding.read_version(spark, root)
+    assert got.columns[-1] == "more" and got.count() == 17 and got.where("level = 'a' and more is null").count() == 8 and got.where("more = 1 and shard is null").count() == 1
+    with pytest.raises(ValueError, match="level"):
+        sharding.append(spark.createDataFrame([(1,)], "level int"), root)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 
