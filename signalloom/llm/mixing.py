@@ -2,18 +2,27 @@
 
 Documents are summed to cells (source, language, topic) of tokens. The targets are marginal shares: a dimension's
 own shares raised to an exponent under one and brought back to sum one, which lifts small sources and languages.
-Raking scales the cells' weights to the marginals of each dimension in turn, ``ROUNDS`` times. A cell's rate is
-then its weight times the token budget over its tokens, at most one, and a document is kept when a number between
-0 and 1 taken from the digest of its id lies under its cell's rate. The topic is the form of a text: the commonest
-of table, address, quote and line marks, or prose.
+No cell can give more tokens than it has, so a cell's share of the sample is at most ``cap``, its tokens over the
+token budget. Targets that ask a value for more than it has are brought down to that, and what they leave goes to the
+other values in proportion (``targets`` gives both figures). Raking then takes each dimension in turn: the cells of
+each value are scaled by one factor to the value's target, those that reach their cap stay at it, and the factor grows
+for the others until the sum is met. It ends when no weight moves any more, or after ``ROUNDS`` rounds. A cell's rate
+is its weight times the budget over its tokens; it never exceeds one, so nothing is clipped afterwards and the expected
+tokens of the sample are the budget. A document is kept when a number between 0 and 1 taken from the digest of its id
+lies under its cell's rate. ``marginals`` reports what the rates give for each value beside its targets; caps of
+several dimensions together can keep all but the last one from being met.
+
+The topic of a text is the one with the most marks per ``PER`` characters in ``TOPICS``, if it reaches that topic's
+least number of them, else ``prose``.
 
 The cells are as many as there are combinations in use, however many documents there are; documents are summed to
-them before the shuffle. They are broadcast to the documents only where a count shows at most ``MOST_CELLS``.
+them before the shuffle, and a dimension's values (three numbers each) are sorted together. Cells are broadcast to the
+documents only where a count shows at most ``MOST_CELLS``.
 
 Edge cases: null source or language counts as the empty string, null and empty texts have no tokens and topic
 prose; cells without tokens keep rate 1 (nothing is spent on them). Equal ids share one draw; a null id draws as
 the empty string. Repeated rows give repeated rows. An empty table gives no rows. Extra columns are left out of
-``mix`` and kept by ``sample``; its own columns begin with an underscore.
+``mix`` and kept by ``sample``, whatever their names: the operator's own columns take a prefix that none of them has.
 """
 
 from __future__ import annotations
@@ -26,62 +35,114 @@ from signalloom.session import cut
 
 #: Exponents of the marginals' own shares.
 EXPONENTS = {"source": 0.5, "lang": 0.3, "topic": 0.5}
-ROUNDS = 8
+DIMS = tuple(EXPONENTS)
+#: At most so many rounds, fewer where one moves no weight by more than STILL.
+ROUNDS, STILL = 12, 1e-12
 #: Of all tokens.
 BUDGET = 0.5
 MOST_CELLS = 100_000
-MARKS = {"table": "|", "address": "@", "quote": '"', "line": "\n"}
-
-
-def _held(text: Column, mark: str) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+#: Topics: what marks them, and how many marks in PER characters make a text one of theirs.
+PER = 1000
+TOPICS = {
+    "legal": (r"\b(?:[Ll]icen[sc]e[ds]?|LICENSE|[Cc]opyright|[Ww]arrant(?:y|ies)|[Pp]ermission|[Ll]iability)\b", 2),
+    "contact": (r"@|\+[0-9]|\b(?:[Ee]mail|[Pp]hone|[Tt]el|[Cc]all)\b", 5),
+    "table": (r"\|", 20),
+    "code": (r"[{};=<>]", 20),
+    "talk": (r"[?\x22]", 20),
+    "list": (r"\n", 20),
+}
 
 
 def tokens(text: Column) -> Column:
     """Blank-separated pieces of a text; none of an empty one."""
-    return F.when(F.length(text) > 0, _held(text, " ") + 1).otherwise(0).cast("long")
+    return F.when(F.length(text) > 0, F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).otherwise(0).cast("long")
 
 
 def topic(text: Column) -> Column:
-    """The commonest mark's name, the first of those that tie; prose where no mark stands once in 50 characters."""
-    counts = {name: _held(text, mark) for name, mark in MARKS.items()}
-    most = F.greatest(*counts.values())
-    named = F.coalesce(*(F.when(c == most, F.lit(n)) for n, c in counts.items()))
-    return F.when(most * 50 < F.length(text), "prose").when(F.length(text) == 0, "prose").otherwise(named)
+    """The topic with the most marks among those that reach their least number; the first of those that tie."""
+    n = F.length(text)
+    held = {name: (count := F.regexp_count(text, F.lit(mark)), count * PER >= n * least) for name, (mark, least) in TOPICS.items()}
+    most = F.greatest(*(F.when(ok & (c > 0), c).otherwise(0) for c, ok in held.values()))
+    return F.when(most == 0, "prose").otherwise(F.coalesce(*(F.when(ok & (c == most), F.lit(name)) for name, (c, ok) in held.items())))
+
+
+def prefix(docs: DataFrame) -> str:
+    """Begins no column of docs."""
+    p = "_"
+    while any(c.lower().startswith(p) for c in docs.columns):
+        p += "_"
+    return p
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    dims = [F.coalesce(F.col(c), F.lit("")).alias(f"_{c}") for c in ("source", "lang")]
-    return docs.select("*", *dims, topic(text).alias("_topic"), tokens(text).alias("_tokens"))
-
-
-def cells(rows: DataFrame) -> DataFrame:
-    """(_source, _lang, _topic, a, w): tokens of each cell and raked weights that sum to one."""
-    keys = [f"_{d}" for d in EXPONENTS]
-    table = cut(rows.groupBy(*keys).agg(F.sum("_tokens").cast("double").alias("a")))
-    for dim, power in EXPONENTS.items():
-        sums = table.groupBy(f"_{dim}").agg(F.sum("a").alias("s"))
-        raised = sums.withColumn("t", F.when(F.col("s") > 0, F.pow("s", F.lit(power))).otherwise(0.0))
-        # One row a value of the dimension: the total is a small table of its own.
-        total = raised.agg(F.sum("t").alias("all"))
-        shares = raised.crossJoin(F.broadcast(total)).select(f"_{dim}", (F.col("t") / F.nullif("all", F.lit(0.0))).alias(f"t_{dim}"))
-        table = table.join(shares, f"_{dim}")
-    table = cut(table.withColumn("w", F.col("a")))
+    """docs with own columns prefix + source, lang, topic, tokens."""
+    p, text = prefix(docs), F.coalesce(F.col("text"), F.lit(""))
+    own = [F.coalesce(F.col(c), F.lit("")).alias(p + c) for c in ("source", "lang")]
+    return docs.select("*", *own, topic(text).alias(p + "topic"), tokens(text).alias(p + "tokens"))
+
+
+def fill(table: DataFrame, base: str, cap: str, total: Column, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Adds ``name``: shares of ``total`` among the rows of ``keys`` in proportion to ``base``, none beyond its cap."""
+    ask = F.coalesce(F.try_divide(F.col(cap), F.col(base)), F.lit(float("inf")))
+    ranked, part = W.partitionBy(*keys).orderBy("_ask", *order), W.partitionBy(*keys)
+    before = lambda c: F.coalesce(F.sum(c).over(ranked.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    rest = F.sum(base).over(part) - before(base)
+    # In order of cap over base: a row is full if the factor that the rows from it on need takes it to its cap.
+    full = table.withColumn("_ask", ask).withColumn("_full", F.coalesce(F.col("_ask") <= F.try_divide(total - before(cap), rest), F.lit(False)))
+    spent = F.sum(F.when(F.col("_full"), F.col(cap)).otherwise(0.0)).over(part)
+    free = F.sum(F.when(F.col("_full"), 0.0).otherwise(F.col(base))).over(part)
+    share = F.coalesce(F.col(base) * F.try_divide(F.greatest(total - spent, F.lit(0.0)), free), F.lit(0.0))
+    return full.withColumn(name, F.when(F.col("_full"), F.col(cap)).otherwise(F.least(share, F.col(cap)))).drop("_ask", "_full")
+
+
+def sums(rows: DataFrame, p: str) -> DataFrame:
+    """(source, lang, topic, a): tokens of each cell."""
+    found = cut(rows.groupBy(*(F.col(p + d).alias(d) for d in DIMS)).agg(F.sum(p + "tokens").cast("double").alias("a")))
+    # In one partition, where a count shows them to be few: no round needs an exchange then.
+    return found.coalesce(1) if found.limit(MOST_CELLS + 1).count() <= MOST_CELLS else found
+
+
+def targets(table: DataFrame, dim: str, budget: float) -> DataFrame:
+    """(dim, asked, t): each value's target share, and that share brought down to what the value has."""
+    own = table.groupBy(dim).agg(F.sum("a").alias("s")).withColumn("asked", F.when(F.col("s") > 0, F.pow("s", F.lit(EXPONENTS[dim]))).otherwise(0.0))
+    # One row a value of the dimension: both totals are a small table of their own.
+    total = own.agg(F.sum("asked").alias("all"), (F.sum("s") * budget).alias("b"))
+    scaled = own.crossJoin(F.broadcast(total)).select(dim, F.lit(1).alias("_one"), F.coalesce(F.try_divide("asked", "all"), F.lit(0.0)).alias("asked"), F.coalesce(F.try_divide("s", "b"), F.lit(0.0)).alias("most"))
+    return fill(scaled, "asked", "most", F.lit(1.0), ["_one"], [dim], "t").select(dim, "asked", "t")
+
+
+def cells(table: DataFrame, budget: float = BUDGET) -> DataFrame:
+    """(source, lang, topic, a, cap, w): raked weights, which sum to one where there are tokens, none beyond its cap."""
+    total = table.agg(F.sum("a").alias("_all"))
+    raked = table.crossJoin(F.broadcast(total)).select(*DIMS, "a", F.coalesce(F.try_divide(F.col("a"), F.col("_all") * budget), F.lit(0.0)).alias("cap"), F.coalesce(F.try_divide("a", "_all"), F.lit(0.0)).alias("w"))
+    for dim in DIMS:
+        raked = raked.join(targets(table, dim, budget).select(dim, F.col("t").alias(f"t_{dim}")), dim)
+    raked = cut(raked)
     for _ in range(ROUNDS):
-        for dim in EXPONENTS:
-            own = F.sum("w").over(W.partitionBy(f"_{dim}"))
-            table = table.withColumn("w", F.coalesce(F.col("w") * F.col(f"t_{dim}") / F.nullif(own, F.lit(0.0)), F.lit(0.0)))
-        table = cut(table)
-    return table.select(*keys, "a", "w")
+        step = raked.withColumn("_was", F.col("w"))
+        for dim in DIMS:
+            step = fill(step, "w", "cap", F.col(f"t_{dim}"), [dim], list(DIMS), "w")
+        step = cut(step)
+        raked = step.drop("_was")
+        if (step.agg(F.max(F.abs(F.col("w") - F.col("_was"))).alias("moved")).first()["moved"] or 0.0) <= STILL:
+            break
+    return raked.select(*DIMS, "a", "cap", "w")
+
 
+def rates(table: DataFrame, budget: float = BUDGET) -> DataFrame:
+    """(source, lang, topic, a, w, rate) of cells."""
+    return cells(table, budget).withColumn("rate", F.least(F.lit(1.0), F.coalesce(F.try_divide("w", "cap"), F.lit(1.0)))).drop("cap")
 
-def rates(rows: DataFrame, budget: float = BUDGET) -> DataFrame:
-    table = cells(rows)
-    total = table.agg((F.sum("a") * budget).alias("b"))
-    rate = F.least(F.lit(1.0), F.coalesce(F.col("b") * F.col("w") / F.nullif("a", F.lit(0.0)), F.lit(1.0)))
-    found = cut(table.crossJoin(F.broadcast(total)).withColumn("rate", rate).select(*(f"_{d}" for d in EXPONENTS), F.col("w").alias("_weight"), F.col("rate").alias("_rate")))
-    return F.broadcast(found) if found.limit(MOST_CELLS + 1).count() <= MOST_CELLS else found
+
+def marginals(docs: DataFrame, budget: float = BUDGET) -> DataFrame:
+    """(dimension, value, asked, target, share): target shares as asked for and as the tokens allow, and the expected ones."""
+    table = sums(keyed(docs), prefix(docs))
+    found = cut(rates(table, budget).withColumn("e", F.col("a") * F.col("rate")))
+    out = []
+    for dim in DIMS:
+        share = found.groupBy(dim).agg(F.sum("e").alias("e")).crossJoin(F.broadcast(found.agg(F.sum("e").alias("all"))))
+        out.append(share.join(targets(table, dim, budget), dim).select(F.lit(dim).alias("dimension"), F.col(dim).alias("value"), "asked", F.col("t").alias("target"), F.try_divide("e", "all").alias("share")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 def draw() -> Column:
@@ -90,47 +151,68 @@ def draw() -> Column:
     return part.cast("double") / float(1 << 48)
 
 
+def _rated(docs: DataFrame, budget: float) -> tuple[DataFrame, str]:
+    p, rows = prefix(docs), keyed(docs)
+    found = cut(rates(sums(rows, p), budget).select(*(F.col(d).alias(p + d) for d in DIMS), F.col("w").alias(p + "weight"), F.round(F.col("rate") + 1e-9, 6).alias(p + "rate")))
+    few = found.limit(MOST_CELLS + 1).count() <= MOST_CELLS
+    return rows.join(F.broadcast(found) if few else found, [p + d for d in DIMS]), p
+
+
 def mix(docs: DataFrame, budget: float = BUDGET) -> DataFrame:
     """Every document with its cell, tokens, weight, probability and whether it is sampled."""
-    rows = keyed(docs)
-    return rows.join(rates(rows, budget), [f"_{d}" for d in EXPONENTS]).select(
-        "doc_id", *(F.col(f"_{d}").alias(d) for d in EXPONENTS), F.col("_tokens").alias("n_tokens"),
-        F.round("_weight", 9).alias("weight"), F.round("_rate", 9).alias("probability"), (draw() < F.col("_rate")).alias("sampled"),
+    rows, p = _rated(docs, budget)
+    return rows.select(
+        "doc_id", *(F.col(p + d).alias(d) for d in DIMS), F.col(p + "tokens").alias("n_tokens"),
+        F.round(F.col(p + "weight") + 1e-9, 6).alias("weight"), F.col(p + "rate").alias("probability"), (draw() < F.col(p + "rate")).alias("sampled"),
     )
 
 
 def sample(docs: DataFrame, budget: float = BUDGET) -> DataFrame:
     """The sampled rows of docs, with the columns of docs."""
-    rows = keyed(docs)
-    kept = rows.join(rates(rows, budget), [f"_{d}" for d in EXPONENTS]).where(draw() < F.col("_rate"))
-    return kept.select(*docs.columns)
+    rows, p = _rated(docs, budget)
+    return rows.where(draw() < F.col(p + "rate")).select(*(f"`{c}`" for c in docs.columns))
+
+
+def _fill_sql(source: str, base: str, cap: str, total: str, part: str, order: str, keep: str, name: str) -> str:
+    """A select that does as ``fill``; the rounds are written out one after another."""
+    ranked = f"{part} ORDER BY ask, {order}"
+    return f"""(SELECT {keep}, CASE WHEN full_ THEN {cap} ELSE least({cap}, coalesce({base} * greatest({total} - spent, 0) / nullif(free, 0), 0)) END AS {name}
+      FROM (SELECT *, sum(CASE WHEN full_ THEN {cap} ELSE 0 END) OVER ({part}) AS spent, sum(CASE WHEN full_ THEN 0 ELSE {base} END) OVER ({part}) AS free
+      FROM (SELECT *, coalesce(ask <= ({total} - coalesce(sum({cap}) OVER ({ranked} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / nullif(sum({base}) OVER ({part}) - coalesce(sum({base}) OVER ({ranked} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0), false) AS full_
+      FROM (SELECT *, coalesce({cap} / nullif({base}, 0), 'inf'::DOUBLE) AS ask FROM {source}))))"""
 
 
 def oracle() -> str:
-    """The same rows in DuckDB; the rounds are written out one after another."""
-    held = lambda mark: f"(length(t) - length(replace(t, {mark}, '')))"
-    marks = {n: held("chr(10)" if m == "\n" else f"'{m}'") for n, m in MARKS.items()}
-    most = f"greatest({', '.join(marks.values())})"
-    named = " ".join(f"WHEN {c} = {most} THEN '{n}'" for n, c in marks.items())
+    """The same rows in DuckDB."""
+    counts = {n: f"length(regexp_replace(t, '{mark}', chr(1) || chr(2), 'g')) - length(regexp_replace(t, '{mark}', chr(1), 'g'))" for n, (mark, _) in TOPICS.items()}
+    ok = {n: f"n_{n} > 0 AND n_{n} * {PER} >= length(t) * {least}" for n, (_, least) in TOPICS.items()}
+    most = f"greatest({', '.join(f'CASE WHEN {c} THEN n_{n} ELSE 0 END' for n, c in ok.items())})"
+    named = " ".join(f"WHEN {c} AND n_{n} = {most} THEN '{n}'" for n, c in ok.items())
+    keys = ", ".join(DIMS)
     sql = f"""WITH k AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
-    r AS (SELECT doc_id, source, lang, CASE WHEN {most} * 50 < length(t) OR length(t) = 0 THEN 'prose' {named} END AS topic,
-      CASE WHEN length(t) > 0 THEN {held("' '")} + 1 ELSE 0 END AS n FROM k),
-    c0 AS (SELECT source, lang, topic, sum(n)::DOUBLE AS a FROM r GROUP BY ALL)"""
+    m AS (SELECT *, {', '.join(f'{c} AS n_{n}' for n, c in counts.items())} FROM k),
+    r AS MATERIALIZED (SELECT doc_id, source, lang, CASE WHEN {most} = 0 THEN 'prose' {named} END AS topic,
+      CASE WHEN length(t) > 0 THEN length(t) - length(replace(t, ' ', '')) + 1 ELSE 0 END AS n FROM m),
+    c0 AS MATERIALIZED (SELECT source, lang, topic, sum(n)::DOUBLE AS a FROM r GROUP BY ALL), b AS MATERIALIZED (SELECT sum(a) AS al FROM c0)"""
     for d, p in EXPONENTS.items():
         sql += f""",
-    s_{d} AS (SELECT {d}, CASE WHEN sum(a) > 0 THEN pow(sum(a), {p}) ELSE 0 END AS t FROM c0 GROUP BY {d}),
-    t_{d} AS (SELECT {d}, t / (SELECT sum(t) FROM s_{d}) AS t_{d} FROM s_{d})"""
-    sql += f",\n    f0 AS (SELECT *, a AS w FROM c0 {' '.join(f'JOIN t_{d} USING ({d})' for d in EXPONENTS)})"
+    s_{d} AS MATERIALIZED (SELECT {d}, sum(a) AS s, CASE WHEN sum(a) > 0 THEN pow(sum(a), {p}) ELSE 0 END AS g FROM c0 GROUP BY {d}),
+    u_{d} AS MATERIALIZED (SELECT {d}, coalesce(g / nullif((SELECT sum(g) FROM s_{d}), 0), 0) AS asked, coalesce(s / nullif((SELECT al FROM b) * {BUDGET}, 0), 0) AS most FROM s_{d}),
+    t_{d} AS MATERIALIZED (SELECT * FROM {_fill_sql(f"u_{d}", "asked", "most", "1.0::DOUBLE", "PARTITION BY 1", d, d, f"t_{d}")})"""
+    carry = f"{keys}, a, cap, {', '.join(f't_{d}' for d in DIMS)}"
+    sql += f""",
+    f0 AS MATERIALIZED (SELECT {carry.replace("a, cap", "a, coalesce(a / nullif((SELECT al FROM b) * " + str(BUDGET) + ", 0), 0) AS cap")}, coalesce(a / nullif((SELECT al FROM b), 0), 0) AS w FROM c0 {' '.join(f'JOIN t_{d} USING ({d})' for d in DIMS)})"""
     n = 0
     for _ in range(ROUNDS):
-        for d in EXPONENTS:
+        for d in DIMS:
             n += 1
-            sql += f",\n    f{n} AS (SELECT * EXCLUDE (w), coalesce(w * t_{d} / nullif(sum(w) OVER (PARTITION BY {d}), 0), 0) AS w FROM f{n - 1})"
+            sql += f",\n    f{n} AS MATERIALIZED (SELECT * FROM {_fill_sql(f'f{n - 1}', 'w', 'cap', f't_{d}', f'PARTITION BY {d}', keys, carry, 'w')})"
     return (
         sql
         + f""",
-    z AS (SELECT source, lang, topic, w, least(1.0, coalesce((SELECT sum(a) * {BUDGET} FROM c0) * w / nullif(a, 0), 1.0)) AS rate FROM f{n})
-    SELECT doc_id, source, lang, topic, n::BIGINT AS n_tokens, round(w, 9) AS weight, round(rate, 9) AS probability,
-      ('0x' || substr(md5(doc_id::VARCHAR), 1, 12))::BIGINT / {float(1 << 48)} < rate AS sampled
-    FROM r JOIN z USING (source, lang, topic)"""
+    z AS (SELECT {keys}, w, round(least(1.0, coalesce(w / nullif(cap, 0), 1.0)) + 1e-9, 6) AS rate FROM f{n})
+    SELECT doc_id, source, lang, topic, n::BIGINT AS n_tokens, round(w + 1e-9, 6) AS weight, rate AS probability,
+      ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT / {float(1 << 48)} < rate AS sampled
+    FROM r JOIN z USING ({keys})"""
     )

@@ -98,14 +98,40 @@ def test_components(spark):
 def test_mixing_reaches_marginals(spark):
     rows = [(i, "w " * 20, "en" if i % 4 else "fr", "big" if i % 10 else "small", 40, 0.0) for i in range(4000)]
     docs = spark.createDataFrame(rows, SCHEMA)
-    cells = mixing.cells(mixing.keyed(docs)).collect()
-    share = sum(r.w for r in cells if r._source == "small")
-    assert abs(share - 0.1**0.5 / (0.1**0.5 + 0.9**0.5)) < 1e-6
-    got = mixing.mix(docs)
-    assert got.count() == 4000 and 0.4 < got.where("sampled").count() / 4000 < 0.6
+    shares = {(r.dimension, r.value): r for r in mixing.marginals(docs, 0.1).collect()}
+    small = shares["source", "small"]
+    assert abs(small.asked - 0.1**0.5 / (0.1**0.5 + 0.9**0.5)) < 1e-9 and all(abs(r.share - r.target) < 1e-6 for r in shares.values())
+    # Half of all tokens: the small source has a fifth of that at most, and the others take up the rest.
+    got = {(r.dimension, r.value): r for r in mixing.marginals(docs).collect()}
+    assert abs(got["source", "small"].target - 0.2) < 1e-9 and abs(got["source", "small"].share - 0.2) < 1e-6 and got["source", "small"].asked > 0.24
+    mixed = mixing.mix(docs)
+    expected = mixed.agg(F.sum(F.col("n_tokens") * F.col("probability")), F.sum("n_tokens")).first()
+    assert abs(expected[0] / expected[1] - mixing.BUDGET) < 1e-5 and mixed.where("probability > 1").count() == 0
+    assert mixed.count() == 4000 and 0.45 < mixed.where("sampled").count() / 4000 < 0.55
     assert mixing.sample(docs).columns == docs.columns
 
 
+def test_mixing_budget_on_skewed_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    r = mixing.mix(docs).agg(F.sum(F.col("n_tokens") * F.col("probability")).alias("e"), F.sum("n_tokens").alias("n")).first()
+    assert abs(r.e / r.n - mixing.BUDGET) < 1e-4
+
+
+def test_filling_keeps_caps(spark):
+    rows = [("a", 1.0, 0.1), ("b", 1.0, 0.5), ("c", 2.0, 0.5), ("d", 0.0, 0.3)]
+    df = spark.createDataFrame(rows, "k string, base double, cap double").withColumn("one", F.lit(1))
+    got = {r.k: r.v for r in mixing.fill(df, "base", "cap", F.lit(1.0), ["one"], ["k"], "v").collect()}
+    assert got["a"] == 0.1 and got["d"] == 0 and abs(got["c"] - 0.5) < 1e-12 and abs(got["b"] - 0.4) < 1e-12
+
+
+def test_mixing_topics_and_odd_columns(spark):
+    texts = ["", "plain words only", "| a | b |" * 9, "Copyright 2020, no warranty", "mail a@b.c", "x = {y};" * 4, None, '"Who?" "I?"', "a\nb\nc"]
+    rows = [(i, t, None, "s", "clash", 1, 0.5) for i, t in enumerate(texts)] + [(1, "plain words only", None, "s", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _topic string, __rate int, score double")
+    assert [r.topic for r in mixing.mix(docs).where("doc_id <> 1").orderBy("doc_id").collect()] == ["prose", "table", "legal", "contact", "code", "prose", "talk", "list"]
+    assert mixing.mix(docs).count() == 10 and mixing.sample(docs, 1.0).columns == docs.columns and mixing.sample(docs, 1.0).count() == 10
+
+
 def test_pipeline_drops_pairs_at_its_own_threshold(spark):
     import corpus_pipeline
 
