@@ -2,19 +2,27 @@
 
 1. Anchors. The least-hash ``K``-byte string of every window of ``LENGTH`` bytes is its anchor, so equal windows
    have equal anchors. Anchor hashes travel packed by hash range; those that occur twice or more set a bit in a
-   filter of at most ``FILTER_BITS`` bits. The filter's size is fixed; a full filter only lets more through.
-2. Segments. The bytes around each anchor that passes the filter go to the bucket of its hash, packed.
-3. Each bucket builds run-length indexes of its distinct segments: a full suffix order, the Burrows-Wheeler
-   transform as runs with the LF value of each run head, and the least document at the sampled ends of the ranges
-   that share ``LENGTH`` bytes. All segments then stream backwards through the index at once; where a position's
-   range has an earlier document, its match reaches ``LENGTH`` and the window is marked.
+   filter of at most ``FILTER_BITS`` bits. The filter's size is fixed; a full filter only lets more through. Those of
+   ``HOT`` documents or more set a bit in a second, smaller filter.
+2. Segments. The bytes around each anchor that passes the filter go to the bucket of its hash, packed. A hot anchor is
+   split: windows with ``MORE`` bytes or more after it go by it and those bytes, the others have as many before it
+   and go by it and these. Equal segments of one task's share of text are summed first: only those of the least
+   document travel, with one copy of the text; the later documents' are covered whole, and their marks are spread.
+3. Index. The distinct segments of a bucket, some ``INDEXED`` bytes at a time in order of their anchors, are indexed:
+   the Burrows-Wheeler transform of their full suffix order is kept as its runs (first rank, and where LF sends it),
+   and the matching statistics, the length that each suffix shares with one of an earlier document, as samples where
+   they don't just grow by the byte before. All segments then stream backwards through the runs at once; their
+   matches grow byte by byte or change at a sample, and those of ``LENGTH`` and more are marked.
 4. Marks return to their documents, packed by document range, and the covered bytes are cut out.
 
 A text that equals a text with a smaller id is settled at once: all of it is covered if it has ``LENGTH`` bytes.
+Segments count as equal when their 64-bit hashes are, among those of one task's chunk or of one index; windows are
+compared by their bytes.
 
 Edge cases: a null text counts as empty; texts under ``LENGTH`` bytes lose nothing. A null doc_id comes after all
 others. Equal ids aren't smaller than one another; ids should be unique, and of different texts under one id the
 marks are united and clipped. Repeated rows give repeated rows, an empty table none, other columns are ignored.
+A long run of one byte has an anchor at each byte, but one segment; its places travel as numbers.
 A bucket holds the segments of its anchors at once; the number of buckets grows with spark.sql.shuffle.partitions.
 """
 
@@ -39,13 +47,14 @@ SLICE = 1 << 18
 #: 32 MB: the most that the driver and each task hold of the filter.
 FILTER_BITS = 28
 LAST = (1 << 63) - 1
-_packs = "bucket int, subs binary, ids binary, starts binary, sizes binary, texts binary"
+_packs = "bucket int, keys binary, ids binary, sizes binary, counts binary, starts binary, texts binary, marks binary"
 #: Bytes of text whose anchors or segments a task packs at a time.
-CHUNK = 1 << 21
-#: A bucket is indexed in so many parts, by further bits of the anchor hash.
-SUB_BITS = 5
-#: Bytes of distinct segments that one index takes; those of a hotter anchor are matched in passes over window hashes.
-MOST_INDEXED = 1 << 19
+CHUNK = 8 << 20
+#: Documents from which on an anchor is split, bits of the filter of such anchors, and the bytes that it is split by.
+HOT, HOT_BITS, MORE = 2048, 22, 15
+#: Bytes of distinct segments that one index takes; the segments of one anchor stay together.
+INDEXED = 1 << 19
+_marks = [("id", "<i8"), ("a", "<i4"), ("b", "<i4")]
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,7 +147,7 @@ def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list
 
 
 def _repeated(bits: int):
-    """For each bucket its part of the filter."""
+    """For each bucket its parts of the two filters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _runs_of(batches):
@@ -146,54 +155,113 @@ def _repeated(bits: int):
             code = np.zeros((len(flat), 8), np.uint8)
             code[:, :5] = flat
             code = np.sort(code.view("<u8").ravel())
-            twice = code[1:][code[1:] == code[:-1]]
-            part = np.zeros(1 << (FILTER_BITS - bits), bool)
-            part[(twice >> ta.U(40 - (FILTER_BITS - bits))).astype(np.int64)] = True
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(part, bitorder="little").tobytes()], pa.binary())], names=["bucket", "part"])
+            parts = []
+            for times, size in ((2, FILTER_BITS), (HOT, HOT_BITS)):
+                often = code[times - 1 :][code[times - 1 :] == code[: max(0, len(code) - times + 1)]]
+                part = np.zeros(1 << (size - bits), bool)
+                part[(often >> ta.U(40 - (size - bits))).astype(np.int64)] = True
+                parts.append(pa.array([np.packbits(part, bitorder="little").tobytes()], pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *parts], names=["bucket", "part", "hot"])
 
     return run
 
 
-def _segments(shared, bits: int):
-    """Packed segments around the anchors that pass the filter, by bucket."""
+def _bit(table: np.ndarray, bits: int, code: np.ndarray) -> np.ndarray:
+    slot = (code >> ta.U(64 - bits)).astype(np.int64)
+    return (table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+
+def _spans(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(key, row, start, size, hash of the bytes) of the segments around the anchors that pass the filter."""
+    code, at, row = anchors(raw, offsets)
+    hit = _bit(table, FILTER_BITS, code)
+    code, at, row = code[hit], at[hit], row[hit]
+    low, high = np.maximum(at - (LENGTH - K), offsets[row]), np.minimum(at + LENGTH, offsets[row + 1])
+    total = ta.prefix_code(ta.BYTE_CODE[raw])
+    often = np.flatnonzero(_bit(hot, HOT_BITS, code))
+    if len(often):
+        after = often[at[often] + K + MORE <= high[often]]
+        before = often[at[often] - MORE >= low[often]]
+        x, y = at[after] + K, at[before] - MORE
+        keys = ta.mix(code[after] ^ ta.span_hash(total, x, x + MORE)), ta.mix(~code[before] ^ ta.span_hash(total, y, y + MORE))
+        rest = np.setdiff1d(np.arange(len(code)), often)
+        code = np.concatenate([code[rest], *keys])
+        row = np.concatenate([row[rest], row[after], row[before]])
+        low, high = np.concatenate([low[rest], np.maximum(low[after], at[after] - MORE), low[before]]), np.concatenate([high[rest], high[after], np.minimum(high[before], y + MORE + K + MORE)])
+        ok = high - low >= LENGTH
+        code, row, low, high = code[ok], row[ok], low[ok], high[ok]
+    return code, row, low, high - low, ta.span_hash(total, low, high)
+
+
+def _segments(shared, bits: int, parts: int):
+    """Packed distinct segments around the anchors that pass the filter, by bucket; and marks that are settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(shared.value, np.uint8)
+        table, hot = (np.frombuffer(x, np.uint8) for x in shared.value)
+        names = ["bucket", "keys", "ids", "sizes", "counts", "starts", "texts", "marks"]
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for chunk in _chunks(batch.column(1)):
-                found: list[tuple[np.ndarray, ...]] = []
+                found, texts, whole = [], [], 0
                 for first, _, raw, offsets in chunk:
-                    code, at, row = anchors(raw, offsets)
-                    slot = (code >> ta.U(64 - FILTER_BITS)).astype(np.int64)
-                    hit = (table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
-                    code, at, row = code[hit], at[hit], row[hit]
-                    start = np.maximum(at - (LENGTH - K), offsets[row])
-                    size = np.minimum(at + LENGTH, offsets[row + 1]) - start
-                    found.append((code, ids[first + row], (start - offsets[row]).astype(np.int32), size.astype(np.uint8), cut_out(raw, start, size)))
-                code, own, start, size, text = (np.concatenate(x) for x in zip(*found, strict=True))
-                begin = np.cumsum(size.astype(np.int64)) - size
-                sub = ((code >> ta.U(64 - bits - SUB_BITS)) & ta.U((1 << SUB_BITS) - 1)).astype(np.uint8)
+                    key, row, start, size, code = _spans(raw, offsets, table, hot)
+                    found.append((key, code, ids[first + row], (start - offsets[row]).astype(np.int32), size, start + whole))
+                    texts.append(raw)
+                    whole += len(raw)
+                key, code, own, start, size, at = (np.concatenate(x) for x in zip(*found, strict=True))
+                raw = np.concatenate(texts)
+                order = np.lexsort((start, own, code))
+                head = np.flatnonzero(np.r_[True, code[order[1:]] != code[order[:-1]]]) if len(order) else np.zeros(0, np.int64)
+                one = order[head]  # the least document's first segment of each text
+                group = np.repeat(np.arange(len(head)), np.diff(np.r_[head, len(order)]))
+                same = own[order] == own[one][group]
+                counts = np.bincount(group[same], minlength=len(one)).astype("<i4")
+                starts, ends = start[order[same]].astype("<i4"), np.cumsum(counts)
                 out = []
-                for b, at in _grouped((code >> ta.U(64 - bits)).astype(np.int32)):
-                    blobs = (sub[at], own[at], start[at], size[at], cut_out(text, begin[at], size[at].astype(np.int64)))
-                    out.append((b, *(x.tobytes() for x in blobs)))
-                columns = list(zip(*out, strict=True)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "subs", "ids", "starts", "sizes", "texts"])
+                for b, g in _grouped((key[one] >> ta.U(64 - bits)).astype(np.int32)):
+                    o = one[g]
+                    places = cut_out(starts, (ends - counts)[g].astype(np.int64), counts[g].astype(np.int64))
+                    sub = ((key[o] << ta.U(bits)) >> ta.U(32)).astype("<u4")
+                    blobs = (sub, own[o].astype("<i8"), size[o].astype(np.uint8), counts[g], places, cut_out(raw, at[o], size[o]))
+                    out.append((b, *(x.tobytes() for x in blobs), None))
+                later = order[~same]
+                marks = np.zeros(len(later), _marks)
+                marks["id"], marks["a"], marks["b"] = own[later], start[later], start[later] + size[later]
+                out += [(p % (1 << bits), *[None] * 6, united(marks[m]).tobytes()) for p, m in _grouped(part_of(marks["id"], parts))]
+                columns = list(zip(*out, strict=True)) or [()] * 8
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=names)
         ta.release()
 
     return run
 
 
+def united(marks: np.ndarray) -> np.ndarray:
+    """The spans of each document that overlap or touch, as one."""
+    marks = marks[np.lexsort((marks["a"], marks["id"]))]
+    if len(marks) == 0:
+        return marks
+    # Ends grow within a document once they carry the greatest before them; documents are kept apart by their place.
+    place = np.cumsum(np.r_[0, marks["id"][1:] != marks["id"][:-1]]).astype(np.int64) << 32
+    reach = np.maximum.accumulate(place + marks["b"])
+    head = np.flatnonzero(np.r_[True, place[1:] + marks["a"][1:] > reach[:-1]])
+    out = marks[head]
+    out["b"] = (reach[np.r_[head[1:], len(marks)] - 1] & 0xFFFFFFFF).astype(np.int32)
+    return out
+
+
 def cut_out(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The bytes of the spans, one after another."""
+    """The items of the spans, one after another."""
     if len(size) == 0:
         return text[:0]
     return text[np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())]
 
 
-class IndexStream:
-    """Run-compressed Burrows-Wheeler transform of distinct byte strings, each with an owner."""
+class RunIndex:
+    """Run-compressed Burrows-Wheeler transform of distinct byte strings, each with an owner, and its matching statistics.
+
+    What is kept: the runs' first ranks and their LF values, the rank where each string's walk begins, and samples of
+    the matching statistics. The arrays of one entry a suffix are those of the building only.
+    """
 
     def __init__(self, text: np.ndarray, size: np.ndarray, owner: np.ndarray, length: int = LENGTH):
         """``text``: the strings one after another; a terminator below every byte is put after each, ordered by string."""
@@ -209,28 +277,62 @@ class IndexStream:
         rank = np.empty(n, np.int64)
         rank[order] = np.arange(n)
         last = np.where(order > 0, body[order - 1], 0)
-        new = np.r_[True, last[1:] != last[:-1]]
         #: Run heads: first rank of each run, and where LF sends it.
-        self.run_start = np.flatnonzero(new)
+        self.run_start = np.flatnonzero(np.r_[True, last[1:] != last[:-1]])
         before = np.argsort(last, kind="stable")
         lf = np.empty(n, np.int64)
         lf[before] = np.arange(n)
         self.run_lf = lf[self.run_start]
-        self.run_of = (np.cumsum(new) - 1).astype(np.int32)
         # Where each walk begins: the sampled rank of the last position with a whole window.
         self.first_rank = rank[np.maximum(end - length, 0)]
-        # Ends of the ranges of ranks that share ``length`` bytes, and the least owner of each range.
-        code = ta.prefix_code(ta.mix(body.astype(np.uint64) + ta.U(1)))
-        full = left >= length
-        windows = np.zeros(n, np.uint64)
-        at = np.flatnonzero(full)
-        windows[at] = ta.span_hash(code, at, at + length)
-        in_order = windows[order]
-        head = np.r_[True, (in_order[1:] != in_order[:-1]) | (in_order[1:] == 0)]
-        self.range_start = np.flatnonzero(head)
-        self.range_of = (np.cumsum(head) - 1).astype(np.int32)
-        self.range_owner = np.minimum.reduceat(np.repeat(owner, size + 1)[order], self.range_start)
-        self.size, self.owner = size, owner
+        self.size, self.length = size, length
+        shared = self._shared(order, left, body, np.repeat(owner, size + 1), length)
+        # In text order: a match goes on with the byte before, or there is a sample.
+        by_place = np.zeros(n + 1, np.int64)
+        by_place[order] = shared
+        goes_on = np.where(by_place[1:] > 0, by_place[1:] + 1, 0)
+        at = np.flatnonzero((by_place[:-1] != goes_on) & (left >= length))
+        turn = np.argsort(rank[at])
+        #: Samples: ranks, and the matching statistic there.
+        self.sample_rank, self.sample = rank[at[turn]], by_place[at[turn]]
+
+    @staticmethod
+    def _shared(order: np.ndarray, left: np.ndarray, body: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
+        """By rank, how many bytes a suffix shares with one of a smaller owner; 0 where it is under ``length``."""
+        n, found = len(order), np.zeros(len(order), np.int64)
+        # Bytes that neighbours in suffix order share, where both have a whole window: eight at a time, then one by one.
+        most = np.minimum(left[order[:-1]], left[order[1:]])
+        pair = np.flatnonzero(most >= length)
+        a, b = order[pair], order[pair + 1]
+        word = np.zeros(n, np.uint64)
+        padded = np.r_[np.where(body > 0, body - 1, 0).astype(np.uint64), np.zeros(96, np.uint64)]
+        for k in range(8):
+            word = word << ta.U(8) | padded[k : k + n]
+        same = np.zeros(len(pair), np.int64)
+        go = np.arange(len(pair))
+        for k in range(0, int(most.max(initial=0)) + 8, 8):
+            x, y = np.minimum(a[go] + k, n - 1), np.minimum(b[go] + k, n - 1)
+            differ = word[x] ^ word[y]
+            lead = np.full(len(go), 8)
+            for byte in range(7, -1, -1):
+                lead = np.where(differ >> ta.U(8 * (7 - byte)) > 0, byte, lead)
+            same[go] += lead
+            go = go[(lead == 8) & (k + 8 < most[pair[go]])]
+        same = np.minimum(same, most[pair])
+        pair, same = pair[same >= length], same[same >= length]
+        # Runs of ranks that share t bytes, for each t: their least owner.
+        for t in range(length, int(same.max(initial=0)) + 1):
+            pair, same = pair[same >= t], same[same >= t]
+            if len(pair) == 0:
+                break
+            head = np.r_[True, pair[1:] != pair[:-1] + 1]
+            first, run = pair[head], np.cumsum(head) - 1
+            count = np.bincount(run) + 1
+            ranks = cut_out(np.arange(n), first, count)
+            own = owner[order[ranks]]
+            least = np.repeat(np.minimum.reduceat(own, np.r_[0, np.cumsum(count)[:-1]]), count)
+            found[ranks[least < own]] = t
+        return found
 
     @staticmethod
     def _suffix_order(body: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -264,55 +366,24 @@ class IndexStream:
             ended = (left < width)[order]
 
     def stream(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Walks all strings backwards at once: (bytes to the end, strings, least owner of the range of each)."""
-        live = np.flatnonzero(self.size >= LENGTH)
-        at = self.first_rank[live]
-        for step in range(LENGTH, int(self.size.max(initial=0)) + 1):
-            if step > LENGTH:
+        """Walks all strings backwards at once: (bytes to the end, strings, matching statistic of each)."""
+        live = np.flatnonzero(self.size >= self.length)
+        at, match = self.first_rank[live], np.zeros(len(live), np.int64)
+        for step in range(self.length, int(self.size.max(initial=0)) + 1):
+            if step > self.length:
                 go = self.size[live] >= step
-                live, at = live[go], at[go]
-                run = self.run_of[at]
+                live, at, match = live[go], at[go], match[go]
+                run = np.searchsorted(self.run_start, at, "right") - 1
                 at = self.run_lf[run] + at - self.run_start[run]
-            yield step, live, self.range_owner[self.range_of[at]]
-
+                match = np.where(match > 0, match + 1, 0)
+            if len(self.sample):
+                k = np.minimum(np.searchsorted(self.sample_rank, at), len(self.sample) - 1)
+                match = np.where(self.sample_rank[k] == at, self.sample[k], match)
+            yield step, live, match
 
-class PassStream:
-    """The same answers for a hot anchor's many segments: windows are grouped by hash, a bounded share of them at a time."""
 
-    def __init__(self, text: np.ndarray, size: np.ndarray, owner: np.ndarray, length: int = LENGTH):
-        self.text, self.size, self.owner, self.length = text, size, owner, length
-
-    def stream(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        count = np.maximum(self.size - self.length + 1, 0)
-        string = np.repeat(np.arange(len(count), dtype=np.int32), count)
-        into = np.arange(len(string)) - np.repeat(np.cumsum(count) - count, count)
-        step = (self.size[string] - into).astype(np.int16)
-        code = self._windows(count, into)
-        passes = 1 + len(code) // MOST_INDEXED
-        for p in range(passes):
-            own = np.flatnonzero(code % ta.U(passes) == p)
-            if len(own) == 0:
-                continue
-            own = own[np.argsort(code[own])]
-            head = np.flatnonzero(np.r_[True, code[own[1:]] != code[own[:-1]]])
-            least = np.repeat(np.minimum.reduceat(self.owner[string[own]], head), np.diff(np.r_[head, len(own)]))
-            for s, at in _grouped(step[own]):
-                yield s, string[own[at]], least[at]
-
-    def _windows(self, count: np.ndarray, into: np.ndarray) -> np.ndarray:
-        """Hashes of all windows, some thousand strings at a time."""
-        out = np.empty(len(into), np.uint64)
-        ends, first = np.r_[0, np.cumsum(self.size)], np.r_[0, np.cumsum(count)]
-        for a in range(0, len(count), 4096):
-            b = min(a + 4096, len(count))
-            total = ta.prefix_code(ta.BYTE_CODE[self.text[ends[a] : ends[b]]])
-            at = np.repeat(ends[a:b] - ends[a], count[a:b]) + into[first[a] : first[b]]
-            out[first[a] : first[b]] = ta.span_hash(total, at, at + self.length)
-        return out
-
-
-def matches(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, from, to) of the bytes of each segment that windows of earlier documents cover."""
+def matches(ids: np.ndarray, sizes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(from, to) of the bytes of each segment that windows of earlier documents cover; to is 0 where none do."""
     offsets = np.r_[0, np.cumsum(sizes)]
     code = np.empty(len(ids), np.uint64)
     for a in range(0, len(ids), 4096):
@@ -323,42 +394,50 @@ def matches(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, text: np.nda
     group = np.empty(len(ids), np.int64)
     group[order] = np.cumsum(head) - 1
     one = order[head]  # the least document of each distinct segment
-    source = IndexStream if sizes[one].sum() <= MOST_INDEXED else PassStream
-    index = source(cut_out(text, offsets[one], sizes[one]), sizes[one], ids[one])
+    index = RunIndex(cut_out(text, offsets[one], sizes[one]), sizes[one], ids[one])
     # A window covers the anchor, so all windows of a segment overlap: their union is one span.
-    low, high = np.full(len(one), 1 << 20), np.full(len(one), -1)
-    for step, live, least in index.stream():
-        hit = live[least < index.owner[live]]
+    low, high = np.full(len(one), 1 << 20), np.zeros(len(one), np.int64)
+    for step, live, match in index.stream():
+        hit = live[match > 0]
         begin = sizes[one][hit] - step
         low[hit] = np.minimum(low[hit], begin)
-        high[hit] = np.maximum(high[hit], begin + LENGTH)
+        high[hit] = np.maximum(high[hit], begin + match[match > 0])
     later = ids > ids[one][group]
-    low, high = low[group], high[group]
-    whole = later & (sizes >= LENGTH)
-    low, high = np.where(whole, 0, low), np.where(whole, sizes, high)
-    ok = high > 0
-    return ids[ok], starts[ok] + low[ok], starts[ok] + high[ok]
+    return np.where(later, 0, low[group]), np.where(later, sizes, high[group])
+
+
+def _batches(keys: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Segments in order of their keys, some INDEXED bytes at a time; those of one key stay together."""
+    order = np.argsort(keys, kind="stable")
+    begin = np.cumsum(sizes[order]) - sizes[order]
+    head = np.flatnonzero(np.r_[True, keys[order[1:]] != keys[order[:-1]]])
+    share = begin[head] // INDEXED
+    for a, b in zip(first := head[np.r_[True, share[1:] != share[:-1]]], [*first[1:], len(order)], strict=True):
+        yield order[a:b]
 
 
 def _resolve(parts: int):
     """Marks of all buckets of a task, packed by document: rows (part, marks)."""
-    kind = [("id", "<i8"), ("a", "<i4"), ("b", "<i4")]
 
     def done(held: list[np.ndarray]) -> pa.RecordBatch:
-        marks = np.concatenate([np.zeros(0, kind), *held])
-        out = [(p, marks[own].tobytes()) for p, own in _grouped(part_of(marks["id"], parts))]
+        marks = np.concatenate([np.zeros(0, _marks), *held])
+        out = [(p, united(marks[own]).tobytes()) for p, own in _grouped(part_of(marks["id"], parts))]
         return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([m for _, m in out], pa.binary())], names=["part", "marks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for _, rows in _runs_of(batches):
+            held += [np.frombuffer(r[6], _marks) for r in rows if r[6] is not None]
+            rows = [r for r in rows if r[6] is None]
             get = lambda k, kind: np.frombuffer(b"".join(r[k] for r in rows), kind)  # noqa: E731, B023
-            sub, ids, starts, sizes, text = get(0, np.uint8), get(1, np.int64), get(2, np.int32).astype(np.int64), get(3, np.uint8).astype(np.int64), get(4, np.uint8)
-            begin = np.cumsum(sizes) - sizes
-            for _, own in _grouped(sub):
-                found, a, b = matches(ids[own], starts[own], sizes[own], cut_out(text, begin[own], sizes[own]))
-                marks = np.zeros(len(found), kind)
-                marks["id"], marks["a"], marks["b"] = found, a, b
+            keys, ids, sizes, counts, starts, text = get(0, "<u4"), get(1, "<i8"), get(2, np.uint8).astype(np.int64), get(3, "<i4").astype(np.int64), get(4, "<i4"), get(5, np.uint8)
+            begin, place = np.cumsum(sizes) - sizes, np.cumsum(counts) - counts
+            for own in _batches(keys, sizes) if len(keys) else ():
+                a, b = matches(ids[own], sizes[own], cut_out(text, begin[own], sizes[own]))
+                own, a, b = own[b > 0], a[b > 0], b[b > 0]
+                start, n = cut_out(starts, place[own], counts[own]), counts[own]
+                marks = np.zeros(len(start), _marks)
+                marks["id"], marks["a"], marks["b"] = np.repeat(ids[own], n), start + np.repeat(a, n), start + np.repeat(b, n)
                 held.append(marks)
             if sum(map(len, held)) >= 1 << 20:
                 yield done(held)
@@ -386,7 +465,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held.append(m)
                 continue
             if marks is None:
-                marks = np.frombuffer(b"".join(held), [("id", "<i8"), ("a", "<i4"), ("b", "<i4")])
+                marks = np.frombuffer(b"".join(held), _marks)
                 marks = marks[np.lexsort((marks["a"], marks["id"]))]
             raw = text.encode()
             spans: list[list[int]] = []
@@ -414,19 +493,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = min(FILTER_BITS - 3, max(6, (4 * partitions - 1).bit_length()))
+    bits = min(HOT_BITS - 3, max(6, (4 * partitions - 1).bit_length()))
+    parts = 2 * partitions
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("key"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.sha2("text", 256))
     twins = rows.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     rows = rows.join(small(cut(twins)), "digest", "left").withColumn("copy", F.coalesce(F.col("first") < F.col("key"), F.lit(False)))
     heads = rows.where(~F.col("copy")).select("key", "text")
     posted = heads.select("text").mapInArrow(_post(bits), "bucket int, hashes binary").repartition("bucket").sortWithinPartitions("bucket")
-    table = bytearray(1 << (FILTER_BITS - 3))
-    width = len(table) >> bits
-    for r in posted.mapInArrow(_repeated(bits), "bucket int, part binary").toLocalIterator():
-        table[r.bucket * width : (r.bucket + 1) * width] = r.part
-    shared = spark.sparkContext.broadcast(bytes(table))
-    packed = heads.mapInArrow(_segments(shared, bits), _packs).repartition("bucket").sortWithinPartitions("bucket")
-    parts = 2 * partitions
+    tables = [bytearray(1 << (size - 3)) for size in (FILTER_BITS, HOT_BITS)]
+    for r in posted.mapInArrow(_repeated(bits), "bucket int, part binary, hot binary").toLocalIterator():
+        for table, part in zip(tables, (r.part, r.hot), strict=True):
+            table[r.bucket * len(part) : (r.bucket + 1) * len(part)] = part
+    shared = spark.sparkContext.broadcast([bytes(table) for table in tables])
+    packed = heads.mapInArrow(_segments(shared, bits, parts), _packs).repartition("bucket").sortWithinPartitions("bucket")
     marks = packed.mapInArrow(_resolve(parts), "part int, marks binary")
     dealt = rows.mapInArrow(_deal(parts), "part int, marks binary, doc_id long, id long, text string, copy boolean")
     both = dealt.unionByName(marks, allowMissingColumns=True)

@@ -173,8 +173,9 @@ def test_fingerprints_keep_every_anchor(spark):
         assert got[i].fingerprint == " ".join(f"{h >> 32:08x}.{p}" for h, p in zip(code.tolist(), at.tolist(), strict=True))
 
 
-def test_long_matches_equal_brute_force(docs, texts):
-    got, seen = by_id(long_matches.remove_repeats(docs)), set()
+def brute_long_matches(texts):
+    """(n_bytes, n_removed, n_spans, kept_sha256) by id, from a set of all earlier 50-byte strings."""
+    out, seen = {}, set()
     for i in sorted(texts):
         raw = texts[i].encode()
         mark, own = np.zeros(len(raw), bool), set()
@@ -183,19 +184,40 @@ def test_long_matches_equal_brute_force(docs, texts):
             if raw[j : j + 50] in seen:
                 mark[j : j + 50] = True
         seen |= own
-        kept = bytes(np.frombuffer(raw, np.uint8)[~mark])
         spans = int((mark & ~np.r_[False, mark[:-1]]).sum()) if len(raw) else 0
-        assert tuple(got[i])[1:] == (len(raw), int(mark.sum()), spans, hashlib.sha256(kept).hexdigest())
+        out[i] = (len(raw), int(mark.sum()), spans, hashlib.sha256(bytes(np.frombuffer(raw, np.uint8)[~mark])).hexdigest())
+    return out
 
 
-def test_hot_anchors_match_alike(monkeypatch):
+def test_long_matches_equal_brute_force(docs, texts, monkeypatch):
+    assert {i: tuple(r)[1:] for i, r in by_id(long_matches.remove_repeats(docs)).items()} == brute_long_matches(texts)
+
+
+@pytest.mark.parametrize("hot", [2, 2048])
+def test_long_matches_on_the_smallest_table(spark, monkeypatch, hot):
+    monkeypatch.setattr(long_matches, "HOT", hot)
+    monkeypatch.setattr(long_matches, "INDEXED", 1 << 12)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    # Passages in many contexts, shifted, and long runs of one byte and of two.
+    rng = np.random.default_rng(7)
+    more = [PASSAGE[k : k + 60 + k] + "".join(map(chr, rng.integers(97, 123, 9))) + PASSAGE[20 : 60 + 2 * k] for k in range(30)] + ["a" * 30_000, "b" + "a" * 120, "ab" * 5_000, "ba" * 40]
+    docs = docs.unionByName(spark.createDataFrame([(100_000 + i, t) for i, t in enumerate(more)], "doc_id long, text string")).repartition(3)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert {i: tuple(r)[1:] for i, r in by_id(long_matches.remove_repeats(docs)).items()} == brute_long_matches(texts)
+
+
+def test_run_index_matching_statistics():
     rng = np.random.default_rng(1)
-    base = rng.integers(97, 101, 400).astype(np.uint8)
-    parts = [base[a : a + n].copy() for a, n in zip(rng.integers(0, 320, 200), rng.integers(40, 81, 200), strict=True)]
-    args = rng.integers(0, 60, 200), np.zeros(200, np.int64), np.array([len(x) for x in parts]), np.concatenate(parts)
-    want = long_matches.matches(*args)
-    monkeypatch.setattr(long_matches, "MOST_INDEXED", 900)
-    assert all(np.array_equal(a, b) for a, b in zip(want, long_matches.matches(*args), strict=True))
+    base = rng.integers(97, 99, 300).astype(np.uint8)
+    parts = list({bytes(base[a : a + n]): None for a, n in zip(rng.integers(0, 220, 300), rng.integers(20, 81, 300), strict=True)})
+    size, owner = np.array([len(p) for p in parts]), rng.integers(0, 40, len(parts))
+    index = long_matches.RunIndex(np.frombuffer(b"".join(parts), np.uint8), size, owner, 20)
+    assert len(index.run_start) < sum(size) // 4 and len(index.sample) < sum(size) // 4
+    for step, live, match in index.stream():
+        for i, got in zip(live.tolist(), match.tolist(), strict=True):
+            at = len(parts[i]) - step
+            want = max((k for k in range(20, step + 1) if any(owner[j] < owner[i] and parts[i][at : at + k] in p for j, p in enumerate(parts))), default=0) if i % 9 == 0 else got
+            assert got == want
 
 
 def test_media_round_trip(docs, texts):
