@@ -4,15 +4,17 @@ The patterns give the base spans, leftmost and non-overlapping per kind; matches
 255, digits, Luhn) are dropped without a second try. They are matched in linear time: a start inside a run that
 failed at the run's first character cannot succeed, so it isn't tried.
 
-The field labels words with O, B-kind or I-kind. Its features are the word's shape (runs of letters and digits
+The field labels words with O, B-kind or I-kind. Its features are the whole word's shape (runs of letters and digits
 written once), digit counts and marker characters; it is trained by gradient ascent on the conditional likelihood
-of a small labelled table. A word without digits, '@' and '+' is *plain*; training fixes O on plain words by a
-margin larger than any gain from transitions, so the best path is O there and Viterbi splits exactly into the
-runs between plain words. All runs of a batch are decoded together. A decoded span is added where it overlaps no
-base span.
+of a small labelled table. A word without digits, '@' and '+' is *plain*: all plain words have one feature, so the
+best way through a gap of them depends on the labels on both sides and on their number only. These ways are tabled
+for each number until one more plain word only adds an O in the middle, and Viterbi steps from one other word to the
+next through the table: the same path as over all words. The words of all texts of a batch are decoded together. A
+decoded span is added where it overlaps no base span.
 
 Edge cases: null and empty texts have no spans and the digest of the empty string. Offsets are code points.
-Very long texts are scanned once. Repeated rows give repeated rows; other columns are left alone.
+Very long texts and words are scanned once. Repeated rows give repeated rows; other columns are left alone, and
+``redact`` counts ``n_chars`` anew where there is such a column. An empty labelled table gives a field that adds nothing.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ MOST_LABELLED = 2000
 
 _SPECIAL = re.compile(r"[0-9@+]")
 _WORD = re.compile(r"\S+")
+_LETTERS, _DIGITS, _AGAIN = re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile(r"(.)\1+", re.DOTALL)
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -73,6 +76,9 @@ c++ and a+b are fine + more
 item no. 7 costs 9.99 each
 room 101 floor 3 building 7b
 order 8841 shipped on 12/05/2020 by air
+order 4111111111111112 shipped to the shop
+ref 5500000000000005 is still open
+code 6011000990139425 printed on the box
 follow @news or @team for updates
 sizes 10 20 30 and 40 remain
 id 123456789012345678901234 is long
@@ -81,24 +87,19 @@ id 123456789012345678901234 is long
 
 def shape(word: str) -> str:
     """Character classes with runs written once: letters a, digits 9, other characters as they stand."""
-    out, last = [], ""
-    for c in word[:80]:
-        k = "9" if c.isdigit() else "a" if c.isalpha() else c
-        if k != last:
-            out.append(k)
-            last = k
-    return "".join(out[:24])
+    return _AGAIN.sub(r"\1", _DIGITS.sub("9", _LETTERS.sub("a", word)))
 
 
 def features(word: str) -> list[str]:
     """The word's features; a plain word has only one."""
     if not _SPECIAL.search(word):
         return ["plain"]
-    digits = sum(c.isdigit() for c in word)
-    length = "".join(f"{min(len(r), 9)}" for r in re.findall(r"[0-9]+", word)[:5])
-    found = ["special", f"shape={shape(word)}", f"digits={min(digits, 20)}", f"runs={length}"]
+    runs, form = _DIGITS.findall(word), shape(word)
+    found = ["special", f"shape={form}", f"digits={min(sum(map(len, runs)), 20)}", f"runs={''.join(str(min(len(r), 9)) for r in runs)}"]
     found += [f"has={c}" for c in "@+().-:=/%," if c in word]
-    return found + [f"first={shape(word)[:1]}", f"letters={any(c.isalpha() for c in word)}"]
+    if 12 < sum(map(len, runs)) < 20:
+        found.append(f"luhn={luhn(''.join(runs))}")
+    return found + [f"first={form[:1]}", f"letters={'a' in form}"]
 
 
 def labelled_table(spark: SparkSession) -> DataFrame:
@@ -119,27 +120,51 @@ def labelled_table(spark: SparkSession) -> DataFrame:
 class Field:
     """Weights of a trained field and its Viterbi decoder."""
 
+    #: At most so many plain words are tabled before one more must not matter any longer.
+    MOST_GAP = 64
+
     def __init__(self, names: dict[str, int], emit: np.ndarray, move: np.ndarray):
         self.names, self.emit, self.move = names, emit, move
-        self.known: dict[tuple[str, ...], np.ndarray] = {}
+        self.known: dict[tuple[int, ...], np.ndarray] = {}
+        plain = emit[names["plain"]]
+        #: By number of plain words: the best score from the label before to the one after, and the labels of that way.
+        self.gap, self.ways = [move], [[[[] for _ in TAGS] for _ in TAGS]]
+        while True:
+            step = self.gap[-1][:, :, None] + plain[None, :, None] + move[None]
+            best = step.argmax(1)
+            self.gap.append(step.max(1))
+            self.ways.append([[[*self.ways[-1][i][best[i, j]], int(best[i, j])] for j in range(len(TAGS))] for i in range(len(TAGS))])
+            k, change = len(self.gap) - 1, self.gap[-1] - self.gap[-2]
+            if k > 2 and np.ptp(change) < 1e-9 and all(w[: k // 2] + w[k // 2 + 1 :] == v and w[k // 2] == 0 for ws, vs in zip(self.ways[k], self.ways[k - 1], strict=True) for w, v in zip(ws, vs, strict=True)):
+                break
+            if k == self.MOST_GAP:
+                raise ValueError("plain words settle on no label: the labelled table has spans of plain words")
+        self.table = np.array(self.gap)
+        self.calm = not any(any(w[0][0]) for w in self.ways)
 
     def scores(self, word: str) -> np.ndarray:
-        found = tuple(features(word))
+        found = tuple(self.names[f] for f in features(word) if f in self.names)
         if (s := self.known.get(found)) is None:
-            if len(self.known) > 100_000:
-                self.known.clear()
-            s = self.known[found] = self.emit[[self.names[f] for f in found if f in self.names]].sum(0)
+            s = self.known[found] = self.emit[list(found)].sum(0)
         return s
 
-    def margin(self) -> float:
-        """By how much O leads on a plain word, less the most that transitions on both sides can give back."""
-        plain = self.emit[self.names["plain"]]
-        return float(plain[0] - plain[1:].max() - 2 * (self.move.max() - self.move.min()))
+    def way(self, k: int, i: int, j: int) -> list[int]:
+        """Labels of k plain words between labels i and j."""
+        most = len(self.ways) - 1
+        if k <= most:
+            return self.ways[k][i][j]
+        w = self.ways[most][i][j]
+        return [*w[: most // 2], *[0] * (k - most), *w[most // 2 :]]
+
+    def decode(self, runs: list[list[str]], gaps: list[list[int]] | None = None) -> list[list[int]]:
+        """Best labels of the words of each run; runs of like length go together, an O stands before and after each.
 
-    def decode(self, runs: list[list[str]]) -> list[list[int]]:
-        """Best labels of each run of words; runs of like length go together, an O stands before and after each."""
+        ``gaps``: how many plain words stand before each word, and after the last; none where it isn't given.
+        """
         out: list[list[int]] = [[] for _ in runs]
-        order = sorted(range(len(runs)), key=lambda r: len(runs[r]))
+        gaps = gaps or [[0] * (len(r) + 1) for r in runs]
+        most = len(self.table) - 1
+        order = sorted((r for r in range(len(runs)) if runs[r]), key=lambda r: len(runs[r]))
         a = 0
         while a < len(order):
             b = a + 1
@@ -149,16 +174,18 @@ class Field:
             longest = len(runs[own[-1]])
             e = np.zeros((len(own), longest, len(TAGS)))
             size = np.array([len(runs[r]) for r in own])
+            gap = np.zeros((len(own), longest), np.int64)
             for i, r in enumerate(own):
+                gap[i, : size[i]] = np.minimum(gaps[r][:-1], most)
                 for t, w in enumerate(runs[r]):
                     e[i, t] = self.scores(w)
-            best = self.move[0] + e[:, 0]
+            best = self.table[gap[:, 0], 0] + e[:, 0]
             back = np.zeros((len(own), longest, len(TAGS)), np.int8)
             for t in range(1, longest):
-                step = best[:, :, None] + self.move
+                step = best[:, :, None] + self.table[gap[:, t]]
                 back[:, t] = step.argmax(1)
                 best = np.where((t < size)[:, None], step.max(1) + e[:, t], best)
-            at = (best + self.move[:, 0]).argmax(1)
+            at = (best + self.table[np.minimum([gaps[r][-1] for r in own], most), :, 0]).argmax(1)
             for i, r in enumerate(own):
                 path = [int(at[i])]
                 for t in range(size[i] - 1, 0, -1):
@@ -168,46 +195,56 @@ class Field:
         return out
 
 
+def likelihood(emit: np.ndarray, move: np.ndarray, fs: list[list[int]], tags: list[int]) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log likelihood of a line's labels and its gradients, from forward and backward sums."""
+    size, n = len(fs), len(TAGS)
+    ge, gm = np.zeros_like(emit), np.zeros_like(move)
+    score = np.array([emit[f].sum(0) for f in fs])
+    fore, aft = np.zeros((size, n)), np.zeros((size, n))
+    fore[0] = score[0] + move[0]
+    for t in range(1, size):
+        fore[t] = score[t] + np.logaddexp.reduce(fore[t - 1][:, None] + move, axis=0)
+    aft[-1] = move[:, 0]
+    for t in range(size - 2, -1, -1):
+        aft[t] = np.logaddexp.reduce(move + (score[t + 1] + aft[t + 1])[None, :], axis=1)
+    whole = np.logaddexp.reduce(fore[-1] + move[:, 0])
+    told = -whole
+    for t, before in enumerate([0, *tags[:-1]]):
+        told += score[t, tags[t]] + move[before, tags[t]]
+        g = -np.exp(fore[t] + aft[t] - whole)
+        g[tags[t]] += 1
+        np.add.at(ge, fs[t], g)
+        if t:
+            gm -= np.exp(fore[t - 1][:, None] + move + (score[t] + aft[t])[None, :] - whole)
+        else:
+            gm[0] -= np.exp(fore[0] + aft[0] - whole)
+        gm[before, tags[t]] += 1
+    gm[:, 0] -= np.exp(fore[-1] + aft[-1] - whole)
+    gm[tags[-1], 0] += 1
+    return float(told + move[tags[-1], 0]), ge, gm
+
+
 def train(table: DataFrame, rounds: int = 300, rate: float = 0.3, decay: float = 0.01) -> Field:
-    """A field fitted by gradient ascent (Adagrad steps) with exact expectations from forward and backward sums."""
+    """A field fitted by gradient ascent (Adagrad steps) on the likelihood, less a decay, of a table (words, tags)."""
     rows = table.limit(MOST_LABELLED).collect()
     lines = [([features(w) for w in r.words], [TAGS.index(t) for t in r.tags]) for r in rows if r.words]
-    names: dict[str, int] = {"plain": 0}
-    for fs, _ in lines:
-        for f in {x for w in fs for x in w}:
-            names.setdefault(f, len(names))
-    names = {"plain": 0} | {f: i + 1 for i, f in enumerate(sorted(set(names) - {"plain"}))}
-    n = len(TAGS)
-    emit, move = np.zeros((len(names), n)), np.zeros((n, n))
+    names = {f: i for i, f in enumerate(["plain", *sorted({x for fs, _ in lines for w in fs for x in w} - {"plain"})])}
+    emit, move = np.zeros((len(names), len(TAGS))), np.zeros((len(TAGS), len(TAGS)))
+    if not lines:
+        emit[0, 0] = 1.0
     seen_e, seen_m = np.full_like(emit, 1e-6), np.full_like(move, 1e-6)
     coded = [([[names[f] for f in w] for w in fs], tags) for fs, tags in lines]
-    for _ in range(rounds):
+    for _ in range(rounds if coded else 0):
         ge, gm = -decay * emit, -decay * move
         for fs, tags in coded:
-            score = np.array([emit[f].sum(0) for f in fs])
-            size = len(fs)
-            fore, aft = np.zeros((size, n)), np.zeros((size, n))
-            fore[0] = score[0] + move[0]
-            for t in range(1, size):
-                fore[t] = score[t] + np.logaddexp.reduce(fore[t - 1][:, None] + move, axis=0)
-            aft[-1] = move[:, 0]
-            for t in range(size - 2, -1, -1):
-                aft[t] = np.logaddexp.reduce(move + (score[t + 1] + aft[t + 1])[None, :], axis=1)
-            whole = np.logaddexp.reduce(fore[-1] + move[:, 0])
-            for t in range(size):
-                g = -np.exp(fore[t] + aft[t] - whole)
-                g[tags[t]] += 1
-                np.add.at(ge, fs[t], g)
-                if t:
-                    gm -= np.exp(fore[t - 1][:, None] + move + (score[t] + aft[t])[None, :] - whole)
-                    gm[tags[t - 1], tags[t]] += 1
+            _, e, m = likelihood(emit, move, fs, tags)
+            ge += e
+            gm += m
         seen_e += ge * ge
         seen_m += gm * gm
         emit += rate * ge / np.sqrt(seen_e)
         move += rate * gm / np.sqrt(seen_m)
-    field = Field(names, emit, move)
-    emit[0, 0] += max(0.0, 1.0 - field.margin())
-    return field
+    return Field(names, emit, move)
 
 
 def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
@@ -247,35 +284,39 @@ def luhn(digits: str) -> bool:
 
 def found_spans(texts: list[str], field: Field) -> list[tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]]:
     """For each text: the base spans and the spans that the field adds."""
-    out, runs, where = [], [], []
+    out, runs, gaps, where = [], [], [], []
     for i, text in enumerate(texts):
         out.append((base_spans(text), {k: [] for k in KINDS}))
-        if not _SPECIAL.search(text):
+        if field.calm and not _SPECIAL.search(text):
             continue
-        run: list[re.Match] = []
-        for m in [*_WORD.finditer(text), None]:
-            if m is not None and _SPECIAL.search(m.group()):
-                run.append(m)
-            elif run:
-                runs.append([x.group() for x in run])
-                where.append((i, [x.span() for x in run]))
-                run = []
-    for (i, spans), labels in zip(where, field.decode(runs), strict=True):
+        words, other = [], []
+        for k, m in enumerate(_WORD.finditer(text)):
+            words.append(m.span())
+            if _SPECIAL.search(m.group()):
+                other.append(k)
+        runs.append([text[slice(*words[k])] for k in other])
+        gaps.append([b - a - 1 for a, b in zip([-1, *other], [*other, len(words)], strict=True)])
+        where.append((i, words))
+    for (i, words), labels, own in zip(where, field.decode(runs, gaps), gaps, strict=True):
+        ends = [0, *labels, 0]
+        path: list[int] = []
+        for k, n in enumerate(own):
+            path += [*field.way(n, ends[k], ends[k + 1]), *labels[k : k + 1]]
         base, more = out[i]
         t = 0
-        while t < len(labels):
-            if TAGS[labels[t]][0] != "B":
+        while t < len(path):
+            if TAGS[path[t]][0] != "B":
                 t += 1
                 continue
-            kind, e = TAGS[labels[t]][2:], t + 1
-            while e < len(labels) and TAGS[labels[e]] == f"I-{kind}":
+            kind, e = TAGS[path[t]][2:], t + 1
+            while e < len(path) and TAGS[path[e]] == f"I-{kind}":
                 e += 1
-            begin, end = spans[t][0], spans[e - 1][1]
+            begin, end = words[t][0], words[e - 1][1]
             while end > begin and texts[i][end - 1] in ".,;:!?\"')]":
                 end -= 1
             while begin < end and texts[i][begin] in "\"'[":
                 begin += 1
-            if begin < end and not any(x < end and begin < y for own in base.values() for x, y in own):
+            if begin < end and not any(x < end and begin < y for own_spans in base.values() for x, y in own_spans):
                 more[kind].append((begin, end))
             t = e
     return out
@@ -312,9 +353,10 @@ def redact_text(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def redact(docs: DataFrame, field: Field) -> DataFrame:
-    """docs with the spans in ``text`` replaced by their kind and ``n_chars`` counted anew; a null text stays null."""
+    """docs with the spans in ``text`` replaced by their kind, and ``n_chars``, if there, counted anew; a null text stays null."""
     shared = docs.sparkSession.sparkContext.broadcast((field.names, field.emit, field.move))
-    at, size, names = docs.columns.index("text"), docs.columns.index("n_chars"), docs.columns
+    at, names = docs.columns.index("text"), docs.columns
+    size = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Field(*shared.value)
@@ -326,7 +368,8 @@ def redact(docs: DataFrame, field: Field) -> DataFrame:
             ]
             columns = [*batch.columns]
             columns[at] = pa.array(new, batch.schema.field(at).type)
-            columns[size] = pa.array([None if t is None else len(t) for t in new], pa.int64())
+            if size is not None:
+                columns[size] = pa.array([None if t is None else len(t) for t in new], batch.schema.field(size).type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.mapInArrow(run, docs.schema)
