@@ -19,13 +19,13 @@ NEAR_PERCENT, NEAR_MATCHES = 80, 36
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     labels = read(ship(spark), sf_dir, "labels")
-    return quality.classify(docs, labels, docs.columns).where("predicted = 1").select(*docs.columns)
+    return quality.accepted(docs, labels)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each near-duplicate component."""
     gone = near_dedup.near_duplicates(docs, NEAR_PERCENT, NEAR_MATCHES).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

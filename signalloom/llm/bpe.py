@@ -197,7 +197,7 @@ class Renderer:
         raw: list[bytes] = []
         n = 0
         e, pieces, whole = self.encoder, self.pieces.get, self.whole.get
-        for part in e._around_special(text) if "<|" in text else [text]:
+        for part in e._around_special(text):
             if part in e.special:
                 i = e.special[part]
                 ids.append(f",{i}")

@@ -335,7 +335,10 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def score(docs: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text)."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row of docs (doc_id, text).
+
+    ``bits_per_byte`` is the code length of the text and its end mark over their bytes.
+    """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     packed = cut(rows.withColumn("held_out", held_out()).mapInArrow(_pack, _PACKED))
@@ -382,16 +385,16 @@ def score(docs: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
             base = np.bincount(word_row, np.where(hit, np.log10(counts[spot] + 1.0) if len(counts) else 0.0, 0.0), m)
             n_words = np.bincount(word_row, minlength=m)
             n_known = np.bincount(word_row[hit], minlength=m) + (ends > 0)
-            parts.append((n_words + 1, n_known, base - n_words * least + end_log, model_score))
-        n_tokens, n_known, base, model_score = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.append((n_words + 1, n_known, base - n_words * least + end_log, model_score, model_score / (begin[a:b] - stop[a:b]) * math.log2(10)))
+        n_tokens, n_known, base, model_score, bits = (np.concatenate(x) for x in zip(*parts, strict=True))
         ids = chunk["ids"][0].values
         place = chunk["chunk"][0].as_py()
-        return pa.table({"chunk": np.full(len(ids), place), "place": np.arange(len(ids)), "doc_id": ids, "n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": model_score})
+        return pa.table({"chunk": np.full(len(ids), place), "place": np.arange(len(ids)), "doc_id": ids, "n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": model_score, "bits_per_byte": bits})
 
-    out = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, "chunk long, place long, doc_id long, n_tokens long, n_known long, base_score double, score double")
+    out = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, "chunk long, place long, doc_id long, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
     if table is None:
         out = _joined(packed, out, words, int(ends > 0))
-    return out.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
+    return out.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
 
 
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,5 +417,5 @@ def _joined(packed: DataFrame, out: DataFrame, words: DataFrame, end_known: int)
     pairs = packed.select("chunk", "ends", "body").mapInArrow(_words_of, "chunk long, place long, code long, n long")
     sums = pairs.join(words, "code").groupBy("chunk", "place").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("logs"), F.sum("n").alias("hits"))
     return out.join(sums, ["chunk", "place"], "left").select(
-        "doc_id", "n_tokens", (F.coalesce("hits", F.lit(0)) + end_known).alias("n_known"), (F.col("base_score") + F.coalesce("logs", F.lit(0.0))).alias("base_score"), "score"
+        "doc_id", "n_tokens", (F.coalesce("hits", F.lit(0)) + end_known).alias("n_known"), (F.col("base_score") + F.coalesce("logs", F.lit(0.0))).alias("base_score"), "score", "bits_per_byte"
     )

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalloom.llm import text_arrays as ta
@@ -145,20 +145,30 @@ def _with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _range_of(key: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are at most the key, by halving steps over one constant array."""
+    steps = [1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)] if bounds else []
+    if not steps:
+        return F.lit(0)
+    there = F.lit(bounds)
+    further = lambda at, step: (at + step <= len(bounds)) & (F.get(there, at + step - 1) <= key)
+    return F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when(further(at, step), at + step).otherwise(at))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, with their likeness and that to the next document."""
     spark = docs.sparkSession
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(LEAST)))
     bounds = sorted(set(rows.approxQuantile("key", [k / ranges for k in range(1, ranges)], 0.2 / ranges)))
-    within = F.size(F.filter(F.array(*(F.lit(int(b)) for b in bounds)), lambda b: b <= F.col("key"))) if bounds else F.lit(0)
-    rows = rows.withColumn("bucket", within)
+    rows = rows.withColumn("bucket", _range_of(F.col("key"), [int(b) for b in bounds]))
     heads = rows.groupBy("bucket").agg(F.min(F.struct("key", "text")).alias("head"))
     full = sorted(r.bucket for r in rows.groupBy("bucket").count().select("bucket").collect())  # at most ``ranges`` numbers
     if not full:
         full = [0]
-    before = F.create_map(*(F.lit(x) for k, b in enumerate(full) for x in (b, full[k - 1])))
-    sent = heads.select(before[F.col("bucket")].alias("bucket"), F.lit(1).alias("last"), F.lit(None).cast("long").alias("doc_id"), "head.text", "head.key")
+    before = dict(zip(full, [full[-1], *full[:-1]], strict=True))
+    earlier = F.get(F.lit([before.get(b, 0) for b in range(full[-1] + 1)]), F.col("bucket"))
+    sent = heads.select(earlier.alias("bucket"), F.lit(1).alias("last"), F.lit(None).cast("long").alias("doc_id"), "head.text", "head.key")
     both = rows.select("bucket", F.lit(0).alias("last"), "doc_id", "text", "key").unionByName(sent)
     ordered = both.repartition("bucket").sortWithinPartitions("bucket", "last", "key", "text").select("bucket", "last", "doc_id", "text")
     return ordered.mapInArrow(_with_next, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

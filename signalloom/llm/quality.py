@@ -136,10 +136,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tupl
     return mean[:-1].astype(np.float32), float(mean[-1])
 
 
-def score(docs: DataFrame, weights: np.ndarray, bias: float, keep: list[str]) -> DataFrame:
-    """``keep`` columns of docs with ``score``."""
+def score(docs: DataFrame, weights: np.ndarray, bias: float, keep: list[str], name: str = "score") -> DataFrame:
+    """``keep`` columns of docs with the score as ``name``, which must be none of them."""
     model = docs.sparkSession.sparkContext.broadcast((weights, bias))
-    schema = docs.select(*keep).schema.add("score", "double")
+    schema = docs.select(*keep).schema.add(name, "double")
     at = keep.index("text") if "text" in keep else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +149,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, keep: list[str]) ->
             for first, end, raw, offsets in ta.slices(batch.column(at if at >= 0 else batch.num_columns - 1)):
                 out[first:end] = sigmoid(margins(w, b, raw, offsets))
             kept = [batch.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(out)], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(out)], names=[*keep, name])
 
     return docs.select(*keep, *([] if at >= 0 else ["text"])).mapInArrow(run, schema)
 
@@ -158,3 +158,11 @@ def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None,
     """``keep`` columns (doc_id) with score and predicted (1 if score >= threshold)."""
     out = score(docs, *train(docs, labels), keep or ["doc_id"])
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score ``threshold`` or more, with their columns, whatever their names."""
+    name = "_score"
+    while name in docs.columns:
+        name = f"_{name}"
+    return score(docs, *train(docs, labels), docs.columns, name).where(F.col(name) >= threshold).drop(name)
