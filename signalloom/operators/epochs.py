@@ -37,10 +37,9 @@ def hjorth(rows: DataFrame, guard: float = 1e-12) -> DataFrame:
 
 
 def zero_crossing(rows: DataFrame) -> DataFrame:
-    """Half the sum of sign changes over the number of samples, about each epoch's mean; the sign of 0 is 0."""
-    own = W.partitionBy("rec", "ch", "ep")
-    s = F.signum(F.col("v") - F.avg("v").over(own))
-    signed = rows.withColumn("s", s).withColumn("step", F.abs(F.col("s") - F.lag("s").over(own.orderBy("t"))))
+    """Half the sum of sign changes over the number of samples; the sign of 0 is 0."""
+    s = F.signum("v")
+    signed = rows.withColumn("step", F.abs(s - F.lag(s).over(W.partitionBy("rec", "ch", "ep").orderBy("t"))))
     return signed.groupBy("rec", "ch", "ep").agg((F.coalesce(F.sum("step"), F.lit(0.0)) / (2 * F.count("*"))).alias("zcr"))
 
 
@@ -90,15 +89,35 @@ def snr(signal: DataFrame, width: int = 5) -> DataFrame:
     return per_ch.groupBy("rec").agg(F.least(F.greatest(F.avg(db), F.lit(-10.0)), F.lit(40.0)).alias("snr_db"))
 
 
-def artifact_ratio(signal: DataFrame, high: float) -> DataFrame:
-    """0.6 share of samples beyond ``high``, 0.2 share of steps over eight medians, 0.2 share of flat steps, by record."""
+def artifact_ratio(signal: DataFrame, high: float, least_std: float = 0.5) -> DataFrame:
+    """Per record, means over channels: 0.6 share of samples beyond ``high``, 0.2 share of steps over eight medians, 0.2 flat channels.
+
+    A channel is flat when its deviation is under ``least_std``. Records of under four samples a channel count as 1.
+    """
     d = F.abs(F.col("v") - F.lag("v").over(W.partitionBy("rec", "ch").orderBy("t")))
     steps = signal.withColumn("d", d)
     usual = steps.groupBy("rec", "ch").agg(F.median("d").alias("med"))
-    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    jump = F.avg(F.when(F.col("d").isNotNull(), F.when(F.col("d") > 8 * (F.col("med") + 1e-9), 1.0).otherwise(0.0)))
-    flat = F.avg(F.when(F.col("d").isNotNull(), F.when(F.col("d") < 1e-9, 1.0).otherwise(0.0)))
-    return steps.join(usual, ["rec", "ch"]).groupBy("rec").agg((0.6 * share(F.abs("v") > high) + 0.2 * jump + 0.2 * flat).alias("artifact_ratio"))
+    share = lambda c: F.avg(c.cast("double"))
+    by_ch = steps.join(usual, ["rec", "ch"]).groupBy("rec", "ch").agg(
+        share(F.abs("v") > high).alias("amp"), share(F.col("d") > 8 * (F.col("med") + 1e-9)).alias("jump"), (F.stddev_pop("v") < least_std).cast("double").alias("flat"), F.count("*").alias("n")
+    )
+    ratio = 0.6 * F.avg("amp") + 0.2 * F.avg("jump") + 0.2 * F.avg("flat")
+    return by_ch.groupBy("rec").agg(F.when(F.max("n") < 4, 1.0).otherwise(F.least(ratio, F.lit(1.0))).alias("artifact_ratio"))
+
+
+def amplitude_quality(signal: DataFrame) -> DataFrame:
+    """Per record, mean over channels of half an amplitude score and half a variance score, from 0 to 1."""
+    by_ch = signal.groupBy("rec", "ch").agg(F.max(F.abs("v")).alias("a"), F.var_pop("v").alias("s"))
+    amp = F.when(F.col("a") < 100, 1.0).when(F.col("a") < 500, F.greatest(F.lit(0.0), 1 - (F.col("a") - 100) / 400)).otherwise(0.0)
+    var = F.when(F.col("s") > 1, 1.0).when(F.col("s") > 0.1, F.col("s")).otherwise(0.1)
+    return by_ch.groupBy("rec").agg(F.avg(0.5 * amp + 0.5 * var).alias("quality"))
+
+
+def standardise_epoch(rows: DataFrame, keys: list[str], value: str = "v", least: float = 1e-8) -> DataFrame:
+    """Adds z: each value less the mean of its epoch, over its deviation; a deviation under ``least`` counts as one."""
+    own = W.partitionBy(*keys)
+    std = F.stddev_pop(value).over(own)
+    return rows.withColumn("z", (F.col(value) - F.avg(value).over(own)) / F.when(std < least, 1.0).otherwise(std))
 
 
 def quality_level(snr_db: Column, artifact: Column) -> Column:
@@ -108,3 +127,12 @@ def quality_level(snr_db: Column, artifact: Column) -> Column:
 
 def quality_score(snr_db: Column, artifact: Column) -> Column:
     return 0.7 * F.least(F.greatest(snr_db / 20, F.lit(0.0)), F.lit(1.0)) + 0.3 * (1 - artifact)
+
+
+def manifest(signal: DataFrame, kept: DataFrame) -> DataFrame:
+    """(rec, n_all, n_kept, status, keep_rate) of every record, from ``reject``; records without epochs are too short."""
+    n = kept.groupBy("rec").agg(F.count("*").alias("n_all"), F.sum(F.col("kept").cast("long")).alias("n_kept"))
+    all_recs = signal.select("rec").distinct().join(n, "rec", "left")
+    status = F.when(F.col("n_all").isNull(), "skipped_short").when(F.col("n_kept") == 0, "skipped_rejected").otherwise("ok")
+    none = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    return all_recs.select("rec", none("n_all").alias("n_all"), none("n_kept").alias("n_kept"), status.alias("status"), F.coalesce(F.col("n_kept") / F.col("n_all"), F.lit(0.0)).alias("keep_rate"))

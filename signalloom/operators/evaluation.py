@@ -62,7 +62,10 @@ def class_weights(labels: DataFrame) -> DataFrame:
 
 def hashed(key: Column) -> Column:
     """A multiplicative hash that any SQL engine computes alike."""
-    return (key * F.lit(2654435761)) % F.lit(1 << 32)
+    # Halves of 16 bits keep the product within a long, whatever the key.
+    low = F.pmod(key, F.lit(1 << 32)).cast("long")
+    high = F.shiftright(low, 16) * F.lit(2654435761) % F.lit(1 << 16) * F.lit(1 << 16)
+    return (high + low.bitwiseAND(F.lit(0xFFFF)) * F.lit(2654435761)) % F.lit(1 << 32)
 
 
 def stratified_split(units: DataFrame, key: str, stratum: str) -> DataFrame:
@@ -94,13 +97,3 @@ def mutual_information(binned: DataFrame, keys: list[str], a: str, b: str) -> Da
     return part.groupBy(*keys).agg(F.sum(F.col("n") / F.col("all") * F.log(F.col("n") * F.col("all") / (F.col("na") * F.col("nb")))).alias("mi"))
 
 
-def threshold_grid(shape: DataFrame, spreads: list[float], majorities: list[float]) -> DataFrame:
-    """Trigger rate of every pair of thresholds over (max_diff, majority).
-
-    Rows are summed to distinct pairs of values first; the parameter table has a fixed number of rows.
-    """
-    spark = shape.sparkSession
-    grid = spark.createDataFrame([(a, b) for a in spreads for b in majorities], "t1 double, t2 double")
-    few = shape.groupBy(F.round("max_diff", 2).alias("d"), "majority").agg(F.count("*").alias("n"))
-    hit = (F.col("d") > F.col("t1")) | (F.col("majority") < F.col("t2"))
-    return few.crossJoin(F.broadcast(grid)).groupBy("t1", "t2").agg((F.sum(F.when(hit, F.col("n")).otherwise(0)) / F.sum("n")).alias("rate"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 def normal_name(name: Column) -> Column:
     """Names to match by: eight kinds of marks removed, trimmed, lower case (fixed values)."""
-    return F.lower(F.trim(F.translate(name, " ~-_.,#'", "")))
+    return F.lower(F.trim(F.translate(name, " \u3000\u00b7~-_.,", "")))
 
 
 def first_date(text: Column, formats: list[str]) -> Column:

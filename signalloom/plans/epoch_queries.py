@@ -33,11 +33,12 @@ def hjorth_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ep.hjorth(_rows(spark, sf_dir)).select(*KEYS, rounded("activity", 1).alias("activity"), rounded("mobility").alias("mobility"), rounded("complexity").alias("complexity"))
 
 
-@query(f"""{ROWS}, s AS (SELECT *, sign(v - avg(v) OVER (PARTITION BY rec, ch, ep)) AS s FROM x),
-d AS (SELECT *, abs(s - lag(s) OVER (PARTITION BY rec, ch, ep ORDER BY t)) AS d FROM s)
+@query(f"""{ROWS}, c AS (SELECT rec, ch, ep, t, sign(v - 38000) AS s FROM x), d AS (SELECT *, abs(s - lag(s) OVER (PARTITION BY rec, ch, ep ORDER BY t)) AS d FROM c)
 SELECT rec, ch, ep, {R("coalesce(sum(d), 0) / (2 * count(*))")} AS zcr FROM d GROUP BY ALL""")
 def zero_crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ep.zero_crossing(_rows(spark, sf_dir)).select(*KEYS, rounded("zcr").alias("zcr"))
+    """Crossings of a level within the range of the prices, which have no negative samples."""
+    rows = _rows(spark, sf_dir).withColumn("v", F.col("v") - 38000)
+    return ep.zero_crossing(rows).select(*KEYS, rounded("zcr").alias("zcr"))
 
 
 @query(f"""{ROWS}, k AS (SELECT rec, ch, ep, b.w, (t - ep * 32) // b.w AS k, v / 1000 AS v FROM x, (SELECT unnest([8, 16, 24]) AS w) b),
@@ -75,7 +76,8 @@ SNR = f"""WITH {SIGNALS}, s AS (SELECT *, sum(v) OVER (PARTITION BY rec, ch ORDE
 c AS (SELECT rec, ch, var_pop(s) AS sig, var_pop(v - s) / 0.8 AS noise, stddev_pop(v) AS std FROM s GROUP BY ALL),
 q AS (SELECT rec, least(greatest(avg(CASE WHEN std < 1e-9 OR noise <= 0 THEN -10 ELSE 10 * log10(sig / noise) END), -10), 40) AS snr_db FROM c GROUP BY rec)"""
 ART = """, d AS (SELECT *, abs(v - lag(v) OVER (PARTITION BY rec, ch ORDER BY t)) AS d FROM r), u AS (SELECT rec, ch, median(d) AS med FROM d GROUP BY ALL),
-a AS (SELECT rec, 0.6 * avg((abs(v) > 90000)::INT) + 0.2 * avg((d > 8 * (med + 1e-9))::INT) + 0.2 * avg((d < 1e-9)::INT) AS art FROM d JOIN u USING (rec, ch) GROUP BY rec)"""
+ac AS (SELECT rec, ch, avg((abs(v) > 90000)::INT) AS amp, avg((d > 8 * (med + 1e-9))::INT) AS jump, (stddev_pop(v) < 0.5)::INT AS flat, count(*) AS n FROM d JOIN u USING (rec, ch) GROUP BY rec, ch),
+a AS (SELECT rec, CASE WHEN max(n) < 4 THEN 1 ELSE least(0.6 * avg(amp) + 0.2 * avg(jump) + 0.2 * avg(flat), 1) END AS art FROM ac GROUP BY rec)"""
 
 
 @query(SNR + f" SELECT rec, {R('snr_db')} AS snr_db FROM q")
@@ -95,3 +97,39 @@ def quality_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = ep.snr(s).join(ep.artifact_ratio(s, 90000.0), "rec")
     args = F.col("snr_db"), F.col("artifact_ratio")
     return both.select("rec", ep.quality_level(*args).alias("quality_level"), rounded(ep.quality_score(*args)).alias("quality_score"))
+
+
+@query(f"""WITH {SIGNALS}, c AS (SELECT rec, ch, max(abs(v / 250)) AS a, var_pop(v / 250) AS s FROM r GROUP BY ALL)
+SELECT rec, {R("avg(0.5 * CASE WHEN a < 100 THEN 1 WHEN a < 500 THEN greatest(0, 1 - (a - 100) / 400) ELSE 0 END + 0.5 * CASE WHEN s > 1 THEN 1 WHEN s > 0.1 THEN s ELSE 0.1 END)")} AS quality FROM c GROUP BY rec""")
+def amplitude_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ep.amplitude_quality(signals(spark, sf_dir).withColumn("v", F.col("v") / 250)).select("rec", rounded("quality").alias("quality"))
+
+
+@query(f"""{ROWS}, z AS (SELECT rec, ch, ep, t, avg(v) OVER w AS m, stddev_pop(v) OVER w AS s, v FROM x WINDOW w AS (PARTITION BY rec, ep))
+SELECT rec, ch, ep, t, {R("(v - m) / CASE WHEN s < 1e-8 THEN 1 ELSE s END")} AS z FROM z""")
+def epoch_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each epoch's samples by the mean and deviation of all its channels."""
+    return ep.standardise_epoch(_rows(spark, sf_dir), ["rec", "ep"]).select(*KEYS, "t", rounded("z").alias("z"))
+
+
+@query(f"""{ROWS}, u AS (SELECT DISTINCT rec, ep FROM x), i AS (SELECT rec, ep, row_number() OVER (PARTITION BY rec ORDER BY ep) - 1 AS i, count(*) OVER (PARTITION BY rec) AS m FROM u),
+k AS (SELECT rec, ep FROM i JOIN (SELECT unnest(range(0, 2)) AS k) ON CASE WHEN m <= 2 THEN k = i ELSE i = k * (m - 1) END),
+f AS (SELECT rec, ep, ch, stddev_pop(v) AS s, max(v) - min(v) AS p FROM x JOIN k USING (rec, ep) GROUP BY ALL)
+SELECT rec, count(DISTINCT ep) AS n_probes, {R("avg(s)", 2)} AS std, {R("max(p)", 2)} AS ptp FROM f GROUP BY rec""")
+def probe_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amplitudes of each record, from at most two evenly spaced epochs."""
+    rows = _rows(spark, sf_dir)
+    probes = ep.uniform_sample(rows.select("rec", "ep").distinct(), 2).select("rec", "ep")
+    f = ep.time_features(rows.join(probes, ["rec", "ep"]))
+    return f.groupBy("rec").agg(F.countDistinct("ep").alias("n_probes"), rounded(F.avg("std"), 2).alias("std"), rounded(F.max("ptp"), 2).alias("ptp"))
+
+
+@query(f"""{ROWS}, c AS (SELECT rec, ep, ch, max(v) - min(v) AS ptp, stddev_pop(v) AS std FROM x GROUP BY ALL), e AS (SELECT rec, ep, max(ptp) AS ptp, min(std) AS std FROM c GROUP BY ALL),
+l AS (SELECT rec, least(greatest(3 * median(ptp), 400), 99000) AS threshold FROM e GROUP BY rec), k AS (SELECT rec, count(*) AS n_all, sum((ptp <= threshold AND std >= 0.5)::INT)::BIGINT AS n_kept FROM e JOIN l USING (rec) GROUP BY rec),
+s AS (SELECT DISTINCT rec FROM r)
+SELECT rec, coalesce(n_all, 0) AS n_all, coalesce(n_kept, 0) AS n_kept, CASE WHEN n_all IS NULL THEN 'skipped_short' WHEN n_kept = 0 THEN 'skipped_rejected' ELSE 'ok' END AS status, {R("coalesce(n_kept / n_all, 0)")} AS keep_rate FROM s LEFT JOIN k USING (rec)""")
+def epoch_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each record on its way to epochs: status, epochs made and kept."""
+    s = signals(spark, sf_dir)
+    m = ep.manifest(s, ep.reject(ep.epoch_rows(s), 400.0, 99000.0, 0.5))
+    return m.withColumn("keep_rate", rounded("keep_rate"))

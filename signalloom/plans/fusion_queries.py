@@ -143,7 +143,7 @@ def mcnemar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.mcnemar(pairs).select("b", "c", rounded("p", 6).alias("p"))
 
 
-H = "(vec_id * 2654435761) % 4294967296"
+H = "((vec_id::HUGEINT % 4294967296) * 2654435761) % 4294967296"
 
 
 @query(f"""WITH k AS (SELECT vec_id, label % 3 AS y, row_number() OVER (PARTITION BY label % 3 ORDER BY {H}, vec_id) - 1 AS k, count(*) OVER (PARTITION BY label % 3) AS n FROM embeddings)

@@ -73,7 +73,7 @@ def exam_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.sequence(rows, "o_custkey", [F.col("o_orderdate").asc_nulls_last(), F.col("o_orderkey")]).drop("o_orderdate")
 
 
-@query("WITH n AS (SELECT c_custkey, lower(trim(translate(c_name, ' ~-_.,#''', ''))) AS name FROM customer) SELECT c_custkey, name, printf('ANON_%04d', dense_rank() OVER (ORDER BY name)) AS anon_id FROM n")
+@query("WITH n AS (SELECT c_custkey, lower(trim(translate(c_name, ' ' || chr(12288) || chr(183) || '~-_.,', ''))) AS name FROM customer) SELECT c_custkey, name, printf('ANON_%04d', dense_rank() OVER (ORDER BY name)) AS anon_id FROM n")
 def dense_anon_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "customer").select("c_custkey", li.normal_name(F.col("c_name")).alias("name"))
     return li.dense_ids(rows, "name", "ANON_%04d").select("c_custkey", "name", "anon_id")

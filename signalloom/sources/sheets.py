@@ -8,15 +8,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Opening brackets and the ones that close them (fixed values).
-BRACKETS = {"(": ")", "（": "）", "[": "]", "【": "】"}
+BRACKETS = {"（": "）", "(": ")"}
 
 
 def tidy(header: str) -> str:
     """A header without its comment: cut at the first line break and at the first bracket that is closed again."""
-    line = header.lstrip("﻿").split("\n", 1)[0]
-    for at, c in enumerate(line):
-        if c in BRACKETS and BRACKETS[c] in line[at + 1 :]:
-            return line[:at].strip()
+    line = header.lstrip("\ufeff").split("\n", 1)[0].split("\r", 1)[0]
+    for opening, closing in BRACKETS.items():
+        at = line.find(opening)
+        if at >= 0 and closing in line[at:]:
+            line = line[:at]
     return line.strip()
 
 
