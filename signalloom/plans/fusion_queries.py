@@ -75,22 +75,6 @@ def consistency_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("id", *(rounded(x).alias(x) for x in ("agreement", "std", "entropy")), "score", "level", "review")
 
 
-CRED = """, m AS (SELECT *, avg(p) OVER (PARTITION BY id, c) AS m FROM p), f AS (SELECT id, agent, sum(p * m) / sqrt(sum(p * p) * sum(m * m)) AS cos FROM m GROUP BY ALL),
-b AS (SELECT id, agent, 0.4 * cos + 0.175 + 0.25 * CASE agent WHEN 0 THEN 0.9 WHEN 1 THEN 0.85 ELSE 0.8 END AS cred FROM f)"""
-
-
-@query(P.replace("m AS (SELECT y AS c", "m0 AS (SELECT y AS c").replace("JOIN m USING", "JOIN m0 USING") + CRED + f" SELECT id, agent, {R('cred')} AS cred FROM b")
-def credibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fu.credibility(probabilities(spark, sf_dir)).select("id", "agent", rounded("cred").alias("cred"))
-
-
-@query(P.replace("m AS (SELECT y AS c", "m0 AS (SELECT y AS c").replace("JOIN m USING", "JOIN m0 USING") + CRED + f""", w AS (SELECT id, agent, {BASE} * cred AS w FROM b),
-n AS (SELECT id, agent, least(greatest(w / sum(w) OVER (PARTITION BY id), 0.05), 0.6) AS w FROM w) SELECT id, agent, {R('w / sum(w) OVER (PARTITION BY id)')} AS w FROM n""")
-def arbitration_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = fu.credibility(probabilities(spark, sf_dir)).withColumn("w", fu.lookup(fu.BASE, F.col("agent"), 0.25) * F.col("cred"))
-    return fu.clamped(w, "w", ["id"]).select("id", "agent", rounded("w").alias("w"))
-
-
 @query(P + VOTE + f" SELECT subject, c, {R('avg(p)')} AS mean, {R('max(p)')} AS max, {R('quantile_cont(p, 0.9)')} AS p90 FROM s GROUP BY ALL")
 def subject_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.by_subject(_soft(spark, sf_dir)).select("subject", "c", *(rounded(x).alias(x) for x in ("mean", "max", "p90")))
@@ -170,10 +154,3 @@ SELECT pos, {R("sum(n / a * ln(n * a / (na * nb)))", 6)} AS mi FROM m GROUP BY p
 def feature_label_mi(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = ev.equal_bins(vectors(spark, sf_dir), ["pos"], "x", "id")
     return ev.mutual_information(b, ["pos"], "bin", "y").select("pos", rounded("mi", 6).alias("mi"))
-
-
-@query(P + SHAPE + f""", g AS (SELECT a.t1::DOUBLE AS t1, b.t2::DOUBLE AS t2 FROM (SELECT unnest([0.1, 0.2, 0.3, 0.4]) AS t1) a, (SELECT unnest([0.5, 0.6, 0.8]) AS t2) b)
-SELECT t1, t2, {R("avg((round(max_diff, 2) > t1 OR majority < t2)::INT)")} AS rate FROM h JOIN j USING (id), g GROUP BY ALL""")
-def threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = fu.disagreement(probabilities(spark, sf_dir)).withColumn("max_diff", F.round("max_diff", 6))
-    return ev.threshold_grid(d, [0.1, 0.2, 0.3, 0.4], [0.5, 0.6, 0.8]).withColumn("rate", rounded("rate"))

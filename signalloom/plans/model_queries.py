@@ -6,16 +6,13 @@ import difflib
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from signalloom.operators import evaluation as ev
 from signalloom.operators import filtering, selection
-from signalloom.operators import fusion as fu
-from signalloom.plans.fusion_queries import SHAPE, P
 from signalloom.plans.registry import QUERIES, query, rounded
 from signalloom.session import read, ship
-from signalloom.sources.tables import probabilities, signals, vectors
+from signalloom.sources.tables import signals, vectors
 from signalloom.streaming import windows
 
 R = lambda sql, k=4: f"round({sql} + 1e-9, {k})"
@@ -71,18 +68,6 @@ def fuzzy_same_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("o_orderkey").agg(best.alias("b")).select("o_orderkey", (-F.col("b.o")).alias("other"), "b.name", F.col("b.ratio").alias("ratio"))
 
 
-@query(P + SHAPE + f""", g AS (SELECT a.t1::DOUBLE AS t1, b.t2::DOUBLE AS t2 FROM (SELECT unnest([0.1, 0.2, 0.3, 0.4]) AS t1) a, (SELECT unnest([0.5, 0.6, 0.8]) AS t2) b),
-z AS (SELECT t1, t2, {R("avg((round(max_diff, 2) > t1 OR majority < t2)::INT)")} AS rate FROM h JOIN j USING (id), g GROUP BY ALL),
-y AS (SELECT *, max(t1 + t2) OVER (ORDER BY rate, t1, t2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM z)
-SELECT t1, t2, rate FROM y WHERE best IS NULL OR t1 + t2 > best""")
-def pareto_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Settings that no setting with a smaller rate surpasses; the grid has a dozen rows, so one window holds it."""
-    d = fu.disagreement(probabilities(spark, sf_dir)).withColumn("max_diff", F.round("max_diff", 6))
-    grid = ev.threshold_grid(d, [0.1, 0.2, 0.3, 0.4], [0.5, 0.6, 0.8]).withColumn("rate", rounded("rate")).withColumn("s", F.col("t1") + F.col("t2"))
-    before = F.max("s").over(W.orderBy("rate", "t1", "t2").rowsBetween(W.unboundedPreceding, -1))
-    return grid.withColumn("best", before).where("best is null or s > best").select("t1", "t2", "rate")
-
-
 @query(f"""SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(value) AS n, {R('avg(value)')} AS mean, {R('stddev_pop(value)')} AS std, max(value) AS max, min(value) AS min FROM events GROUP BY ALL""")
 def hourly_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = windows.windowed(read(spark, sf_dir, "events"), ["event_type"], "ts", "value", "1 hour")

@@ -5,15 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.operators import epochs as ep
-from signalloom.operators import fusion as fu
 from signalloom.operators import scorers
 from signalloom.operators import spatial as sp
-from signalloom.plans.fusion_queries import BASE, CRED, SHAPE, P
 from signalloom.plans.model_queries import rows_only
 from signalloom.plans.registry import query, rounded
-from signalloom.session import ship
-from signalloom.sources import simulated
 from signalloom.sources.tables import VECTORS, probabilities, vectors
 
 R = lambda sql, k=4: f"round({sql} + 1e-9, {k})"
@@ -49,29 +44,6 @@ def event_morphology(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp.morphology(_channels(spark, sf_dir)).select("id", "ch", *(rounded(c).alias(c) for c in ("kurt", "peak_rms", "negative")))
 
 
-LEVELS = f", u AS (SELECT id, subject, CASE WHEN id % 3 = 0 THEN 'high' WHEN id % 3 = 1 THEN 'low' ELSE 'medium' END AS level, agent, {BASE} AS w FROM p WHERE c = 0)"
-
-
-@query(P + LEVELS + f""", b AS (SELECT id, agent, level, w * CASE WHEN level = 'high' AND agent IN (1, 3) THEN 1.10::DOUBLE WHEN level = 'low' AND agent = 0 THEN 1.15::DOUBLE ELSE 1 END AS w FROM u),
-n AS (SELECT id, agent, level, least(greatest(w / sum(w) OVER (PARTITION BY id), 0.05), 0.6) AS w FROM b) SELECT id, agent, level, {R('w / sum(w) OVER (PARTITION BY id)')} AS w FROM n""")
-def dynamic_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    level = F.when(F.col("id") % 3 == 0, "high").when(F.col("id") % 3 == 1, "low").otherwise("medium")
-    rows = probabilities(spark, sf_dir).where("c = 0").select("id", "agent", level.alias("level"))
-    w = fu.lookup(fu.BASE, F.col("agent"), 0.25) * fu.quality_boost(F.col("level"), F.col("agent"))
-    return fu.clamped(rows.withColumn("w", w), "w", ["id"]).withColumn("w", rounded("w"))
-
-
-@query(P.replace("m AS (SELECT y AS c", "m0 AS (SELECT y AS c").replace("JOIN m USING", "JOIN m0 USING") + SHAPE + CRED.replace("m AS (SELECT *", "mm AS (SELECT *").replace("FROM m GROUP", "FROM mm GROUP") + f""",
-dd AS (SELECT id, round(max_diff, 6) > 0.3 OR majority < 0.6 OR entropy > 1.099 AS disagree FROM h JOIN j USING (id)),
-ww AS (SELECT id, agent, {BASE} * cred AS w FROM b), wn AS (SELECT id, agent, least(greatest(w / sum(w) OVER (PARTITION BY id), 0.05), 0.6) AS w FROM ww),
-wa AS (SELECT id, agent, w / sum(w) OVER (PARTITION BY id) AS w FROM wn),
-vv AS (SELECT p.id, p.c, any_value(disagree) AS arbitrated, round(sum(p * CASE WHEN disagree THEN w ELSE {BASE.replace('agent', 'p.agent')} END) / sum(CASE WHEN disagree THEN w ELSE {BASE.replace('agent', 'p.agent')} END) + 1e-9, 5) AS q
-FROM p JOIN dd USING (id) JOIN wa ON wa.id = p.id AND wa.agent = p.agent GROUP BY p.id, p.c)
-SELECT id, arg_min(c, (-q, c)) AS label, max(q) AS confidence, any_value(arbitrated) AS arbitrated FROM vv GROUP BY id""")
-def diagnose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fu.diagnose(probabilities(spark, sf_dir))
-
-
 @rows_only
 def trained_scorers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long probabilities of two fitted models over the vectors."""
@@ -85,10 +57,3 @@ def stacking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stacked subject probabilities."""
     probs = probabilities(spark, sf_dir)
     return scorers.stack(probs.withColumn("agent", F.col("agent").cast("string")), probs.where("subject % 5 <> 0").select("subject").distinct(), ["0", "1", "2", "3"])
-
-
-@rows_only
-def simulated_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Time-domain features of simulated epochs."""
-    rows = simulated.long_rows(simulated.simulate(ship(spark), 12, 2)).select(F.col("subject").alias("rec"), "ch", "ep", "t", "v")
-    return ep.time_features(rows)

@@ -33,19 +33,27 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 VECTORS = """e AS (SELECT vec_id AS id, vec_id % 50 AS subject, label % 3 AS y, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings)"""
 
 
-def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, subject, y, agent, c, p): four scorers, each a softmax of distances to class centroids in its own 16 components."""
-    e = vectors(spark, sf_dir).withColumn("agent", F.floor(F.col("pos") / 16).cast("int"))
-    centroids = e.groupBy(F.col("y").alias("c"), "pos").agg(F.avg("x").alias("m"))
+def probabilities(spark: SparkSession, sf_dir: str, reverse: bool = False) -> DataFrame:
+    """(id, subject, y, agent, c, p): four scorers, each a softmax of distances to class centroids in its own 16 components.
+
+    ``reverse`` scores each scorer's components in reverse order, against the same centroids.
+    """
+    e = vectors(spark, sf_dir)
     # 3 classes x 64 components, whatever the table holds.
-    far = e.join(F.broadcast(centroids), "pos").groupBy("id", "subject", "y", "agent", "c").agg(F.sum(F.pow(F.col("x") - F.col("m"), 2)).alias("d"))
+    centroids = F.broadcast(e.groupBy(F.col("y").alias("c"), "pos").agg(F.avg("x").alias("m")))
+    if reverse:
+        e = e.withColumn("pos", F.floor(F.col("pos") / 16) * 16 + 15 - F.col("pos") % 16)
+    far = e.withColumn("agent", F.floor(F.col("pos") / 16).cast("int")).join(centroids, "pos").groupBy("id", "subject", "y", "agent", "c").agg(F.sum(F.pow(F.col("x") - F.col("m"), 2)).alias("d"))
     raw = F.exp(-32 * F.col("d"))
     return far.withColumn("p", F.round(raw / F.sum(raw).over(W.partitionBy("id", "agent")), 6)).drop("d")
 
 
-PROBS = (
-    VECTORS
-    + """, m AS (SELECT y AS c, pos, avg(x) AS m FROM e GROUP BY 1, 2),
-d AS (SELECT id, subject, y, (pos // 16)::INT AS agent, c, sum(pow(x - m, 2)) AS d FROM e JOIN m USING (pos) GROUP BY ALL),
-p AS (SELECT id, subject, y, agent, c, round(exp(-32 * d) / sum(exp(-32 * d)) OVER (PARTITION BY id, agent), 6) AS p FROM d)"""
-)
+_FAR = "{0} AS (SELECT id, subject, y, (pos // 16)::INT AS agent, c, sum(pow(x - m, 2)) AS d FROM {1} JOIN cen USING (pos) GROUP BY ALL)"
+_SOFT = "{0} AS (SELECT id, subject, y, agent, c, round(exp(-32 * d) / sum(exp(-32 * d)) OVER (PARTITION BY id, agent), 6) AS p FROM {1})"
+PROBS = ", ".join([VECTORS, "cen AS (SELECT y AS c, pos, avg(x) AS m FROM e GROUP BY 1, 2)", _FAR.format("d", "e"), _SOFT.format("p", "d")])
+#: With the scores of reversed components (pr) and the second round (p2) beside the first (p).
+PROBS2 = ", ".join([
+    PROBS, "er AS (SELECT id, subject, y, (pos // 16) * 16 + 15 - pos % 16 AS pos, x FROM e)", _FAR.format("dr", "er"), _SOFT.format("pr", "dr"),
+    "pt AS (SELECT p.*, greatest((p.p + pr.p) / 2, 1e-8) AS q FROM p JOIN pr USING (id, subject, y, agent, c))",
+    "p2 AS (SELECT id, subject, y, agent, c, round(CASE WHEN agent = 0 THEN p ELSE q / sum(q) OVER (PARTITION BY id, agent) END + 1e-9, 6) AS p FROM pt)",
+])
