@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import difflib
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,12 +36,79 @@ def keyword_class(text: Column, rules: list[tuple[str, int]]) -> Column:
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, left_date: str, right_date: str, right_id: str) -> DataFrame:
     """Left join on keys to the right row with the nearest date; missing dates come last, then the least right id.
 
-    One aggregate carries the whole right row, so no group of candidates is held or sorted.
+    Both sides are put in one order by keys and date, where the nearest earlier and the nearest later right row are
+    carried along: no pair of rows is made, however many rows a key has. Of the right rows of one key and date, only
+    that with the least id is kept.
+    """
+    dated = right.where(F.col(right_date).isNotNull()).groupBy(*keys, F.col(right_date).alias("_d")).agg(F.min(right_id).alias("_r"))
+    any_row = right.groupBy(*keys).agg(F.min(F.when(F.col(right_date).isNull(), F.col(right_id))).alias("_undated"), F.min(right_id).alias("_any"))
+    units = left.select(*keys, left_id, F.col(left_date).alias("_d")).withColumn("_r", F.lit(None).cast(right.schema[right_id].dataType)).withColumn("_u", F.lit(1))
+    points = dated.withColumn(left_id, F.lit(None).cast(left.schema[left_id].dataType)).withColumn("_u", F.lit(0)).select(*keys, left_id, "_d", "_r", "_u")
+    line = units.select(*keys, left_id, "_d", "_r", "_u").unionByName(points)
+    there = F.when(F.col("_u") == 0, F.struct(F.col("_d").alias("d"), F.col("_r").alias("r")))
+    part = W.partitionBy(*keys)
+    earlier = F.last(there, True).over(part.orderBy("_d", "_u").rowsBetween(W.unboundedPreceding, 0))
+    later = F.last(there, True).over(part.orderBy(F.desc("_d"), "_u").rowsBetween(W.unboundedPreceding, 0))
+    both = line.withColumn("_e", earlier).withColumn("_l", later).where("_u = 1").join(any_row, keys, "left")
+    gap = lambda c: F.abs(F.datediff(F.col("_d"), F.col(f"{c}.d")))
+    option = lambda c: F.when(gap(c).isNotNull(), F.struct(gap(c).alias("g"), F.col(f"{c}.r").alias("r")))
+    found = both.withColumn("_m", F.least(option("_e"), option("_l")))
+    rest = F.when(F.col("_d").isNull(), F.col("_any")).otherwise(F.col("_undated"))
+    return found.select(*keys, left_id, F.col("_d").alias(left_date), F.col("_m.g").alias("gap"), F.coalesce("_m.r", rest).alias(right_id))
+
+
+def similarity(a: str, b: str, least: float) -> float:
+    """The ratio of matching blocks of two texts, or 0 where it is under ``least``; bounds by length and letters come first."""
+    total = len(a) + len(b)
+    if total == 0:
+        return 1.0
+    if 2 * min(len(a), len(b)) < least * total or 2 * sum((Counter(a) & Counter(b)).values()) < least * total:
+        return 0.0
+    ratio = difflib.SequenceMatcher(None, a, b).ratio()
+    return ratio if ratio >= least else 0.0
+
+
+def fuzzy(left: DataFrame, right: DataFrame, left_id: str, day: str, key: str, name: str, right_id: str, least: float = 0.6, parts: int = 16) -> DataFrame:
+    """(left_id, name, right_id, ratio): the right row of the same day with the most similar name, at ``least`` or more.
+
+    Names of under two characters match nothing; ties go to the least right id. Only distinct keys and names of one
+    day meet, ``parts`` shares of a day's keys in tasks of their own, and each key keeps its best name only.
     """
-    gap = F.abs(F.datediff(F.col(left_date), F.col(right_date)))
-    both = left.join(right, keys, "left")
-    rank = F.struct(gap.isNull().alias("none"), gap.alias("gap"), F.col(right_id).alias("right_id"))
-    return both.groupBy(*keys, left_id, left_date).agg(F.min(rank).alias("m")).select(*keys, left_id, left_date, F.col("m.gap").alias("gap"), F.col("m.right_id").alias(right_id))
+    keys = left.where(F.col(key).isNotNull() & F.col(day).isNotNull()).select(day, key).distinct()
+    names = right.where(F.length(name) >= 2).groupBy(day, name).agg(F.min(right_id).alias("_r"))
+    spread = keys.withColumn("_s", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).groupBy(day, "_s").agg(F.collect_set(key).alias("_keys"))
+    kind = dict(right.dtypes)[right_id]
+
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            ratios = [(d, k, similarity(k, n, least), n, r) for d, ks, n, r in frame.itertuples(index=False) for k in ks]
+            yield pd.DataFrame([x for x in ratios if x[2] > 0], columns=[day, key, "ratio", "_n", "_r"])
+
+    pairs = spread.join(names, day).select(day, "_keys", name, "_r").mapInPandas(score, f"`{day}` date, `{key}` string, ratio double, _n string, _r {kind}")
+    best = pairs.groupBy(day, key).agg(F.min(F.struct((-F.col("ratio")).alias("ratio"), F.col("_r").alias("r"), F.col("_n").alias("n"))).alias("_b"))
+    return left.join(best, [day, key]).select(left_id, F.col("_b.n").alias(name), F.col("_b.r").alias(right_id), (-F.col("_b.ratio")).alias("ratio"))
+
+
+def first_of(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The first row of each key in an order; give one that leaves no ties."""
+    return rows.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")
+
+
+def count_value(text: Column) -> Column:
+    """A count or flag as a whole number, halves to even; null where it is no finite number."""
+    n = text.try_cast("double")
+    return F.when(~F.isnan(n) & (F.abs(n) < 2**31), F.bround(n, 0)).cast("int")
+
+
+def positive(text: Column) -> Column:
+    """1 for numbers over 0, 0 for others and for what is no number."""
+    return (F.coalesce(text.try_cast("double"), F.lit(0.0)) > 0).cast("int")
+
+
+def with_default(rows: DataFrame, table: DataFrame, key: str, value: str, default: object) -> DataFrame:
+    """rows with ``value`` of a table that has one row a key, or the default, and whether it was missing."""
+    kept = rows.join(table.select(key, F.col(value).alias("_v")), key, "left")
+    return kept.withColumn(value, F.coalesce("_v", F.lit(default))).withColumn("missing", F.col("_v").isNull().cast("int")).drop("_v")
 
 
 def merge_labels(project: Column, raw: Column, gap: Column, limit: int = 7) -> tuple[Column, Column, Column]:
@@ -66,10 +138,21 @@ def dense_ids(rows: DataFrame, name: str, form: str) -> DataFrame:
     return rows.join(ranked.select(name, F.format_string(form, F.col("_rank") + F.col("_before")).alias("anon_id")), name, "left")
 
 
-def distribution(rows: DataFrame, label: str) -> DataFrame:
-    """Count and share of each label."""
+def distribution(rows: DataFrame, label: str, subject: str | None = None) -> DataFrame:
+    """Count and share of each label, the number of subjects, and the largest class over the smallest (of labels that aren't null)."""
     n = rows.groupBy(label).agg(F.count("*").alias("n"))
-    return n.withColumn("ratio", F.col("n") / F.sum("n").over(W.partitionBy(F.lit(1))))
+    few = W.partitionBy(F.lit(1))  # one row a label
+    known = F.when(F.col(label).isNotNull(), F.col("n"))
+    found = n.withColumn("ratio", F.col("n") / F.sum("n").over(few)).withColumn("imbalance", F.max(known).over(few) / F.min(known).over(few))
+    if subject is None:
+        return found
+    return found.crossJoin(F.broadcast(rows.agg(F.countDistinct(subject).alias("n_subjects"))))
+
+
+def crosstab(rows: DataFrame, label: str, indicator: Column) -> DataFrame:
+    """Negatives, positives and the positives' percentage for each label."""
+    marked = rows.withColumn("_p", indicator)
+    return marked.groupBy(label).agg(F.sum(1 - F.col("_p")).alias("negative"), F.sum("_p").alias("positive"), (F.avg("_p") * 100).alias("rate"))
 
 
 def describe(rows: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalloom.operators import evaluation as ev
-from signalloom.operators import filtering, selection
+from signalloom.operators import filtering, linkage, selection
 from signalloom.plans.registry import QUERIES, query, rounded
 from signalloom.session import read, ship
 from signalloom.sources.tables import signals, vectors
@@ -50,22 +47,13 @@ def mrmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @rows_only
 def fuzzy_same_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each large order the most similar customer name, at 0.6 or more, among other orders of the same date.
-
-    Only rows of one date meet: the join is on the date, and the ratio is taken in Arrow batches after it.
-    """
-    orders = read(ship(spark), sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("d"), "o_totalprice")
-    names = read(spark, sf_dir, "customer").select("c_custkey", F.lower("c_name").alias("name"))
-    named = orders.join(names, orders["o_custkey"] == names["c_custkey"]).select("o_orderkey", "d", "name", "o_totalprice")
-    left = named.where("o_totalprice > 300000").select("o_orderkey", "d", F.substring("name", 2, 100).alias("key"))
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
-
-    pairs = left.join(named.select("d", F.col("o_orderkey").alias("other"), "name"), "d").where("other <> o_orderkey").withColumn("ratio", ratio("key", "name")).where("ratio >= 0.6")
-    best = F.max(F.struct("ratio", (-F.col("other")).alias("o"), "name"))
-    return pairs.groupBy("o_orderkey").agg(best.alias("b")).select("o_orderkey", (-F.col("b.o")).alias("other"), "b.name", F.col("b.ratio").alias("ratio"))
+    """For every order without an event of its own customer, the most similar customer name among the events of its date."""
+    orders = read(ship(spark), sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("d"))
+    names = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), linkage.normal_name(F.col("c_name")).alias("name"))
+    events = read(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.to_date("ts").alias("day"), "event_id")
+    left = orders.join(events, F.col("o_custkey") == F.col("k"), "left_anti").join(names.withColumnRenamed("name", "key"), F.col("o_custkey") == F.col("k"))
+    shift = F.expr("make_date(year(d) + 27, month(d), least(day(d), 28))")  # the tables' dates don't overlap
+    return linkage.fuzzy(left.select("o_orderkey", shift.alias("day"), "key"), events.join(names, "k").select("event_id", "day", "name"), "o_orderkey", "day", "key", "name", "event_id")
 
 
 @query(f"""SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(value) AS n, {R('avg(value)')} AS mean, {R('stddev_pop(value)')} AS std, max(value) AS max, min(value) AS min FROM events GROUP BY ALL""")

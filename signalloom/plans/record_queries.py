@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from signalloom.operators import linkage as li
@@ -40,9 +41,11 @@ def label_merge_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labelled(spark, sf_dir).select("doc_id", label.alias("label"), source.alias("label_source"), conflict.alias("label_conflict"))
 
 
-@query(LABELLED + f" SELECT code, count(*) AS n, {R('count(*) / sum(count(*)) OVER ()')} AS ratio FROM d GROUP BY code")
+@query(LABELLED + f""", k AS (SELECT code, count(*) AS n FROM d GROUP BY code)
+SELECT code, n, {R('n / sum(n) OVER ()')} AS ratio, {R('max(n) FILTER (code IS NOT NULL) OVER () / min(n) FILTER (code IS NOT NULL) OVER ()', 2)} AS imbalance, (SELECT count(DISTINCT source) FROM d) AS n_subjects FROM k""")
 def label_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return li.distribution(_labelled(spark, sf_dir), "code").withColumn("ratio", rounded("ratio"))
+    d = li.distribution(_labelled(spark, sf_dir), "code", "source")
+    return d.withColumn("ratio", rounded("ratio")).withColumn("imbalance", rounded("imbalance", 2))
 
 
 @query(LABELLED + " SELECT lang, source, count(*) AS n, count(DISTINCT code) AS n_codes FROM d GROUP BY CUBE (lang, source)")
@@ -57,11 +60,11 @@ def describe_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("code", *(rounded(c).alias(c) for c in ("mean", "median", "p10", "p90")), "min", "max")
 
 
-@query("""WITH o AS (SELECT o_custkey AS user, o_orderkey, o_orderdate::DATE AS d FROM orders WHERE o_custkey < 150), e AS (SELECT user_id AS user, event_id, ts::DATE AS t FROM events),
+@query("""WITH o AS (SELECT o_custkey AS user, o_orderkey, o_orderdate::DATE AS d FROM orders), e AS (SELECT user_id AS user, event_id, ts::DATE AS t FROM events),
 m AS (SELECT *, abs(date_diff('day', t, d)) AS gap, row_number() OVER (PARTITION BY user, o_orderkey ORDER BY abs(date_diff('day', t, d)) NULLS LAST, event_id) AS k FROM o LEFT JOIN e USING (user))
 SELECT user, o_orderkey, gap::INT AS gap, event_id FROM m WHERE k = 1""")
 def nearest_date_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = read(spark, sf_dir, "orders").where("o_custkey < 150").select(F.col("o_custkey").alias("user"), "o_orderkey", F.to_date("o_orderdate").alias("d"))
+    orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user"), "o_orderkey", F.to_date("o_orderdate").alias("d"))
     events = read(spark, sf_dir, "events").select(F.col("user_id").alias("user"), "event_id", F.to_date("ts").alias("t"))
     return li.nearest(orders, events, ["user"], "o_orderkey", "d", "t", "event_id").select("user", "o_orderkey", "gap", "event_id")
 
@@ -127,3 +130,82 @@ SELECT id, pos, share FROM s WHERE place <= 10""")
 def top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
     return e.select("id", F.inline(importances(F.col("x")))).withColumn("share", F.round("share", 6))
+
+
+@query(LABELLED + " SELECT doc_id, coalesce(code, text_class) AS label FROM d WHERE coalesce(code, text_class) IS NOT NULL")
+def labelled_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labelled(spark, sf_dir).select("doc_id", F.coalesce("code", "text_class").alias("label")).where("label is not null")
+
+
+@query("""SELECT o_orderkey, CASE WHEN try_cast(regexp_extract(o_orderpriority, '^[0-9]') AS INT) IS NOT NULL THEN try_cast(regexp_extract(o_orderpriority, '^[0-9]') AS INT) END AS n,
+round_even(o_totalprice / 1000, 0)::INT AS thousands, (coalesce(try_cast(o_orderpriority AS DOUBLE), 0) > 0)::INT AS positive FROM orders""")
+def coerced_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text and numbers as nullable whole numbers and flags."""
+    orders = read(spark, sf_dir, "orders")
+    return orders.select(
+        "o_orderkey", li.count_value(F.substring("o_orderpriority", 1, 1)).alias("n"), li.count_value((F.col("o_totalprice") / 1000).cast("string")).alias("thousands"), li.positive(F.col("o_orderpriority")).alias("positive")
+    )
+
+
+@query("""WITH k AS (SELECT o_custkey || '|' || o_orderdate::DATE AS key, o_orderpriority, o_orderkey FROM orders), m AS (SELECT key, arg_max(o_orderpriority, o_orderkey) AS priority FROM k GROUP BY key)
+SELECT o_orderkey, key, priority FROM k JOIN m USING (key)""")
+def keyed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row with the label of its name and date; of several labels for one key the last counts."""
+    key = F.concat(F.col("o_custkey").cast("string"), F.lit("|"), F.to_date("o_orderdate").cast("string"))
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", key.alias("key"), "o_orderpriority")
+    last = orders.groupBy("key").agg(F.max_by("o_orderpriority", "o_orderkey").alias("priority"))
+    return orders.select("o_orderkey", "key").join(last, "key")
+
+
+@query("""WITH f AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)
+SELECT c_custkey, event_type, value, user_id IS NOT NULL AS matched FROM customer LEFT JOIN (SELECT * FROM f WHERE k = 1) ON user_id = c_custkey""")
+def case_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with the fields of its first case, if there is one."""
+    first = li.first_of(read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", "ts"), ["user_id"], [F.col("ts"), F.col("event_id")])
+    joined = read(spark, sf_dir, "customer").select("c_custkey").join(first, F.col("c_custkey") == F.col("user_id"), "left")
+    return joined.select("c_custkey", "event_type", "value", F.col("user_id").isNotNull().alias("matched"))
+
+
+@query("""WITH l AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS source FROM events GROUP BY user_id) SELECT c_custkey, coalesce(source, 'unknown') AS source, (source IS NULL)::INT AS missing FROM customer LEFT JOIN l ON user_id = c_custkey""")
+def subject_label_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each subject's source, that of its last row; unknown where it has none."""
+    last = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("c_custkey")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("source"))
+    return li.with_default(read(spark, sf_dir, "customer").select("c_custkey"), last, "c_custkey", "source", "unknown")
+
+
+AGES = "g AS (SELECT vec_id, vec_id % 50 AS subject FROM embeddings), a AS (SELECT p_partkey AS subject, p_size::DOUBLE AS age FROM part WHERE p_size < 30)"
+
+
+@query(f"WITH {AGES} SELECT vec_id, subject, coalesce(age, 6.0) AS age, (age IS NULL)::INT AS missing FROM g LEFT JOIN a USING (subject)")
+def subject_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each epoch's age by its subject, 6 where none is known."""
+    units = read(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 50).alias("subject"))
+    return li.with_default(units, _ages(spark, sf_dir), "subject", "age", 6.0).select("vec_id", "subject", "age", "missing")
+
+
+def _ages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").where("p_size < 30").select(F.col("p_partkey").alias("subject"), F.col("p_size").cast("double").alias("age"))
+
+
+@query(f"WITH {AGES} SELECT vec_id, subject FROM g SEMI JOIN a USING (subject)")
+def aged_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = read(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 50).alias("subject"))
+    return units.join(_ages(spark, sf_dir), "subject", "left_semi").select("vec_id", "subject")
+
+
+@query(LABELLED + f""" SELECT code, sum((NOT contains(text, '|'))::INT)::BIGINT AS negative, sum(contains(text, '|')::INT)::BIGINT AS positive, {R("avg(contains(text, '|')::INT) * 100", 1)} AS rate FROM d GROUP BY code""")
+def wave_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _labelled(spark, sf_dir)
+    return li.crosstab(d, "code", li.positive(F.contains("text", F.lit("|")).cast("int").cast("string"))).withColumn("rate", rounded("rate", 1))
+
+
+@query(LABELLED + f""" SELECT lang, count(*) AS n, count(code) AS matched, {R("avg((code IS NOT NULL)::INT) * 100", 1)} AS coverage FROM d GROUP BY lang""")
+def coverage_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labelled(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n"), F.count("code").alias("matched"), rounded(F.avg(F.col("code").isNotNull().cast("int")) * 100, 1).alias("coverage"))
+
+
+@query(LABELLED + """ SELECT doc_id FROM d WHERE code IS NOT NULL AND text <> '' AND doc_id = (SELECT min(doc_id) FROM documents x WHERE x.source = d.source AND x.lang = d.lang)""")
+def usable_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled records with data that are the first of their subject."""
+    first = F.row_number().over(W.partitionBy("source", "lang").orderBy("doc_id"))
+    return _labelled(spark, sf_dir).withColumn("k", first).where("k = 1 and code is not null and text <> ''").select("doc_id")
