@@ -7,15 +7,27 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from signalloom.functions import filters
 
 
-def as_arrays(signal: DataFrame) -> DataFrame:
-    """Long rows (rec, ch, t, v) to one array a record and channel, in order of t; null samples are left out."""
-    return signal.groupBy("rec", "ch").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda s: s["v"]).alias("x"))
+#: Samples of a block, and of its neighbours on both sides that its filters see.
+BLOCK, MARGIN = 1 << 16, 1 << 12
+
+
+def as_blocks(signal: DataFrame, block: int = BLOCK, margin: int = MARGIN) -> DataFrame:
+    """Long rows (rec, ch, t, v) to arrays (rec, ch, blk, x) in order of t, each with ``margin`` samples of its neighbours.
+
+    No array grows with a record. Null samples are left out; t counts from 0 without holes.
+    """
+    own = F.floor(F.col("t") / block)
+    spread = F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("t") - margin) / block)), F.floor((F.col("t") + margin) / block)))
+    last = F.max(own).over(W.partitionBy("rec", "ch"))
+    rows = signal.where(F.col("v").isNotNull()).withColumn("_last", last).select("rec", "ch", "t", "v", "_last", spread.alias("blk")).where(F.col("blk") <= F.col("_last"))
+    return rows.groupBy("rec", "ch", "blk").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda s: s["v"]).alias("x"))
 
 
 def over_arrays(df: DataFrame, column: str, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
@@ -43,16 +55,35 @@ def over_arrays(df: DataFrame, column: str, f: Callable[[np.ndarray], np.ndarray
     return df.mapInArrow(run, schema)
 
 
-def clean(df: DataFrame, fs: float, low: float = 0.5, high: float = 45.0, hum: float = 50.0, down: int = 2) -> DataFrame:
-    """Notch, band-pass and decimation, in this order."""
+def clean(blocks: DataFrame, fs: float, low: float = 0.5, high: float = 45.0, hum: float = 50.0, down: int = 2, block: int = BLOCK, margin: int = MARGIN) -> DataFrame:
+    """(rec, ch, blk, x): blocks after notch, band-pass and decimation, in this order, without their margins.
+
+    A filter forgets what lies further off than the margin, so the blocks join up to what the whole record would give.
+    ``block`` and ``margin`` are multiples of ``down``.
+    """
 
     def f(x: np.ndarray) -> np.ndarray:
         y = filters.both_ways(x, filters.notch(hum, 30.0, fs))
         return filters.decimate(filters.both_ways(y, filters.bandpass(low, high, fs)), down)
 
-    return over_arrays(df, "x", f)
+    begin = F.when(F.col("blk") == 0, 1).otherwise(1 + margin // down)
+    return over_arrays(blocks, "x", f).withColumn("x", F.slice("x", begin, block // down)).where(F.size("x") > 0)
+
+
+def segments(signal: DataFrame, most: int = 256) -> DataFrame:
+    """(rec, ch, seg, x): half-overlapping segments of ``most`` samples of long rows (rec, ch, t, v, n); one of all samples of a shorter record."""
+    size = F.least(F.lit(most), F.col("n")).cast("long")
+    hop = F.greatest(size - F.floor(size / 2), F.lit(1).cast("long"))
+    count = F.floor((F.col("n") - size) / hop) + 1
+    low, high = F.greatest(F.lit(0), F.ceil((F.col("t") - size + 1) / hop)), F.least(F.floor(F.col("t") / hop), count - 1)
+    rows = signal.where(low <= high).select("rec", "ch", "t", "v", F.explode(F.sequence(low, high)).alias("seg"))
+    return rows.groupBy("rec", "ch", "seg").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda s: s["v"]).alias("x"))
 
 
-def densities(df: DataFrame, fs: float) -> DataFrame:
-    """Welch densities in place of samples."""
-    return over_arrays(df, "x", lambda x: filters.welch(x, fs)[1])
+def welch(signal: DataFrame, fs: float, most: int = 256) -> DataFrame:
+    """(rec, ch, k, f, density): mean density of all segments at each frequency; segments are transformed in batches."""
+    found = over_arrays(segments(signal, most), "x", lambda x: filters.welch(x, fs, most)[1])
+    size = F.least(F.lit(most), F.col("n"))
+    n = signal.groupBy("rec", "ch").agg(F.max(size).alias("size"))
+    rows = found.select("rec", "ch", F.posexplode("x").alias("k", "p")).groupBy("rec", "ch", "k").agg(F.avg("p").alias("density"))
+    return rows.join(n, ["rec", "ch"]).select("rec", "ch", "k", (F.col("k") * fs / F.col("size")).alias("f"), "density")

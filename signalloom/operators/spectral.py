@@ -41,3 +41,25 @@ def entropy(spectrum: DataFrame) -> DataFrame:
     """Spectral entropy in nats; bins without power are left out."""
     q = spectrum.withColumn("q", F.col("pw") / F.sum("pw").over(W.partitionBy("id"))).where("q > 0")
     return q.groupBy("id").agg(F.sum(-F.col("q") * F.log("q")).alias("entropy"))
+
+
+def band_vector(density: DataFrame, keys: list[str]) -> DataFrame:
+    """Shares of the bands, peak frequency, 95 % edge and entropy in nats of densities (keys, f, density); zero without power."""
+    w = W.partitionBy(*keys)
+    total = F.sum("density").over(w)
+    cum = F.sum("density").over(w.orderBy("f"))
+    q = F.try_divide(F.col("density"), total)
+    rows = density.withColumn("q", F.coalesce(q, F.lit(0.0))).withColumn("edge", (cum >= 0.95 * total * (1 - 1e-12)) & (total > 0))
+    share = lambda a, b: F.sum(F.when(F.col("f").between(a, b), F.col("q")).otherwise(0.0))
+    peak = F.min(F.when(F.col("q") > 0, F.struct((-F.round("q", 12)).alias("q"), "f")))["f"]
+    return rows.groupBy(*keys).agg(
+        *(share(a, b).alias(n) for n, (a, b) in BANDS.items()), F.coalesce(peak, F.lit(0.0)).alias("peak"),
+        F.coalesce(F.min(F.when(F.col("edge"), F.col("f"))), F.lit(0.0)).alias("edge"), F.sum(F.when(F.col("q") > 0, -F.col("q") * F.log("q")).otherwise(0.0)).alias("entropy"),
+    )
+
+
+def amplitude_shares(spectrum: DataFrame, keys: list[str]) -> DataFrame:
+    """Percentages of the mean amplitude from 0.5 to 45 Hz in each band, upper ends excluded, from (keys, f, a)."""
+    inside = F.sum(F.when(F.col("f").between(0.5, 45.0), F.col("a")).otherwise(0.0))
+    own = lambda lo, hi: F.sum(F.when((F.col("f") >= lo) & (F.col("f") < hi), F.col("a")).otherwise(0.0))
+    return spectrum.groupBy(*keys).agg(*((100 * F.try_divide(own(lo, hi), inside)).alias(n) for n, (lo, hi) in BANDS.items()))

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalloom.operators import evaluation as ev
-from signalloom.operators import filtering, linkage, selection
+from signalloom.operators import filtering, linkage, selection, spatial, spectral
 from signalloom.plans.registry import QUERIES, query, rounded
 from signalloom.session import read, ship
-from signalloom.sources.tables import signals, vectors
+from signalloom.sources.tables import SIGNALS, VECTORS, signals, vectors
 from signalloom.streaming import windows
 
 R = lambda sql, k=4: f"round({sql} + 1e-9, {k})"
@@ -24,25 +24,103 @@ def rows_only(f):
 @rows_only
 def iir_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notch, band-pass and decimation of every record's channels; energy before and after."""
-    x = filtering.as_arrays(signals(ship(spark), sf_dir)).withColumn("raw", F.col("x"))
-    power = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v * v) / F.size(c)
-    return filtering.clean(x, 500.0).select("rec", "ch", F.size("x").alias("n"), power("raw").alias("power_raw"), power("x").alias("power_clean"))
+    blocks = filtering.as_blocks(signals(ship(spark), sf_dir)).withColumn("raw", F.col("x"))
+    energy = lambda c: F.sum(F.aggregate(c, F.lit(0.0), lambda a, v: a + v * v)) / F.sum(F.size(c))
+    return filtering.clean(blocks, 500.0).groupBy("rec", "ch").agg(F.sum(F.size("x")).alias("n"), energy("raw").alias("power_raw"), energy("x").alias("power_clean"))
 
 
-@rows_only
+WELCH = f"""WITH {SIGNALS}, q AS (SELECT *, least(256, n) AS m, greatest(least(256, n) - least(256, n) // 2, 1) AS hop FROM r),
+g AS (SELECT rec, ch, t, v, m, hop, unnest(range(greatest(0, (t - m + 1 + hop - 1) // hop), least(t // hop, (n - m) // hop) + 1)) AS seg FROM q),
+z AS (SELECT rec, ch, seg, m, t - seg * hop AS i, (v - avg(v) OVER (PARTITION BY rec, ch, seg)) * (0.5 - 0.5 * cos(2 * pi() * (t - seg * hop) / m)) AS x, 0.5 - 0.5 * cos(2 * pi() * (t - seg * hop) / m) AS w FROM g),
+s AS (SELECT rec, ch, seg, m, k, (pow(sum(x * cos(2 * pi() * i * k / m)), 2) + pow(sum(x * sin(2 * pi() * i * k / m)), 2)) / (250 * sum(w * w)) * CASE WHEN k = 0 OR 2 * k = m THEN 1 ELSE 2 END AS p FROM z, (SELECT unnest(range(0, 129)) AS k) WHERE k <= m // 2 GROUP BY rec, ch, seg, m, k),
+de AS (SELECT rec, ch, k, k * 250 / m AS f, avg(p) AS density FROM s GROUP BY rec, ch, k, m)"""
+
+
+@query(WELCH + f" SELECT rec, ch, k::INT AS k, {R('f')} AS f, {R('density / 1000')} AS density FROM de")
 def welch_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Welch densities of every record's channels."""
-    x = filtering.as_arrays(signals(ship(spark), sf_dir))
-    return filtering.densities(x, 250.0).withColumnRenamed("x", "density")
+    d = filtering.welch(signals(ship(spark), sf_dir), 250.0)
+    return d.select("rec", "ch", F.col("k").cast("int").alias("k"), rounded("f").alias("f"), rounded(F.col("density") / 1000).alias("density"))
+
+
+@query(WELCH + f""", t AS (SELECT *, density / sum(density) OVER w AS q, sum(density) OVER (PARTITION BY rec, ch ORDER BY f) >= 0.95 * sum(density) OVER w * (1 - 1e-12) AS e FROM de WINDOW w AS (PARTITION BY rec, ch))
+SELECT rec, ch, """ + ", ".join(f"{R(f'sum(CASE WHEN f BETWEEN {a} AND {b} THEN q ELSE 0 END)')} AS {n}" for n, (a, b) in spectral.BANDS.items()) + f""",
+{R("arg_min(f, (-round(q, 12), f))")} AS peak, {R("min(f) FILTER (e)")} AS edge, {R("sum(CASE WHEN q > 0 THEN -q * ln(q) ELSE 0 END)")} AS entropy FROM t GROUP BY ALL""")
+def frequency_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight features of every record's channels, from Welch densities."""
+    v = spectral.band_vector(filtering.welch(signals(ship(spark), sf_dir), 250.0), ["rec", "ch"])
+    return v.select("rec", "ch", *(rounded(c).alias(c) for c in v.columns[2:]))
 
 
 @rows_only
 def mrmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The eight components of least redundancy and greatest relevance, in order of choice."""
+    """The eight components of least redundancy and greatest relevance, in order of choice, by difference and by quotient."""
     binned = ev.equal_bins(vectors(spark, sf_dir), ["pos"], "x", "id").select("id", "y", "pos", "bin").cache()
-    chosen = selection.mrmr(binned, "id", "pos", "bin", "y", 8)
+    found = [(c, i, f) for c, q in (("MID", False), ("MIQ", True)) for i, f in enumerate(selection.mrmr(binned, "id", "pos", "bin", "y", 8, q))]
     binned.unpersist()
-    return spark.createDataFrame(list(enumerate(chosen)), "place int, pos int")
+    return spark.createDataFrame(found, "criterion string, place int, pos int")
+
+
+MI = f"""WITH {VECTORS}, b AS (SELECT id, y, pos, ((10 * row_number() OVER (PARTITION BY pos ORDER BY x, id) - 1) // count(*) OVER (PARTITION BY pos))::INT AS bin FROM e),
+rn AS (SELECT pos, bin, y, count(*)::DOUBLE AS n FROM b GROUP BY ALL), rm AS (SELECT *, sum(n) OVER (PARTITION BY pos) AS a, sum(n) OVER (PARTITION BY pos, bin) AS na, sum(n) OVER (PARTITION BY pos, y) AS nb FROM rn),
+rel AS (SELECT pos, round(sum(n / a * ln(n * a / (na * nb))), 9) AS mi FROM rm GROUP BY pos),
+pn AS (SELECT u.pos, o.pos AS other, u.bin, o.bin AS obin, count(*)::DOUBLE AS n FROM b u JOIN b o USING (id) GROUP BY ALL),
+pm AS (SELECT *, sum(n) OVER (PARTITION BY pos, other) AS a, sum(n) OVER (PARTITION BY pos, other, bin) AS na, sum(n) OVER (PARTITION BY pos, other, obin) AS nb FROM pn),
+red AS (SELECT pos, other, round(sum(n / a * ln(n * a / (na * nb))), 9) AS mi FROM pm GROUP BY ALL),
+s0 AS (SELECT pos FROM rel ORDER BY -mi, pos LIMIT 1)"""
+
+
+def _steps(k: int) -> str:
+    sql, union = MI, "SELECT 0 AS place, pos FROM s0"
+    for i in range(1, k):
+        sql += f", g{i} AS ({' UNION ALL '.join(f'SELECT pos FROM s{j}' for j in range(i))}), s{i} AS (SELECT rel.pos FROM rel JOIN red ON red.pos = rel.pos AND other IN (SELECT pos FROM g{i}) WHERE rel.pos NOT IN (SELECT pos FROM g{i}) GROUP BY rel.pos, rel.mi ORDER BY -round(rel.mi - sum(red.mi) / {i}, 9), rel.pos LIMIT 1)"
+        union += f" UNION ALL SELECT {i}, pos FROM s{i}"
+    return f"{sql} {union}"
+
+
+@query(_steps(4))
+def mrmr_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four choices by difference."""
+    binned = ev.equal_bins(vectors(spark, sf_dir), ["pos"], "x", "id").select("id", "y", "pos", "bin")
+    return spark.createDataFrame(list(enumerate(selection.mrmr(binned, "id", "pos", "bin", "y", 4))), "place int, pos int")
+
+
+@query(MI + f" SELECT pos, other, {R('mi', 6)} AS mi FROM red WHERE pos < other")
+def feature_pair_mi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    binned = ev.equal_bins(vectors(spark, sf_dir), ["pos"], "x", "id").select("id", "pos", "bin")
+    found = selection.pair_information(binned, "id", "pos", "bin", list(range(64))).where("pos < other")
+    return found.select("pos", "other", rounded("mi", 6).alias("mi"))
+
+
+@query(f"WITH c AS ({_steps(4)}), st AS (SELECT pos, avg(x) AS m, CASE WHEN stddev_pop(x) < 1e-8 THEN 1 ELSE stddev_pop(x) END AS s FROM (WITH {VECTORS} SELECT * FROM e) GROUP BY pos) SELECT id, pos, place, {R('(x - m) / s')} AS z FROM (WITH {VECTORS} SELECT * FROM e) JOIN st USING (pos) JOIN c USING (pos)")
+def fused_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standardised values of the four features chosen first."""
+    v = vectors(spark, sf_dir)
+    fusion = selection.Fusion.fit(v, "id", "pos", "x", "y", 4)
+    return fusion.transform(v, "id", "pos", "x").withColumn("z", rounded("z"))
+
+
+@query(f"""SELECT vec_id AS id, len(list_concat(embedding[1:8], embedding[17:64])) = 0 AS dropped, round(list_sum(list_concat(embedding[1:8], embedding[17:64])::DOUBLE[]) + 1e-9, 4) AS kept_sum,
+len(list_concat(embedding, [0.0])) AS n_augmented, round(list_reverse(embedding)[1]::DOUBLE + 1e-9, 4) AS last, round(list_sum(embedding[1:10]::DOUBLE[]) + 1e-9, 4) AS cut_sum FROM embeddings""")
+def vector_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays without a block, augmented, reversed, cut to ten and filled to eighty entries."""
+    x = F.col("embedding").cast("array<double>")
+    total = lambda c: rounded(F.aggregate(c, F.lit(0.0), lambda a, v: a + v))
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), x.alias("x"))
+    kept = selection.without_block(F.col("x"), 8, 8)
+    return e.select(
+        "id", (F.size(kept) == 0).alias("dropped"), total(kept).alias("kept_sum"), F.size(F.concat("x", F.array(F.lit(0.0)))).cast("long").alias("n_augmented"),
+        rounded(F.reverse("x")[0]).alias("last"), total(selection.fixed_size(F.col("x"), 10)).alias("cut_sum"),
+    )
+
+
+@rows_only
+def event_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filtered morphology, power ratio and globals of every vector read as eight channels of eight samples."""
+    v = vectors(ship(spark), sf_dir).select("id", F.floor(F.col("pos") / 8).cast("int").alias("ch"), (F.col("pos") % 8).alias("t"), "x")
+    arrays = v.groupBy("id", "ch").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "x"))), lambda s: s["x"]).alias("x"))
+    shapes, globals_ = spatial.event_features(arrays, 100.0)
+    return shapes.join(globals_, "id")
 
 
 @rows_only
