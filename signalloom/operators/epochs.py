@@ -136,3 +136,15 @@ def manifest(signal: DataFrame, kept: DataFrame) -> DataFrame:
     status = F.when(F.col("n_all").isNull(), "skipped_short").when(F.col("n_kept") == 0, "skipped_rejected").otherwise("ok")
     none = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     return all_recs.select("rec", none("n_all").alias("n_all"), none("n_kept").alias("n_kept"), status.alias("status"), F.coalesce(F.col("n_kept") / F.col("n_all"), F.lit(0.0)).alias("keep_rate"))
+
+
+#: The features of a channel, in the order of its part of a vector (fixed values).
+TIME_FEATURES = ("mean", "std", "skew", "kurt", "rms", "ptp", "zcr", "activity", "mobility", "complexity", "max_abs", "var")
+
+
+def time_vector(rows: DataFrame) -> DataFrame:
+    """(rec, ep, x): the time-domain features of all channels of an epoch in one array, channel after channel; nulls count 0."""
+    keys = ["rec", "ch", "ep"]
+    wide = time_features(rows).join(hjorth(rows), keys).join(zero_crossing(rows), keys)
+    own = F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in TIME_FEATURES))
+    return wide.groupBy("rec", "ep").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ch", own.alias("v")))), lambda s: s["v"])).alias("x"))

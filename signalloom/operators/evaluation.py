@@ -205,3 +205,22 @@ def margins(pred: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, accuracy, macro_f1, baseline, margin) of groups of subjects."""
     found = metrics(pred, keys).join(majority_baseline(pred, keys), keys).join(pred.groupBy(*keys).agg(F.count("*").alias("n")), keys)
     return found.select(*keys, "n", "accuracy", "macro_f1", "baseline", (F.col("accuracy") - F.col("baseline")).alias("margin"))
+
+
+def verdict(margins_by_source: DataFrame) -> DataFrame:
+    """(diff, verdict): the mean margin of the project's labels less that of the others; over 0.05 these are unreliable, over 0.02 weaker."""
+    mean = lambda s: F.avg(F.when(F.col("source") == s, F.col("margin")))
+    found = margins_by_source.agg((mean("project") - mean("raw_index")).alias("diff"))
+    return found.withColumn("verdict", F.when(F.col("diff") > 0.05, "unreliable").when(F.col("diff") > 0.02, "weaker").otherwise("alike"))
+
+
+def sampled(units: DataFrame, key: str, strata: list[str], most: int) -> DataFrame:
+    """At most ``most`` rows of each stratum, by the hash of their keys."""
+    place = F.row_number().over(W.partitionBy(*strata).orderBy(hashed(F.col(key)), key))
+    return units.withColumn("_k", place).where(F.col("_k") <= most).drop("_k")
+
+
+def binary(probs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, p0, p1, y): the first class against all others."""
+    share = lambda c: F.coalesce(F.sum(F.when(c, F.col("p"))), F.lit(0.0))
+    return probs.groupBy(*keys).agg(share(F.col("c") == 0).alias("p0"), share(F.col("c") > 0).alias("p1"), (F.max("y") >= 1).cast("int").alias("y"))

@@ -11,7 +11,7 @@ from signalloom.plans.fusion_queries import BASE, SHAPE
 from signalloom.plans.registry import query, rounded
 from signalloom.sources.tables import PROBS2, probabilities
 
-R = lambda sql, k=4: f"round({sql} + 1e-9, {k})"
+R = lambda sql, k=4: f"(round({sql} + 1e-9, {k}) + 0)"
 P2 = "WITH " + PROBS2
 LEVEL = "CASE id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'medium' END"
 FITS = "CASE level " + " ".join(f"WHEN '{k}' THEN CASE agent " + " ".join(f"WHEN {a} THEN {x:.2f}::DOUBLE" for a, x in t.items()) + " END" for k, t in fu.FITS.items()) + " END"

@@ -11,7 +11,7 @@ from signalloom.sources.tables import SIGNALS, signals
 
 ROWS = "WITH " + SIGNALS + ", w AS (SELECT rec, ch, t, v, unnest(range(greatest(0, t // 32 - 1), t // 32 + 1)) AS ep, n FROM r WHERE n >= 64), x AS (SELECT rec, ch, t, v, ep FROM w WHERE ep * 32 + 64 <= n)"
 KEYS = ("rec", "ch", "ep")
-R = lambda sql, k=4: f"round({sql} + 1e-9, {k})"
+R = lambda sql, k=4: f"(round({sql} + 1e-9, {k}) + 0)"
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from signalloom.operators import fusion as fu
 from signalloom.plans.registry import query, rounded
 from signalloom.sources.tables import PROBS, VECTORS, probabilities, vectors
 
-R = lambda sql, k=4: f"round({sql} + 1e-9, {k})"
+R = lambda sql, k=4: f"(round({sql} + 1e-9, {k}) + 0)"
 P = "WITH " + PROBS
 BASE = "CASE agent WHEN 0 THEN 0.2::DOUBLE WHEN 1 THEN 0.3::DOUBLE ELSE 0.25::DOUBLE END"
 VOTE = f", s AS (SELECT id, subject, y, c, round(sum({BASE} * p) / sum({BASE}) + 1e-9, 6) AS p FROM p GROUP BY ALL), v AS (SELECT id, subject, y, arg_min(c, (-p, c)) AS label, max(p) AS confidence FROM s GROUP BY ALL)"

@@ -12,7 +12,7 @@ from signalloom.session import read, ship
 from signalloom.sources.tables import SIGNALS, VECTORS, signals, vectors
 from signalloom.streaming import windows
 
-R = lambda sql, k=4: f"round({sql} + 1e-9, {k})"
+R = lambda sql, k=4: f"(round({sql} + 1e-9, {k}) + 0)"
 
 
 def rows_only(f):
@@ -85,11 +85,11 @@ def mrmr_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(selection.mrmr(binned, "id", "pos", "bin", "y", 4))), "place int, pos int")
 
 
-@query(MI + f" SELECT pos, other, {R('mi', 6)} AS mi FROM red WHERE pos < other")
+@query(MI + f" SELECT pos, other, {R('mi', 5)} AS mi FROM red WHERE pos < other")
 def feature_pair_mi(spark: SparkSession, sf_dir: str) -> DataFrame:
     binned = ev.equal_bins(vectors(spark, sf_dir), ["pos"], "x", "id").select("id", "pos", "bin")
     found = selection.pair_information(binned, "id", "pos", "bin", list(range(64))).where("pos < other")
-    return found.select("pos", "other", rounded("mi", 6).alias("mi"))
+    return found.select("pos", "other", rounded(F.round("mi", 9), 5).alias("mi"))
 
 
 @query(f"WITH c AS ({_steps(4)}), st AS (SELECT pos, avg(x) AS m, CASE WHEN stddev_pop(x) < 1e-8 THEN 1 ELSE stddev_pop(x) END AS s FROM (WITH {VECTORS} SELECT * FROM e) GROUP BY pos) SELECT id, pos, place, {R('(x - m) / s')} AS z FROM (WITH {VECTORS} SELECT * FROM e) JOIN st USING (pos) JOIN c USING (pos)")

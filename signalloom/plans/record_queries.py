@@ -13,7 +13,7 @@ from signalloom.plans.registry import query, rounded
 from signalloom.session import read
 from signalloom.sources.tables import VECTORS, vectors
 
-R = lambda sql, k=4: f"round({sql} + 1e-9, {k})"
+R = lambda sql, k=4: f"(round({sql} + 1e-9, {k}) + 0)"
 RULES = [("tion", 1), ("ing", 2), ("en", 0)]
 
 

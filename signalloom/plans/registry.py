@@ -24,6 +24,6 @@ def query(sql: str) -> Callable[[Query], Query]:
 
 
 def rounded(c: Column | str, places: int = 4) -> Column:
-    """Rounded off the ties that two engines sum to different sides of."""
+    """Rounded off the ties that two engines sum to different sides of; zero has no sign."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c + 1e-9, places)
+    return F.round(c + 1e-9, places) + F.lit(0.0)

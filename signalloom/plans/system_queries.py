@@ -15,7 +15,7 @@ from signalloom.plans.model_queries import rows_only
 from signalloom.plans.registry import query, rounded
 from signalloom.sources.tables import VECTORS, probabilities, vectors
 
-R = lambda sql, k=4: f"round({sql} + 1e-9, {k})"
+R = lambda sql, k=4: f"(round({sql} + 1e-9, {k}) + 0)"
 CHANNELS = f"WITH {VECTORS}, c AS (SELECT id, (pos // 16)::INT AS ch, (pos % 16)::INT AS t, x FROM e)"
 COHERENCE = (
     CHANNELS

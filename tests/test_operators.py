@@ -50,7 +50,7 @@ def test_accuracy_weights(spark):
 def test_codes_names_dates(spark):
     codes = spark.createDataFrame([("0",), ("1",), ("2",), ("9",), (None,)], "c string")
     assert [r[0] for r in codes.select(linkage.code_class(F.col("c"))).collect()] == [0, 2, 1, None, None]
-    one = spark.createDataFrame([("A b~C-_.,", "2020/03/04")], "n string, d string")
+    one = spark.createDataFrame([("A b~C-_.,\u3000\u00b7", "2020/03/04")], "n string, d string")
     assert one.select(linkage.normal_name(F.col("n"))).first()[0] == "abc"
     assert str(one.select(linkage.first_date(F.col("d"), ["yyyy-MM-dd", "yyyy/MM/dd"])).first()[0]) == "2020-03-04"
 
@@ -66,3 +66,61 @@ def test_nearest_prefers_close_then_first(spark):
     right = spark.createDataFrame([(1, 7, "2020-01-03"), (1, 8, "2020-01-10"), (1, 9, None), (2, 5, "2020-01-03"), (2, 4, "2020-01-07")], "k int, e int, t string").withColumn("t", F.to_date("t"))
     got = {r.id: (r.gap, r.e) for r in linkage.nearest(left, right, ["k"], "id", "d", "t", "e").collect()}
     assert got == {10: (2, 7), 20: (2, 4)}
+
+
+def test_nearest_equals_all_pairs(spark):
+    import datetime
+    import random
+
+    rnd = random.Random(3)
+    day = lambda: None if rnd.random() < 0.15 else datetime.date(2020, 1, 1) + datetime.timedelta(days=rnd.randrange(40))
+    left = [(rnd.randrange(6), i, day()) for i in range(120)]
+    right = [(rnd.randrange(5), i, day()) for i in range(60)]
+    df = linkage.nearest(spark.createDataFrame(left, "k int, id int, d date"), spark.createDataFrame(right, "k int, e int, t date"), ["k"], "id", "d", "t", "e")
+    got = {r.id: (r.gap, r.e) for r in df.collect()}
+    for k, i, d in left:
+        rank = sorted((gap is None, gap or 0, e, gap) for q, e, t in right if q == k for gap in [abs((d - t).days) if d and t else None])
+        assert got[i] == ((rank[0][3], rank[0][2]) if rank else (None, None)), (k, i, d)
+
+
+def test_fuzzy_equals_all_pairs(spark):
+    import datetime
+    import difflib
+    import random
+
+    rnd = random.Random(4)
+    name = lambda: "".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 9)))
+    days = [datetime.date(2020, 1, 1 + d) for d in range(3)]
+    left = [(i, rnd.choice(days), name()) for i in range(40)]
+    right = [(i, rnd.choice(days), name()) for i in range(60)]
+    df = linkage.fuzzy(spark.createDataFrame(left, "id int, day date, key string"), spark.createDataFrame(right, "e int, day date, name string"), "id", "day", "key", "name", "e")
+    got = {r.id: (r.ratio, r.e) for r in df.collect()}
+    for i, day, key in left:
+        found = [(-difflib.SequenceMatcher(None, key, n).ratio(), e) for e, d, n in right if d == day and len(n) >= 2]
+        found = sorted(x for x in found if -x[0] >= 0.6)
+        assert got.get(i) == ((-found[0][0], found[0][1]) if found else None)
+
+
+def test_hashes_of_large_keys(spark):
+    keys = [0, 1, 5, 2**31, 2**32 + 7, 10**10, 9 * 10**18, -3]
+    got = spark.createDataFrame([(k,) for k in keys], "k long").select("k", evaluation.hashed(F.col("k")).alias("h")).collect()
+    assert all(r.h == (r.k % 2**32) * 2654435761 % 2**32 for r in got)
+
+
+def test_flat_and_short_records(spark):
+    rows = [(1, "a", t, 3.0) for t in range(20)] + [(1, "b", t, float(t % 7)) for t in range(20)] + [(2, "a", t, 1.0) for t in range(3)]
+    signal = spark.createDataFrame(rows, "rec int, ch string, t long, v double")
+    got = {r.rec: r.artifact_ratio for r in epochs.artifact_ratio(signal, 100.0).collect()}
+    assert abs(got[1] - 0.2 * 0.5) < 1e-9 and got[2] == 1.0
+
+
+def test_second_round_keeps_the_feature_model(spark):
+    first = [(1, 0, 0, a, c, p) for a in range(2) for c, p in enumerate((0.6, 0.3, 0.1))]
+    other = [(1, 0, 0, a, c, p) for a in range(2) for c, p in enumerate((0.0, 0.0, 1.0))]
+    kind = "id int, subject int, y int, agent int, c int, p double"
+    a, b = spark.createDataFrame(first, kind), spark.createDataFrame(other, kind)
+    got = {(r.agent, r.c): r.p for r in fusion.second_opinion(a, b).collect()}
+    assert got[0, 0] == 0.6 and abs(got[1, 2] - 0.55) < 1e-6
+    levels = spark.createDataFrame([(1, "low")], "id int, level string")
+    cred = {r.agent: r for r in fusion.credibility(fusion.second_opinion(a, b), a, levels).collect()}
+    assert cred[0].gain == 0 and cred[0].fit == 1.0 and cred[1].fit == 0.8 and cred[1].cred < cred[0].cred

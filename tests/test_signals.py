@@ -47,10 +47,44 @@ def test_resampling_and_welch():
     assert len(f) == 129 and np.allclose((p * (f[1] - f[0])).sum(1), 1, atol=0.05)
 
 
-def test_arrays_of_any_length(spark):
-    df = spark.createDataFrame([(1, "a", [1.0, 2.0, 3.0]), (2, "a", []), (3, "a", None), (4, "b", [4.0] * 40)], "rec int, ch string, x array<double>")
+def test_blocks_of_any_length(spark):
+    df = spark.createDataFrame([(1, "a", 0, [1.0, 2.0, 3.0]), (2, "a", 0, []), (3, "a", 0, None), (4, "b", 0, [4.0] * 40)], "rec int, ch string, blk long, x array<double>")
     got = {r.rec: r.x for r in filtering.clean(df, 500.0).collect()}
-    assert got[2] == [] and got[3] is None and len(got[1]) == 2 and len(got[4]) == 20
+    assert set(got) == {1, 4} and len(got[1]) == 2 and len(got[4]) == 20
+
+
+def test_blocks_join_up(spark):
+    x = np.random.default_rng(1).normal(size=4000).cumsum()
+    signal = spark.createDataFrame([(1, "a", t, float(v)) for t, v in enumerate(x)], "rec int, ch string, t long, v double")
+    whole = filtering.clean(filtering.as_blocks(signal), 500.0, 5.0, 45.0).collect()
+    parts = filtering.clean(filtering.as_blocks(signal, 1000, 800), 500.0, 5.0, 45.0, block=1000, margin=800).orderBy("blk").collect()
+    joined = np.concatenate([r.x for r in parts])
+    assert len(whole) == 1 and len(parts) == 4 and len(joined) == 2000 and np.abs(joined - whole[0].x).max() < 1e-3
+
+
+def test_welch_by_segments(spark):
+    x = np.random.default_rng(2).normal(size=(2, 700))
+    signal = spark.createDataFrame([(1, str(c), t, float(v), len(row)) for c, row in enumerate([x[0], x[1, :100], x[1, :1]]) for t, v in enumerate(row)], "rec int, ch string, t long, v double, n long")
+    got = {(r.ch, r.k): (r.f, r.density) for r in filtering.welch(signal, 250.0).collect()}
+    for c, row in enumerate([x[0], x[1, :100], x[1, :1]]):
+        f, p = filters.welch(row[None, :], 250.0)
+        assert all(np.allclose(got[str(c), k], (f[k], p[0, k])) for k in range(len(f)))
+
+
+def test_fusion_round_trip(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(i, f, float(rng.normal() + (i % 2 if f == 1 else 0)), i % 2) for i in range(200) for f in range(4)]
+    values = spark.createDataFrame(rows, "id int, f int, v double, y int")
+    fusion = selection.Fusion.fit(values, "id", "f", "v", "y", 2)
+    fusion.save(str(tmp_path / "fusion"))
+    again = selection.Fusion.load(spark, str(tmp_path / "fusion")).transform(values, "id", "f", "v")
+    assert again.count() == 400 and again.where("place = 0").select("f").distinct().first()[0] == 1
+    assert abs(again.where("place = 0").agg(F.stddev_pop("z")).first()[0] - 1) < 1e-9
+    try:
+        fusion.transform(values.where("f < 3"), "id", "f", "v")
+        raise AssertionError("features are missing")
+    except ValueError as e:
+        assert "4 features" in str(e)
 
 
 def test_mrmr_skips_copies(spark):

@@ -34,6 +34,18 @@ def test_scorers_learn(spark):
 
 def test_diagnosis_keeps_calm_votes(spark):
     probs = [(1, 0, 0, a, c, p) for a in range(4) for c, p in enumerate((0.8, 0.1, 0.1))] + [(2, 0, 1, a, c, p) for a in range(4) for c, p in enumerate((0.9, 0.05, 0.05) if a == 0 else (0.1, 0.8, 0.1))]
-    got = {r.id: r for r in fusion.diagnose(spark.createDataFrame(probs, "id int, subject int, y int, agent int, c int, p double")).collect()}
+    first = spark.createDataFrame(probs, "id int, subject int, y int, agent int, c int, p double")
+    levels = spark.createDataFrame([(1, "medium"), (2, "high")], "id int, level string")
+    got = {r.id: r for r in fusion.diagnose(first, first, levels).collect()}
     assert (got[1].label, got[1].arbitrated, got[1].confidence) == (0, False, 0.8)
     assert (got[2].label, got[2].arbitrated) == (1, True)
+
+
+def test_report(spark):
+    from signalloom.plans import report
+
+    decisions = spark.createDataFrame([(1, 7, 0, 0.9, False), (2, 7, 2, 0.6, True), (3, 7, 2, 0.7, False), (4, 8, 2, 0.5, False)], "id int, subject int, label int, confidence double, arbitrated boolean")
+    features = spark.createDataFrame([(1, 7, 3), (2, 7, 3), (3, 7, 1)], "id int, subject int, pos int")
+    text = report.markdown(decisions, features, 7, ["normal", "borderline", "abnormal"])
+    assert "| abnormal | 2 |" in text and "arbitrated: 1" in text and "3 (2), 1 (1)" in text
+    assert report.first_case(decisions, 2).first().subject == 7
