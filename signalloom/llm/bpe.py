@@ -19,6 +19,7 @@ import json
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -238,8 +239,10 @@ def encode(docs: DataFrame, spec: str, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render = Renderer(PrefixEncoder(shared.value)).text
         for batch in batches:
-            ids = [[int(i) for i in render(v.as_py() or "")[1].split(",") if i] for v in batch.column(len(keep))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(ids, pa.list_(pa.int32()))], names=[*keep, "ids"])
+            ids = [np.array([int(i) for i in said.split(",")] if (said := render(v.as_py() or "")[1]) else [], np.int32) for v in batch.column(len(keep))]
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), lists], names=[*keep, "ids"])
 
     return docs.select(*keep, docs["text"].alias("_text")).mapInArrow(run, schema)
 

@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from signalloom.llm import text_arrays as ta
+
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 #: The labelled table may have at most so many rows; it is trained on the driver.
@@ -289,15 +291,20 @@ def found_spans(texts: list[str], field: Field) -> list[tuple[dict[str, list[tup
         out.append((base_spans(text), {k: [] for k in KINDS}))
         if field.calm and not _SPECIAL.search(text):
             continue
-        words, other = [], []
+        words, gap, last, n = [], [], -1, -1
         for k, m in enumerate(_WORD.finditer(text)):
-            words.append(m.span())
             if _SPECIAL.search(m.group()):
-                other.append(k)
-        runs.append([text[slice(*words[k])] for k in other])
-        gaps.append([b - a - 1 for a, b in zip([-1, *other], [*other, len(words)], strict=True)])
-        where.append((i, words))
-    for (i, words), labels, own in zip(where, field.decode(runs, gaps), gaps, strict=True):
+                words.append(m.group())
+                gap.append(k - last - 1)
+                last = k
+            n = k
+        runs.append(words)
+        gaps.append([*gap, n - last])
+        where.append(i)
+    for i, labels, own in zip(where, field.decode(runs, gaps), gaps, strict=True):
+        if field.calm and not any(labels):
+            continue
+        words = [m.span() for m in _WORD.finditer(texts[i])]
         ends = [0, *labels, 0]
         path: list[int] = []
         for k, n in enumerate(own):
@@ -371,5 +378,6 @@ def redact(docs: DataFrame, field: Field) -> DataFrame:
             if size is not None:
                 columns[size] = pa.array([None if t is None else len(t) for t in new], batch.schema.field(size).type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        ta.release()
 
     return docs.mapInArrow(run, docs.schema)
