@@ -17,7 +17,7 @@ def test_headers_and_projection(spark, tmp_path):
 
 
 def test_tidy():
-    assert [sheets.tidy(h) for h in ("a（b）c", "x(y", " n \nmore", "p[q]", "")] == ["a", "x(y", "n", "p", ""]
+    assert [sheets.tidy(h) for h in ("a（b）c", "x(y", " n \nmore", "p[q]", "", "c\rd", "k(1)（2）")] == ["a", "x(y", "n", "p[q]", "", "c", "k"]
 
 
 def test_ages(spark):
