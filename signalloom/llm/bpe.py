@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from signalloom.llm import text_arrays as ta
+
 #: Entries of the tables of rendered runs and pieces; beyond that a table starts anew.
 MOST_RUNS, MOST_PIECES = 200_000, 300_000
 #: Only shorter pieces are kept in it.
@@ -227,6 +229,8 @@ def digests(docs: DataFrame, spec: str) -> DataFrame:
                 ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                 text_sha.append(hashlib.sha256(raw.decode("utf-8", errors="replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        del render
+        ta.release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -237,12 +241,15 @@ def encode(docs: DataFrame, spec: str, keep: list[str]) -> DataFrame:
     schema = docs.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ta.release()
         render = Renderer(PrefixEncoder(shared.value)).text
         for batch in batches:
-            ids = [np.array([int(i) for i in said.split(",")] if (said := render(v.as_py() or "")[1]) else [], np.int32) for v in batch.column(len(keep))]
+            ids = [np.fromstring(render(v.as_py() or "")[1], np.int32, sep=",") for v in batch.column(len(keep))]
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), lists], names=[*keep, "ids"])
+        del render
+        ta.release()
 
     return docs.select(*keep, docs["text"].alias("_text")).mapInArrow(run, schema)
 
