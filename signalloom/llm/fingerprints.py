@@ -31,6 +31,8 @@ from signalloom.llm import text_arrays as ta
 K, S = 24, 12
 INNER = K - S + 1
 SLICE = 1 << 18
+#: Bytes of text whose anchors and strings a task makes at a time.
+PART = 1 << 21
 LEAST = -(1 << 63)
 
 
@@ -116,11 +118,12 @@ def sketch(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, last, doc_id, text) come in order; each but the last of a bucket meets the next one."""
+    """Rows (bucket, last, doc_id, text) come in order; each but the last of a bucket meets the next one.
+
+    Anchors and their strings are made for some rows at a time, about PART bytes of text.
+    """
     held: tuple | None = None
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
+    for batch in (whole.slice(a, b - a) for whole in batches for a, b, _, _ in ta.slices(whole.column(3), PART)):
         prints = fingerprints(batch.column(3))
         rows = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), [t or "" for t in batch.column(3).to_pylist()], prints, strict=True))
         rows = rows if held is None else [held, *rows]
@@ -143,6 +146,7 @@ def _with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ],
             names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )
+    ta.release()
 
 
 def _range_of(key: Column, bounds: list[int]) -> Column:
