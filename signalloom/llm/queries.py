@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import bpe, context_tree, fingerprints, long_matches, media, mixing, near_dedup, pii, quality, sharding
+from signalloom.llm import bpe, context_tree, fingerprints, long_matches, media, mixing, near_dedup, pii, quality, sharding, yinyang
 from signalloom.session import read, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,10 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(ship(spark), sf_dir, "documents"), tokenizer_spec())
 
 
+def op11_yinyang_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang.summary(read(ship(spark), sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_near_dedup": op2_near_dedup,
@@ -80,5 +84,6 @@ QUERIES: dict[str, Query] = {
     "op8_personal_data": op8_personal_data,
     "op9_context_tree": op9_context_tree,
     "op10_bpe_round_trip": op10_bpe_round_trip,
+    "op11_yinyang_clusters": op11_yinyang_clusters,
 }
-ORACLES: dict[str, str] = {"op2_near_dedup": near_dedup.ORACLE, "op3_mixing": mixing.oracle(), "op7_compaction": sharding.ORACLE}
+ORACLES: dict[str, str] = {"op2_near_dedup": near_dedup.ORACLE, "op3_mixing": mixing.oracle(), "op7_compaction": sharding.ORACLE, "op11_yinyang_clusters": yinyang.oracle()}

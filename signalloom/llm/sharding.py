@@ -45,6 +45,12 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def delete(spark: SparkSession, path: str) -> bool:
+    """Whether there was such a file or folder, which is gone now."""
+    fs, at = _fs(spark, path)
+    return fs.delete(at, True)
+
+
 class Conflict(RuntimeError):
     """Another writer committed this version first."""
 
