@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import bpe, context_tree, fingerprints, long_matches, media, mixing, near_dedup, pii, quality, sharding, yinyang
+from signalloom.llm import bpe, context_tree, fingerprints, long_matches, media, mixing, near_dedup, pii, quality, sharding, word_runs, yinyang
 from signalloom.session import read, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,10 @@ def op11_yinyang_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return yinyang.summary(read(ship(spark), sf_dir, "embeddings"))
 
 
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_runs.summary(read(ship(spark), sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_near_dedup": op2_near_dedup,
@@ -85,5 +89,6 @@ QUERIES: dict[str, Query] = {
     "op9_context_tree": op9_context_tree,
     "op10_bpe_round_trip": op10_bpe_round_trip,
     "op11_yinyang_clusters": op11_yinyang_clusters,
+    "op12_word_runs": op12_word_runs,
 }
 ORACLES: dict[str, str] = {"op2_near_dedup": near_dedup.ORACLE, "op3_mixing": mixing.oracle(), "op7_compaction": sharding.ORACLE, "op11_yinyang_clusters": yinyang.oracle()}
