@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import bpe, context_tree, fingerprints, long_matches, media, mixing, near_dedup, pii, quality, sharding, word_runs, yinyang
+from signalloom.llm import bpe, context_tree, fingerprints, long_matches, media, mixing, near_dedup, pii, quality, secret_scan, sharding, word_runs, yinyang
 from signalloom.session import read, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,10 @@ def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_runs.summary(read(ship(spark), sf_dir, "documents"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.summary(read(ship(spark), sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_near_dedup": op2_near_dedup,
@@ -90,5 +94,6 @@ QUERIES: dict[str, Query] = {
     "op10_bpe_round_trip": op10_bpe_round_trip,
     "op11_yinyang_clusters": op11_yinyang_clusters,
     "op12_word_runs": op12_word_runs,
+    "op13_secret_scan": op13_secret_scan,
 }
 ORACLES: dict[str, str] = {"op2_near_dedup": near_dedup.ORACLE, "op3_mixing": mixing.oracle(), "op7_compaction": sharding.ORACLE, "op11_yinyang_clusters": yinyang.oracle()}
