@@ -32,7 +32,7 @@ def iir_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 WELCH = f"""WITH {SIGNALS}, q AS (SELECT *, least(256, n) AS m, greatest(least(256, n) - least(256, n) // 2, 1) AS hop FROM r),
 g AS (SELECT rec, ch, t, v, m, hop, unnest(range(greatest(0, (t - m + 1 + hop - 1) // hop), least(t // hop, (n - m) // hop) + 1)) AS seg FROM q),
 z AS (SELECT rec, ch, seg, m, t - seg * hop AS i, (v - avg(v) OVER (PARTITION BY rec, ch, seg)) * (0.5 - 0.5 * cos(2 * pi() * (t - seg * hop) / m)) AS x, 0.5 - 0.5 * cos(2 * pi() * (t - seg * hop) / m) AS w FROM g),
-s AS (SELECT rec, ch, seg, m, k, (pow(sum(x * cos(2 * pi() * i * k / m)), 2) + pow(sum(x * sin(2 * pi() * i * k / m)), 2)) / (250 * sum(w * w)) * CASE WHEN k = 0 OR 2 * k = m THEN 1 ELSE 2 END AS p FROM z, (SELECT unnest(range(0, 129)) AS k) WHERE k <= m // 2 GROUP BY rec, ch, seg, m, k),
+s AS (SELECT rec, ch, seg, m, k, (pow(sum(x * cos(2 * pi() * i * k / m)), 2) + pow(sum(x * sin(2 * pi() * i * k / m)), 2)) / (250 * CASE WHEN sum(w * w) = 0 THEN 1 ELSE sum(w * w) END) * CASE WHEN k = 0 OR 2 * k = m THEN 1 ELSE 2 END AS p FROM z, (SELECT unnest(range(0, 129)) AS k) WHERE k <= m // 2 GROUP BY rec, ch, seg, m, k),
 de AS (SELECT rec, ch, k, k * 250 / m AS f, avg(p) AS density FROM s GROUP BY rec, ch, k, m)"""
 
 
@@ -66,7 +66,7 @@ rn AS (SELECT pos, bin, y, count(*)::DOUBLE AS n FROM b GROUP BY ALL), rm AS (SE
 rel AS (SELECT pos, round(sum(n / a * ln(n * a / (na * nb))), 9) AS mi FROM rm GROUP BY pos),
 pn AS (SELECT u.pos, o.pos AS other, u.bin, o.bin AS obin, count(*)::DOUBLE AS n FROM b u JOIN b o USING (id) GROUP BY ALL),
 pm AS (SELECT *, sum(n) OVER (PARTITION BY pos, other) AS a, sum(n) OVER (PARTITION BY pos, other, bin) AS na, sum(n) OVER (PARTITION BY pos, other, obin) AS nb FROM pn),
-red AS (SELECT pos, other, round(sum(n / a * ln(n * a / (na * nb))), 9) AS mi FROM pm GROUP BY ALL),
+red AS (SELECT pos, other, sum(n / a * ln(n * a / (na * nb))) AS raw, round(raw, 9) AS mi FROM pm GROUP BY pos, other),
 s0 AS (SELECT pos FROM rel ORDER BY -mi, pos LIMIT 1)"""
 
 
@@ -85,11 +85,12 @@ def mrmr_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(selection.mrmr(binned, "id", "pos", "bin", "y", 4))), "place int, pos int")
 
 
-@query(MI + f" SELECT pos, other, {R('mi', 5)} AS mi FROM red WHERE pos < other")
+@query(MI + " SELECT pos, other, round(raw + 3e-10, 5) + 0 AS mi FROM red WHERE pos < other")
 def feature_pair_mi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mutual information of every two features, rounded once."""
     binned = ev.equal_bins(vectors(spark, sf_dir), ["pos"], "x", "id").select("id", "pos", "bin")
     found = selection.pair_information(binned, "id", "pos", "bin", list(range(64))).where("pos < other")
-    return found.select("pos", "other", rounded(F.round("mi", 9), 5).alias("mi"))
+    return found.select("pos", "other", (F.round(F.col("mi") + 3e-10, 5) + F.lit(0.0)).alias("mi"))
 
 
 @query(f"WITH c AS ({_steps(4)}), st AS (SELECT pos, avg(x) AS m, CASE WHEN stddev_pop(x) < 1e-8 THEN 1 ELSE stddev_pop(x) END AS s FROM (WITH {VECTORS} SELECT * FROM e) GROUP BY pos) SELECT id, pos, place, {R('(x - m) / s')} AS z FROM (WITH {VECTORS} SELECT * FROM e) JOIN st USING (pos) JOIN c USING (pos)")
