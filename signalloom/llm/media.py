@@ -123,7 +123,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def features(docs: DataFrame) -> DataFrame:
     """Facts of every text's payload and stored form, with ``pairs`` as a time-coded array."""
-    return docs.select("doc_id", "text").mapInArrow(_facts, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, pairs array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_facts, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, pairs array<long>")
 
 
 def media(docs: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def media(docs: DataFrame) -> DataFrame:
             for i, text in enumerate(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([stored(payload((text.as_py() or "").encode()))], pa.binary())], names=["doc_id", "wav"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, wav binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, wav binary")
 
 
 def as_text(pairs_column: str = "pairs") -> Column:

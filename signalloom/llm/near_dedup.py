@@ -229,7 +229,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, matches: int = MATC
 
     Pairs at ``percent`` of Jaccard link, candidates where they agree in ``matches`` coordinates.
     """
-    rows = docs.select("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = cut(rows.mapInArrow(_sketches, "doc_id long, n_shingles long, digest binary, sign binary"))
     classes = cut(
         sketch.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())

@@ -362,7 +362,8 @@ def redact_text(text: str, spans: list[tuple[int, int, str]]) -> str:
 def redact(docs: DataFrame, field: Field) -> DataFrame:
     """docs with the spans in ``text`` replaced by their kind, and ``n_chars``, if there, counted anew; a null text stays null."""
     shared = docs.sparkSession.sparkContext.broadcast((field.names, field.emit, field.move))
-    at, names = docs.columns.index("text"), docs.columns
+    plain = ta.by_place(docs)
+    at, names = docs.columns.index("text"), plain.columns
     size = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,4 +381,4 @@ def redact(docs: DataFrame, field: Field) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=names)
         ta.release()
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

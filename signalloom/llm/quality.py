@@ -162,7 +162,5 @@ def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None,
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score ``threshold`` or more, with their columns, whatever their names."""
-    name = "_score"
-    while name in docs.columns:
-        name = f"_{name}"
-    return score(docs, *train(docs, labels), docs.columns, name).where(F.col(name) >= threshold).drop(name)
+    plain = ta.by_place(docs)
+    return score(plain, *train(docs, labels), plain.columns, "score").where(F.col("score") >= threshold).drop("score").toDF(*docs.columns)

@@ -97,9 +97,12 @@ def commit(table: DataFrame, root: str, version: int, columns: T.StructType) ->
     return version
 
 
-def _sized(spark: SparkSession, folder: str, columns: T.StructType, level: int) -> DataFrame:
-    """(path, level, n_rows, n_bytes) of the shards that a write left in a folder; bytes are those of the file."""
-    rows = spark.read.schema(columns).parquet(folder).select("_metadata.file_path", "_metadata.file_size")
+def _sized(spark: SparkSession, folder: str, level: int) -> DataFrame:
+    """(path, level, n_rows, n_bytes) of the shards that a write left in a folder; bytes are those of the file.
+
+    No column of the rows is read, so one of theirs may be called ``_metadata`` too.
+    """
+    rows = spark.read.schema("_none int").parquet(folder).select("_metadata.file_path", "_metadata.file_size")
     return rows.groupBy(F.col("file_path").alias("path"), F.lit(level).alias("level"), F.col("file_size").alias("n_bytes")).agg(F.count("*").alias("n_rows")).select("path", "level", "n_rows", "n_bytes")
 
 
@@ -119,7 +122,7 @@ def append(arrival: DataFrame, root: str, most_rows: int = MOST_ROWS) -> int:
     columns = _with(schema(spark, root), arrival.schema)
     folder = f"{root}/shards/{uuid.uuid4().hex}"
     arrival.write.option("maxRecordsPerFile", most_rows).parquet(folder)
-    live = manifest(spark, root).unionByName(_sized(spark, folder, columns, 0))
+    live = manifest(spark, root).unionByName(_sized(spark, folder, 0))
     return commit(live, root, (now[-1] if now else 0) + 1, columns)
 
 
@@ -144,7 +147,7 @@ def compact(spark: SparkSession, root: str, target: int = TARGET, fanout: int =
         folder = f"{root}/shards/{uuid.uuid4().hex}"
         size = sum(r["n_bytes"] for r in run)
         spark.read.schema(columns).parquet(*(r["path"] for r in run)).coalesce(max(1, size // target)).write.parquet(folder)
-        merged = _sized(spark, folder, columns, 1 + max(r["level"] for r in run))
+        merged = _sized(spark, folder, 1 + max(r["level"] for r in run))
         gone = spark.createDataFrame([(r["path"],) for r in run], "path string")
         commit(shards.join(gone, "path", "left_anti").unionByName(merged), root, now[-1] + 1, columns)
     return 0

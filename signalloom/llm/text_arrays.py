@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 SLICE_BYTES = 1 << 20
 U = np.uint64
@@ -120,6 +121,11 @@ def ngrams(codes: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return mix(out[keep] + U(n)), row[:m][keep]
 
 
+def by_place(docs: DataFrame) -> DataFrame:
+    """The same columns under plain names, whatever theirs are; ``doc_id``, ``text`` and ``n_chars`` keep their own."""
+    return docs.toDF(*(c if c in ("doc_id", "text", "n_chars") else f"c{i}" for i, c in enumerate(docs.columns)))
+
+
 def release() -> None:
     """Gives memory that a finished task has freed back to the system, for the workers that stay for other tasks."""
     pa.default_memory_pool().release_unused()

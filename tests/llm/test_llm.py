@@ -492,3 +492,22 @@ def test_pipeline_stages(spark):
     assert sizes == sorted(sizes, reverse=True) and sizes[2] == sizes[3] and sizes[-1] > 0
     final = cp.STAGES[-1][1](spark, docs, sf)
     assert final.count() == docs.count() and final.where(F.size("ids") != F.col("n_tokens")).count() == 0
+
+
+def test_columns_of_any_name_and_whole_number_ids(spark):
+    import corpus_pipeline as cp
+
+    rows = [(i, f"the river runs past mill number {i} and mails a{i}@b.cd to it", "en", "s", 40, "x", 1, {"k": i}) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string, source string, n_chars int, `a.b` string, score int, _metadata map<string,int>")
+    kept = quality.accepted(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"), 0.5)
+    assert kept.columns == docs.columns and kept.count() == 6 and kept.schema["_metadata"].dataType == docs.schema["_metadata"].dataType
+    clean = pii.redact(docs, pii.train(pii.labelled_table(spark)))
+    assert clean.columns == docs.columns and clean.where("text like '%<EMAIL>%' and `a.b` = 'x'").count() == 6
+    assert cp.drop_near_duplicates(spark, docs, "").columns == docs.columns and cp.mix_sources(spark, docs, "").columns == docs.columns
+    assert near_dedup.near_duplicates(docs).count() == 6 and media.features(docs).count() == 6
+    root = sharding.new_root(spark)
+    for _ in range(4):
+        sharding.append(docs, root)
+    sharding.compact(spark, root)
+    back = sharding.read_version(spark, root)
+    assert back.columns == docs.columns and back.count() == 24 and sum(r.n_rows for r in sharding.manifest(spark, root).collect()) == 24
