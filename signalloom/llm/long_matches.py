@@ -8,11 +8,11 @@
    split: windows with ``MORE`` bytes or more after it go by it and those bytes, the others have as many before it
    and go by it and these. Equal segments of one task's share of text are summed first: only those of the least
    document travel, with one copy of the text; the later documents' are covered whole, and their marks are spread.
-3. Index. The distinct segments of a bucket, some ``INDEXED`` bytes at a time in order of their anchors, are indexed:
-   the Burrows-Wheeler transform of their full suffix order is kept as its runs (first rank, and where LF sends it),
-   and the matching statistics, the length that each suffix shares with one of an earlier document, as samples where
-   they don't just grow by the byte before. All segments then stream backwards through the runs at once; their
-   matches grow byte by byte or change at a sample, and those of ``LENGTH`` and more are marked.
+3. Index. The distinct segments of a bucket are taken some ``INDEXED`` bytes at a time in order of their anchors. The documents
+   of an anchor are halved again and again: the earlier half is the reference, the later one streams through it. A reference is
+   a run-length index: the runs of its Burrows-Wheeler transform, where LF sends them, and the suffixes at both ends of each run.
+   The later segments walk backwards through it, all at once; their matching statistics, the length that each suffix
+   shares with a reference, grow along LF or are found anew at the nearer run ends, and those of ``LENGTH`` and more are marked.
 4. Marks return to their documents, packed by document range, and the covered bytes are cut out.
 
 A text that equals a text with a smaller id is settled at once: all of it is covered if it has ``LENGTH`` bytes.
@@ -54,6 +54,8 @@ CHUNK = 8 << 20
 HOT, HOT_BITS, MORE = 2048, 22, 15
 #: Bytes of distinct segments that one index takes; the segments of one anchor stay together.
 INDEXED = 1 << 19
+#: Bytes and the terminator: symbols under one tag.
+SYMBOLS = 257
 _marks = [("id", "<i8"), ("a", "<i4"), ("b", "<i4")]
 
 
@@ -257,92 +259,48 @@ def cut_out(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
 
 
 class RunIndex:
-    """Run-compressed Burrows-Wheeler transform of distinct byte strings, each with an owner, and its matching statistics.
+    """Run-compressed Burrows-Wheeler transform of reference strings, with the text position of both ends of each run.
 
-    What is kept: the runs' first ranks and their LF values, the rank where each string's walk begins, and samples of
-    the matching statistics. The arrays of one entry a suffix are those of the building only.
+    Strings stand under tags, and a pattern meets those of its own tag only. Kept are, for each run, its first rank, its symbol,
+    where LF sends it, and the suffixes at its first and last rank; and the text, whose words compare suffixes. The suffix
+    order serves the building and is gone after it.
     """
 
-    def __init__(self, text: np.ndarray, size: np.ndarray, owner: np.ndarray, length: int = LENGTH):
+    def __init__(self, text: np.ndarray, size: np.ndarray, tag: np.ndarray):
         """``text``: the strings one after another; a terminator below every byte is put after each, ordered by string."""
-        m = len(size)
-        n = len(text) + m
+        n = len(text) + len(size)
         end = np.cumsum(size + 1) - 1
         body = np.zeros(n, np.uint16)
         is_end = np.zeros(n, bool)
         is_end[end] = True
         body[~is_end] = text.astype(np.uint16) + 1
-        left = np.repeat(end, size + 1) - np.arange(n)  # bytes before the terminator
-        order = self._suffix_order(body, left)
-        rank = np.empty(n, np.int64)
-        rank[order] = np.arange(n)
-        last = np.where(order > 0, body[order - 1], 0)
-        #: Run heads: first rank of each run, and where LF sends it.
-        self.run_start = np.flatnonzero(np.r_[True, last[1:] != last[:-1]])
-        before = np.argsort(last, kind="stable")
+        #: Bytes before the terminator at each position.
+        self.left = (np.repeat(end, size + 1) - np.arange(n)).astype(np.int32)
+        mark = np.repeat(tag.astype(np.int64), size + 1)
+        order = self._suffix_order(body, self.left, mark)
+        symbol = np.where(order > 0, body[order - 1], 0) + mark[order] * SYMBOLS
         lf = np.empty(n, np.int64)
-        lf[before] = np.arange(n)
-        self.run_lf = lf[self.run_start]
-        # Where each walk begins: the sampled rank of the last position with a whole window.
-        self.first_rank = rank[np.maximum(end - length, 0)]
-        self.size, self.length = size, length
-        shared = self._shared(order, left, body, np.repeat(owner, size + 1), length)
-        # In text order: a match goes on with the byte before, or there is a sample.
-        by_place = np.zeros(n + 1, np.int64)
-        by_place[order] = shared
-        goes_on = np.where(by_place[1:] > 0, by_place[1:] + 1, 0)
-        at = np.flatnonzero((by_place[:-1] != goes_on) & (left >= length))
-        turn = np.argsort(rank[at])
-        #: Samples: ranks, and the matching statistic there.
-        self.sample_rank, self.sample = rank[at[turn]], by_place[at[turn]]
-
-    @staticmethod
-    def _shared(order: np.ndarray, left: np.ndarray, body: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
-        """By rank, how many bytes a suffix shares with one of a smaller owner; 0 where it is under ``length``."""
-        n, found = len(order), np.zeros(len(order), np.int64)
-        # Bytes that neighbours in suffix order share, where both have a whole window: eight at a time, then one by one.
-        most = np.minimum(left[order[:-1]], left[order[1:]])
-        pair = np.flatnonzero(most >= length)
-        a, b = order[pair], order[pair + 1]
-        word = np.zeros(n, np.uint64)
-        padded = np.r_[np.where(body > 0, body - 1, 0).astype(np.uint64), np.zeros(96, np.uint64)]
+        lf[np.argsort(symbol, kind="stable")] = np.arange(n)
+        self.start = np.flatnonzero(np.r_[True, symbol[1:] != symbol[:-1]])
+        last = np.r_[self.start[1:], n] - 1
+        self.symbol, self.lf, self.first_at, self.last, self.last_at = symbol[self.start], lf[self.start], order[self.start], last, order[last]
+        #: Runs in order of symbol, then rank: symbol * number of runs + run.
+        self.by_symbol = np.sort(self.symbol * len(self.start) + np.arange(len(self.start)))
+        self.word = np.zeros(n, np.uint64)
+        padded = np.r_[np.where(body > 0, body - 1, 0).astype(np.uint64), np.zeros(8, np.uint64)]
         for k in range(8):
-            word = word << ta.U(8) | padded[k : k + n]
-        same = np.zeros(len(pair), np.int64)
-        go = np.arange(len(pair))
-        for k in range(0, int(most.max(initial=0)) + 8, 8):
-            x, y = np.minimum(a[go] + k, n - 1), np.minimum(b[go] + k, n - 1)
-            differ = word[x] ^ word[y]
-            lead = np.full(len(go), 8)
-            for byte in range(7, -1, -1):
-                lead = np.where(differ >> ta.U(8 * (7 - byte)) > 0, byte, lead)
-            same[go] += lead
-            go = go[(lead == 8) & (k + 8 < most[pair[go]])]
-        same = np.minimum(same, most[pair])
-        pair, same = pair[same >= length], same[same >= length]
-        # Runs of ranks that share t bytes, for each t: their least owner.
-        for t in range(length, int(same.max(initial=0)) + 1):
-            pair, same = pair[same >= t], same[same >= t]
-            if len(pair) == 0:
-                break
-            head = np.r_[True, pair[1:] != pair[:-1] + 1]
-            first, run = pair[head], np.cumsum(head) - 1
-            count = np.bincount(run) + 1
-            ranks = cut_out(np.arange(n), first, count)
-            own = owner[order[ranks]]
-            least = np.repeat(np.minimum.reduceat(own, np.r_[0, np.cumsum(count)[:-1]]), count)
-            found[ranks[least < own]] = t
-        return found
+            self.word = self.word << ta.U(8) | padded[k : k + n]
 
     @staticmethod
-    def _suffix_order(body: np.ndarray, left: np.ndarray) -> np.ndarray:
-        """Full order of all suffixes: seven bytes at first, then by doubling; strings differ or end differently."""
+    def _suffix_order(body: np.ndarray, left: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        """Full order of all suffixes by tag: a few bytes at first, then by doubling; strings differ or end differently."""
         n = len(body)
-        key = np.zeros(n, np.uint64)
+        bits = int(mark.max(initial=0)).bit_length()
+        width = (63 - bits) // 9
+        key = mark.astype(np.uint64)
         padded = np.r_[body.astype(np.uint64), np.zeros(8, np.uint64)]
-        for k in range(7):
+        for k in range(width):
             key = (key << ta.U(9)) | np.where(left >= k, padded[k : k + n], ta.U(0))
-        width = 7
         order = np.argsort(key, kind="stable")
         seen = key[order]
         ended = (left < width)[order]
@@ -365,44 +323,108 @@ class RunIndex:
             width *= 2
             ended = (left < width)[order]
 
-    def stream(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Walks all strings backwards at once: (bytes to the end, strings, matching statistic of each)."""
-        live = np.flatnonzero(self.size >= self.length)
-        at, match = self.first_rank[live], np.zeros(len(live), np.int64)
-        for step in range(self.length, int(self.size.max(initial=0)) + 1):
-            if step > self.length:
-                go = self.size[live] >= step
-                live, at, match = live[go], at[go], match[go]
-                run = np.searchsorted(self.run_start, at, "right") - 1
-                at = self.run_lf[run] + at - self.run_start[run]
-                match = np.where(match > 0, match + 1, 0)
-            if len(self.sample):
-                k = np.minimum(np.searchsorted(self.sample_rank, at), len(self.sample) - 1)
-                match = np.where(self.sample_rank[k] == at, self.sample[k], match)
+    def shared(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """How many bytes the suffixes at two positions share, up to ``most`` and the end of the second's string."""
+        n = len(self.word)
+        most = np.minimum(most, self.left[b])
+        same, go = np.zeros(len(a), np.int64), np.flatnonzero(most > 0)
+        k = 0
+        while len(go):
+            differ = self.word[np.minimum(a[go] + k, n - 1)] ^ self.word[np.minimum(b[go] + k, n - 1)]
+            lead = np.full(len(go), 8)
+            some = np.flatnonzero(differ)
+            # Whole bytes before the first that differs, from the place of the highest bit; 32 bits are exact in a double.
+            top = differ[some] >> ta.U(32)
+            lead[some] = (64 - np.where(top > 0, np.frexp(top.astype(np.float64))[1] + 32, np.frexp((differ[some] & ta.U(0xFFFFFFFF)).astype(np.float64))[1])) >> 3
+            same[go] += lead
+            k += 8
+            go = go[(lead == 8) & (k < most[go])]
+        return np.minimum(same, most)
+
+    def stream(self, text: np.ndarray, size: np.ndarray, tag: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Walks patterns backwards, all at once: (bytes to the end, patterns, matching statistic of each).
+
+        A walk holds a rank, the suffix there and how much of it matches. Where the run at the rank has the symbol that comes next, LF leads
+        on; else the nearer ends of that symbol's runs before and after are compared with the match, and the one that shares more is taken.
+        """
+        end = np.cumsum(size)
+        live = np.arange(len(size))
+        rank, at, match = np.zeros(len(size), np.int64), np.full(len(size), self.first_at[0]), np.zeros(len(size), np.int64)
+        runs = len(self.start)
+        for step in range(1, int(size.max(initial=0)) + 1):
+            go = size[live] >= step
+            if not go.all():
+                live, rank, at, match = live[go], rank[go], at[go], match[go]
+            c = text[end[live] - step].astype(np.int64) + 1 + tag[live] * SYMBOLS
+            run = np.searchsorted(self.start, rank, "right") - 1
+            match = match + 1
+            miss = np.flatnonzero(self.symbol[run] != c)
+            if len(miss):
+                place = np.searchsorted(self.by_symbol, c[miss] * runs + run[miss])
+                best, to, suffix = np.full(len(miss), -1), rank[miss], at[miss]
+                for other, rank_of, at_of in ((place - 1, self.last, self.last_at), (place, self.start, self.first_at)):
+                    there = np.flatnonzero((other >= 0) & (other < runs))
+                    there = there[self.by_symbol[other[there]] // runs == c[miss[there]]]
+                    r = self.by_symbol[other[there]] % runs
+                    got = self.shared(at[miss[there]], at_of[r], match[miss[there]] - 1)
+                    better = got > best[there]
+                    there, r = there[better], r[better]
+                    best[there], to[there], suffix[there], run[miss[there]] = got[better], rank_of[r], at_of[r], r
+                rank[miss], at[miss], match[miss] = to, suffix, best + 1
+            on = match > 0
+            rank = np.where(on, self.lf[run] + rank - self.start[run], rank)
+            at = np.where(on, at - 1, at)
             yield step, live, match
 
 
-def matches(ids: np.ndarray, sizes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(from, to) of the bytes of each segment that windows of earlier documents cover; to is 0 where none do."""
+def distinct(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least document's segment of each key and text, and for each segment the place of its own among those."""
     offsets = np.r_[0, np.cumsum(sizes)]
     code = np.empty(len(ids), np.uint64)
     for a in range(0, len(ids), 4096):
         own = offsets[a : a + 4097]
         code[a : a + 4096] = ta.span_hash(ta.prefix_code(ta.BYTE_CODE[text[own[0] : own[-1]]]), own[:-1] - own[0], own[1:] - own[0])
-    order = np.lexsort((ids, code))
-    head = np.r_[True, code[order][1:] != code[order][:-1]]
+    order = np.lexsort((ids, code, keys))
+    head = np.r_[True, (code[order][1:] != code[order][:-1]) | (keys[order][1:] != keys[order][:-1])]
     group = np.empty(len(ids), np.int64)
     group[order] = np.cumsum(head) - 1
-    one = order[head]  # the least document of each distinct segment
-    index = RunIndex(cut_out(text, offsets[one], sizes[one]), sizes[one], ids[one])
+    return order[head], group
+
+
+def matches(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(from, to) of the bytes of each segment that windows of earlier documents cover; to is 0 where none do.
+
+    The documents of a key are halved again and again: those of each even block are indexed, those of the odd block after it
+    stream through, so any two documents meet once, the earlier one as reference. A segment that is covered whole is left
+    out from then on: the documents that cover it stand for it.
+    """
+    one, group = distinct(keys, ids, sizes, text)
+    begin, size, own = (np.cumsum(sizes) - sizes)[one], sizes[one], ids[one]
+    order = np.lexsort((own, keys[one]))
+    new_key = np.r_[True, np.diff(keys[one][order].astype(np.int64)) != 0]
+    new = np.cumsum(new_key | np.r_[True, np.diff(own[order]) != 0])
+    key, place = np.empty(len(one), np.int64), np.empty(len(one), np.int64)
+    key[order] = np.cumsum(new_key) - 1
+    place[order] = new - new[np.maximum.accumulate(np.where(new_key, np.arange(len(one)), 0))]
     # A window covers the anchor, so all windows of a segment overlap: their union is one span.
     low, high = np.full(len(one), 1 << 20), np.zeros(len(one), np.int64)
-    for step, live, match in index.stream():
-        hit = live[match > 0]
-        begin = sizes[one][hit] - step
-        low[hit] = np.minimum(low[hit], begin)
-        high[hit] = np.maximum(high[hit], begin + match[match > 0])
-    later = ids > ids[one][group]
+    for level in range(int(place.max(initial=0)).bit_length()):
+        block = place >> level
+        tag = key << 32 | block >> 1
+        alive = (high < size) | (low > 0)
+        ref, pat = np.flatnonzero(alive & (block & 1 == 0)), np.flatnonzero(alive & (block & 1 == 1))
+        both = np.intersect1d(tag[ref], tag[pat])
+        ref, pat = ref[np.isin(tag[ref], both)], pat[np.isin(tag[pat], both)]
+        if not len(both):
+            continue
+        index = RunIndex(cut_out(text, begin[ref], size[ref]), size[ref], np.searchsorted(both, tag[ref]))
+        for step, live, match in index.stream(cut_out(text, begin[pat], size[pat]), size[pat], np.searchsorted(both, tag[pat])):
+            if step >= LENGTH:
+                long = np.flatnonzero(match >= LENGTH)
+                hit, at = pat[live[long]], size[pat[live[long]]] - step
+                low[hit] = np.minimum(low[hit], at)
+                high[hit] = np.maximum(high[hit], at + match[long])
+    later = ids > own[group]
     return np.where(later, 0, low[group]), np.where(later, sizes, high[group])
 
 
@@ -433,7 +455,7 @@ def _resolve(parts: int):
             keys, ids, sizes, counts, starts, text = get(0, "<u4"), get(1, "<i8"), get(2, np.uint8).astype(np.int64), get(3, "<i4").astype(np.int64), get(4, "<i4"), get(5, np.uint8)
             begin, place = np.cumsum(sizes) - sizes, np.cumsum(counts) - counts
             for own in _batches(keys, sizes) if len(keys) else ():
-                a, b = matches(ids[own], sizes[own], cut_out(text, begin[own], sizes[own]))
+                a, b = matches(keys[own], ids[own], sizes[own], cut_out(text, begin[own], sizes[own]))
                 own, a, b = own[b > 0], a[b > 0], b[b > 0]
                 start, n = cut_out(starts, place[own], counts[own]), counts[own]
                 marks = np.zeros(len(start), _marks)

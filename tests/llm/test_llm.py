@@ -206,18 +206,62 @@ def test_long_matches_on_the_smallest_table(spark, monkeypatch, hot):
     assert {i: tuple(r)[1:] for i, r in by_id(long_matches.remove_repeats(docs)).items()} == brute_long_matches(texts)
 
 
-def test_run_index_matching_statistics():
+def test_run_index_finds_lengths_while_streaming():
     rng = np.random.default_rng(1)
-    base = rng.integers(97, 99, 300).astype(np.uint8)
-    parts = list({bytes(base[a : a + n]): None for a, n in zip(rng.integers(0, 220, 300), rng.integers(20, 81, 300), strict=True)})
-    size, owner = np.array([len(p) for p in parts]), rng.integers(0, 40, len(parts))
-    index = long_matches.RunIndex(np.frombuffer(b"".join(parts), np.uint8), size, owner, 20)
-    assert len(index.run_start) < sum(size) // 4 and len(index.sample) < sum(size) // 4
-    for step, live, match in index.stream():
-        for i, got in zip(live.tolist(), match.tolist(), strict=True):
-            at = len(parts[i]) - step
-            want = max((k for k in range(20, step + 1) if any(owner[j] < owner[i] and parts[i][at : at + k] in p for j, p in enumerate(parts))), default=0) if i % 9 == 0 else got
-            assert got == want
+    flat = lambda x: np.frombuffer(b"".join(x), np.uint8)
+    sizes = lambda x: np.array([len(y) for y in x])
+    for letters in (1, 2, 4, 200):
+        base = rng.integers(256 - letters, 256, 200).astype(np.uint8)
+        some = lambda k: [bytes(base[a : a + n]) if rng.random() < 0.7 else bytes(rng.choice([0, 127, 255], n).astype(np.uint8)) for a, n in zip(rng.integers(0, 150, k), rng.integers(1, 50, k), strict=True)]  # noqa: B023, E731
+        refs, pats = some(25), some(25)
+        ref_tag, pat_tag = rng.integers(0, 3, 25), rng.integers(0, 4, 25)
+        index = long_matches.RunIndex(flat(refs), sizes(refs), ref_tag)
+        for step, live, match in index.stream(flat(pats), sizes(pats), pat_tag):
+            for i, got in zip(live.tolist(), match.tolist(), strict=True):
+                tail = pats[i][len(pats[i]) - step :]
+                assert got == max((k for k in range(step + 1) if any(t == pat_tag[i] and tail[:k] in r for t, r in zip(ref_tag, refs, strict=True))), default=0)
+
+
+def test_run_index_stores_runs_only(monkeypatch):
+    rng = np.random.default_rng(2)
+    base = rng.integers(97, 123, 120).astype(np.uint8)
+    copies = [base.copy() for _ in range(80)]
+    for c in copies:
+        c[rng.integers(0, 120)] = 65
+    text, size = np.concatenate(copies), np.full(80, 120)
+    index = long_matches.RunIndex(text, size, np.zeros(80, np.int64))
+    n, runs = len(text) + 80, len(index.start)
+    assert runs < n // 6
+    # But for the text itself, nothing of one entry a suffix is kept: no suffix order, no table of matches.
+    assert {k for k, v in vars(index).items() if len(v) >= n} == {"word", "left"}
+    assert {len(getattr(index, k)) for k in ("symbol", "lf", "first_at", "last", "last_at", "by_symbol")} == {runs}
+    monkeypatch.setattr(long_matches.RunIndex, "_suffix_order", None)
+    *_, (step, live, match) = index.stream(base, np.array([120]), np.array([0]))
+    assert step == 120 and live.tolist() == [0] and 0 < match[0] <= 120
+
+
+def test_matches_of_many_contexts_equal_brute_force():
+    rng = np.random.default_rng(3)
+    length, core = long_matches.LENGTH, rng.integers(97, 123, 60).astype(np.uint8)
+    parts, keys, ids = [], [], []
+    for i in range(300):
+        a, b = sorted(rng.integers(0, 61, 2))
+        if b - a < 20:
+            a, b = 0, 60
+        parts.append(bytes(rng.integers(97, 99, rng.integers(0, 30)).astype(np.uint8)) + bytes(core[a:b]) + bytes(rng.integers(97, 99, rng.integers(0, 30)).astype(np.uint8)))
+        keys.append(i % 3)
+        ids.append(int(rng.integers(0, 60)))
+    parts += parts[:20]
+    keys += keys[:20]
+    ids += [int(x) for x in rng.integers(0, 60, 20)]
+    keys, ids = np.array(keys, np.uint32), np.array(ids)
+    low, high = long_matches.matches(keys, ids, np.array([len(p) for p in parts]), np.frombuffer(b"".join(parts), np.uint8))
+    for i, p in enumerate(parts):
+        hit = [k for k in range(len(p) - length + 1) if any(ids[j] < ids[i] and keys[j] == keys[i] and p[k : k + length] in q for j, q in enumerate(parts))]
+        twin = any(q == p and ids[j] < ids[i] and keys[j] == keys[i] for j, q in enumerate(parts))
+        want = (0, len(p)) if twin else (min(hit), max(hit) + length) if hit else (0, 0)
+        got = (int(low[i]), int(high[i])) if high[i] else (0, 0)
+        assert got == want, (i, got, want)
 
 
 def test_media_round_trip(docs, texts):
