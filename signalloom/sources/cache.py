@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +50,67 @@ def write_csv(df: DataFrame, folder: str, fields: list[str]) -> None:
 
 def write_json(df: DataFrame, folder: str) -> None:
     df.write.json(folder)
+
+
+class Taken(RuntimeError):
+    """Another job committed this version of a cache first."""
+
+
+def _at(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def parts(spark: SparkSession, folder: str) -> list[str]:
+    """The parts of a cache's newest version, in the order in which they came; none before the first."""
+    fs, at = _at(spark, f"{folder}/versions")
+    found = sorted(int(f.getPath().getName()[1:]) for f in fs.listStatus(at) if f.getLen() > 0) if fs.exists(at) else []
+    return json.loads(spark.read.text(f"{folder}/versions/v{found[-1]}", wholetext=True).first()[0]) if found else []
+
+
+def commit_part(spark: SparkSession, folder: str, part: str) -> int:
+    """Adds a part in a new version, whose small file is created once or not at all; gives the version's number."""
+    now = parts(spark, folder)
+    fs, at = _at(spark, f"{folder}/versions/v{len(now) + 1}")
+    try:
+        out = fs.create(at, False)
+    except Exception as e:
+        if "AlreadyExists" in str(e):
+            raise Taken(at.toString()) from e
+        raise
+    out.write(bytearray(json.dumps([*now, part]).encode()))
+    out.close()
+    return len(now) + 1
+
+
+def read_manifest(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The newest row of every record of a cache; None where there is no version yet."""
+    rows = None
+    for k, part in enumerate(parts(spark, folder)):
+        own = spark.read.parquet(f"{folder}/parts/{part}/manifest").withColumn("_part", F.lit(k))
+        rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
+    if rows is None:
+        return None
+    newest = rows.groupBy("record_id").agg(F.max_by(F.struct(*rows.columns), "_part").alias("r"))
+    return newest.select("r.*").drop("_part")
+
+
+def read_cached(spark: SparkSession, folder: str) -> DataFrame:
+    """(record_id, ep, x) of all parts of the newest version; a record's epochs lie in the one part in which it succeeded."""
+    return spark.read.parquet(*(f"{folder}/parts/{p}/epochs" for p in parts(spark, folder)))
+
+
+def add_missing(records: DataFrame, folder: str, process: Callable[[DataFrame, str], None]) -> int:
+    """Runs ``process(records, part folder)`` for the records without a usable row yet and commits the part; gives how many these were.
+
+    A job that dies leaves a part that no version names; the next run begins that part anew.
+    """
+    spark = records.sparkSession
+    done = read_manifest(spark, folder)
+    todo = records if done is None else records.join(done.where(F.col("status").isin(*USABLE)).select("record_id"), "record_id", "left_anti")
+    n = todo.count()
+    if n:
+        part = uuid.uuid4().hex
+        process(todo, f"{folder}/parts/{part}")
+        commit_part(spark, folder, part)
+    return n
