@@ -53,7 +53,7 @@ CHUNK = 8 << 20
 #: Documents from which on an anchor is split, bits of the filter of such anchors, and the bytes that it is split by.
 HOT, HOT_BITS, MORE = 2048, 22, 15
 #: Bytes of distinct segments that one index takes; the segments of one anchor stay together.
-INDEXED = 1 << 19
+INDEXED = 1 << 21
 #: Bytes and the terminator: symbols under one tag.
 SYMBOLS = 257
 _marks = [("id", "<i8"), ("a", "<i4"), ("b", "<i4")]
@@ -86,7 +86,8 @@ def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if width < WINDOW:
         reach = np.maximum(reach[: len(reach) - (WINDOW - width)], reach[WINDOW - width :])
     at = np.flatnonzero((reach[: len(code)] == code) & (code > 0))
-    return code[at], at, np.searchsorted(offsets, at, "right") - 1
+    # Least hashes are small numbers: mixed again, they fill all buckets and the filters alike.
+    return ta.mix(code[at]), at, np.searchsorted(offsets, at, "right") - 1
 
 
 def _grouped(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -275,14 +276,15 @@ class RunIndex:
         is_end[end] = True
         body[~is_end] = text.astype(np.uint16) + 1
         #: Bytes before the terminator at each position.
-        self.left = (np.repeat(end, size + 1) - np.arange(n)).astype(np.int32)
+        self.left = (np.repeat(end, size + 1) - np.arange(n)).astype(np.int16 if size.max(initial=0) < 1 << 15 else np.int64)
         mark = np.repeat(tag.astype(np.int64), size + 1)
         order = self._suffix_order(body, self.left, mark)
         symbol = np.where(order > 0, body[order - 1], 0) + mark[order] * SYMBOLS
-        lf = np.empty(n, np.int64)
-        lf[np.argsort(symbol, kind="stable")] = np.arange(n)
-        self.start = np.flatnonzero(np.r_[True, symbol[1:] != symbol[:-1]])
-        last = np.r_[self.start[1:], n] - 1
+        lf = np.empty(n, np.int32)
+        lf[np.argsort(symbol, kind="stable")] = np.arange(n, dtype=np.int32)
+        order = order.astype(np.int32)
+        self.start = np.flatnonzero(np.r_[True, symbol[1:] != symbol[:-1]]).astype(np.int32)
+        last = np.r_[self.start[1:], n].astype(np.int32) - 1
         self.symbol, self.lf, self.first_at, self.last, self.last_at = symbol[self.start], lf[self.start], order[self.start], last, order[last]
         #: Runs in order of symbol, then rank: symbol * number of runs + run.
         self.by_symbol = np.sort(self.symbol * len(self.start) + np.arange(len(self.start)))
@@ -327,32 +329,34 @@ class RunIndex:
         """How many bytes the suffixes at two positions share, up to ``most`` and the end of the second's string."""
         n = len(self.word)
         most = np.minimum(most, self.left[b])
-        same, go = np.zeros(len(a), np.int64), np.flatnonzero(most > 0)
-        k = 0
-        while len(go):
+        same, go, k = np.zeros(len(a), np.int32), slice(None), 0
+        while True:
             differ = self.word[np.minimum(a[go] + k, n - 1)] ^ self.word[np.minimum(b[go] + k, n - 1)]
-            lead = np.full(len(go), 8)
-            some = np.flatnonzero(differ)
             # Whole bytes before the first that differs, from the place of the highest bit; 32 bits are exact in a double.
-            top = differ[some] >> ta.U(32)
-            lead[some] = (64 - np.where(top > 0, np.frexp(top.astype(np.float64))[1] + 32, np.frexp((differ[some] & ta.U(0xFFFFFFFF)).astype(np.float64))[1])) >> 3
+            top = differ >> ta.U(32)
+            high = top > 0
+            lead = (64 - 32 * high - np.frexp(np.where(high, top, differ).astype(np.float64))[1]) >> 3
             same[go] += lead
             k += 8
-            go = go[(lead == 8) & (k < most[go])]
-        return np.minimum(same, most)
+            more = np.flatnonzero((lead == 8) & (k < most[go]))
+            if not len(more):
+                return np.minimum(same, most)
+            go = more if isinstance(go, slice) else go[more]
 
-    def stream(self, text: np.ndarray, size: np.ndarray, tag: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def stream(self, text: np.ndarray, size: np.ndarray, tag: np.ndarray, length: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Walks patterns backwards, all at once: (bytes to the end, patterns, matching statistic of each).
 
+        With a ``length``, a walk ends where no match of that many bytes can begin further on.
+
         A walk holds a rank, the suffix there and how much of it matches. Where the run at the rank has the symbol that comes next, LF leads
         on; else the nearer ends of that symbol's runs before and after are compared with the match, and the one that shares more is taken.
         """
         end = np.cumsum(size)
         live = np.arange(len(size))
-        rank, at, match = np.zeros(len(size), np.int64), np.full(len(size), self.first_at[0]), np.zeros(len(size), np.int64)
+        rank, at, match = np.zeros(len(size), np.int32), np.full(len(size), self.first_at[0]), np.zeros(len(size), np.int32)
         runs = len(self.start)
         for step in range(1, int(size.max(initial=0)) + 1):
-            go = size[live] >= step
+            go = (size[live] >= step) & ((match >= length - 1 - size[live] + step) | (step == 1))
             if not go.all():
                 live, rank, at, match = live[go], rank[go], at[go], match[go]
             c = text[end[live] - step].astype(np.int64) + 1 + tag[live] * SYMBOLS
@@ -361,7 +365,7 @@ class RunIndex:
             miss = np.flatnonzero(self.symbol[run] != c)
             if len(miss):
                 place = np.searchsorted(self.by_symbol, c[miss] * runs + run[miss])
-                best, to, suffix = np.full(len(miss), -1), rank[miss], at[miss]
+                best, to, suffix = np.full(len(miss), -1, np.int32), rank[miss], at[miss]
                 for other, rank_of, at_of in ((place - 1, self.last, self.last_at), (place, self.start, self.first_at)):
                     there = np.flatnonzero((other >= 0) & (other < runs))
                     there = there[self.by_symbol[other[there]] // runs == c[miss[there]]]
@@ -418,7 +422,7 @@ def matches(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, text: np.ndarr
         if not len(both):
             continue
         index = RunIndex(cut_out(text, begin[ref], size[ref]), size[ref], np.searchsorted(both, tag[ref]))
-        for step, live, match in index.stream(cut_out(text, begin[pat], size[pat]), size[pat], np.searchsorted(both, tag[pat])):
+        for step, live, match in index.stream(cut_out(text, begin[pat], size[pat]), size[pat], np.searchsorted(both, tag[pat]), LENGTH):
             if step >= LENGTH:
                 long = np.flatnonzero(match >= LENGTH)
                 hit, at = pat[live[long]], size[pat[live[long]]] - step
