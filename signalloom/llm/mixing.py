@@ -6,14 +6,16 @@ No cell can give more tokens than it has, so a cell's share of the sample is at
 token budget. Targets that ask a value for more than it has are brought down to that, and what they leave goes to the
 other values in proportion (``targets`` gives both figures). Raking then takes each dimension in turn: the cells of
 each value are scaled by one factor to the value's target, those that reach their cap stay at it, and the factor grows
-for the others until the sum is met. It ends when no weight moves any more, or after ``ROUNDS`` rounds. A cell's rate
+for the others until the sum is met. It ends when no weight moves any more, or after ``ROUNDS`` rounds; ``marginals`` says after how
+many, and how far a weight moved in the last. A cell's rate
 is its weight times the budget over its tokens; it never exceeds one, so nothing is clipped afterwards and the expected
 tokens of the sample are the budget. A document is kept when a number between 0 and 1 taken from the digest of its id
 lies under its cell's rate. ``marginals`` reports what the rates give for each value beside its targets; caps of
 several dimensions together can keep all but the last one from being met.
 
-The topic of a text is the one of ``TOPICS`` with the most marks (words and signs), among those whose marks reach
-their least number in ``PER`` characters, else ``prose``.
+The topic of a text is the one of ``TOPICS`` with the most marks (signs, and words between others' ends), among those whose marks
+reach their least number in ``PER`` characters, else ``prose``. Words are looked for only in texts that hold a part of one, which
+every text with such a word does.
 
 The cells are as many as there are combinations in use, however many documents there are; documents are summed to
 them before the shuffle, and a dimension's values (three numbers each) are sorted together. Cells are broadcast to the
@@ -36,37 +38,60 @@ from signalloom.session import cut
 #: Exponents of the marginals' own shares.
 EXPONENTS = {"source": 0.5, "lang": 0.3, "topic": 0.5}
 DIMS = tuple(EXPONENTS)
-#: At most so many rounds, fewer where one moves no weight by more than STILL.
-ROUNDS, STILL = 12, 1e-12
+#: At most so many rounds, fewer where one moves no weight by more than STILL; their lineage is cut after every STRIDE.
+ROUNDS, STILL, STRIDE = 12, 1e-12, 3
 #: Of all tokens.
 BUDGET = 0.5
 MOST_CELLS = 100_000
-#: Topics: strings that mark them, and how many of these in PER characters make a text one of theirs.
+#: Topics: signs and words that mark them, and how many of these in PER characters make a text one of theirs.
 PER = 1000
 TOPICS = {
-    "legal": (("icense", "opyright", "arrant"), 2),
-    "contact": (("@", "mail", "phone"), 5),
-    "table": (("|",), 20),
-    "code": (("{", "}", ";"), 20),
-    "talk": (("?", '"'), 20),
-    "list": (("\n",), 20),
+    "legal": ("", "[Ll]icen[sc]e[ds]?|LICENSE|[Cc]opyright|[Ww]arrant(?:y|ies)|[Pp]ermission|[Ll]iability", 2),
+    "contact": ("@", "[Ee]mail|[Pp]hone|[Tt]el|[Cc]all", 5),
+    "table": ("|", "", 20),
+    "code": ("{};=<>", "", 20),
+    "talk": ('?"', "", 20),
+    "list": ("\n", "", 20),
 }
+#: Parts that every word of a topic has one of.
+PARTS = {"legal": ("icen", "LICENSE", "opyright", "arrant", "ermission", "iability"), "contact": ("mail", "hone", "tel", "Tel", "call", "Call")}
+#: A plus sign before a digit is a mark of contacts, too.
+DIAL = "\\+[0-9]"
 
 
-def held(text: Column, marks: tuple[str, ...]) -> Column:
-    """How often the marks stand in a text, each by itself."""
+def held(text: Column, signs: str) -> Column:
+    """How often the signs stand in a text."""
     n = F.length(text)
-    return sum(((n - F.length(F.replace(text, F.lit(m), F.lit("")))) / len(m) for m in marks), F.lit(0)).cast("int")
+    return sum((n - F.length(F.replace(text, F.lit(m), F.lit(""))) for m in signs), F.lit(0))
+
+
+def any_of(text: Column, parts: tuple[str, ...]) -> Column:
+    found = F.lit(False)
+    for part in parts:
+        found = found | F.contains(text, F.lit(part))
+    return found
+
+
+def marks(text: Column, name: str) -> Column:
+    """How often a topic's signs and words stand in a text."""
+    signs, words, _ = TOPICS[name]
+    n = held(text, signs)
+    if words:
+        # Ends of words are those of ASCII, in any Java and in SQL alike.
+        n = n + F.when(any_of(text, PARTS[name]), F.regexp_count(text, F.lit(f"(?<![A-Za-z0-9_])(?:{words})(?![A-Za-z0-9_])"))).otherwise(0)
+    if name == "contact":
+        n = n + F.when(F.contains(text, F.lit("+")), F.regexp_count(text, F.lit(DIAL))).otherwise(0)
+    return n
 
 
 def tokens(text: Column) -> Column:
     """Blank-separated pieces of a text; none of an empty one."""
-    return F.when(F.length(text) > 0, held(text, (" ",)) + 1).otherwise(0).cast("long")
+    return F.when(F.length(text) > 0, held(text, " ") + 1).otherwise(0).cast("long")
 
 
 def topic(size: Column, counts: dict[str, Column]) -> Column:
     """The topic with the most marks among those that reach their least number; the first of those that tie."""
-    ok = {name: (c > 0) & (c * PER >= size * TOPICS[name][1]) for name, c in counts.items()}
+    ok = {name: (c > 0) & (c * PER >= size * TOPICS[name][2]) for name, c in counts.items()}
     most = F.greatest(*(F.when(ok[name], c).otherwise(0) for name, c in counts.items()))
     return F.coalesce(*(F.when(ok[name] & (c == most), F.lit(name)) for name, c in counts.items()), F.lit("prose"))
 
@@ -84,7 +109,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     p, text = prefix(docs), F.coalesce(F.col("text"), F.lit(""))
     own = [F.coalesce(F.col(c), F.lit("")).alias(p + c) for c in ("source", "lang")]
     # The counts are columns of their own, so that each text is read once; none of them is null, which no join filters.
-    counted = docs.select("*", *own, F.length(text).alias(p + "size"), tokens(text).alias(p + "tokens"), *(held(text, marks).alias(p + n) for n, (marks, _) in TOPICS.items()))
+    counted = docs.select("*", *own, F.length(text).alias(p + "size"), tokens(text).alias(p + "tokens"), *(marks(text, n).alias(p + n) for n in TOPICS))
     found = topic(F.col(p + "size"), {n: F.col(p + n) for n in TOPICS})
     return counted.withColumn(p + "topic", found).drop(p + "size", *(p + n for n in TOPICS))
 
@@ -120,36 +145,41 @@ def targets(table: DataFrame, dim: str, budget: float) -> DataFrame:
 
 
 def cells(table: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """(source, lang, topic, a, cap, w): raked weights, which sum to one where there are tokens, none beyond its cap."""
+    """(source, lang, topic, a, cap, w, rounds, moved): raked weights, which sum to one where there are tokens, none beyond its cap.
+
+    ``moved``: by how much the weight that moved most did so in the last of the ``rounds``.
+    """
     total = table.agg(F.sum("a").alias("_all"))
     raked = table.crossJoin(F.broadcast(total)).select(*DIMS, "a", F.coalesce(F.try_divide(F.col("a"), F.col("_all") * budget), F.lit(0.0)).alias("cap"), F.coalesce(F.try_divide("a", "_all"), F.lit(0.0)).alias("w"))
     for dim in DIMS:
         raked = raked.join(targets(table, dim, budget).select(dim, F.col("t").alias(f"t_{dim}")), dim)
-    raked = cut(raked)
-    for _ in range(ROUNDS):
-        step = raked.withColumn("_was", F.col("w"))
-        for dim in DIMS:
-            step = fill(step, "w", "cap", F.col(f"t_{dim}"), [dim], list(DIMS), "w")
-        step = cut(step)
-        raked = step.drop("_was")
-        if (step.agg(F.max(F.abs(F.col("w") - F.col("_was"))).alias("moved")).first()["moved"] or 0.0) <= STILL:
+    raked, n, moved = cut(raked), 0, 0.0
+    while n < ROUNDS:
+        for _ in range(min(STRIDE, ROUNDS - n)):
+            n += 1
+            raked = raked.withColumn("_was", F.col("w"))
+            for dim in DIMS:
+                raked = fill(raked, "w", "cap", F.col(f"t_{dim}"), [dim], list(DIMS), "w")
+        raked = cut(raked)
+        moved = raked.agg(F.max(F.abs(F.col("w") - F.col("_was"))).alias("moved")).first()["moved"] or 0.0
+        if moved <= STILL:
             break
-    return raked.select(*DIMS, "a", "cap", "w")
+    return raked.select(*DIMS, "a", "cap", "w", F.lit(n).alias("rounds"), F.lit(moved).alias("moved"))
 
 
 def rates(table: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """(source, lang, topic, a, w, rate) of cells."""
+    """(source, lang, topic, a, w, rounds, moved, rate) of cells."""
     return cells(table, budget).withColumn("rate", F.least(F.lit(1.0), F.coalesce(F.try_divide("w", "cap"), F.lit(1.0)))).drop("cap")
 
 
 def marginals(docs: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """(dimension, value, asked, target, share): target shares as asked for and as the tokens allow, and the expected ones."""
+    """(dimension, value, asked, target, share, rounds, moved): target shares as asked for and as the tokens allow, the expected ones, and how raking ended."""
     table = sums(keyed(docs), prefix(docs))
     found = cut(rates(table, budget).withColumn("e", F.col("a") * F.col("rate")))
     out = []
     for dim in DIMS:
-        share = found.groupBy(dim).agg(F.sum("e").alias("e")).crossJoin(F.broadcast(found.agg(F.sum("e").alias("all"))))
-        out.append(share.join(targets(table, dim, budget), dim).select(F.lit(dim).alias("dimension"), F.col(dim).alias("value"), "asked", F.col("t").alias("target"), F.try_divide("e", "all").alias("share")))
+        share = found.groupBy(dim).agg(F.sum("e").alias("e"), F.max("rounds").alias("rounds"), F.max("moved").alias("moved")).crossJoin(F.broadcast(found.agg(F.sum("e").alias("all"))))
+        out.append(share.join(targets(table, dim, budget), dim).select(F.lit(dim).alias("dimension"), F.col(dim).alias("value"), "asked", F.col("t").alias("target"), F.try_divide("e", "all").alias("share"), "rounds", "moved"))
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
@@ -194,8 +224,12 @@ def _fill_sql(source: str, base: str, cap: str, total: str, part: str, order: st
 def oracle() -> str:
     """The same rows in DuckDB."""
     text = lambda m: "chr(10)" if m == "\n" else f"'{m}'"
-    counts = {n: " + ".join(f"(length(t) - length(replace(t, {text(m)}, ''))) // {len(m)}" for m in marks) for n, (marks, _) in TOPICS.items()}
-    ok = {n: f"n_{n} > 0 AND n_{n} * {PER} >= length(t) * {least}" for n, (_, least) in TOPICS.items()}
+    found = lambda pattern: [f"len(regexp_extract_all(t, '{pattern}'))"]
+    counts = {
+        n: " + ".join([f"length(t) - length(replace(t, {text(m)}, ''))" for m in signs] + (found(f"\\b(?:{words})\\b") if words else []) + (found(DIAL) if n == "contact" else []))
+        for n, (signs, words, _) in TOPICS.items()
+    }
+    ok = {n: f"n_{n} > 0 AND n_{n} * {PER} >= length(t) * {least}" for n, (_, _, least) in TOPICS.items()}
     most = f"greatest({', '.join(f'CASE WHEN {c} THEN n_{n} ELSE 0 END' for n, c in ok.items())})"
     named = " ".join(f"WHEN {c} AND n_{n} = {most} THEN '{n}'" for n, c in ok.items())
     keys = ", ".join(DIMS)
