@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from signalloom.functions import quality
+
 
 def epoch_rows(signal: DataFrame, size: int = 64, hop: int = 32) -> DataFrame:
     """A row for each sample and epoch that holds it; incomplete tails are left out. Null samples stay null."""
@@ -113,11 +119,25 @@ def amplitude_quality(signal: DataFrame) -> DataFrame:
     return by_ch.groupBy("rec").agg(F.avg(0.5 * amp + 0.5 * var).alias("quality"))
 
 
-def standardise_epoch(rows: DataFrame, keys: list[str], value: str = "v", least: float = 1e-8) -> DataFrame:
-    """Adds z: each value less the mean of its epoch, over its deviation; a deviation under ``least`` counts as one."""
+def standardise_epoch(rows: DataFrame, keys: list[str], value: str = "v", more: float = 1e-8) -> DataFrame:
+    """Adds z: each value less the mean of its epoch, over its deviation plus ``more``."""
     own = W.partitionBy(*keys)
-    std = F.stddev_pop(value).over(own)
-    return rows.withColumn("z", (F.col(value) - F.avg(value).over(own)) / F.when(std < least, 1.0).otherwise(std))
+    return rows.withColumn("z", (F.col(value) - F.avg(value).over(own)) / (F.stddev_pop(value).over(own) + more))
+
+
+def epoch_quality(rows: DataFrame, fs: float, most: float = 100.0) -> DataFrame:
+    """(rec, ep, snr_db, artifact_ratio) of epochs in long rows (rec, ep, ch, t, v); an epoch's channels go to a task together."""
+    by_ch = rows.groupBy("rec", "ep", "ch").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda s: s["v"].cast("double")).alias("x"))
+    arrays = by_ch.groupBy("rec", "ep").agg(F.transform(F.array_sort(F.collect_list(F.struct("ch", "x"))), lambda s: s["x"]).alias("x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [np.array(r, float)[None] for r in batch.column(2).to_pylist()]
+            found = [pa.array([float(f(r)[0]) for r in x], pa.float64()) for f in (lambda r: quality.snr_db(r, fs), lambda r: quality.artifact_ratio(r, most))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found], names=["rec", "ep", "snr_db", "artifact_ratio"])
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("rec", "ep"))
+    return arrays.mapInArrow(run, f"{kinds}, snr_db double, artifact_ratio double")
 
 
 def quality_level(snr_db: Column, artifact: Column) -> Column:
@@ -130,12 +150,13 @@ def quality_score(snr_db: Column, artifact: Column) -> Column:
 
 
 def manifest(signal: DataFrame, kept: DataFrame) -> DataFrame:
-    """(rec, n_all, n_kept, status, keep_rate) of every record, from ``reject``; records without epochs are too short."""
+    """(rec, n_all, n_kept, status, error, keep_rate) of every record, from ``reject``: ok, or error with no_epoch or all_rejected."""
     n = kept.groupBy("rec").agg(F.count("*").alias("n_all"), F.sum(F.col("kept").cast("long")).alias("n_kept"))
     all_recs = signal.select("rec").distinct().join(n, "rec", "left")
-    status = F.when(F.col("n_all").isNull(), "skipped_short").when(F.col("n_kept") == 0, "skipped_rejected").otherwise("ok")
+    error = F.when(F.col("n_all").isNull(), "no_epoch").when(F.col("n_kept") == 0, "all_rejected").otherwise("")
+    status = F.when(error == "", "ok").otherwise("error")
     none = lambda c: F.coalesce(c, F.lit(0).cast("long"))
-    return all_recs.select("rec", none("n_all").alias("n_all"), none("n_kept").alias("n_kept"), status.alias("status"), F.coalesce(F.col("n_kept") / F.col("n_all"), F.lit(0.0)).alias("keep_rate"))
+    return all_recs.select("rec", none("n_all").alias("n_all"), none("n_kept").alias("n_kept"), status.alias("status"), error.alias("error"), F.coalesce(F.col("n_kept") / F.col("n_all"), F.lit(0.0)).alias("keep_rate"))
 
 
 #: The features of a channel, in the order of its part of a vector (fixed values).

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from signalloom.operators.ranking import ranked
+
 
 def by_subject(probs: DataFrame) -> DataFrame:
     """Mean, greatest and 90th percentile of each subject's class probabilities."""
@@ -71,23 +73,21 @@ def hashed(key: Column) -> Column:
 
 def stratified_split(units: DataFrame, key: str, stratum: str) -> DataFrame:
     """70/15/15 by hash order within each stratum, bounds rounded half to even."""
-    part = W.partitionBy(stratum)
-    place = F.row_number().over(part.orderBy(hashed(F.col(key)), key)) - 1
-    n = F.count("*").over(part)
-    a, b = F.bround(n * 0.7, 0), F.bround(n * 0.15, 0)
-    return units.withColumn("_k", place).withColumn("split", F.when(F.col("_k") < a, "train").when(F.col("_k") < a + b, "val").otherwise("test")).drop("_k")
+    placed = ranked(units, [stratum], [hashed(F.col(key)), key], "_k", "_n")
+    a, b = F.bround(F.col("_n") * 0.7, 0), F.bround(F.col("_n") * 0.15, 0)
+    return placed.withColumn("split", F.when(F.col("_k") < a, "train").when(F.col("_k") < a + b, "val").otherwise("test")).drop("_k", "_n")
 
 
 def kfold(units: DataFrame, key: str, stratum: str, folds: int = 5) -> DataFrame:
-    place = F.row_number().over(W.partitionBy(stratum).orderBy(hashed(F.col(key)), key)) - 1
-    return units.withColumn("fold", (place % folds).cast("int"))
+    """Folds in turn, by hash order within each stratum."""
+    placed = ranked(units, [stratum], [hashed(F.col(key)), key], "_k", "_n")
+    return placed.withColumn("fold", (F.col("_k") % folds).cast("int")).drop("_k", "_n")
 
 
 def equal_bins(values: DataFrame, keys: list[str], value: str, order: str, bins: int = 10) -> DataFrame:
     """Equal-frequency bin of each value among its keys, ties by ``order``."""
-    part = W.partitionBy(*keys)
-    rn = F.row_number().over(part.orderBy(value, order))
-    return values.withColumn("bin", F.floor((bins * rn - 1) / F.count("*").over(part)).cast("int"))
+    placed = ranked(values, keys, [value, order], "_k", "_n")
+    return placed.withColumn("bin", F.floor((bins * (F.col("_k") + 1) - 1) / F.col("_n")).cast("int")).drop("_k", "_n")
 
 
 def mutual_information(binned: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
@@ -216,8 +216,7 @@ def verdict(margins_by_source: DataFrame) -> DataFrame:
 
 def sampled(units: DataFrame, key: str, strata: list[str], most: int) -> DataFrame:
     """At most ``most`` rows of each stratum, by the hash of their keys."""
-    place = F.row_number().over(W.partitionBy(*strata).orderBy(hashed(F.col(key)), key))
-    return units.withColumn("_k", place).where(F.col("_k") <= most).drop("_k")
+    return ranked(units, strata, [hashed(F.col(key)), key], "_k", "_n").where(F.col("_k") < most).drop("_k", "_n")
 
 
 def binary(probs: DataFrame, keys: list[str]) -> DataFrame:

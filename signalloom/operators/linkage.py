@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from signalloom.operators.ranking import ranked
+
 
 def normal_name(name: Column) -> Column:
     """Names to match by: eight kinds of marks removed, trimmed, lower case (fixed values)."""
@@ -127,15 +129,10 @@ def sequence(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
 
 
 def dense_ids(rows: DataFrame, name: str, form: str) -> DataFrame:
-    """Ids by the order of distinct names: ranks within ranges of names plus the ranges' offsets, without one large sort.
-
-    The window without partition runs over the first characters in use, not over the names.
-    """
-    names = rows.select(name).where(F.col(name).isNotNull()).distinct().withColumn("_head", F.substring(name, 1, 12))
-    heads = names.groupBy("_head").agg(F.count("*").alias("n"))
-    offset = heads.select("_head", (F.sum("n").over(W.orderBy("_head")) - F.col("n")).alias("_before"))
-    ranked = names.withColumn("_rank", F.row_number().over(W.partitionBy("_head").orderBy(name))).join(offset, "_head")
-    return rows.join(ranked.select(name, F.format_string(form, F.col("_rank") + F.col("_before")).alias("anon_id")), name, "left")
+    """Ids by the order of distinct names, from 1."""
+    names = rows.select(name).where(F.col(name).isNotNull()).distinct()
+    placed = ranked(names, [], [name], "_rank", "_n")
+    return rows.join(placed.select(name, F.format_string(form, F.col("_rank") + 1).alias("anon_id")), name, "left")
 
 
 def distribution(rows: DataFrame, label: str, subject: str | None = None) -> DataFrame:

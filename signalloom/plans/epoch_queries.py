@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from signalloom.operators import epochs as ep
 from signalloom.plans.registry import query, rounded
+from signalloom.session import ship
 from signalloom.sources.tables import SIGNALS, signals
 
 ROWS = "WITH " + SIGNALS + ", w AS (SELECT rec, ch, t, v, unnest(range(greatest(0, t // 32 - 1), t // 32 + 1)) AS ep, n FROM r WHERE n >= 64), x AS (SELECT rec, ch, t, v, ep FROM w WHERE ep * 32 + 64 <= n)"
@@ -106,28 +108,33 @@ def amplitude_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{ROWS}, z AS (SELECT rec, ch, ep, t, avg(v) OVER w AS m, stddev_pop(v) OVER w AS s, v FROM x WINDOW w AS (PARTITION BY rec, ep))
-SELECT rec, ch, ep, t, {R("(v - m) / CASE WHEN s < 1e-8 THEN 1 ELSE s END")} AS z FROM z""")
+SELECT rec, ch, ep, t, {R("(v - m) / (s + 1e-8)")} AS z FROM z""")
 def epoch_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each epoch's samples by the mean and deviation of all its channels."""
     return ep.standardise_epoch(_rows(spark, sf_dir), ["rec", "ep"]).select(*KEYS, "t", rounded("z").alias("z"))
 
 
 @query(f"""{ROWS}, u AS (SELECT DISTINCT rec, ep FROM x), i AS (SELECT rec, ep, row_number() OVER (PARTITION BY rec ORDER BY ep) - 1 AS i, count(*) OVER (PARTITION BY rec) AS m FROM u),
-k AS (SELECT rec, ep FROM i JOIN (SELECT unnest(range(0, 2)) AS k) ON CASE WHEN m <= 2 THEN k = i ELSE i = k * (m - 1) END),
-f AS (SELECT rec, ep, ch, stddev_pop(v) AS s, max(v) - min(v) AS p FROM x JOIN k USING (rec, ep) GROUP BY ALL)
-SELECT rec, count(DISTINCT ep) AS n_probes, {R("avg(s)", 2)} AS std, {R("max(p)", 2)} AS ptp FROM f GROUP BY rec""")
+k AS (SELECT rec, ep FROM i WHERE i % greatest(m // 5, 1) = 0 AND i // greatest(m // 5, 1) < 5), y AS (SELECT rec, ep, ch, t, v / 1000 AS v, t - ep * 32 AS i FROM x JOIN k USING (rec, ep)),
+s AS (SELECT *, sum(v) OVER w / 5 AS s, abs(v - lag(v) OVER (PARTITION BY rec, ep, ch ORDER BY t)) AS d FROM y WINDOW w AS (PARTITION BY rec, ep, ch ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)), md AS (SELECT rec, ep, ch, median(d) AS med FROM s GROUP BY ALL),
+c AS (SELECT rec, ep, ch, CASE WHEN stddev_pop(v) < 1e-9 THEN -10 ELSE 10 * log10(greatest(var_pop(s), 1e-12) / greatest(var_pop(v - s) / 0.8, 1e-12)) END AS db, avg((abs(v) > 90)::INT) AS amp, avg((d > 8 * (med + 1e-9))::INT) AS jump, (stddev_pop(v) < 0.5)::INT AS flat FROM s JOIN md USING (rec, ep, ch) GROUP BY ALL),
+q AS (SELECT rec, ep, least(greatest(avg(db), -10), 40) AS snr, least(0.6 * avg(amp) + 0.2 * avg(jump) + 0.2 * avg(flat), 1) AS art FROM c GROUP BY ALL)
+SELECT rec, count(*) AS n_probes, {R("avg(snr)")} AS snr_db, {R("avg(art)")} AS artifact_ratio FROM q GROUP BY rec""")
 def probe_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Amplitudes of each record, from at most two evenly spaced epochs."""
-    rows = _rows(spark, sf_dir)
-    probes = ep.uniform_sample(rows.select("rec", "ep").distinct(), 2).select("rec", "ep")
-    f = ep.time_features(rows.join(probes, ["rec", "ep"]))
-    return f.groupBy("rec").agg(F.countDistinct("ep").alias("n_probes"), rounded(F.avg("std"), 2).alias("std"), rounded(F.max("ptp"), 2).alias("ptp"))
+    """Mean signal-to-noise and artifacts of each record's probes: every (n // 5)-th of its n epochs, five at most."""
+    rows = _rows(ship(spark), sf_dir)
+    own = W.partitionBy("rec")
+    units = rows.select("rec", "ep").distinct().withColumn("i", F.row_number().over(own.orderBy("ep")) - 1)
+    step = F.greatest(F.floor(F.count("*").over(own) / 5), F.lit(1))
+    probes = units.withColumn("step", step).where((F.col("i") % F.col("step") == 0) & (F.col("i") / F.col("step") < 5)).select("rec", "ep")
+    found = ep.epoch_quality(rows.join(probes, ["rec", "ep"]).withColumn("v", F.col("v") / 1000), 250.0, 90.0)
+    return found.groupBy("rec").agg(F.count("*").alias("n_probes"), rounded(F.avg("snr_db")).alias("snr_db"), rounded(F.avg("artifact_ratio")).alias("artifact_ratio"))
 
 
 @query(f"""{ROWS}, c AS (SELECT rec, ep, ch, max(v) - min(v) AS ptp, stddev_pop(v) AS std FROM x GROUP BY ALL), e AS (SELECT rec, ep, max(ptp) AS ptp, min(std) AS std FROM c GROUP BY ALL),
 l AS (SELECT rec, least(greatest(3 * median(ptp), 400), 99000) AS threshold FROM e GROUP BY rec), k AS (SELECT rec, count(*) AS n_all, sum((ptp <= threshold AND std >= 0.5)::INT)::BIGINT AS n_kept FROM e JOIN l USING (rec) GROUP BY rec),
 s AS (SELECT DISTINCT rec FROM r)
-SELECT rec, coalesce(n_all, 0) AS n_all, coalesce(n_kept, 0) AS n_kept, CASE WHEN n_all IS NULL THEN 'skipped_short' WHEN n_kept = 0 THEN 'skipped_rejected' ELSE 'ok' END AS status, {R("coalesce(n_kept / n_all, 0)")} AS keep_rate FROM s LEFT JOIN k USING (rec)""")
+SELECT rec, coalesce(n_all, 0) AS n_all, coalesce(n_kept, 0) AS n_kept, CASE WHEN n_kept > 0 THEN 'ok' ELSE 'error' END AS status, CASE WHEN n_all IS NULL THEN 'no_epoch' WHEN n_kept = 0 THEN 'all_rejected' ELSE '' END AS error, {R("coalesce(n_kept / n_all, 0)")} AS keep_rate FROM s LEFT JOIN k USING (rec)""")
 def epoch_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What became of each record on its way to epochs: status, epochs made and kept."""
     s = signals(spark, sf_dir)

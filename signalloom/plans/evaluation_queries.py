@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from signalloom.operators import epochs as ep
 from signalloom.operators import evaluation as ev
 from signalloom.operators import fusion as fu
+from signalloom.operators.ranking import evenly
 from signalloom.plans import report
 from signalloom.plans.epoch_queries import ROWS
 from signalloom.plans.fusion_queries import BASE, H, LABELS, P
@@ -94,22 +95,27 @@ def subject_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.stratified_split(units, "subject", "all").select("subject", "split")
 
 
-@query(P + LABELS + f""", k AS (SELECT *, CASE WHEN subject % 2 = 0 THEN 'project' ELSE 'raw_index' END AS source FROM a), n AS (SELECT agent, source, y, count(*) AS n FROM k GROUP BY ALL), b AS (SELECT agent, source, max(n) / sum(n) AS base FROM n GROUP BY ALL),
-m AS (SELECT agent, source, count(*) AS n, avg((label = y)::INT) AS acc FROM k GROUP BY ALL)
+BY_SUBJECT = """, sm AS (SELECT agent, subject, c, round(avg(p) + 1e-9, 6) AS p, arg_min(y, id) AS y, min(id) AS f FROM p GROUP BY ALL), k AS (SELECT agent, subject, CASE WHEN subject % 2 = 0 THEN 'project' ELSE 'raw_index' END AS source, arg_min(c, (-p, c)) AS label, arg_min(y, f) AS y FROM sm GROUP BY ALL),
+n AS (SELECT agent, source, y, count(*) AS n FROM k GROUP BY ALL), b AS (SELECT agent, source, max(n) / sum(n) AS base FROM n GROUP BY ALL), m AS (SELECT agent, source, count(*) AS n, avg((label = y)::INT) AS acc FROM k GROUP BY ALL)"""
+
+
+def _source_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = F.when(F.col("subject") % 2 == 0, "project").otherwise("raw_index")
+    return ev.margins(ev.by_subject_label(probabilities(spark, sf_dir), ["agent"]).withColumn("source", source), ["agent", "source"])
+
+
+@query(P + BY_SUBJECT + f"""
 SELECT agent, source, n, {R('acc')} AS accuracy, {R('base')} AS baseline, {R('acc - base')} AS margin FROM m JOIN b USING (agent, source)""")
 def label_source_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accuracy over the majority's, by where the labels come from."""
-    source = F.when(F.col("subject") % 2 == 0, "project").otherwise("raw_index")
-    m = ev.margins(_labels(spark, sf_dir).withColumn("source", source), ["agent", "source"])
+    """Subjects' accuracy over the majority's, by where the labels come from."""
+    m = _source_margins(spark, sf_dir)
     return m.select("agent", "source", "n", *(rounded(c).alias(c) for c in ("accuracy", "baseline", "margin")))
 
 
-@query(P + LABELS + f""", k AS (SELECT *, CASE WHEN subject % 2 = 0 THEN 'project' ELSE 'raw_index' END AS source FROM a), n AS (SELECT agent, source, y, count(*) AS n FROM k GROUP BY ALL), b AS (SELECT agent, source, max(n) / sum(n) AS base FROM n GROUP BY ALL),
-m AS (SELECT agent, source, avg((label = y)::INT) AS acc FROM k GROUP BY ALL), df AS (SELECT avg(acc - base) FILTER (source = 'project') - avg(acc - base) FILTER (source = 'raw_index') AS diff FROM m JOIN b USING (agent, source))
+@query(P + BY_SUBJECT + f""", df AS (SELECT avg(acc - base) FILTER (source = 'project') - avg(acc - base) FILTER (source = 'raw_index') AS diff FROM m JOIN b USING (agent, source))
 SELECT {R('diff')} AS diff, CASE WHEN diff > 0.05 THEN 'unreliable' WHEN diff > 0.02 THEN 'weaker' ELSE 'alike' END AS verdict FROM df""")
 def label_source_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = F.when(F.col("subject") % 2 == 0, "project").otherwise("raw_index")
-    return ev.verdict(ev.margins(_labels(spark, sf_dir).withColumn("source", source), ["agent", "source"])).withColumn("diff", rounded("diff"))
+    return ev.verdict(_source_margins(spark, sf_dir)).withColumn("diff", rounded("diff"))
 
 
 @query(P + f""", sm AS (SELECT agent, subject, c, round(avg(p) + 1e-9, 6) AS p, arg_min(y, id) AS y, min(id) AS f FROM p GROUP BY ALL), sl AS (SELECT agent, subject, arg_min(c, (-p, c)) AS label, arg_min(y, f) AS y FROM sm GROUP BY ALL),
@@ -132,13 +138,12 @@ def binary_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{ROWS}, k AS (SELECT DISTINCT rec, ep, row_number() OVER (ORDER BY rec, ep) - 1 AS i, count(*) OVER () AS m FROM (SELECT DISTINCT rec, ep FROM x WHERE rec % 10 < 7)),
-s AS (SELECT rec, ep FROM k JOIN (SELECT unnest(range(0, 200)) AS j) ON CASE WHEN m <= 200 THEN j = i ELSE i = j * (m - 1) // 199 END)
+s AS (SELECT rec, ep FROM k JOIN (SELECT unnest(range(0, 20000)) AS j) ON i = CASE WHEN m <= 20000 THEN j ELSE j * (m - 1) // 19999 END)
 SELECT ch, {R('avg(v)', 2)} AS mean, {R('greatest(stddev_pop(v), 1e-8)', 2)} AS std FROM x JOIN s USING (rec, ep) GROUP BY ch""")
-def training_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Means and deviations of the channels, from at most 200 evenly spaced epochs of the training records."""
+def training_norms(spark: SparkSession, sf_dir: str, most: int = 20_000) -> DataFrame:
+    """Means and deviations of the channels, from at most 20,000 evenly spaced epochs of the training records."""
     rows = ep.epoch_rows(signals(spark, sf_dir)).where("rec % 10 < 7")
-    units = rows.select(F.struct("rec", "ep").alias("ep"), F.lit(0).alias("rec")).distinct()
-    few = ep.uniform_sample(units, 200).select("ep.rec", "ep.ep")
+    few = evenly(rows.select("rec", "ep").distinct(), [], ["rec", "ep"], most).select("rec", "ep")
     return rows.join(few, ["rec", "ep"]).groupBy("ch").agg(rounded(F.avg("v"), 2).alias("mean"), rounded(F.greatest(F.stddev_pop("v"), F.lit(1e-8)), 2).alias("std"))
 
 
