@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,8 +25,10 @@ def as_blocks(signal: DataFrame, block: int = BLOCK, margin: int = MARGIN) -> Da
     """
     own = F.floor(F.col("t") / block)
     spread = F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("t") - margin) / block)), F.floor((F.col("t") + margin) / block)))
-    last = F.max(own).over(W.partitionBy("rec", "ch"))
-    rows = signal.where(F.col("v").isNotNull()).withColumn("_last", last).select("rec", "ch", "t", "v", "_last", spread.alias("blk")).where(F.col("blk") <= F.col("_last"))
+    there = signal.where(F.col("v").isNotNull())
+    # One number a channel, joined; no window holds a channel's samples.
+    last = there.groupBy("rec", "ch").agg(F.max(own).alias("_last"))
+    rows = there.join(last, ["rec", "ch"]).select("rec", "ch", "t", "v", "_last", spread.alias("blk")).where(F.col("blk") <= F.col("_last"))
     return rows.groupBy("rec", "ch", "blk").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda s: s["v"]).alias("x"))
 
 
@@ -70,6 +72,22 @@ def clean(blocks: DataFrame, fs: float, low: float = 0.5, high: float = 45.0, hu
     return over_arrays(blocks, "x", f).withColumn("x", F.slice("x", begin, block // down)).where(F.size("x") > 0)
 
 
+def resample(signal: DataFrame, up: int, down: int, block: int = BLOCK) -> DataFrame:
+    """(rec, ch, blk, first, x): long rows (rec, ch, t, v) at up / down times their rate, in blocks; ``first`` is the place of x's first sample.
+
+    The low-pass sees 10 * max(up, down) / up samples on each side, and so do the blocks' margins: they join up exactly.
+    """
+    g = math.gcd(up, down)
+    up, down = up // g, down // g
+    reach = -(-10 * max(up, down) // up) + 1
+    margin, size = -(-reach // down) * down, max(1, block // down) * down
+    found = over_arrays(as_blocks(signal, size, margin), "x", lambda x: filters.resample(x, up, down))
+    begin = F.when(F.col("blk") == 0, 0).otherwise(margin // down * up)
+    core = F.slice("x", (begin + 1).cast("int"), size // down * up)
+    # A last block ends where its samples do; margins of a neighbour beyond it hold no samples of their own.
+    return found.select("rec", "ch", "blk", (F.col("blk") * (size // down * up)).alias("first"), core.alias("x")).where(F.size("x") > 0)
+
+
 def segments(signal: DataFrame, most: int = 256) -> DataFrame:
     """(rec, ch, seg, x): half-overlapping segments of ``most`` samples of long rows (rec, ch, t, v, n); one of all samples of a shorter record."""
     size = F.least(F.lit(most), F.col("n")).cast("long")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from signalloom.functions import filters
 from signalloom.operators import evaluation as ev
 from signalloom.operators import filtering, linkage, selection, spatial, spectral
 from signalloom.plans.registry import QUERIES, query, rounded
@@ -36,6 +37,18 @@ s AS (SELECT rec, ch, seg, m, k, (pow(sum(x * cos(2 * pi() * i * k / m)), 2) + p
 de AS (SELECT rec, ch, k, k * 250 / m AS f, avg(p) AS density FROM s GROUP BY rec, ch, k, m)"""
 
 
+TAPS = ", ".join(f"{x!r}" for x in filters.resample_taps(3, 2).tolist())
+RESAMPLED = f"""WITH {SIGNALS}, o AS (SELECT rec, ch, n, unnest(range(0, (n * 3 + 1) // 2)) AS m FROM (SELECT DISTINCT rec, ch, n FROM r)), h AS (SELECT unnest(range(-30, 31)) AS i, unnest([{TAPS}]) AS w),
+y AS (SELECT o.rec, o.ch, m, sum(w * v) AS v FROM o JOIN h ON (m * 2 - i) % 3 = 0 JOIN r ON r.rec = o.rec AND r.ch = o.ch AND r.t = (m * 2 - i) // 3 AND m * 2 >= i GROUP BY ALL)"""
+
+
+@query(RESAMPLED + f" SELECT rec, ch, m, {R('v', 2)} AS v FROM y")
+def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record's channels at three halves of their rate, by blocks."""
+    found = filtering.resample(signals(ship(spark), sf_dir), 3, 2, 128).select("rec", "ch", "first", F.posexplode("x").alias("i", "v"))
+    return found.select("rec", "ch", (F.col("first") + F.col("i")).alias("m"), rounded("v", 2).alias("v"))
+
+
 @query(WELCH + f" SELECT rec, ch, k::INT AS k, {R('f')} AS f, {R('density / 1000')} AS density FROM de")
 def welch_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Welch densities of every record's channels."""

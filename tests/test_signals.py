@@ -1,6 +1,7 @@
 """Filters by their frequency response, selection, and windows over a stream."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from signalloom.functions import filters
@@ -107,3 +108,41 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     want = windows.windowed(rows, ["k"], "ts", "v", "20 seconds", "10 seconds")
     assert spark.table("w").exceptAll(want).count() == 0 and spark.table("w").count() == want.count()
+
+
+def direct_resample(x, up, down):
+    taps, half = filters.resample_taps(up, down), 10 * max(up, down)
+    wide = np.zeros((len(x), x.shape[1] * up))
+    wide[:, ::up] = x
+    return np.stack([np.convolve(row, taps)[half : half + wide.shape[1]] for row in wide])[:, ::down]
+
+
+@pytest.mark.parametrize(("up", "down"), [(3, 2), (2, 3), (1, 4), (5, 1), (125, 128), (7, 7), (4, 6)])
+def test_resampling_by_phases(up, down):
+    rng = np.random.default_rng(3)
+    g = np.gcd(up, down)
+    for n in (1, 2, 50, 1000):
+        x = rng.normal(size=(2, n))
+        got = filters.resample(x, up, down)
+        assert got.shape[1] == -(-n * up // down)
+        assert np.allclose(got, direct_resample(x, up // g, down // g) if up != down else x, atol=1e-9)
+    assert np.allclose(filters.resample(x, 1, 4), filters.decimate(x, 4))
+
+
+def test_overlap_save_equals_convolution():
+    rng = np.random.default_rng(4)
+    for n, m in ((10, 3), (5000, 101), (1, 5), (0, 5)):
+        x, taps = rng.normal(size=(3, n)), rng.normal(size=m)
+        want = np.stack([np.convolve(row, taps)[m // 2 : m // 2 + n] for row in x]) if n else x
+        assert np.allclose(filters.overlap_save(x, taps, 256), want, atol=1e-9)
+
+
+@pytest.mark.parametrize(("up", "down"), [(3, 2), (2, 5), (1, 2), (4, 1)])
+def test_resampled_blocks_join_up(spark, up, down):
+    x = np.random.default_rng(5).normal(size=(2, 333))
+    rows = spark.createDataFrame([(1, c, t, float(v)) for c, n in ((0, 333), (1, 64), (2, 1)) for t, v in enumerate(x[c % 2, :n])], "rec int, ch int, t long, v double")
+    got = filtering.resample(rows, up, down, 64).orderBy("ch", "blk").collect()
+    for c, n in ((0, 333), (1, 64), (2, 1)):
+        own = [r for r in got if r.ch == c]
+        assert [r.first for r in own] == np.cumsum([0, *(len(r.x) for r in own[:-1])]).tolist()
+        assert np.allclose(np.concatenate([r.x for r in own]), filters.resample(x[c % 2 : c % 2 + 1, :n], up, down)[0], atol=1e-9)
