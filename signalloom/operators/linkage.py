@@ -70,24 +70,52 @@ def similarity(a: str, b: str, least: float) -> float:
     return ratio if ratio >= least else 0.0
 
 
-def fuzzy(left: DataFrame, right: DataFrame, left_id: str, day: str, key: str, name: str, right_id: str, least: float = 0.6, parts: int = 16) -> DataFrame:
+def letters(names: DataFrame, keys: list[str], name: str, least: float) -> DataFrame:
+    """(keys, name, _all, _few): a name's letters, each with its number among its like, the rarest first, and the first of these.
+
+    Two texts of a ratio of ``least`` share least / (2 - least) of either's letters at least; so they share one of those that are left when all
+    but that many, less one, are taken off the end of an order that holds for all.
+    """
+    chars = F.filter(F.split(name, ""), lambda c: c != "")
+    numbered = F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c)).cast("string")))
+    each = names.select(*keys, name).distinct().withColumn("_l", F.explode(numbered))
+    # As many rows as there are letters in use, whatever the names are.
+    often = each.groupBy("_l").agg(F.count("*").alias("_often"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_often", "_l"))), lambda s: s["_l"])
+    found = each.join(often, "_l").groupBy(*keys, name).agg(ordered.alias("_all"))
+    n = F.size("_all")
+    return found.withColumn("_few", F.slice("_all", 1, (n - F.ceil(n * least / (2 - least) - 1e-9) + 1).cast("int")))
+
+
+def candidates(left: DataFrame, right: DataFrame, day: str, key: str, name: str, least: float = 0.6) -> DataFrame:
+    """(day, key, name): pairs of one day that share enough letters for a ratio of ``least``, each once.
+
+    A pair meets at the rarest letter that both prefixes hold; a letter that very many names of a day hold is a skewed key of a join,
+    which Spark splits.
+    """
+    own = letters(left, [day], key, least).select(day, key, F.col("_all").alias("_a"), F.col("_few").alias("_p"), F.explode("_few").alias("_l"))
+    other = letters(right, [day], name, least).select(day, name, F.col("_all").alias("_b"), F.col("_few").alias("_q"), F.explode("_few").alias("_l"))
+    a, b = F.size("_a"), F.size("_b")
+    both = own.join(other, [day, "_l"]).where(2 * F.least(a, b) >= least * (a + b) - 1e-9)
+    return both.where((F.get(F.array_intersect("_p", "_q"), F.lit(0)) == F.col("_l")) & (2 * F.size(F.array_intersect("_a", "_b")) >= least * (a + b) - 1e-9)).select(day, key, name)
+
+
+def fuzzy(left: DataFrame, right: DataFrame, left_id: str, day: str, key: str, name: str, right_id: str, least: float = 0.6) -> DataFrame:
     """(left_id, name, right_id, ratio): the right row of the same day with the most similar name, at ``least`` or more.
 
-    Names of under two characters match nothing; ties go to the least right id. Only distinct keys and names of one
-    day meet, ``parts`` shares of a day's keys in tasks of their own, and each key keeps its best name only.
+    Names of under two characters match nothing; ties go to the least right id. Only pairs that can reach ``least`` are compared, and
+    each key keeps its best name only.
     """
     keys = left.where(F.col(key).isNotNull() & F.col(day).isNotNull()).select(day, key).distinct()
     names = right.where(F.length(name) >= 2).groupBy(day, name).agg(F.min(right_id).alias("_r"))
-    spread = keys.withColumn("_s", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).groupBy(day, "_s").agg(F.collect_set(key).alias("_keys"))
-    kind = dict(right.dtypes)[right_id]
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            ratios = [(d, k, similarity(k, n, least), n, r) for d, ks, n, r in frame.itertuples(index=False) for k in ks]
-            yield pd.DataFrame([x for x in ratios if x[2] > 0], columns=[day, key, "ratio", "_n", "_r"])
+            ratio = [similarity(k, n, least) for k, n in zip(frame[key], frame[name], strict=True)]
+            yield frame.assign(ratio=ratio)[lambda f: f["ratio"] > 0]
 
-    pairs = spread.join(names, day).select(day, "_keys", name, "_r").mapInPandas(score, f"`{day}` date, `{key}` string, ratio double, _n string, _r {kind}")
-    best = pairs.groupBy(day, key).agg(F.min(F.struct((-F.col("ratio")).alias("ratio"), F.col("_r").alias("r"), F.col("_n").alias("n"))).alias("_b"))
+    pairs = candidates(keys, names, day, key, name, least).mapInPandas(score, f"`{day}` date, `{key}` string, `{name}` string, ratio double")
+    best = pairs.join(names, [day, name]).groupBy(day, key).agg(F.min(F.struct((-F.col("ratio")).alias("ratio"), F.col("_r").alias("r"), F.col(name).alias("n"))).alias("_b"))
     return left.join(best, [day, key]).select(left_id, F.col("_b.n").alias(name), F.col("_b.r").alias(right_id), (-F.col("_b.ratio")).alias("ratio"))
 
 

@@ -101,6 +101,21 @@ def test_fuzzy_equals_all_pairs(spark):
         assert got.get(i) == ((-found[0][0], found[0][1]) if found else None)
 
 
+def test_fuzzy_candidates_lose_no_pair(spark):
+    import difflib
+    import random
+
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(0, 12))) for _ in range(150)]
+    words += [w[:k] + "ü" + w[k:] for w in words[:60] for k in (0, len(w) // 2)]
+    rows = spark.createDataFrame([(1, w, w) for w in words], "day int, key string, name string")
+    for least in (0.6, 0.8, 1.0):
+        met = linkage.candidates(rows, rows, "day", "key", "name", least).collect()
+        pairs = {(r.key, r.name) for r in met}
+        assert len(met) == len(pairs) < len(set(words)) ** 2 / 4
+        assert all((a, b) in pairs for a in set(words) for b in set(words) if a and b and difflib.SequenceMatcher(None, a, b).ratio() >= least)
+
+
 def test_hashes_of_large_keys(spark):
     keys = [0, 1, 5, 2**31, 2**32 + 7, 10**10, 9 * 10**18, -3]
     got = spark.createDataFrame([(k,) for k in keys], "k long").select("k", evaluation.hashed(F.col("k")).alias("h")).collect()
