@@ -9,6 +9,7 @@ from signalloom.operators import evaluation as ev
 from signalloom.operators import fusion as fu
 from signalloom.plans.fusion_queries import BASE, SHAPE
 from signalloom.plans.registry import query, rounded
+from signalloom.session import cut
 from signalloom.sources.tables import PROBS2, probabilities
 
 R = lambda sql, k=4: f"(round({sql} + 1e-9, {k}) + 0)"
@@ -166,9 +167,10 @@ def mechanism_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SPREADS, MAJORITIES, ENTROPIES = [round(0.15 + 0.05 * k, 2) for k in range(18)], [0.5, 0.6], [round(0.8 + 0.01 * k, 3) for k in range(31)]
+#: Both products of every epoch: votes of the first round by quality, and of the arbitrated one as if all epochs disagreed.
 GRID = (
-    VARIANTS
-    + f""", always AS (SELECT id, subject, y, c, round(sum({BASE} * p) / sum({BASE}) + 1e-9, 6) AS p FROM p2 GROUP BY ALL), never AS (SELECT id, subject, y, c, round(sum({BASE} * p) / sum({BASE}) + 1e-9, 6) AS p FROM p GROUP BY ALL),
+    VARIANTS.replace(FLAG, ", fl AS (SELECT id, true AS disagree FROM h JOIN j USING (id))")
+    + f""", always AS (SELECT id, subject, y, c, p FROM vt WHERE mode = 'full'), never AS (SELECT id, subject, y, c, p FROM vt WHERE mode = 'no_arbitration'),
 g AS (SELECT t1::DOUBLE AS t1, t2::DOUBLE AS t2, t3::DOUBLE AS t3 FROM (SELECT unnest({SPREADS}) AS t1), (SELECT unnest({MAJORITIES}) AS t2), (SELECT unnest({ENTROPIES}) AS t3)),
 sh AS (SELECT id, round(max_diff, 6) AS max_diff, majority, round(entropy, 6) AS entropy FROM h JOIN j USING (id)),
 tr AS (SELECT g.*, id, max_diff > t1 OR majority < t2 OR entropy > t3 AS hit FROM sh, g),
@@ -184,9 +186,10 @@ gr AS (SELECT t1, t2, t3, {R('rate')} AS rate, {R('epoch_acc')} AS epoch_acc, {R
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, second = _rounds(spark, sf_dir)
     shape = fu.disagreement(first).select("id", F.round("max_diff", 6).alias("max_diff"), "majority", F.round("entropy", 6).alias("entropy"))
-    w = fu.lookup(fu.BASE, F.col("agent"), 0.25)
-    vote = lambda p: fu.soft_vote(p, w).withColumn("p", rounded("p", 6))
-    return ev.threshold_grid(ev.grid_cells(shape, vote(first), vote(second), SPREADS, MAJORITIES, ENTROPIES), SPREADS, MAJORITIES, ENTROPIES)
+    every = first.select("id").distinct().withColumn("disagree", F.lit(True))
+    votes = cut(fu.weigh(first, second, _levels(first), every, ("full", "no_arbitration")))
+    of = lambda mode: votes.where(F.col("mode") == mode).select("id", "subject", "y", "c", "p")
+    return ev.threshold_grid(ev.grid_cells(shape, of("no_arbitration"), of("full"), SPREADS, MAJORITIES, ENTROPIES), SPREADS, MAJORITIES, ENTROPIES)
 
 
 @query(GRID + " SELECT * FROM gr")
