@@ -83,10 +83,11 @@ red AS (SELECT pos, other, sum(n / a * ln(n * a / (na * nb))) AS raw, round(raw,
 s0 AS (SELECT pos FROM rel ORDER BY -mi, pos LIMIT 1)"""
 
 
-def _steps(k: int) -> str:
+def _steps(k: int, quotient: bool = False) -> str:
     sql, union = MI, "SELECT 0 AS place, pos FROM s0"
     for i in range(1, k):
-        sql += f", g{i} AS ({' UNION ALL '.join(f'SELECT pos FROM s{j}' for j in range(i))}), s{i} AS (SELECT rel.pos FROM rel JOIN red ON red.pos = rel.pos AND other IN (SELECT pos FROM g{i}) WHERE rel.pos NOT IN (SELECT pos FROM g{i}) GROUP BY rel.pos, rel.mi ORDER BY -round(rel.mi - sum(red.mi) / {i}, 9), rel.pos LIMIT 1)"
+        score = f"rel.mi / (sum(red.mi) / {i} + 1e-6)" if quotient else f"rel.mi - sum(red.mi) / {i}"
+        sql += f", g{i} AS ({' UNION ALL '.join(f'SELECT pos FROM s{j}' for j in range(i))}), s{i} AS (SELECT rel.pos FROM rel JOIN red ON red.pos = rel.pos AND other IN (SELECT pos FROM g{i}) WHERE rel.pos NOT IN (SELECT pos FROM g{i}) GROUP BY rel.pos, rel.mi ORDER BY -round({score}, 9), rel.pos LIMIT 1)"
         union += f" UNION ALL SELECT {i}, pos FROM s{i}"
     return f"{sql} {union}"
 
@@ -98,6 +99,13 @@ def mrmr_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(selection.mrmr(binned, "id", "pos", "bin", "y", 4))), "place int, pos int")
 
 
+@query(_steps(4, True))
+def mrmr_quotients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four choices by quotient."""
+    binned = ev.equal_bins(vectors(spark, sf_dir), ["pos"], "x", "id").select("id", "y", "pos", "bin")
+    return spark.createDataFrame(list(enumerate(selection.mrmr(binned, "id", "pos", "bin", "y", 4, True))), "place int, pos int")
+
+
 @query(MI + " SELECT pos, other, round(raw + 3e-10, 5) + 0 AS mi FROM red WHERE pos < other")
 def feature_pair_mi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mutual information of every two features, rounded once."""
@@ -115,7 +123,8 @@ def fused_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT vec_id AS id, len(list_concat(embedding[1:8], embedding[17:64])) = 0 AS dropped, round(list_sum(list_concat(embedding[1:8], embedding[17:64])::DOUBLE[]) + 1e-9, 4) AS kept_sum,
-len(list_concat(embedding, [0.0])) AS n_augmented, round(list_reverse(embedding)[1]::DOUBLE + 1e-9, 4) AS last, round(list_sum(embedding[1:10]::DOUBLE[]) + 1e-9, 4) AS cut_sum FROM embeddings""")
+len(list_concat(embedding, [0.0])) AS n_augmented, round(list_reverse(embedding)[1]::DOUBLE + 1e-9, 4) AS last, round(list_sum(embedding[1:10]::DOUBLE[]) + 1e-9, 4) AS cut_sum,
+greatest(80, len(embedding[1:80])) AS n_filled, round(list_sum(embedding[1:80]::DOUBLE[]) + 1e-9, 4) AS filled_sum FROM embeddings""")
 def vector_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrays without a block, augmented, reversed, cut to ten and filled to eighty entries."""
     x = F.col("embedding").cast("array<double>")
@@ -125,6 +134,7 @@ def vector_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         "id", (F.size(kept) == 0).alias("dropped"), total(kept).alias("kept_sum"), F.size(F.concat("x", F.array(F.lit(0.0)))).cast("long").alias("n_augmented"),
         rounded(F.reverse("x")[0]).alias("last"), total(selection.fixed_size(F.col("x"), 10)).alias("cut_sum"),
+        F.size(selection.fixed_size(F.col("x"), 80)).cast("long").alias("n_filled"), total(selection.fixed_size(F.col("x"), 80)).alias("filled_sum"),
     )
 
 

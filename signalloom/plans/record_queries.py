@@ -178,7 +178,7 @@ AGES = "g AS (SELECT vec_id, vec_id % 50 AS subject FROM embeddings), a AS (SELE
 
 @query(f"WITH {AGES} SELECT vec_id, subject, coalesce(age, 6.0) AS age, (age IS NULL)::INT AS missing FROM g LEFT JOIN a USING (subject)")
 def subject_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each epoch's age by its subject, 6 where none is known."""
+    """Each epoch's age by its subject, 6 where none is known; parts of size 30 and more have none, so that some are missing."""
     units = read(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 50).alias("subject"))
     return li.with_default(units, _ages(spark, sf_dir), "subject", "age", 6.0).select("vec_id", "subject", "age", "missing")
 
@@ -189,6 +189,7 @@ def _ages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {AGES} SELECT vec_id, subject FROM g SEMI JOIN a USING (subject)")
 def aged_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Epochs whose subject has an age; parts of size 30 and more have none."""
     units = read(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 50).alias("subject"))
     return units.join(_ages(spark, sf_dir), "subject", "left_semi").select("vec_id", "subject")
 
