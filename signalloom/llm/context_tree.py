@@ -13,11 +13,17 @@ depths 0 and 1 need of it (a row for each context of two bytes and next byte) is
 A second pass over the pieces gives each chunk the log probabilities of its grams. All of the training documents
 are counted.
 
+``repeats`` lets a text's own past help: a token (a word and the byte that ends it, the end mark too) may also be
+repeated from the tokens before it in the text, or from what followed its predecessor there. Each of ``RATES`` has
+fixed shares for both, a share without a past goes to the tree, and the texts' probabilities under all rates are
+averaged. That stays a probability, and costs at most log10 of the number of rates where nothing is repeated.
+
 The baseline needs the count of every word. A vocabulary of at most ``MOST_WORDS`` entries (16 bytes each, by a
 count) is broadcast; a larger one is joined by shuffle, with the same result.
 
 Edge cases: null and empty texts are one end token. Rows with a null doc_id train and aren't held out. With no
-training rows every bit has probability one half and the baseline is 0. Repeated rows count again and give repeated rows; other
+training rows every bit has probability one half and the baseline is 0. The baseline has one symbol for all unseen words,
+while the score spells them, so on a few texts whose words are mostly unseen the score is the lower one. Repeated rows count again and give repeated rows; other
 columns are ignored.
 """
 
@@ -45,6 +51,8 @@ CHUNK, PIECE = 16 << 20, 4 << 20
 ROUTE = 2
 MOST_WORDS = 8_000_000
 HELD_OUT_MOD, HELD_OUT = 7, 2
+#: Shares of any earlier token of the text, and of those that followed the token before.
+RATES = ((0.0, 0.0), (0.05, 0.02), (0.15, 0.05), (0.3, 0.3), (0.05, 0.9))
 END = 255
 
 
@@ -305,22 +313,59 @@ def _shallow(tops: DataFrame) -> tuple[np.ndarray, list[list[tuple[np.ndarray, n
         by_depth, _, _ = tree.decide(i, filled[np.r_[True, node[1:] != node[:-1]], i])
         at, own = np.arange(len(tree.keys[ROUTE - 1])), []
         for d in range(ROUTE - 1, -1, -1):
-            own.append(tuple(x[at].astype(np.float32) for x in by_depth[d]))
+            own.append(tuple(x[at] for x in by_depth[d]))
             at = tree.up[d][at] if d else at
         values.append(own)
     return tree.keys[ROUTE - 1], values
 
 
+def _tokens(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word with the byte that ends it; words may be empty."""
+    end = np.flatnonzero(ta.SEPARATOR[own] | (own == END)) + 1
+    return np.r_[0, end[:-1]], end
+
+
 def _row_words(body: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of each word of adjoining rows."""
     own, row_end = body[begin[0] : stop[-1]], stop - begin[0]
-    end = np.flatnonzero(ta.SEPARATOR[own] | (own == END)) + 1
-    start = np.r_[0, end[:-1]]
+    start, end = _tokens(own)
     is_word = end - start > 1
     start, end = start[is_word], end[is_word]
     return ta.span_hash(ta.prefix_code(ta.BYTE_CODE[own]), start, end - 1).view(np.int64), np.searchsorted(row_end, end, "left")
 
 
+def _earlier(code: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """How often each code stands before itself in its row."""
+    key = ta.mix(code + ta.mix(row.astype(np.uint64)))
+    order = np.argsort(key)
+    new = np.r_[True, key[order[1:]] != key[order[:-1]]]
+    order = np.sort(np.cumsum(new) << 32 | order) & 0xFFFFFFFF  # by place among equals
+    at, rank = np.arange(len(code)), np.empty(len(code), np.int64)
+    rank[order] = at - np.maximum.accumulate(np.where(new, at, 0))
+    return rank
+
+
+def with_repeats(value: np.ndarray, body: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """log10 probability of adjoining rows, whose bytes have the log10 probabilities ``value``, if tokens may be repeated."""
+    own, m = body[begin[0] : stop[-1]], len(begin)
+    start, end = _tokens(own)
+    row = np.searchsorted(stop - begin[0], end, "left")
+    code, tree = ta.span_hash(ta.prefix_code(ta.BYTE_CODE[own]), start, end), np.add.reduceat(value, start)
+    past = np.arange(len(code)) - np.searchsorted(row, np.arange(m))[row]
+    again = _earlier(code, row)
+    before = np.where(past > 0, np.r_[0, again[:-1]], 0)
+    pair = _earlier(ta.mix(code) + np.where(past > 0, np.r_[code[:1], code[:-1]], ta.U(0)), row)
+    any_p, next_p, totals = again / np.maximum(past, 1), np.where(before > 0, pair / np.maximum(before, 1), 0.0), []
+    for any_share, next_share in RATES:
+        by_any, by_next = any_share * (past > 0), next_share * (before > 0)
+        p = by_any * any_p + by_next * next_p
+        logs = np.log10(1 - by_any - by_next) + tree
+        hit = np.flatnonzero(p)
+        logs[hit] = np.logaddexp(logs[hit] * math.log(10), np.log(p[hit])) / math.log(10)
+        totals.append(np.bincount(row, logs, m))
+    return np.logaddexp.reduce(np.array(totals) * math.log(10), axis=0) / math.log(10) - math.log10(len(RATES))
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(code, c): training count of each word of each chunk (outs, ends, body)."""
     for batch in batches:
@@ -334,10 +379,11 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(c.astype(np.int64))], names=["code", "c"])
 
 
-def score(docs: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
+def score(docs: DataFrame, most_words: int = MOST_WORDS, repeats: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row of docs (doc_id, text).
 
-    ``bits_per_byte`` is the code length of the text and its end mark over their bytes.
+    ``bits_per_byte`` is the code length of the text and its end mark over their bytes. ``score`` is that of the tree
+    alone, or with repeats of the text's own tokens.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -378,7 +424,7 @@ def score(docs: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
         for a, b in _row_runs(begin, stop):
             m = b - a
             value = logs[lookup.get_indexer(grams(body, begin[a:b], stop[a:b]).view(np.int64))]
-            model_score = np.add.reduceat(value, begin[a:b] - begin[a])
+            model_score = with_repeats(value, body, begin[a:b], stop[a:b]) if repeats else np.add.reduceat(value, begin[a:b] - begin[a])
             word, word_row = _row_words(body, begin[a:b], stop[a:b])
             spot = np.minimum(np.searchsorted(codes, word), max(len(codes) - 1, 0))
             hit = codes[spot] == word if len(codes) else np.zeros(len(word), bool)

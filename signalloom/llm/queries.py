@@ -56,7 +56,7 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context_tree.score(read(ship(spark), sf_dir, "documents"))
+    return context_tree.score(read(ship(spark), sf_dir, "documents"), repeats=True)
 
 
 def tokenizer_spec(path: str | None = None) -> str:

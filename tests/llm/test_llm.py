@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from signalloom.llm import bpe, context_tree, fingerprints, long_matches, media, mixing, near_dedup, pii, quality, sharding
 from signalloom.llm.components import components
-from signalloom.llm.queries import tokenizer_spec
+from signalloom.llm.queries import QUERIES, tokenizer_spec
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double"
 PASSAGE = "the quick brown fox jumps over the lazy dog while seven wizards hum a tune by the old river "
@@ -448,6 +448,49 @@ def test_context_tree_tells_rows_of_one_id_apart(spark):
     assert sent == joined and len({r[3] for r in sent if r[0] == -1}) == 3 and len({r[3] for r in sent if r[0] == 1}) == 2
 
 
+def test_context_tree_with_repeats_equals_brute_force(spark):
+    lines = ["ab cd  ef\n", "gh ab cd ", "xyzzy ", "ab\tcd ü "]
+    texts = {i: "".join(lines[(i * k + k // 3) % 4] for k in range(i % 11)) + "end" * (i % 3) for i in range(60)} | {60: "", 61: " "}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    body = {i: t.encode() + b"\xff" for i, t in texts.items()}
+    out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    flat = lambda rows: (np.frombuffer(b"".join(rows), np.uint8), np.cumsum([0, *map(len, rows)]))
+    raw, at = flat([b for i, b in body.items() if not out[i]])
+    model = context_tree._summed(context_tree.grams(raw, at[:-1], at[1:]), np.ones(len(raw), np.int64))
+    got = by_id(context_tree.score(docs, repeats=True))
+    for i, b in body.items():
+        raw, at = flat([b])
+        logs = context_tree.gram_logs(context_tree.grams(raw, at[:-1], at[1:]), *model)
+        tokens = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D\xff]*[\x20\x09-\x0D\xff]", b)]
+        chances = []
+        for any_share, next_share in context_tree.RATES:
+            whole, past = 0.0, []
+            for a, z in tokens:
+                follows = [y for x, y in zip(past, past[1:]) if x == past[-1]] if past else []
+                shares = [any_share if past else 0, next_share if follows else 0]
+                p = (1 - sum(shares)) * 10 ** logs[a:z].sum()
+                p += sum(w * seen.count(b[a:z]) / len(seen) for w, seen in zip(shares, (past, follows)) if seen)
+                whole += math.log10(p)
+                past.append(b[a:z])
+            chances.append(whole)
+        want = max(chances) + math.log10(sum(10 ** (x - max(chances)) for x in chances) / len(chances))
+        assert math.isclose(got[i].score, want, rel_tol=1e-5), i
+    assert got[60].score == pytest.approx(by_id(context_tree.score(docs))[60].score)
+
+
+def test_context_tree_query_on_held_out_rows(spark):
+    rows = [r for r in QUERIES["op9_context_tree"](spark, "/root/testdata/sf0.001").collect() if r.held_out]
+    assert len(rows) > 20 and sum(r.score for r in rows) > 1.03 * sum(r.base_score for r in rows)
+
+
+def test_context_tree_is_finite_after_many_equal_bits(spark):
+    # Over 2**24 times the same first bits whatever the context, and a held-out text with others.
+    held = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 7 == 2)
+    texts = dict.fromkeys(range(50), "".join("abcde"[k] for k in np.random.default_rng(5).integers(0, 5, 500_000))) | {held: "ab!ba"}
+    got = by_id(context_tree.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)))
+    assert got[held].held_out and all(math.isfinite(r.score) for r in got.values()) and got[held].score > -60
+
+
 def test_bpe_equals_library(docs, texts):
     from tokenizers import Tokenizer
 
