@@ -108,15 +108,29 @@ def _row_runs(start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def chunk_grams(body: np.ndarray, start: np.ndarray, end: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct grams of a chunk in order, and how often each stands in rows that aren't held out."""
-    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    # One array for the whole chunk, sorted in place: a gram with the mark of held-out rows as its lowest bit.
+    every = np.empty(int(end[-1] - start[0]), np.uint64)
     for a, b in _row_runs(start, end):
-        every, held_byte = grams(body, start[a:b], end[a:b]), np.repeat(out[a:b], end[a:b] - start[a:b])
-        for held in (False, True):
-            gram = np.sort(every[held_byte == held])
-            first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, np.int64)
-            keys.append(gram[first])
-            counts.append(np.zeros(len(first), np.int64) if held else np.diff(np.r_[first, len(gram)]))
-    return _summed(np.concatenate(keys), np.concatenate(counts))
+        part = every[start[a] - start[0] : end[b - 1] - start[0]]
+        np.left_shift(grams(body, start[a:b], end[a:b]), ta.U(1), out=part)
+        part |= np.repeat(out[a:b], end[a:b] - start[a:b])
+    every.sort()
+    new = np.ones(len(every), bool)
+    for a in range(0, len(every) - 1, SLICE):
+        b = min(a + SLICE, len(every) - 1)
+        new[a + 1 : b + 1] = (every[a + 1 : b + 1] ^ every[a:b]) > ta.U(1)
+    first = np.flatnonzero(new)
+    del new
+    learnt = np.bitwise_and(every.view(np.uint8)[::8], 1) ^ 1
+    counts, step = np.empty(len(first), np.int64), 1 << 16
+    for a in range(0, len(first), step):
+        own = first[a : a + step + 1]
+        last = own[step] if len(own) > step else len(every)
+        counts[a : a + step] = np.add.reduceat(learnt[own[0] : last], own[:step] - own[0], dtype=np.int64)
+    del learnt
+    keys = every[first]
+    keys >>= ta.U(1)
+    return keys, counts
 
 
 def piece_of(keys: np.ndarray, pieces: int) -> np.ndarray:
@@ -244,6 +258,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield done()
                 k += 1
                 ids, outs, bodies, ends, size = [], [], [], [], 0
+                ta.release()
             ids += batch.column(0).slice(a, b - a).to_pylist()
             outs += batch.column(2).slice(a, b - a).to_pylist()
             bodies.append(np.insert(ta.LOWER[raw], offsets[1:], END).tobytes())
@@ -251,6 +266,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size += len(bodies[-1])
     if size:
         yield done()
+    ta.release()
 
 
 _PACKED = "chunk long, ids array<long>, outs array<boolean>, ends array<long>, body binary"
@@ -276,6 +292,8 @@ def _requests(pieces: int):
                 steps = [np.diff(keys[a:b], prepend=ta.U(0)) for a, b in cut_at]
                 blobs = [pa.array([_small(x) for x in steps], pa.binary()), pa.array([_small(n[a:b]) for a, b in cut_at], pa.binary())]
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), batch.column(0)[r].as_py())), *blobs], names=["piece", "chunk", "grams", "n"])
+                del keys, n, steps, blobs
+                ta.release()
 
     return run
 
@@ -289,6 +307,7 @@ def _tree_of(table: pa.Table) -> tuple[Tree, list[np.ndarray]]:
 
 def _tops(table: pa.Table) -> pa.Table:
     """A piece's entries at depth ROUTE with their counts, and by decision the log probabilities of their nodes."""
+    ta.release()  # what the group before has left
     tree, _ = _tree_of(table)
     wholes = [tree.decide(i)[2] for i in range(8)]
     firsts = [np.flatnonzero(np.r_[True, np.diff(tree.keys[ROUTE] >> ta.U(8 - i)) != 0]) for i in range(8)]
@@ -400,6 +419,7 @@ def score(docs: DataFrame, most_words: int = MOST_WORDS, repeats: bool = False)
     shallow = spark.sparkContext.broadcast(_shallow(asked.groupBy("piece").applyInArrow(_tops, "keys binary, n binary, wholes binary")))
 
     def answer(table: pa.Table) -> pa.Table:
+        ta.release()
         tree, each = _tree_of(table)
         logs = tree.logs(shallow.value).astype(np.float32)
         own = [_small(logs[np.searchsorted(tree.keys[DEPTH], g)]) for g in each]
@@ -414,6 +434,7 @@ def score(docs: DataFrame, most_words: int = MOST_WORDS, repeats: bool = False)
     end_log = math.log10(ends + 1) - least
 
     def run(chunk: pa.Table, replies: pa.Table) -> pa.Table:
+        ta.release()
         codes, counts = table.value if table is not None else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         body, begin, stop = _chunk(chunk["ends"][0], chunk["body"][0])
         keys, _ = chunk_grams(body, begin, stop, np.zeros(len(stop), bool))

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -75,6 +76,22 @@ def test_context_tree_baseline(docs, texts):
         assert r.score < 0 and (i in (3, 6) or r.score > r.base_score)
 
 
+def test_context_tree_counts_grams_in_little_memory():
+    rng = np.random.default_rng(11)
+    words = np.array(["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(20_000)])
+    rows = [" ".join(words[rng.integers(0, len(words), 2_000)]).encode() + b"\xff" for _ in range(500)]
+    body, end = np.frombuffer(b"".join(rows), np.uint8), np.cumsum([len(r) for r in rows])
+    start, out = np.r_[0, end[:-1]], np.arange(500) % 7 == 2
+    tracemalloc.start()
+    keys, n = context_tree.chunk_grams(body, start, end, out)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * len(body)
+    every = context_tree.grams(body, start, end)
+    want, inverse = np.unique(every, return_inverse=True)
+    assert np.array_equal(keys, want) and np.array_equal(n, np.bincount(inverse, ~np.repeat(out, end - start)).astype(np.int64))
+
+
 def test_runs_secrets_and_media(docs, texts):
     runs = by_id(word_runs.summary(docs))
     for i in (4, 6):
