@@ -16,7 +16,9 @@ are counted.
 ``repeats`` lets a text's own past help: a token (a word and the byte that ends it, the end mark too) may also be
 repeated from the tokens before it in the text, or from what followed its predecessor there. Each of ``RATES`` has
 fixed shares for both, a share without a past goes to the tree, and the texts' probabilities under all rates are
-averaged. That stays a probability, and costs at most log10 of the number of rates where nothing is repeated.
+averaged. That stays a probability, and costs at most log10 of the number of rates where nothing is repeated. ``OWN``
+of the weight is for bytes learnt from the text itself, where the tree takes over ``POOR`` bits a byte (bytes or
+words unlike all training texts); elsewhere it is left unused.
 
 The baseline needs the count of every word. A vocabulary of at most ``MOST_WORDS`` entries (16 bytes each, by a
 count) is broadcast; a larger one is joined by shuffle, with the same result.
@@ -51,6 +53,8 @@ CHUNK, PIECE = 16 << 20, 4 << 20
 ROUTE = 2
 MOST_WORDS = 8_000_000
 HELD_OUT_MOD, HELD_OUT = 7, 2
+#: Weight of bytes learnt from the text itself, in texts that take more than so many bits a byte otherwise.
+OWN, POOR = 1 / 6, 2.5
 #: Shares of any earlier token of the text, and of those that followed the token before.
 RATES = ((0.0, 0.0), (0.05, 0.02), (0.15, 0.05), (0.3, 0.3), (0.05, 0.9))
 END = 255
@@ -375,12 +379,12 @@ def with_repeats(value: np.ndarray, body: np.ndarray, begin: np.ndarray, stop: n
     before = np.where(past > 0, np.r_[0, again[:-1]], 0)
     pair = _earlier(ta.mix(code) + np.where(past > 0, np.r_[code[:1], code[:-1]], ta.U(0)), row)
     any_p, next_p, totals = again / np.maximum(past, 1), np.where(before > 0, pair / np.maximum(before, 1), 0.0), []
+    chance = 10**tree
     for any_share, next_share in RATES:
         by_any, by_next = any_share * (past > 0), next_share * (before > 0)
         p = by_any * any_p + by_next * next_p
-        logs = np.log10(1 - by_any - by_next) + tree
-        hit = np.flatnonzero(p)
-        logs[hit] = np.logaddexp(logs[hit] * math.log(10), np.log(p[hit])) / math.log(10)
+        rest = 1 - by_any - by_next
+        logs = np.log10(p + rest * chance, where=p > 0, out=np.log10(rest) + tree)
         totals.append(np.bincount(row, logs, m))
     return np.logaddexp.reduce(np.array(totals) * math.log(10), axis=0) / math.log(10) - math.log10(len(RATES))
 
@@ -398,11 +402,33 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(c.astype(np.int64))], names=["code", "c"])
 
 
+def learnt_bytes(value: np.ndarray, body: np.ndarray) -> np.ndarray:
+    """log10 probability of each byte of one row after its own earlier bytes: contexts of 0 to 5 bytes, each smoothed by the next shorter one, the shortest by the tree."""
+    gram, row = grams(body, np.array([0]), np.array([len(body)])), np.zeros(len(body), np.int64)
+    p = (_earlier(gram & ta.U(255), row) + 16 * (0.9 * 10**value + 0.1 / 256)) / (np.arange(len(body)) + 16)
+    for k in (1, 2, 3, 5):
+        context = gram >> ta.U(8 * (DEPTH + 1 - k))
+        p = (_earlier(context << ta.U(8) | gram & ta.U(255), row) + p) / (_earlier(context, row) + 1)
+    return np.log10(p)
+
+
+def adapted(value: np.ndarray, body: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """log10 probability of adjoining rows, with repeats and, where the tree knows them badly, with their own bytes learnt."""
+    found = with_repeats(value, body, begin, stop)
+    poor = np.flatnonzero(found < -POOR * math.log10(2) * (stop - begin))
+    found += math.log10(1 - OWN)
+    for r in poor:
+        a, b = begin[r] - begin[0], stop[r] - begin[0]
+        own = with_repeats(learnt_bytes(value[a:b], body[begin[r] : stop[r]]), body, begin[r : r + 1], stop[r : r + 1])[0] + math.log10(OWN)
+        found[r] = np.logaddexp(found[r] * math.log(10), own * math.log(10)) / math.log(10)
+    return found
+
+
 def score(docs: DataFrame, most_words: int = MOST_WORDS, repeats: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row of docs (doc_id, text).
 
     ``bits_per_byte`` is the code length of the text and its end mark over their bytes. ``score`` is that of the tree
-    alone, or with repeats of the text's own tokens.
+    alone, or with repeats of the text's own tokens and bytes.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -445,7 +471,7 @@ def score(docs: DataFrame, most_words: int = MOST_WORDS, repeats: bool = False)
         for a, b in _row_runs(begin, stop):
             m = b - a
             value = logs[lookup.get_indexer(grams(body, begin[a:b], stop[a:b]).view(np.int64))]
-            model_score = with_repeats(value, body, begin[a:b], stop[a:b]) if repeats else np.add.reduceat(value, begin[a:b] - begin[a])
+            model_score = adapted(value, body, begin[a:b], stop[a:b]) if repeats else np.add.reduceat(value, begin[a:b] - begin[a])
             word, word_row = _row_words(body, begin[a:b], stop[a:b])
             spot = np.minimum(np.searchsorted(codes, word), max(len(codes) - 1, 0))
             hit = codes[spot] == word if len(codes) else np.zeros(len(word), bool)

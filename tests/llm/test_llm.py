@@ -457,25 +457,45 @@ def test_context_tree_with_repeats_equals_brute_force(spark):
     flat = lambda rows: (np.frombuffer(b"".join(rows), np.uint8), np.cumsum([0, *map(len, rows)]))
     raw, at = flat([b for i, b in body.items() if not out[i]])
     model = context_tree._summed(context_tree.grams(raw, at[:-1], at[1:]), np.ones(len(raw), np.int64))
-    got = by_id(context_tree.score(docs, repeats=True))
+    got, kinds = by_id(context_tree.score(docs, repeats=True)), set()
     for i, b in body.items():
         raw, at = flat([b])
         logs = context_tree.gram_logs(context_tree.grams(raw, at[:-1], at[1:]), *model)
         tokens = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D\xff]*[\x20\x09-\x0D\xff]", b)]
+        own, weights = [], [(1 - context_tree.OWN) / len(context_tree.RATES), context_tree.OWN / len(context_tree.RATES)]
+        for at in range(len(b)):
+            p = (b[:at].count(b[at]) + 16 * (0.9 * 10 ** logs[at] + 0.1 / 256)) / (at + 16)
+            for k in (1, 2, 3, 5):
+                start = lambda x: (b"\xff" * k + b)[x : x + k]  # noqa: B023, E731
+                same = [x for x in range(at) if start(x) == start(at)]
+                p = (sum(b[x] == b[at] for x in same) + p) / (len(same) + 1)
+            own.append(math.log10(p))
         chances = []
-        for any_share, next_share in context_tree.RATES:
+        for (any_share, next_share), bits, weight in [(r, x, w) for x, w in zip((logs, np.array(own)), weights) for r in context_tree.RATES]:
             whole, past = 0.0, []
             for a, z in tokens:
                 follows = [y for x, y in zip(past, past[1:]) if x == past[-1]] if past else []
                 shares = [any_share if past else 0, next_share if follows else 0]
-                p = (1 - sum(shares)) * 10 ** logs[a:z].sum()
+                p = (1 - sum(shares)) * 10 ** bits[a:z].sum()
                 p += sum(w * seen.count(b[a:z]) / len(seen) for w, seen in zip(shares, (past, follows)) if seen)
                 whole += math.log10(p)
                 past.append(b[a:z])
-            chances.append(whole)
-        want = max(chances) + math.log10(sum(10 ** (x - max(chances)) for x in chances) / len(chances))
+            chances.append(whole + math.log10(weight))
+        total = lambda x: max(x) + math.log10(sum(10 ** (y - max(x)) for y in x))
+        few = chances[: len(context_tree.RATES)]
+        poor = total(few) - math.log10(1 - context_tree.OWN) < -context_tree.POOR * math.log10(2) * len(b)
+        want = total(chances if poor else few)
+        kinds.add(poor)
         assert math.isclose(got[i].score, want, rel_tol=1e-5), i
-    assert got[60].score == pytest.approx(by_id(context_tree.score(docs))[60].score)
+    assert kinds == {True, False}
+
+
+def test_context_tree_learns_bytes_that_training_lacks(spark):
+    held = [i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
+    texts = {i: f"one two three {i % 5} " * 50 for i in range(60)} | {held[0]: "x" * 200_000, held[1]: "☃ü" * 3000, held[2]: "qzk" * 500 + " one"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    tree, got = by_id(context_tree.score(docs)), by_id(context_tree.score(docs, repeats=True))
+    assert all(got[i].held_out and got[i].score > -60 > 50 * tree[i].score / 1000 for i in held)
 
 
 def test_context_tree_query_on_held_out_rows(spark):
