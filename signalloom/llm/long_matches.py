@@ -2,13 +2,15 @@
 
 1. Anchors. The least-hash ``K``-byte string of every window of ``LENGTH`` bytes is its anchor, so equal windows
    have equal anchors. Anchor hashes travel packed by hash range; those that occur twice or more set a bit in a
-   filter of at most ``FILTER_BITS`` bits. The filter's size is fixed; a full filter only lets more through. Those of
+   filter of at most ``FILTER_BITS`` bits, or several bits each as long as the filter has many for each of them. The filter's size is
+   fixed; a full filter only lets more through. Those of
    ``HOT`` documents or more set a bit in a second, smaller filter.
 2. Segments. The bytes around each anchor that passes the filter go to the bucket of its hash, packed. A hot anchor is
    split: windows with ``MORE`` bytes or more after it go by it and those bytes, the others have as many before it
    and go by it and these. Equal segments of one task's share of text are summed first: only those of the least
    document travel, with one copy of the text; the later documents' are covered whole, and their marks are spread.
-3. Index. The distinct segments of a bucket are taken some ``INDEXED`` bytes at a time in order of their anchors. The documents
+3. Index. Windows whose middle bytes no other document has around the same anchor are left out. What is left of the distinct
+   segments is taken some ``INDEXED`` bytes at a time in order of their anchors. The documents
    of an anchor are halved again and again: the earlier half is the reference, the later one streams through it. A reference is
    a run-length index: the runs of its Burrows-Wheeler transform, where LF sends them, and the suffixes at both ends of each run.
    The later segments walk backwards through it, all at once; their matching statistics, the length that each suffix
@@ -47,13 +49,18 @@ SLICE = 1 << 18
 #: 32 MB: the most that the driver and each task hold of the filter.
 FILTER_BITS = 28
 LAST = (1 << 63) - 1
-_packs = "bucket int, keys binary, ids binary, sizes binary, counts binary, starts binary, texts binary, marks binary"
+_packs = "bucket int, keys binary, ids binary, sizes binary, anchors binary, counts binary, starts binary, texts binary, marks binary"
+#: Bits of the filter that an anchor sets at most.
+PROBES = 4
 #: Bytes of text whose anchors or segments a task packs at a time.
 CHUNK = 8 << 20
 #: Documents from which on an anchor is split, bits of the filter of such anchors, and the bytes that it is split by.
 HOT, HOT_BITS, MORE = 2048, 22, 15
-#: Bytes of distinct segments that one index takes; the segments of one anchor stay together.
-INDEXED = 1 << 21
+#: Bytes of segments that a task takes up at a time, of whole buckets, and bytes of those cut to open windows that are halved together;
+#: the segments of one anchor stay together.
+HELD, INDEXED = 1 << 23, 1 << 21
+#: Windows that begin at so many neighbouring places of a segment are looked at together, by the bytes that all of them hold.
+TOGETHER = 8
 #: Bytes and the terminator: symbols under one tag.
 SYMBOLS = 257
 _marks = [("id", "<i8"), ("a", "<i4"), ("b", "<i4")]
@@ -158,30 +165,46 @@ def _repeated(bits: int):
             code = np.zeros((len(flat), 8), np.uint8)
             code[:, :5] = flat
             code = np.sort(code.view("<u8").ravel())
-            parts = []
+            parts, probes = [], 1
             for times, size in ((2, FILTER_BITS), (HOT, HOT_BITS)):
                 often = code[times - 1 :][code[times - 1 :] == code[: max(0, len(code) - times + 1)]]
                 part = np.zeros(1 << (size - bits), bool)
-                part[(often >> ta.U(40 - (size - bits))).astype(np.int64)] = True
+                if times == 2:
+                    # As many bits for each as let the fewest others through.
+                    probes = int(np.clip(0.69 * len(part) / max(1, np.count_nonzero(np.diff(often)) + 1), 1, PROBES))
+                for k in range(probes if times == 2 else 1):
+                    part[_slot(often, size - bits, k)] = True
                 parts.append(pa.array([np.packbits(part, bitorder="little").tobytes()], pa.binary()))
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *parts], names=["bucket", "part", "hot"])
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *parts, pa.array([probes], pa.int32())], names=["bucket", "part", "hot", "probes"])
 
     return run
 
 
-def _bit(table: np.ndarray, bits: int, code: np.ndarray) -> np.ndarray:
-    slot = (code >> ta.U(64 - bits)).astype(np.int64)
-    return (table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+def _slot(code: np.ndarray, width: int, k: int) -> np.ndarray:
+    """The k-th place, of 2**width, of hashes of 40 bits."""
+    first = code >> ta.U(40 - width)
+    return ((first + ta.U(k) * (ta.mix(code) | ta.U(1)) if k else first) & ta.U((1 << width) - 1)).astype(np.int64)
 
 
-def _spans(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(key, row, start, size, hash of the bytes) of the segments around the anchors that pass the filter."""
+def _bit(table: np.ndarray, bits: int, code: np.ndarray, probes: np.ndarray) -> np.ndarray:
+    """Whether all bits of each hash are set; ``probes`` has their number for each bucket."""
+    own = len(probes).bit_length() - 1
+    bucket, rest, out = (code >> ta.U(64 - own)).astype(np.int64), (code << ta.U(own)) >> ta.U(24), np.ones(len(code), bool)
+    for k in range(int(probes.max())):
+        on = np.flatnonzero(out & (probes[bucket] > k))
+        slot = (bucket[on] << (bits - own)) + _slot(rest[on], bits - own, k)
+        out[on] = (table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+    return out
+
+
+def _spans(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray, hot: np.ndarray, probes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(key, row, start, size, anchor's place, hash of key, bytes and place) of the segments around the anchors that pass the filter."""
     code, at, row = anchors(raw, offsets)
-    hit = _bit(table, FILTER_BITS, code)
+    hit = _bit(table, FILTER_BITS, code, probes)
     code, at, row = code[hit], at[hit], row[hit]
     low, high = np.maximum(at - (LENGTH - K), offsets[row]), np.minimum(at + LENGTH, offsets[row + 1])
     total = ta.prefix_code(ta.BYTE_CODE[raw])
-    often = np.flatnonzero(_bit(hot, HOT_BITS, code))
+    often = np.flatnonzero(_bit(hot, HOT_BITS, code, np.ones_like(probes)))
     if len(often):
         after = often[at[often] + K + MORE <= high[often]]
         before = often[at[often] - MORE >= low[often]]
@@ -191,27 +214,29 @@ def _spans(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray, hot: np.ndar
         code = np.concatenate([code[rest], *keys])
         row = np.concatenate([row[rest], row[after], row[before]])
         low, high = np.concatenate([low[rest], np.maximum(low[after], at[after] - MORE), low[before]]), np.concatenate([high[rest], high[after], np.minimum(high[before], y + MORE + K + MORE)])
+        at = np.concatenate([at[rest], at[after], at[before]])
         ok = high - low >= LENGTH
-        code, row, low, high = code[ok], row[ok], low[ok], high[ok]
-    return code, row, low, high - low, ta.span_hash(total, low, high)
+        code, row, at, low, high = code[ok], row[ok], at[ok], low[ok], high[ok]
+    # One stretch of text can be the segment of several anchors: it is a segment for each.
+    return code, row, low, high - low, at - low, ta.mix(ta.span_hash(total, low, high) ^ code) + (at - low).astype(np.uint64)
 
 
 def _segments(shared, bits: int, parts: int):
     """Packed distinct segments around the anchors that pass the filter, by bucket; and marks that are settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, hot = (np.frombuffer(x, np.uint8) for x in shared.value)
-        names = ["bucket", "keys", "ids", "sizes", "counts", "starts", "texts", "marks"]
+        table, hot, probes = (np.frombuffer(x, np.uint8) for x in shared.value)
+        names = ["bucket", "keys", "ids", "sizes", "anchors", "counts", "starts", "texts", "marks"]
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for chunk in _chunks(batch.column(1)):
                 found, texts, whole = [], [], 0
                 for first, _, raw, offsets in chunk:
-                    key, row, start, size, code = _spans(raw, offsets, table, hot)
-                    found.append((key, code, ids[first + row], (start - offsets[row]).astype(np.int32), size, start + whole))
+                    key, row, start, size, place, code = _spans(raw, offsets, table, hot, probes)
+                    found.append((key, code, ids[first + row], (start - offsets[row]).astype(np.int32), size, place, start + whole))
                     texts.append(raw)
                     whole += len(raw)
-                key, code, own, start, size, at = (np.concatenate(x) for x in zip(*found, strict=True))
+                key, code, own, start, size, place, at = (np.concatenate(x) for x in zip(*found, strict=True))
                 raw = np.concatenate(texts)
                 order = np.lexsort((start, own, code))
                 head = np.flatnonzero(np.r_[True, code[order[1:]] != code[order[:-1]]]) if len(order) else np.zeros(0, np.int64)
@@ -225,13 +250,13 @@ def _segments(shared, bits: int, parts: int):
                     o = one[g]
                     places = cut_out(starts, (ends - counts)[g].astype(np.int64), counts[g].astype(np.int64))
                     sub = ((key[o] << ta.U(bits)) >> ta.U(32)).astype("<u4")
-                    blobs = (sub, own[o].astype("<i8"), size[o].astype(np.uint8), counts[g], places, cut_out(raw, at[o], size[o]))
+                    blobs = (sub, own[o].astype("<i8"), size[o].astype(np.uint8), place[o].astype(np.uint8), counts[g], places, cut_out(raw, at[o], size[o]))
                     out.append((b, *(x.tobytes() for x in blobs), None))
                 later = order[~same]
                 marks = np.zeros(len(later), _marks)
                 marks["id"], marks["a"], marks["b"] = own[later], start[later], start[later] + size[later]
-                out += [(p % (1 << bits), *[None] * 6, united(marks[m]).tobytes()) for p, m in _grouped(part_of(marks["id"], parts))]
-                columns = list(zip(*out, strict=True)) or [()] * 8
+                out += [(p % (1 << bits), *[None] * 7, united(marks[m]).tobytes()) for p, m in _grouped(part_of(marks["id"], parts))]
+                columns = list(zip(*out, strict=True)) or [()] * 9
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=names)
         ta.release()
 
@@ -254,9 +279,20 @@ def united(marks: np.ndarray) -> np.ndarray:
 
 def cut_out(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The items of the spans, one after another."""
-    if len(size) == 0:
-        return text[:0]
-    return text[np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())]
+    out = [text[:0]]
+    for k in range(0, len(size), 1 << 14):
+        a, n = start[k : k + (1 << 14)], size[k : k + (1 << 14)]
+        out.append(text[np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())])
+    return np.concatenate(out)
+
+
+def stable_order(key: np.ndarray) -> np.ndarray:
+    """The stable order of whole numbers from 0; by one sort of numbers with their places, which is much faster, where both fit 64 bits."""
+    bits = len(key).bit_length()
+    if int(key.max(initial=0)).bit_length() + bits > 64:
+        return np.argsort(key, kind="stable")
+    both = np.sort(key.astype(np.uint64) << ta.U(bits) | np.arange(len(key), dtype=np.uint64))
+    return (both & ta.U((1 << bits) - 1)).astype(np.int64)
 
 
 class RunIndex:
@@ -281,7 +317,7 @@ class RunIndex:
         order = self._suffix_order(body, self.left, mark)
         symbol = np.where(order > 0, body[order - 1], 0) + mark[order] * SYMBOLS
         lf = np.empty(n, np.int32)
-        lf[np.argsort(symbol, kind="stable")] = np.arange(n, dtype=np.int32)
+        lf[stable_order(symbol)] = np.arange(n, dtype=np.int32)
         order = order.astype(np.int32)
         self.start = np.flatnonzero(np.r_[True, symbol[1:] != symbol[:-1]]).astype(np.int32)
         last = np.r_[self.start[1:], n].astype(np.int32) - 1
@@ -297,40 +333,42 @@ class RunIndex:
     def _suffix_order(body: np.ndarray, left: np.ndarray, mark: np.ndarray) -> np.ndarray:
         """Full order of all suffixes by tag: a few bytes at first, then by doubling; strings differ or end differently."""
         n = len(body)
-        bits = int(mark.max(initial=0)).bit_length()
-        width = (63 - bits) // 9
+        used = np.bincount(body, minlength=SYMBOLS) > 0
+        bits = int(used.sum()).bit_length()
+        # As many symbols as fit beside the tag and the place.
+        width = max(1, (64 - int(mark.max(initial=0)).bit_length() - n.bit_length()) // bits)
         key = mark.astype(np.uint64)
-        padded = np.r_[body.astype(np.uint64), np.zeros(8, np.uint64)]
+        padded = np.r_[(np.cumsum(used) - 1)[body].astype(np.uint64), np.zeros(width, np.uint64)]
         for k in range(width):
-            key = (key << ta.U(9)) | np.where(left >= k, padded[k : k + n], ta.U(0))
-        order = np.argsort(key, kind="stable")
+            key = (key << ta.U(bits)) | np.where(left >= k, padded[k : k + n], ta.U(0))
+        order = stable_order(key)
         seen = key[order]
-        ended = (left < width)[order]
-        while True:
-            new = np.r_[True, (seen[1:] != seen[:-1]) | ended[1:]]
-            group = np.cumsum(new) - 1
-            if new.all():
-                return order
-            rank = np.empty(n, np.int64)
-            rank[order] = group
-            # Only groups of two and more are ordered further; a group keeps its place.
-            many = np.flatnonzero(~new | np.r_[~new[1:], False])
+        new = np.r_[True, (seen[1:] != seen[:-1]) | (left[order[1:]] < width)]
+        # A suffix ranks as the first of its group; only groups of two and more are ordered further, and keep their place.
+        rank = np.empty(n, np.int64)
+        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        many = np.flatnonzero(~new | np.r_[~new[1:], False])
+        while len(many):
             own = order[many]
-            after = rank[np.minimum(own + width, n - 1)]
-            wide = (group[many].astype(np.uint64) << ta.U(32)) | after.astype(np.uint64)
-            turn = np.argsort(wide, kind="stable")
-            order[many] = own[turn]
-            seen = group.astype(np.uint64) << ta.U(32)
-            seen[many] = wide[turn]
+            wide = (rank[own] << n.bit_length()) | rank[np.minimum(own + width, n - 1)]
+            turn = stable_order(wide)
+            order[many] = own = own[turn]
+            wide = wide[turn]
             width *= 2
-            ended = (left < width)[order]
+            new = np.r_[True, (wide[1:] != wide[:-1]) | (left[own[1:]] < width)]
+            rank[own] = many[np.maximum.accumulate(np.where(new, np.arange(len(many)), 0))]
+            many = many[~new | np.r_[~new[1:], False]]
+        return order
 
-    def shared(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """How many bytes the suffixes at two positions share, up to ``most`` and the end of the second's string."""
+    def shared(self, a: np.ndarray, b: np.ndarray, most: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """How many bytes the suffixes at two positions share, up to ``most`` and the end of the second's string; 0 may stand for fewer than ``least``."""
         n = len(self.word)
         most = np.minimum(most, self.left[b])
-        same, go, k = np.zeros(len(a), np.int32), slice(None), 0
-        while True:
+        same, k = np.zeros(len(a), np.int32), 0
+        # Where many are needed, the last of these are compared first: most pairs differ there.
+        end = np.maximum(least, 8) - 8
+        go = np.flatnonzero((most >= least) & ((least < 8) | (self.word[np.minimum(a + end, n - 1)] == self.word[np.minimum(b + end, n - 1)])))
+        while len(go):
             differ = self.word[np.minimum(a[go] + k, n - 1)] ^ self.word[np.minimum(b[go] + k, n - 1)]
             # Whole bytes before the first that differs, from the place of the highest bit; 32 bits are exact in a double.
             top = differ >> ta.U(32)
@@ -340,13 +378,14 @@ class RunIndex:
             k += 8
             more = np.flatnonzero((lead == 8) & (k < most[go]))
             if not len(more):
-                return np.minimum(same, most)
-            go = more if isinstance(go, slice) else go[more]
+                break
+            go = go[more]
+        return np.minimum(same, most)
 
     def stream(self, text: np.ndarray, size: np.ndarray, tag: np.ndarray, length: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Walks patterns backwards, all at once: (bytes to the end, patterns, matching statistic of each).
 
-        With a ``length``, a walk ends where no match of that many bytes can begin further on.
+        With a ``length``, a walk ends where no match of that many bytes can begin further on, and statistics of ended walks may be too small.
 
         A walk holds a rank, the suffix there and how much of it matches. Where the run at the rank has the symbol that comes next, LF leads
         on; else the nearer ends of that symbol's runs before and after are compared with the match, and the one that shares more is taken.
@@ -364,13 +403,14 @@ class RunIndex:
             match = match + 1
             miss = np.flatnonzero(self.symbol[run] != c)
             if len(miss):
+                least = length - 1 - size[live[miss]] + step
                 place = np.searchsorted(self.by_symbol, c[miss] * runs + run[miss])
                 best, to, suffix = np.full(len(miss), -1, np.int32), rank[miss], at[miss]
                 for other, rank_of, at_of in ((place - 1, self.last, self.last_at), (place, self.start, self.first_at)):
-                    there = np.flatnonzero((other >= 0) & (other < runs))
+                    there = np.flatnonzero((other >= 0) & (other < runs) & (best < match[miss] - 1))
                     there = there[self.by_symbol[other[there]] // runs == c[miss[there]]]
                     r = self.by_symbol[other[there]] % runs
-                    got = self.shared(at[miss[there]], at_of[r], match[miss[there]] - 1)
+                    got = self.shared(at[miss[there]], at_of[r], match[miss[there]] - 1, least[there])
                     better = got > best[there]
                     there, r = there[better], r[better]
                     best[there], to[there], suffix[there], run[miss[there]] = got[better], rank_of[r], at_of[r], r
@@ -381,13 +421,14 @@ class RunIndex:
             yield step, live, match
 
 
-def distinct(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The least document's segment of each key and text, and for each segment the place of its own among those."""
+def distinct(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least document's segment of each key, text and anchor's place, and for each segment the place of its own among those."""
     offsets = np.r_[0, np.cumsum(sizes)]
     code = np.empty(len(ids), np.uint64)
     for a in range(0, len(ids), 4096):
         own = offsets[a : a + 4097]
         code[a : a + 4096] = ta.span_hash(ta.prefix_code(ta.BYTE_CODE[text[own[0] : own[-1]]]), own[:-1] - own[0], own[1:] - own[0])
+    code += at.astype(np.uint64)
     order = np.lexsort((ids, code, keys))
     head = np.r_[True, (code[order][1:] != code[order][:-1]) | (keys[order][1:] != keys[order][:-1])]
     group = np.empty(len(ids), np.int64)
@@ -395,41 +436,97 @@ def distinct(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, text: np.ndar
     return order[head], group
 
 
-def matches(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def open_windows(keys: np.ndarray, ids: np.ndarray, begin: np.ndarray, sizes: np.ndarray, text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each segment and place in it, whether a window begins there whose middle bytes another document has around the same anchor.
+
+    Equal windows hold their anchor at the same place. Those that begin at TOGETHER neighbouring places, counted from the anchor, have all
+    bytes but TOGETHER - 1 at the ends in common; where no other document of the key has these, none of the windows can come again.
+    """
+    places = int(sizes.max(initial=LENGTH)) - LENGTH + 1
+    # From the anchor's place: the first and the last window that holds the anchor.
+    first, last = np.maximum(-at, K - LENGTH), np.minimum(sizes - LENGTH - at, 0)
+    found, code = [], []
+    for low in range(K - LENGTH, 1, TOGETHER):
+        high = min(low + TOGETHER - 1, 0)
+        found.append(np.flatnonzero((first <= high) & (last >= low)))
+        code.append(np.empty(len(found[-1]), np.uint64))
+        for a in range(0, len(found[-1]), 4096):
+            own = found[-1][a : a + 4096]
+            size = np.full(len(own), LENGTH - (high - low))
+            core = cut_out(text, (begin + at)[own] + high, size)
+            end = np.cumsum(size)
+            code[-1][a : a + 4096] = ta.mix(ta.span_hash(ta.prefix_code(ta.BYTE_CODE[core]), end - size, end) ^ keys[own].astype(np.uint64))
+    out = np.zeros((len(ids), places), bool)
+    for low, own, c in zip(range(K - LENGTH, 1, TOGETHER), found, code, strict=True):
+        if len(own):
+            order = np.argsort(c)
+            head = np.flatnonzero(np.r_[True, c[order][1:] != c[order][:-1]])
+            several = np.minimum.reduceat(ids[own[order]], head) != np.maximum.reduceat(ids[own[order]], head)
+            own = own[order[np.repeat(several, np.diff(np.r_[head, len(own)]))]]
+            for k in range(low, min(low + TOGETHER, 1)):
+                ok = own[(first[own] <= k) & (last[own] >= k)]
+                out[ok, at[ok] + k] = True
+    return out
+
+
+def matches(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, text: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(from, to) of the bytes of each segment that windows of earlier documents cover; to is 0 where none do.
 
     The documents of a key are halved again and again: those of each even block are indexed, those of the odd block after it
-    stream through, so any two documents meet once, the earlier one as reference. A segment that is covered whole is left
-    out from then on: the documents that cover it stand for it.
+    stream through, so any two documents meet once, the earlier one as reference. A window that is found is left out from then on: the first
+    document that has it is never without it. Segments are cut to the windows that are left. ``at`` has the places of the anchors in their segments;
+    without it any windows of a key may be equal.
     """
-    one, group = distinct(keys, ids, sizes, text)
+    one, group = distinct(keys, ids, sizes, text, np.zeros(len(ids), np.int64) if at is None else at)
     begin, size, own = (np.cumsum(sizes) - sizes)[one], sizes[one], ids[one]
-    order = np.lexsort((own, keys[one]))
-    new_key = np.r_[True, np.diff(keys[one][order].astype(np.int64)) != 0]
-    new = np.cumsum(new_key | np.r_[True, np.diff(own[order]) != 0])
-    key, place = np.empty(len(one), np.int64), np.empty(len(one), np.int64)
+    if at is None:
+        left = np.arange(int(size.max(initial=LENGTH)) - LENGTH + 1) <= (size - LENGTH)[:, None]
+    else:
+        left = open_windows(keys[one], own, begin, size, text, at[one])
+    found = np.zeros(left.shape, bool)
+    some = np.flatnonzero(left.any(1))
+    for part in _batches(keys[one[some]], _span(left[some])[1]) if len(some) else ():
+        part = some[part]
+        found[part] = _halved(keys[one[part]], own[part], begin[part], text, left[part])
+    low, length = _span(found)
+    high = np.where(found.any(1), low + length, 0)
+    later = ids > own[group]
+    return np.where(later, 0, low[group]), np.where(later, sizes, high[group])
+
+
+def _span(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each segment's first window begins, and the bytes from there to the last one's end."""
+    low = windows.argmax(1)
+    return low, windows.shape[1] - 1 - windows[:, ::-1].argmax(1) + LENGTH - low
+
+
+def _halved(keys: np.ndarray, ids: np.ndarray, begin: np.ndarray, text: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Which of the open windows of each segment an earlier document of its key has."""
+    order = np.lexsort((ids, keys))
+    new_key = np.r_[True, keys[order][1:] != keys[order][:-1]]
+    new = np.cumsum(new_key | np.r_[True, ids[order][1:] != ids[order][:-1]])
+    key, place = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)
     key[order] = np.cumsum(new_key) - 1
-    place[order] = new - new[np.maximum.accumulate(np.where(new_key, np.arange(len(one)), 0))]
-    # A window covers the anchor, so all windows of a segment overlap: their union is one span.
-    low, high = np.full(len(one), 1 << 20), np.zeros(len(one), np.int64)
+    place[order] = new - new[np.maximum.accumulate(np.where(new_key, np.arange(len(ids)), 0))]
+    found, left, some = np.zeros(left.shape, bool), left.copy(), np.arange(len(ids))
     for level in range(int(place.max(initial=0)).bit_length()):
-        block = place >> level
-        tag = key << 32 | block >> 1
-        alive = (high < size) | (low > 0)
-        ref, pat = np.flatnonzero(alive & (block & 1 == 0)), np.flatnonzero(alive & (block & 1 == 1))
-        both = np.intersect1d(tag[ref], tag[pat])
-        ref, pat = ref[np.isin(tag[ref], both)], pat[np.isin(tag[pat], both)]
+        some = some[left[some].any(1)]
+        block = place[some] >> level
+        tag = key[some] << 32 | block >> 1
+        both = np.intersect1d(tag[block & 1 == 0], tag[block & 1 == 1])
         if not len(both):
             continue
-        index = RunIndex(cut_out(text, begin[ref], size[ref]), size[ref], np.searchsorted(both, tag[ref]))
-        for step, live, match in index.stream(cut_out(text, begin[pat], size[pat]), size[pat], np.searchsorted(both, tag[pat]), LENGTH):
+        met = np.isin(tag, both)
+        ref, pat = np.flatnonzero(met & (block & 1 == 0)), np.flatnonzero(met & (block & 1 == 1))
+        low, length = _span(left[some])
+        start = begin[some] + low
+        index = RunIndex(cut_out(text, start[ref], length[ref]), length[ref], np.searchsorted(both, tag[ref]))
+        for step, live, match in index.stream(cut_out(text, start[pat], length[pat]), length[pat], np.searchsorted(both, tag[pat]), LENGTH):
             if step >= LENGTH:
-                long = np.flatnonzero(match >= LENGTH)
-                hit, at = pat[live[long]], size[pat[live[long]]] - step
-                low[hit] = np.minimum(low[hit], at)
-                high[hit] = np.maximum(high[hit], at + match[long])
-    later = ids > own[group]
-    return np.where(later, 0, low[group]), np.where(later, sizes, high[group])
+                hit = pat[live[match >= LENGTH]]
+                found[some[hit], low[hit] + length[hit] - step] = True
+        left &= ~found
+    return found
 
 
 def _batches(keys: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
@@ -452,18 +549,18 @@ def _resolve(parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        for _, rows in _runs_of(batches):
-            held += [np.frombuffer(r[6], _marks) for r in rows if r[6] is not None]
-            rows = [r for r in rows if r[6] is None]
-            get = lambda k, kind: np.frombuffer(b"".join(r[k] for r in rows), kind)  # noqa: E731, B023
-            keys, ids, sizes, counts, starts, text = get(0, "<u4"), get(1, "<i8"), get(2, np.uint8).astype(np.int64), get(3, "<i4").astype(np.int64), get(4, "<i4"), get(5, np.uint8)
-            begin, place = np.cumsum(sizes) - sizes, np.cumsum(counts) - counts
-            for own in _batches(keys, sizes) if len(keys) else ():
-                a, b = matches(keys[own], ids[own], sizes[own], cut_out(text, begin[own], sizes[own]))
-                own, a, b = own[b > 0], a[b > 0], b[b > 0]
+        for buckets in _some_buckets(batches):
+            held += [np.frombuffer(r[7], _marks) for _, rows in buckets for r in rows if r[7] is not None]
+            buckets = [(b, [r for r in rows if r[7] is None]) for b, rows in buckets]
+            get = lambda k, kind: np.frombuffer(b"".join(r[k] for _, rows in buckets for r in rows), kind)  # noqa: E731, B023
+            bucket = np.repeat([b for b, _ in buckets], [sum(len(r[2]) for r in rows) for _, rows in buckets]).astype(np.uint64)
+            keys, ids, sizes, at, counts, starts, text = get(0, "<u4"), get(1, "<i8"), get(2, np.uint8).astype(np.int64), get(3, np.uint8).astype(np.int64), get(4, "<i4").astype(np.int64), get(5, "<i4"), get(6, np.uint8)
+            if len(keys):
+                a, b = matches(bucket << ta.U(32) | keys, ids, sizes, text, at)
+                own, place = np.flatnonzero(b), np.cumsum(counts) - counts
                 start, n = cut_out(starts, place[own], counts[own]), counts[own]
                 marks = np.zeros(len(start), _marks)
-                marks["id"], marks["a"], marks["b"] = np.repeat(ids[own], n), start + np.repeat(a, n), start + np.repeat(b, n)
+                marks["id"], marks["a"], marks["b"] = np.repeat(ids[own], n), start + np.repeat(a[own], n), start + np.repeat(b[own], n)
                 held.append(marks)
             if sum(map(len, held)) >= 1 << 20:
                 yield done(held)
@@ -474,6 +571,19 @@ def _resolve(parts: int):
     return run
 
 
+def _some_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, list[list]]]]:
+    """Whole buckets, some HELD bytes of segments at a time."""
+    held, size = [], 0
+    for bucket, rows in _runs_of(batches):
+        held.append((bucket, rows))
+        size += sum(len(r[6]) for r in rows if r[6] is not None)
+        if size >= HELD:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def part_of(ids: np.ndarray, parts: int) -> np.ndarray:
     return (ta.mix(ids.astype(np.int64).view(np.uint64)) % ta.U(parts)).astype(np.int32)
 
@@ -526,9 +636,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = rows.join(small(cut(twins)), "digest", "left").withColumn("copy", F.coalesce(F.col("first") < F.col("key"), F.lit(False)))
     heads = rows.where(~F.col("copy")).select("key", "text")
     posted = heads.select("text").mapInArrow(_post(bits), "bucket int, hashes binary").repartition("bucket").sortWithinPartitions("bucket")
-    tables = [bytearray(1 << (size - 3)) for size in (FILTER_BITS, HOT_BITS)]
-    for r in posted.mapInArrow(_repeated(bits), "bucket int, part binary, hot binary").toLocalIterator():
-        for table, part in zip(tables, (r.part, r.hot), strict=True):
+    tables = [bytearray(n) for n in (1 << (FILTER_BITS - 3), 1 << (HOT_BITS - 3), 1 << bits)]
+    for r in posted.mapInArrow(_repeated(bits), "bucket int, part binary, hot binary, probes int").toLocalIterator():
+        for table, part in zip(tables, (r.part, r.hot, bytes([r.probes])), strict=True):
             table[r.bucket * len(part) : (r.bucket + 1) * len(part)] = part
     shared = spark.sparkContext.broadcast([bytes(table) for table in tables])
     packed = heads.mapInArrow(_segments(shared, bits, parts), _packs).repartition("bucket").sortWithinPartitions("bucket")

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,6 +265,57 @@ def test_matches_of_many_contexts_equal_brute_force():
         assert got == want, (i, got, want)
 
 
+def test_matches_keep_windows_that_no_earlier_segment_has():
+    # The fourth segment is covered whole by the first two, but only it has the window that the fifth repeats.
+    rng = np.random.default_rng(4)
+    letters = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8))
+    whole = letters(80)
+    parts = [whole[:50], whole[30:], letters(80), whole, whole[15:65]]
+    keys, ids, sizes = np.zeros(5, np.uint32), np.arange(5), np.array([len(p) for p in parts])
+    for at in ((), (np.array([30, 0, 30, 30, 15]),)):
+        low, high = long_matches.matches(keys, ids, sizes, np.frombuffer(b"".join(parts), np.uint8), *at)
+        assert high.tolist() == [0, 0, 0, 80, 50] and low[3:].tolist() == [0, 0]
+
+
+def test_matches_index_only_what_can_come_again(monkeypatch):
+    rng = np.random.default_rng(5)
+    letters = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8))
+    indexed, build = [], long_matches.RunIndex.__init__
+    monkeypatch.setattr(long_matches.RunIndex, "__init__", lambda self, text, *rest: (indexed.append(len(text)), build(self, text, *rest))[1])
+    for shared, most in ((20, 0), (40, 400 * 80), (60, 400 * 80 * 5)):
+        anchor = letters(shared)
+        parts = [letters(30) + anchor + letters(60 - shared + 10) for _ in range(400)]
+        parts = [p[:80] for p in parts]
+        indexed.clear()
+        got = long_matches.matches(np.zeros(400, np.uint32), np.arange(400), np.full(400, 80), np.frombuffer(b"".join(parts), np.uint8), np.full(400, 30))
+        assert sum(indexed) <= most
+        seen = set()
+        for i, p in enumerate(parts):
+            hit = [k for k in range(31) if p[k : k + 50] in seen]
+            seen |= {p[k : k + 50] for k in range(31)}
+            assert (int(got[0][i]), int(got[1][i])) == ((min(hit), max(hit) + 50) if hit else (0, 0))
+
+
+def test_filter_of_anchors(monkeypatch):
+    monkeypatch.setattr(long_matches, "FILTER_BITS", 16)
+    monkeypatch.setattr(long_matches, "HOT_BITS", 12)
+    rng = np.random.default_rng(6)
+    code = lambda n: rng.integers(0, 1 << 64, n, np.uint64)
+    for n, most in ((100, 1), (8000, 0.05), (100_000, 0.85)):
+        often, once = code(n), code(20_000)
+        posted = np.repeat(often, 2)
+        rows = [(b, posted[own]) for b, own in long_matches._grouped((posted >> np.uint64(58)).astype(np.int32))]
+        hashes = [((c << np.uint64(6)) >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for _, c in rows]
+        table, probes = np.zeros(1 << 13, np.uint8), np.ones(64, np.uint8)
+        for out in long_matches._repeated(6)([pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array(hashes, pa.binary())], names=["bucket", "hashes"])]):
+            b, part, _, probes[b] = (c[0].as_py() for c in out.columns)
+            table[b * len(part) : (b + 1) * len(part)] = np.frombuffer(part, np.uint8)
+        assert long_matches._bit(table, 16, often, probes).all()
+        # One bit for each would let through n / 2**16 at first: 0.115 of all others at 8000.
+        assert long_matches._bit(table, 16, once, probes).mean() < most
+
+
+
 def test_media_round_trip(docs, texts):
     got = by_id(media.features(docs))
     for i, t in texts.items():
