@@ -4,15 +4,22 @@ from __future__ import annotations
 
 import difflib
 from collections import Counter
-from collections.abc import Iterator
+from os.path import commonprefix
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from signalloom.operators.ranking import ranked
 
+#: Keys and names of one day that meet in one group, on average at most.
+KEYS, NAMES = 512, 8192
+#: Longer names are compared one by one; states of so many first characters of a key are kept for the next one.
+LONGEST, KEPT = 256, 64
+
 
 def normal_name(name: Column) -> Column:
     """Names to match by: eight kinds of marks removed, trimmed, lower case (fixed values)."""
@@ -100,22 +107,101 @@ def candidates(left: DataFrame, right: DataFrame, day: str, key: str, name: str,
     return both.where((F.get(F.array_intersect("_p", "_q"), F.lit(0)) == F.col("_l")) & (2 * F.size(F.array_intersect("_a", "_b")) >= least * (a + b) - 1e-9)).select(day, key, name)
 
 
+class Subsequences:
+    """Lengths of the longest common subsequences of a text with each of many names, by bits of the names' characters.
+
+    Matching blocks stand in one order in both texts, so twice that length over both lengths bounds their ratio. Texts given in order go on
+    from the state after what they begin with in common.
+    """
+
+    def __init__(self, names: list[str], letters: set[str]):
+        words = -(-max(map(len, names), default=1) // 64) or 1
+        codes = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32)
+        size = np.array([len(n) for n in names], np.int64)
+        row = np.repeat(np.arange(len(names)), size)
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
+        order = np.argsort(codes, kind="stable")
+        used = np.array(sorted(map(ord, letters)), np.uint32)
+        #: For each character the names' bits where it stands, and all others.
+        self.at = {}
+        for c, a, b in zip(used.tolist(), np.searchsorted(codes, used, sorter=order), np.searchsorted(codes, used, "right", sorter=order), strict=True):
+            if a < b:
+                own, bits = order[a:b], np.zeros((words, len(names)), np.uint64)
+                np.bitwise_or.at(bits, (place[own] >> 6, row[own]), np.uint64(1) << (place[own] & 63).astype(np.uint64))
+                self.at[chr(c)] = bits, ~bits
+        self.states, self.text = [np.full((words, len(names)), ~np.uint64(0))], ""
+
+    def lengths(self, text: str) -> np.ndarray:
+        del self.states[len(commonprefix([self.text, text])) + 1 :]
+        self.text, state = text, self.states[-1]
+        for k in range(len(self.states) - 1, len(text)):
+            if text[k] in self.at:
+                on, off = self.at[text[k]]
+                up = state + (state & on)
+                over = up < state
+                for w in range(1, len(up)):
+                    up[w] += over[w - 1]
+                    over[w] |= over[w - 1] & (up[w] == 0)
+                state = up | (state & off)
+            if k < KEPT:
+                self.states.append(state)
+        return np.bitwise_count(~state).sum(0, dtype=np.int64)
+
+
+def closest(keys: list[str], names: list[str], least: float) -> list[tuple[int, int, float]]:
+    """(key, name, ratio) by place: for each key the first of the names that are most similar, where that is ``least`` or more.
+
+    Names are compared from the highest bound down, until none that is left could be better, or as good and earlier.
+    """
+    size = np.array([len(n) for n in names], np.int64)
+    fit, out = np.flatnonzero(size <= LONGEST), []
+    bounds = Subsequences([names[i] for i in fit], {c for k in keys for c in k})
+    for place in sorted(range(len(keys)), key=keys.__getitem__):
+        key = keys[place]
+        most = np.minimum(size, len(key))
+        most[fit] = bounds.lengths(key)
+        bound = 2.0 * most / np.maximum(size + len(key), 1)
+        best, first = 0.0, len(names)
+        while len(names) and (top := bound.max()) >= max(best, least):
+            same = np.flatnonzero(bound == top)
+            for i in same.tolist():
+                if best == top and i > first:
+                    break
+                ratio = similarity(key, names[i], least) if size[i] > LONGEST else difflib.SequenceMatcher(None, key, names[i]).ratio()
+                if ratio >= least and (ratio, -i) > (best, -first):
+                    best, first = ratio, i
+            bound[same] = -1
+        if first < len(names):
+            out.append((place, first, best))
+    return out
+
+
 def fuzzy(left: DataFrame, right: DataFrame, left_id: str, day: str, key: str, name: str, right_id: str, least: float = 0.6) -> DataFrame:
     """(left_id, name, right_id, ratio): the right row of the same day with the most similar name, at ``least`` or more.
 
-    Names of under two characters match nothing; ties go to the least right id. Only pairs that can reach ``least`` are compared, and
-    each key keeps its best name only.
+    Names of under two characters match nothing; ties go to the least right id. The keys and the names of a day are dealt to blocks; each block
+    of keys meets each block of names in a group of its own and keeps the best name of each key.
     """
     keys = left.where(F.col(key).isNotNull() & F.col(day).isNotNull()).select(day, key).distinct()
-    names = right.where(F.length(name) >= 2).groupBy(day, name).agg(F.min(right_id).alias("_r"))
-
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            ratio = [similarity(k, n, least) for k, n in zip(frame[key], frame[name], strict=True)]
-            yield frame.assign(ratio=ratio)[lambda f: f["ratio"] > 0]
-
-    pairs = candidates(keys, names, day, key, name, least).mapInPandas(score, f"`{day}` date, `{key}` string, `{name}` string, ratio double")
-    best = pairs.join(names, [day, name]).groupBy(day, key).agg(F.min(F.struct((-F.col("ratio")).alias("ratio"), F.col("_r").alias("r"), F.col(name).alias("n"))).alias("_b"))
+    names = right.where((F.length(name) >= 2) & F.col(day).isNotNull()).groupBy(day, name).agg(F.min(right_id).alias("_r"))
+    blocks = lambda n, most: F.ceil(F.col(n) / most).cast("int")
+    days = keys.groupBy(day).agg(F.count("*").alias("_k")).join(names.groupBy(day).agg(F.count("*").alias("_n")), day).select(day, blocks("_k", KEYS).alias("_kb"), blocks("_n", NAMES).alias("_nb"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    own = keys.join(days, day).select(day, dealt(key, "_kb").alias("_kb"), every("_nb").alias("_nb"), key)
+    other = names.join(days, day).select(day, every("_kb").alias("_kb"), dealt(name, "_nb").alias("_nb"), name, "_r")
+
+    def score(some: pa.Table, others: pa.Table) -> pa.Table:
+        others = others.take(pc.sort_indices(others, sort_keys=[("_r", "ascending"), (name, "ascending")], null_placement="at_start"))
+        found = closest(some[key].to_pylist(), others[name].to_pylist(), least) if len(some) and len(others) else []
+        one, two, ratio = ([x[i] for x in found] for i in range(3))
+        columns = [some[day].take(pa.array(one, pa.int64())), some[key].take(pa.array(one, pa.int64())), others[name].take(pa.array(two, pa.int64())), others["_r"].take(pa.array(two, pa.int64())), pa.array(ratio, pa.float64())]
+        return pa.Table.from_arrays(columns, names=[day, key, name, "_r", "ratio"])
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    schema = f"`{day}` {kind(keys, day)}, `{key}` string, `{name}` string, _r {kind(names, '_r')}, ratio double"
+    pairs = own.groupBy(day, "_kb", "_nb").cogroup(other.groupBy(day, "_kb", "_nb")).applyInArrow(score, schema)
+    best = pairs.groupBy(day, key).agg(F.min(F.struct((-F.col("ratio")).alias("ratio"), F.col("_r").alias("r"), F.col(name).alias("n"))).alias("_b"))
     return left.join(best, [day, key]).select(left_id, F.col("_b.n").alias(name), F.col("_b.r").alias(right_id), (-F.col("_b.ratio")).alias("ratio"))
 
 

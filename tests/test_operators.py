@@ -116,6 +116,54 @@ def test_fuzzy_candidates_lose_no_pair(spark):
         assert all((a, b) in pairs for a in set(words) for b in set(words) if a and b and difflib.SequenceMatcher(None, a, b).ratio() >= least)
 
 
+def test_closest_names_equal_all_pairs():
+    import difflib
+    import random
+
+    rnd = random.Random(6)
+    for trial in range(120):
+        letters, longest = rnd.choice(["ab", "abc0", "0123456789", "aäöß漢\0"]), (6, 20, 150, 400)[trial % 4]
+        word = lambda lo: rnd.choice(["", "customer#000"]) + "".join(rnd.choice(letters) for _ in range(rnd.randrange(lo, longest)))  # noqa: B023, E731
+        keys, names, least = list({word(0) for _ in range(9)}), list(dict.fromkeys(word(2) for _ in range(25))), rnd.choice([0.3, 0.6, 0.9])
+        got = {k: (n, r) for k, n, r in linkage.closest(keys, names, least)}
+        for i, key in enumerate(keys):
+            ratios = [(-difflib.SequenceMatcher(None, key, n).ratio(), j) for j, n in enumerate(names)]
+            found = min((x for x in ratios if -x[0] >= least), default=None)
+            assert got.get(i) == ((found[1], -found[0]) if found else None)
+    assert linkage.closest(["a"], [], 0.6) == []
+    assert linkage.closest(["a" * 300], ["b" * 300, "a" * 299 + "b"], 0.6)[0][:2] == (0, 1)
+
+
+def test_few_names_of_like_letters_are_compared(monkeypatch):
+    import difflib
+
+    calls, ratio = [], difflib.SequenceMatcher.ratio
+    monkeypatch.setattr(difflib.SequenceMatcher, "ratio", lambda self: (calls.append(1), ratio(self))[1])
+    keys, names = [f"customer#{7 * i:09d}" for i in range(1, 300)], [f"customer#{11 * i:09d}" for i in range(3000)]
+    assert len(linkage.closest(keys, names, 0.6)) == 299
+    assert len(calls) < 20 * len(keys)  # of 3000 each
+
+
+def test_fuzzy_in_blocks_equals_all_pairs(spark, monkeypatch):
+    import datetime
+    import difflib
+    import random
+
+    monkeypatch.setattr(linkage, "KEYS", 5)
+    monkeypatch.setattr(linkage, "NAMES", 7)
+    rnd = random.Random(8)
+    name = lambda: "".join(rnd.choice("01") for _ in range(rnd.randrange(1, 9)))
+    days = [datetime.date(2020, 1, 1 + d) for d in range(2)]
+    left = [(i, rnd.choice([*days, None]), rnd.choice([name(), None])) for i in range(60)]
+    right = [(str(i), rnd.choice([*days, None]), rnd.choice([name(), name(), None])) for i in range(90)]
+    df = linkage.fuzzy(spark.createDataFrame(left, "id int, day date, key string"), spark.createDataFrame(right, "e string, day date, name string"), "id", "day", "key", "name", "e")
+    got = {r.id: (r.ratio, r.e, r.name) for r in df.collect()}
+    for i, day, key in left:
+        found = [(-difflib.SequenceMatcher(None, key, n).ratio(), e, n) for e, d, n in right if day and key is not None and d == day and n and len(n) >= 2]
+        found = sorted(x for x in found if -x[0] >= 0.6)
+        assert got.get(i) == ((-found[0][0], *found[0][1:]) if found else None)
+
+
 def test_hashes_of_large_keys(spark):
     keys = [0, 1, 5, 2**31, 2**32 + 7, 10**10, 9 * 10**18, -3]
     got = spark.createDataFrame([(k,) for k in keys], "k long").select("k", evaluation.hashed(F.col("k")).alias("h")).collect()
